@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyrank.llm.common import read
 from tallyrank.llm.line_dedup import dedup_lines
 from tallyrank.llm.mixing import mix_sizes
+from tallyrank.llm.simhash import near_duplicates
 from tallyrank.llm.sql import LINE_DEDUP_SQL, MIXING_SQL
 from tallyrank.llm.token_counts import token_counts
 
@@ -20,6 +21,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, distance=4)
+    return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -34,6 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op10_mixing": op10_mixing,
