@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import read
+from tallyrank.llm.common import read, remainder
 from tallyrank.llm.line_dedup import dedup_lines
+from tallyrank.llm.lm_scoring import score_texts
 from tallyrank.llm.mixing import mix_sizes
 from tallyrank.llm.simhash import near_duplicates
 from tallyrank.llm.sql import LINE_DEDUP_SQL, MIXING_SQL
@@ -21,6 +22,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
+    return score_texts(docs, docs.filter(~F.col("held_out")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, distance=4)
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -40,6 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
