@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.llm.common import read, remainder
+from tallyrank.llm.langid import fit as fit_languages
+from tallyrank.llm.langid import identify
 from tallyrank.llm.line_dedup import dedup_lines
 from tallyrank.llm.lm_scoring import score_texts
 from tallyrank.llm.mixing import mix_sizes
@@ -22,6 +24,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
+    models = fit_languages(docs.filter(~F.col("held_out")).select("text", "lang"))
+    return identify(docs.select("doc_id", "held_out", "text"), models).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
     return score_texts(docs, docs.filter(~F.col("held_out")))
@@ -46,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
