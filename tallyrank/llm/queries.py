@@ -16,6 +16,8 @@ from tallyrank.llm.mixing import mix_sizes
 from tallyrank.llm.simhash import near_duplicates
 from tallyrank.llm.sql import LINE_DEDUP_SQL, MIXING_SQL
 from tallyrank.llm.token_counts import token_counts
+from tallyrank.llm.toxicity import fit as fit_toxicity
+from tallyrank.llm.toxicity import score_toxicity
 
 
 def tokenizer_file() -> str:
@@ -53,12 +55,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents that may be learnt from; one row for each."""
+    labels = read(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    return labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    classifier = fit_toxicity(docs.join(toxic_labels(spark, sf_dir), "doc_id"))
+    docs = docs.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+    return score_toxicity(docs, classifier).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL}
