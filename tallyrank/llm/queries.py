@@ -15,6 +15,7 @@ from tallyrank.llm.lm_scoring import score_texts
 from tallyrank.llm.mixing import mix_sizes
 from tallyrank.llm.simhash import near_duplicates
 from tallyrank.llm.sql import LINE_DEDUP_SQL, MIXING_SQL
+from tallyrank.llm.substring_dedup import drop_repeats
 from tallyrank.llm.token_counts import token_counts
 from tallyrank.llm.toxicity import fit as fit_toxicity
 from tallyrank.llm.toxicity import score_toxicity
@@ -51,6 +52,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), limit=1024)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=50, digest=True)
+    return docs.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL}
