@@ -8,7 +8,7 @@ suffixes and their common lengths give the inner nodes of every depth, and a tre
 does so to the left. A window is repeated where a node at the depth right of the anchor and one at the depth
 left of it are shared; the smallest document below both keeps its words.
 
-A prefix of more than ``group`` documents is lengthened to the whole window, where a node is a sum that needs
+A prefix that occurs more than ``group`` times is lengthened to the whole window, where a node is a sum that needs
 no tree: those windows are summed by a 128-bit hash, which no single task has to hold.
 
 The anchors found in several documents are sent to all tasks as a Bloom filter of ``filter_bits`` bits at
@@ -29,7 +29,7 @@ from tallyrank.llm.common import chunks, mix, replacing, run_hashes, shared_tabl
 
 K = 20
 #: Suffixes that a tree is made of at once; a group is never split.
-TREE_ROWS = 4096
+TREE_ROWS = 2048
 _RUNS = pa.schema([("big", pa.bool_()), ("key", pa.int64()), ("key2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("words", pa.binary())])
 _RUNS_SQL = "big boolean, key long, key2 long, doc long, row long, at long, left int, words binary"
 
@@ -61,7 +61,7 @@ def anchors(h: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _sightings(window: int):
-    """(anchor, doc): the anchors of each document, once for each."""
+    """(anchor, doc, n): how often each document has each of its anchors."""
 
     def run(batches):
         for batch in batches:
@@ -71,8 +71,8 @@ def _sightings(window: int):
                 starts, place, key = anchors(h, rows, window)
                 if len(starts):
                     new = np.concatenate([[True], place[1:] != place[:-1]])
-                    pair = np.unique(np.stack([signed(key[new]), docs[first + rows[starts[new]]]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["anchor", "doc"])
+                    pair, n = np.unique(np.stack([signed(key[new]), docs[first + rows[starts[new]]]]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n.astype(np.int64))], names=["anchor", "doc", "n"])
 
     return run
 
@@ -196,15 +196,15 @@ def _trees(window: int):
     return run
 
 
-def repeats(docs: DataFrame, window: int = 50, group: int = 4096, filter_bits: int = 1 << 27) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, group: int = 2048, filter_bits: int = 1 << 27) -> DataFrame:
     """(row, start, end): the stretches of words of each row that documents with smaller ids have too.
 
     ``docs`` has doc (a long), row (a key of the row) and text.
     """
     spark = docs.sparkSession
     docs = docs.filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    seen = docs.select("doc", "text").mapInArrow(_sightings(window), "anchor long, doc long")
-    often = seen.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b")
+    seen = docs.select("doc", "text").mapInArrow(_sightings(window), "anchor long, doc long, n long")
+    often = seen.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("n")).filter("a < b")
     often = shared_table(spark, often.select("anchor", (F.col("n") > group).alias("big")), "anchors")
     n = {r["big"]: r["count"] for r in often.groupBy("big").count().collect()}
     total = sum(n.values())
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame, window: int = 50, group: int = 4096, filter_bits: i
         source = docs.select("doc", "row", "text")
     else:
         # the anchors of each document that are repeated go to its row
-        own = seen.distinct().join(often, "anchor").groupBy("doc").agg(F.collect_list(F.when(~F.col("big"), F.col("anchor"))).alias("__small"), F.collect_list(F.when(F.col("big"), F.col("anchor"))).alias("__big"))
+        own = seen.select("anchor", "doc").distinct().join(often, "anchor").groupBy("doc").agg(F.collect_list(F.when(~F.col("big"), F.col("anchor"))).alias("__small"), F.collect_list(F.when(F.col("big"), F.col("anchor"))).alias("__big"))
         source = docs.join(own, "doc").select("doc", "row", "text", "__small", "__big")
 
         def among(columns):
