@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.llm.common import read, remainder
+from tallyrank.llm.decontamination import find_items
 from tallyrank.llm.langid import fit as fit_languages
 from tallyrank.llm.langid import identify
 from tallyrank.llm.line_dedup import dedup_lines
@@ -52,6 +53,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), limit=1024)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=50, digest=True)
     return docs.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
