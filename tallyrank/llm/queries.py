@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.llm.common import read, remainder
 from tallyrank.llm.decontamination import find_items
+from tallyrank.llm.fingerprints import compare_versions
 from tallyrank.llm.langid import fit as fit_languages
 from tallyrank.llm.langid import identify
 from tallyrank.llm.line_dedup import dedup_lines
@@ -53,6 +54,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), limit=1024)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
