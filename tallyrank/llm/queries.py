@@ -79,7 +79,7 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    classifier = fit_toxicity(docs.join(toxic_labels(spark, sf_dir), "doc_id"))
+    classifier = fit_toxicity(docs, toxic_labels(spark, sf_dir))
     docs = docs.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
     return score_toxicity(docs, classifier).select("doc_id", "held_out", "score", "predicted")
 
