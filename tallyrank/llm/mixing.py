@@ -38,7 +38,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     """(source, source_size, target): sources by code point, null last, get the weights in turn.
 
     The targets are the level at which ``least(most * size, level * weight)`` sums to the whole, which is
-    where resharing by weight ends. ``sizes`` has one row for each source.
+    where resharing by weight ends: with the sources in the order in which they fill, the level that the rest
+    share rises until no more of them are full, and falls beyond. ``sizes`` has one row for each source.
     """
     order, n = W.orderBy(F.col("source").isNull(), "source"), len(weights)
     nth = ((F.row_number().over(order) - 1) % n + 1).cast("int")
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     before, rest, whole = full.rowsBetween(W.unboundedPreceding, -1), full.rowsBetween(0, W.unboundedFollowing), W.partitionBy()
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     sizes = sizes.withColumn("level", level).withColumn("open", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-    sizes = sizes.withColumn("level", F.coalesce(F.min("open").over(whole), F.lit(0.0)))
+    sizes = sizes.withColumn("level", F.coalesce(F.max("open").over(whole), F.lit(0.0)))
     return sizes.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 

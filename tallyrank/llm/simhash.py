@@ -30,9 +30,11 @@ BITS = 64
 STEP = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The fingerprint of a text; 0 for a text without words."""
+def fingerprint(text: bytes, shingle: int, once: bool = False) -> int:
+    """The fingerprint of a text; 0 for a text without words. With ``once`` a shingle counts once, and is a word."""
     words = text.lower().split()
+    if once:
+        words, shingle = sorted(set(words)), 1
     if not words:
         return 0
     joined = b" ".join(words)
@@ -48,13 +50,13 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fp") -> DataFrame:
+def with_fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fp", once: bool = False) -> DataFrame:
     """Replaces ``text`` by the fingerprint, as a signed long."""
     keep = [c for c in replacing(docs, name) if c.lower() != "text"]
 
     def run(batches):
         for batch in batches:
-            got = [fingerprint(x or b"", shingle) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            got = [fingerprint(x or b"", shingle, once) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(got, np.uint64).view(np.int64))], names=[*keep, name])
 
     docs = docs.select(*keep, "text")
@@ -163,3 +165,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket
     grouped = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     return docs.join(grouped.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def _similarity(a: bytes, b: bytes, shingle: int) -> float:
+    """Jaccard similarity of two texts' shingles; of texts without words, 1."""
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        sets.append({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, bucket: int = 64) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose word shingles are alike, by SimHash and exact check.
+
+    Fingerprints of the sets of words link as in ``near_duplicates``; each link between different texts is kept
+    where the Jaccard similarity of their shingles is ``similarity`` or more. Exact copies of a text are one
+    node, and of texts that share a fingerprint each is checked against the smallest. Pairs that SimHash does not
+    bring within ``distance`` are not found. Rows of one doc_id count as one document; rows with a null doc_id
+    are left out.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+    prints = with_fingerprints(docs.withColumn("copy", F.xxhash64("text")), once=True).select("doc_id", "copy", "fp")
+    prints = shared_table(spark, prints, "word-prints")
+    nodes = shared_table(spark, prints.groupBy("fp", "copy").agg(F.min("doc_id").alias("node")), "texts")
+    fps = shared_table(spark, nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-prints")
+    same = nodes.join(fps, "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = links(fps.select("fp"), distance, bucket)
+    for end in ("a", "b"):
+        near = near.join(fps.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_rep")), end).drop(end)
+    near = near.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).filter("a < b")
+    maybe = shared_table(spark, same.union(near).distinct(), "candidates")
+    # only the texts that some pair asks for are moved
+    asked = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = shared_table(spark, docs.join(asked, "doc_id").dropDuplicates(["doc_id"]), "asked")
+    pairs = maybe.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def check(batches):
+        for batch in batches:
+            texts = zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True)
+            ok = pa.array([_similarity(a, b, shingle) >= similarity for a, b in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    roots = components(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+    grouped = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("fp", "copy", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(grouped, ["fp", "copy"]).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of ``similar_groups``, the one of the smallest doc_id.
+
+    Of rows that share a doc_id one stays. Rows with a null doc_id all stay.
+    """
+    gone = similar_groups(docs.select("doc_id", "text"), **how).filter("doc_id > component_id").select("doc_id").distinct()
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))

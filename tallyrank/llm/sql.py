@@ -36,7 +36,7 @@ WITH sized AS (
   FROM sources
 ), goal AS (
   SELECT source, source_size,
-         least(cap, coalesce(min(level) FILTER (level * w <= cap) OVER (), 0) * w) AS target
+         least(cap, coalesce(max(level) FILTER (level * w <= cap) OVER (), 0) * w) AS target
   FROM levels
 ), missing AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM goal
