@@ -196,7 +196,7 @@ def _trees(window: int):
     return run
 
 
-def repeats(docs: DataFrame, window: int = 50, group: int = 2048, filter_bits: int = 1 << 27) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, group: int = 16384, filter_bits: int = 1 << 27) -> DataFrame:
     """(row, start, end): the stretches of words of each row that documents with smaller ids have too.
 
     ``docs`` has doc (a long), row (a key of the row) and text.
