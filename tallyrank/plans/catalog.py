@@ -1,4 +1,349 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries and their SQL twins. A key is an operator of the survey."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyrank.functions import columns as C
+from tallyrank.functions import constants as K
+from tallyrank.operators import chunking, copilot, expansion, ocr, order, pool, prefilter, score, stats, vectors
+from tallyrank.plans import sql as S
+from tallyrank.plans.view import AS_OF, candidates, read
+from tallyrank.sources.store import PoolStore, export_rows, shared_dir
+from tallyrank.streaming.ingest import ingest_batch
+
+REQUEST = score.Request(S.QUERY, S.KEYWORDS, AS_OF)
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"SELECT doc_id, len({S.tokens('text')}) AS n_tokens FROM documents")
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.size(C.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, {S.word_count('text')} AS n_words FROM documents")
+def word_count(spark, d):
+    return read(spark, d, "documents").select("doc_id", C.word_count(F.col("text")).alias("n_words"))
+
+
+@query(f"SELECT doc_id, round(r, 6) AS ratio, r > 0.4 AS is_dup FROM (SELECT doc_id, {S.duplicate_ratio('text')} AS r FROM documents)")
+def duplicate_content(spark, d):
+    r = C.duplicate_ratio(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.round(r, 6).alias("ratio"), (r > 0.4).alias("is_dup"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w = 'password')) > 0 AS has FROM documents")
+def keyword_presence(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.lower("text").rlike(r"(?<![\p{L}\p{N}_])password(?![\p{L}\p{N}_])").alias("has"))
+
+
+@query(S.over("top", "SELECT candidate_id, overlap, title_bonus, kw_bonus, kscore AS score FROM top WHERE raw > 0 OR kscore = 0 QUALIFY row_number() OVER (ORDER BY kscore DESC, candidate_id) <= (SELECT least(count(*), greatest(50, floor(0.2 * count(*)))) FROM top)"))
+def keyword_prefilter(spark, d):
+    best = prefilter.prefilter(candidates(spark, d), REQUEST.query, list(REQUEST.keywords))
+    return best.select("candidate_id", "overlap", "title_bonus", "kw_bonus", F.col("keyword_score").alias("score"))
+
+
+@query(S.over("cand", f"SELECT candidate_id, pos, title, {S.level('title')} AS level FROM (SELECT candidate_id, unnest(titles) AS title, unnest(range(len(titles))) AS pos FROM cand)"))
+def seniority_level(spark, d):
+    jobs = candidates(spark, d).select("candidate_id", F.posexplode("career_history").alias("pos", "j"))
+    return jobs.select("candidate_id", "pos", F.col("j.title").alias("title"), C.seniority_level(F.col("j.title")).alias("level"))
+
+
+@query(S.over("vel", "SELECT candidate_id, round(velocity_raw, 6) AS velocity_raw, round(velocity, 6) AS velocity FROM vel"))
+def career_velocity(spark, d):
+    return score.velocity(candidates(spark, d), AS_OF).select("candidate_id", F.round("velocity_raw", 6).alias("velocity_raw"), F.round("career_velocity_score", 6).alias("velocity"))
+
+
+@query(S.over("fresh", "SELECT candidate_id, days, round(freshness, 6) AS score, label, staleness FROM fresh"))
+def freshness(spark, d):
+    rows = score.freshness(candidates(spark, d), AS_OF)
+    return rows.select("candidate_id", F.col("inactive_days").alias("days"), F.round("freshness_score", 6).alias("score"), F.col("freshness_label").alias("label"), F.col("staleness_warning").alias("staleness"))
+
+
+@query(S.over("cand", f"SELECT candidate_id, len(skills) AS n_skills, {S.word_count('text')} AS n_words, len(skills) >= 20 AND {S.word_count('text')} < 200 AS penalised FROM cand"))
+def stuffer_guardrail(spark, d):
+    n, w = F.size("skills_listed"), C.word_count(F.col("resume_text"))
+    return candidates(spark, d).select("candidate_id", n.alias("n_skills"), w.alias("n_words"), ((n >= 20) & (w < 200)).alias("penalised"))
+
+
+@query(S.over("cand", "SELECT candidate_id, " + ", ".join(f"{S.bonus('education', s)} AS {s.lower()}" for s in K.DEGREES) + " FROM cand"))
+def education_bonus(spark, d):
+    return candidates(spark, d).select("candidate_id", *(C.education_bonus(F.col("education"), s).alias(s.lower()) for s in K.DEGREES))
+
+
+@query(S.over("depth", "SELECT candidate_id, round(sem0, 6) AS semantic FROM depth"))
+def semantic_normalised(spark, d):
+    rows = score._scaled(score.keyword_depth(candidates(spark, d), REQUEST), "raw_semantic_score", "semantic")
+    return rows.select("candidate_id", F.round("semantic", 6).alias("semantic"))
+
+
+def scored(spark, d):
+    return score.scored_pool(candidates(spark, d), REQUEST)
+
+
+@query(S.over("labelled", "SELECT candidate_id, final_score, semantic_score, velocity_score, status_label, capped FROM labelled"))
+def composite_score(spark, d):
+    return scored(spark, d).select("candidate_id", "final_score", "semantic_score", "velocity_score", "status_label", F.col("guardrail_seniority_cap_applied").alias("capped"))
+
+
+@query(S.over("ranked", "SELECT rank, candidate_id, final_score, round(freshness, 6) AS freshness FROM ranked"))
+def rank_total(spark, d):
+    return order.rank_total(scored(spark, d).select("candidate_id", "final_score", "freshness_score")).select("rank", "candidate_id", "final_score", F.round("freshness_score", 6).alias("freshness"))
+
+
+@query(S.over("ranked", "SELECT rank, candidate_id, final_score FROM ranked WHERE rank <= 50"))
+def rank_top(spark, d):
+    return order.rank_total(scored(spark, d).select("candidate_id", "final_score", "freshness_score"), 50).select(F.col("rank").cast("long"), "candidate_id", "final_score")
+
+
+@query()
+def rank_exact(spark, d):
+    return order.rank_exact(scored(spark, d))
+
+
+@query(S.over("gap", "SELECT candidate_id, len(matched) AS n_matched, len(missing) AS n_missing, array_to_string(matched, ';') AS matched FROM gap"))
+def skills_gap(spark, d):
+    rows = score.skills_gap(candidates(spark, d), REQUEST.keywords)
+    return rows.select("candidate_id", F.size("matched_skills").alias("n_matched"), F.size("missing_skills").alias("n_missing"), F.array_join("matched_skills", ";").alias("matched"))
+
+
+@query(S.over("ranked", "SELECT candidate_id, reasoning FROM ranked"))
+def reasoning(spark, d):
+    return scored(spark, d).select("candidate_id", "reasoning")
+
+
+NAMES = ("Victor Smith", "Priya Sharma", "A/B", "Engineer", "unknown", " N/A ", "Jo Lead Manager", "Maria de la Cruz")
+
+
+@query(f"""SELECT c_custkey AS id, name, NOT (low IN ({S.listed(K.GENERIC_NAMES)[1:-1]}) OR len(ws) = 0 OR regexp_matches(name, '[/|]'))
+  AND len(list_filter(ws, lambda w: len(list_filter({S.listed(K.TITLE_WORDS)}, lambda t: contains(w, t))) > 0)) / greatest(len(ws), 1) < 0.5 AS valid
+  FROM (SELECT c_custkey, name, trim(lower(name)) AS low, list_filter(string_split_regex(regexp_replace(trim(lower(name)), '[/|\\-]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS ws
+  FROM (SELECT c_custkey, {S.listed(NAMES)}[(c_custkey % 8 + 1)::INT] AS name FROM customer))""")
+def name_validity(spark, d):
+    name = F.element_at(C.lit_array(NAMES), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), name.alias("name"), C.valid_name(name, F.lit("")).alias("valid"))
+
+
+LAYOUTS = ("yyyy-MM-dd", "yyyy-MM", "yyyy", "M/d/yyyy", "yyyy/M/d", "M/yyyy", "MMM, yyyy", "d MMMM yyyy")
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 8 AS layout, CASE WHEN o_orderkey % 8 IN (0, 3, 4, 7) THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 8 = 2 THEN date_trunc('year', o_orderdate)::DATE ELSE date_trunc('month', o_orderdate)::DATE END AS parsed FROM orders""")
+def parse_dates(spark, d):
+    rows = read(spark, d, "orders").withColumn("layout", F.col("o_orderkey") % 8)
+    text = None
+    for i, p in enumerate(LAYOUTS):
+        shown = F.date_format("o_orderdate", p)
+        text = F.when(F.col("layout") == i, shown) if text is None else text.when(F.col("layout") == i, shown)
+    return rows.select(F.col("o_orderkey").alias("id"), "layout", C.parse_date(text, AS_OF).alias("parsed"))
+
+
+def cosines(spark, d):
+    rows = read(spark, d, "embeddings")
+    asked = rows.orderBy("vec_id").select("embedding").first()["embedding"]
+    return vectors.centred_cosine(rows, asked)
+
+
+@query(S.over("cosine", "SELECT vec_id, round(score, 6) AS score FROM cosine"))
+def centered_cosine(spark, d):
+    return cosines(spark, d).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(S.over("cosine", "SELECT label, round(max(score), 6) AS best FROM cosine GROUP BY label"))
+def best_chunk(spark, d):
+    return vectors.best_fragment(cosines(spark, d), "label").select("label", F.round("best", 6).alias("best"))
+
+
+@query(S.over("cand", "SELECT candidate_id, round(100 * (0.75 * best + 0.25 * least(1.0, n_jobs / (years_experience + 1))), 6) AS unified FROM cand JOIN (" + S.over("cosine", "SELECT label, round(max(score), 6) AS best FROM cosine GROUP BY label") + ") b ON k % 10 = b.label"))
+def unified_score(spark, d):
+    best = vectors.best_fragment(cosines(spark, d), "label").select("label", F.round("best", 6).alias("best"))
+    rows = candidates(spark, d).withColumn("label", (F.substring_index("candidate_id", "_", -1).cast("long") % 10).cast("int"))
+    return vectors.unified_score(rows.join(best, "label")).select("candidate_id", F.round("unified", 6).alias("unified"))
+
+
+@query()
+def chunk_resume(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", chunking.chunks(F.col("text")).alias("c"))
+    return rows.select("doc_id", F.size("c").alias("n_chunks"), F.coalesce(F.array_max(F.transform("c", C.word_count)), F.lit(0)).alias("max_words"))
+
+
+@query()
+def semantic_rank(spark, d):
+    """Fragments, the default embedder, centring, the best fragment: the evaluated candidates' raw scores."""
+    chosen = prefilter.prefilter(candidates(spark, d), REQUEST.query, list(REQUEST.keywords))
+    parts = chunking.fragments(chosen).withColumn("embedding", vectors.embed("fragment"))
+    best = vectors.best_fragment(vectors.centred_cosine(parts, vectors.hashed_vectors([REQUEST.query])[0].tolist()), "candidate_id")
+    return score.attach_scores(candidates(spark, d), best.withColumn("unified", F.col("best"))).select("candidate_id", F.round("raw_semantic_score", 6).alias("raw_semantic_score"))
+
+
+def _buckets(part: str, case: str, names=()) -> str:
+    counted = f"SELECT {case} AS bucket, count(*) AS n FROM cand GROUP BY 1"
+    if names:
+        counted = f"SELECT b.bucket, coalesce(x.n, 0) AS n FROM (SELECT unnest({S.listed(names)}) AS bucket) b LEFT JOIN ({counted}) x ON x.bucket = b.bucket"
+    return S.over(part, counted)
+
+
+ROLE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(current_title), '{w}')" for w in ws)} THEN '{r}'" for r, ws in K.ROLES) + " ELSE 'Other' END"
+
+
+@query(_buckets("cand", ROLE_SQL))
+def statistics_roles(spark, d):
+    return stats.role_counts(candidates(spark, d))
+
+
+@query(_buckets("cand", f"CASE WHEN years_experience < 2 THEN '{K.BANDS[0]}' WHEN years_experience < 5 THEN '{K.BANDS[1]}' WHEN years_experience < 8 THEN '{K.BANDS[2]}' ELSE '{K.BANDS[3]}' END", K.BANDS))
+def statistics_bands(spark, d):
+    return stats.band_counts(candidates(spark, d))
+
+
+@query(_buckets("cand", f"CASE WHEN date_diff('day', last_active, {S.AS_OF}) <= 7 THEN 'Active Now' WHEN date_diff('day', last_active, {S.AS_OF}) <= 60 THEN 'Recent' ELSE 'Dormant' END", K.STATES))
+def statistics_activity(spark, d):
+    return stats.activity_counts(candidates(spark, d), AS_OF)
+
+
+@query(S.over("labelled", "SELECT status_label, count(*) AS n FROM labelled GROUP BY status_label"))
+def label_counts(spark, d):
+    return stats.label_counts(scored(spark, d))
+
+
+FREQUENT = ["the", "tion", "license", "password", "nowhere to be found"]
+
+
+@query(f"SELECT keyword, (SELECT count(*) FROM documents WHERE contains(lower(text), keyword)) AS n_docs FROM (SELECT unnest({S.listed(FREQUENT)}) AS keyword)")
+def keyword_df(spark, d):
+    return stats.keyword_frequency(read(spark, d, "documents"), FREQUENT)
+
+
+@query("SELECT category, count(*) AS n FROM (SELECT CASE WHEN source IN ('src0', 'src1') THEN 'first' WHEN source IN ('src2') THEN 'second' ELSE 'Unknown' END AS category FROM documents WHERE source IS NOT NULL) GROUP BY category")
+def source_categories(spark, d):
+    rows = read(spark, d, "documents").withColumn("file", F.concat(F.lit("/in/"), F.col("source")))
+    return stats.source_counts(rows, {"first": ("src0", "src1"), "second": ("src2",)}, "file")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1")
+def skip_ingested(spark, d):
+    docs = read(spark, d, "documents").withColumn("source_file", F.concat(F.lit("f"), F.col("doc_id")))
+    return pool.skip_ingested(docs, docs.filter("doc_id % 2 = 0")).select("doc_id")
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("k", F.substring_index("candidate_id", "_", -1).cast("long")).withColumn("name_not_extracted", F.lit(False)).withColumn("source_file", F.concat(F.lit("f"), F.col("k")))
+
+
+@query(S.over("cand", """, a AS (SELECT * FROM cand WHERE k % 3 <> 0), b AS (SELECT * FROM cand WHERE k % 3 <> 1),
+  m AS (SELECT coalesce(a.name, b.name) AS name, a.candidate_id AS id, coalesce(a.text, b.text) AS text, coalesce(b.k, a.k) AS f,
+    len(list_distinct(coalesce(a.skills, []) || CASE WHEN b.k IS NULL THEN [] ELSE b.skills || ['Extra'] END)) AS n_skills,
+    len(list_distinct(CASE WHEN a.k IS NULL THEN b.hk ELSE a.hk END)) AS n_jobs, greatest(coalesce(a.years_experience, b.years_experience + 1), coalesce(b.years_experience + 1, a.years_experience)) AS years
+    FROM (SELECT a.*, coalesce(hk, []) AS hk FROM a LEFT JOIN (SELECT k, list(title || company || start_date) AS hk FROM jobs GROUP BY k) h USING (k)) a
+    FULL JOIN (SELECT b.*, coalesce(hk, []) AS hk FROM b LEFT JOIN (SELECT k, list(title || company || start_date) AS hk FROM jobs GROUP BY k) h USING (k)) b ON a.name = b.name)
+  SELECT name, coalesce(id, 'cand_' || CASE WHEN nid < 10000 THEN lpad(CAST(nid AS VARCHAR), 4, '0') ELSE CAST(nid AS VARCHAR) END) AS candidate_id, n_skills, n_jobs, years FROM (
+    SELECT *, (SELECT max(CAST(substr(id, 6) AS BIGINT)) FROM m) + CASE WHEN id IS NULL THEN row_number() OVER (PARTITION BY id IS NULL ORDER BY name) END AS nid FROM m)"""))
+def upsert_merge(spark, d):
+    rows = _files(candidates(spark, d))
+    new = rows.filter("k % 3 <> 1").withColumn("skills_listed", F.concat("skills_listed", F.array(F.lit("Extra")))).withColumn("years_experience", F.col("years_experience") + 1)
+    merged = pool.upsert(rows.filter("k % 3 <> 0"), new)
+    return merged.select("name", "candidate_id", F.size("skills_listed").alias("n_skills"), F.size("career_history").alias("n_jobs"), F.col("years_experience").alias("years"))
+
+
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN 'cand_' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE 'cand_' || (SELECT CASE WHEN max(c_custkey) + n < 10000 THEN lpad(CAST(max(c_custkey) + n AS VARCHAR), 4, '0') ELSE CAST(max(c_custkey) + n AS VARCHAR) END FROM customer c2 WHERE c2.c_custkey % 4 > 0) END AS candidate_id FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END AS n FROM customer)")
+def id_allocation(spark, d):
+    rows = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 > 0, F.format_string("cand_%04d", "c_custkey")).alias("candidate_id"), F.lit("").alias("source_file"), F.lit("").alias("resume_text"))
+    return pool.allocate_ids(rows).select("name", "candidate_id")
+
+
+@query(S.over("ranked", "SELECT row_number() OVER (ORDER BY final_score DESC, freshness DESC, candidate_id) AS rank, candidate_id, final_score AS score FROM ranked WHERE candidate_id <> 'cand_0007' QUALIFY rank <= 10"))
+def similar_candidates(spark, d):
+    """Look-alikes of one candidate. The description made from it would ask for its own words; the request is fixed here so that SQL can follow."""
+    rows = scored(spark, d).filter(F.col("candidate_id") != "cand_0007").select("candidate_id", "final_score", "freshness_score")
+    return order.rank_total(rows, 10).select(F.col("rank").cast("long"), "candidate_id", F.col("final_score").alias("score"))
+
+
+IDS = ["cand_0012", "cand_0005", "cand_0031", "cand_9999999"]
+COMPARE_SQL = S.over("ranked", "SELECT * FROM ranked")
+for _a, _b in ((S.PARTS["cand"], S.PARTS["cand"] + f" WHERE 'cand_' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') IN ({S.listed(IDS)[1:-1]})"), (S.PARTS["top"], "SELECT *, 0.5 AS raw FROM kw")):
+    COMPARE_SQL = COMPARE_SQL.replace(_a, _b)
+
+
+@query(f"SELECT list_position({S.listed(IDS)}, candidate_id) - 1 AS pos, candidate_id, final_score, row_number() OVER (ORDER BY final_score DESC, list_position({S.listed(IDS)}, candidate_id)) AS place FROM ({COMPARE_SQL})")
+def compare_top2(spark, d):
+    """A comparison scores the chosen rows among themselves, with equal depth."""
+    chosen = copilot.select_ids(candidates(spark, d), IDS).withColumn("raw_semantic_score", F.lit(0.5))
+    return copilot.compare(score.score(chosen, REQUEST)).select("pos", "candidate_id", "final_score", F.col("place").cast("long"))
+
+
+@query(S.over("ranked", "SELECT " + ", ".join(f'{c} AS "{h}"' for c, h in zip(("rank", "candidate_id", "name", "current_title", "years_experience", "velocity_score", "label", "status_label", "semantic_score", "bonus", "final_score", "reasoning"), K.EXPORT_HEADERS, strict=True)) + " FROM ranked"))
+def csv_brief(spark, d):
+    return export_rows(order.rank_total(scored(spark, d)))
+
+
+@query(S.over("gap", "SELECT candidate_id, 'The job needs hands-on experience with ' || coalesce(missing[1], 'System Optimization') || '. How would you approach adopting it?' AS question2, 'You listed ' || coalesce(matched[1], 'Python') || ' as a strength. Which non-obvious failure mode did you meet in production?' AS question5 FROM gap"))
+def question_guide(spark, d):
+    rows = score.skills_gap(candidates(spark, d), REQUEST.keywords).withColumn("g", copilot.question_guide())
+    return rows.select("candidate_id", F.element_at("g", 2)["question"].alias("question2"), F.element_at("g", 5)["question"].alias("question5"))
+
+
+@query(S.over("cand", "SELECT candidate_id, 'Subject: Career opportunity: ' || current_title || chr(10) || chr(10) || 'Hi ' || name || ',' || chr(10) || chr(10) || 'I came across your profile while sourcing for a ' || current_title || ' position. Your background as a ' || current_title || ' with ' || printf('%.1f', years_experience) || ' years of experience and your expertise in ' || CASE WHEN len(skills) > 0 THEN array_to_string(skills, ', ') ELSE 'cutting-edge engineering stacks' END || ' stood out.' || chr(10) || chr(10) || 'Would you be open to a short call this week?' || chr(10) || chr(10) || 'Best regards' AS text FROM cand"))
+def outreach(spark, d):
+    return candidates(spark, d).select("candidate_id", copilot.outreach("casual").alias("text"))
+
+
+@query("SELECT event_id % 20 AS batch_id, CASE WHEN count(*) = count(*) FILTER (event_type = 'view') THEN 100 ELSE least(100, floor((count(*) FILTER (event_type IN ('click', 'purchase', 'error')))::DOUBLE / (count(*) - count(*) FILTER (event_type = 'view')) * 100))::INT END AS percent FROM events GROUP BY 1")
+def batch_progress(spark, d):
+    rows = read(spark, d, "events").groupBy((F.col("event_id") % 20).alias("batch_id")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "view").alias("skipped"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type").isin("click", "purchase")).alias("parsed"))
+    return rows.select("batch_id", C.progress(F.col("parsed"), F.col("failed"), F.col("n"), F.col("skipped")).alias("percent"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN length(c_name) <= 8 THEN repeat('*', length(c_name)) ELSE left(c_name, 4) || repeat('*', length(c_name) - 8) || right(c_name, 4) END AS masked FROM customer")
+def masked_settings(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), C.mask_key(F.col("c_name")).alias("masked"))
+
+
+@query("SELECT unnest(" + S.listed(K.SECTORS) + ") AS sector, unnest(" + S.listed(K.SECTORS.values()) + ") AS label")
+def sectors(spark, d):
+    return spark.createDataFrame(list(K.SECTORS.items()), "sector string, label string")
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:30], ' ') AS words FROM (SELECT doc_id, {S.all_tokens('text')} AS l FROM documents)")
+def jd_keywords(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(expansion.first_words(F.col("text")), " ").alias("words"))
+
+
+@query()
+def query_domains(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(expansion.domain_flags(F.col("text")), ",").alias("domains"))
+
+
+@query()
+def ocr_pages(spark, d):
+    """Boxes made from order lines: the order is the document, suppliers give the place."""
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(0).alias("page"), F.lit(100.0).alias("width"), (F.col("l_suppkey") % 90).cast("double").alias("x_min"), (F.col("l_suppkey") % 90 + 10).cast("double").alias("x_max"), (F.col("l_linenumber") * 7).cast("double").alias("y_min"), F.col("l_partkey").cast("string").alias("text"))
+    return ocr.document_text(ocr.page_text(rows))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT c_name) AS names, count(DISTINCT c_custkey) AS files FROM customer")
+def ingest_stream(spark, d):
+    """The customers as a stream of files into a pool; a second run from the same checkpoint finds nothing new."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/tallyrank/ingest-{uuid.uuid4().hex}"
+    store = PoolStore(spark, f"{base}/pool")
+    schema = read(spark, d, "customer").schema
+
+    def merge(batch: DataFrame, _: int) -> None:
+        ingest_batch(store, batch.select(F.col("c_name").alias("name"), F.concat(F.lit("f"), F.col("c_custkey")).alias("source_file"), F.lit(None).cast("string").alias("error")))
+
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(d)
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read().agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.countDistinct("source_file").alias("files"))
