@@ -3,6 +3,7 @@ which depends on the order of its input and so must see the whole list: use it f
 
 from __future__ import annotations
 
+import uuid
 from functools import cmp_to_key
 
 import pandas as pd
@@ -10,12 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyrank.sources.store import shared_dir
+
 BAND = 0.5
 
 
 def numbered(df: DataFrame, *order) -> DataFrame:
     """Adds rank from 1 along an order. Ranges are sorted apart; each adds the number of rows before it."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    # written once: both uses below must see the same ranges
+    path = f"{shared_dir(df.sparkSession)}/tallyrank/ranges-{uuid.uuid4().hex}"
+    parts.write.parquet(path)
+    parts = df.sparkSession.read.schema(parts.schema).parquet(path)
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
     before = sizes.select("__part", "__first", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
     ranked = parts.join(F.broadcast(before), "__part")  # a row for each partition

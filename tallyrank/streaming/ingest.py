@@ -39,7 +39,7 @@ def ingest_batch(store: PoolStore, rows: DataFrame, metrics: PoolStore | None =
 def start_ingest(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], store: PoolStore, checkpoint: str, metrics: PoolStore | None = None):
     """A query that takes the files of a folder, ``FILES_PER_BATCH`` at a time, until none is left. It resumes from
     ``checkpoint``. ``parse`` turns file rows (path, content) into parsed rows."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", FILES_PER_BATCH).load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", FILES_PER_BATCH).load(path)
 
     def merge(batch: DataFrame, _: int) -> None:
         ingest_batch(store, parse(batch), metrics)
