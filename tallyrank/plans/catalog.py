@@ -85,7 +85,7 @@ def education_bonus(spark, d):
 
 @query(S.over("depth", "SELECT candidate_id, round(sem0, 6) AS semantic FROM depth"))
 def semantic_normalised(spark, d):
-    rows = score._scaled(score.keyword_depth(candidates(spark, d), REQUEST), "raw_semantic_score", "semantic")
+    rows = score._scaled(score.keyword_depth(candidates(spark, d), REQUEST), ("raw_semantic_score", "semantic", None))
     return rows.select("candidate_id", F.round("semantic", 6).alias("semantic"))
 
 

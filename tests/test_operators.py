@@ -67,7 +67,7 @@ def test_score_edges(spark):
 
 def test_constant_pool_is_one(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, 5.0)], "i int, raw double")
-    assert {r["out"] for r in score._scaled(rows, "raw", "out").collect()} == {1.0}
+    assert {r["out"] for r in score._scaled(rows, ("raw", "out", None)).collect()} == {1.0}
 
 
 def test_pool_limit():
