@@ -20,21 +20,22 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import replacing, shared_table
+from tallyrank.llm.common import chunks, mix, replacing, shared_table, tokenise
 
 BITS = 64
 #: Shingles whose bits are summed at once.
 STEP = 1 << 14
+#: Independent word-set fingerprints of a text where an exact check follows, and the bits that two of one seed
+#: may differ in to be checked (chance meetings in a bucket differ in over 16 as a rule).
+SEEDS, FAR = 4, 12
 
 
-def fingerprint(text: bytes, shingle: int, once: bool = False) -> int:
-    """The fingerprint of a text; 0 for a text without words. With ``once`` a shingle counts once, and is a word."""
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint of a text; 0 for a text without words."""
     words = text.lower().split()
-    if once:
-        words, shingle = sorted(set(words)), 1
     if not words:
         return 0
     joined = b" ".join(words)
@@ -50,13 +51,13 @@ def fingerprint(text: bytes, shingle: int, once: bool = False) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fp", once: bool = False) -> DataFrame:
+def with_fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fp") -> DataFrame:
     """Replaces ``text`` by the fingerprint, as a signed long."""
     keep = [c for c in replacing(docs, name) if c.lower() != "text"]
 
     def run(batches):
         for batch in batches:
-            got = [fingerprint(x or b"", shingle, once) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            got = [fingerprint(x or b"", shingle) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(got, np.uint64).view(np.int64))], names=[*keep, name])
 
     docs = docs.select(*keep, "text")
@@ -176,31 +177,37 @@ def _similarity(a: bytes, b: bytes, shingle: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, bucket: int = 64) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose word shingles are alike, by SimHash and exact check.
-
-    Fingerprints of the sets of words link as in ``near_duplicates``; each link between different texts is kept
-    where the Jaccard similarity of their shingles is ``similarity`` or more. Exact copies of a text are one
-    node, and of texts that share a fingerprint each is checked against the smallest. Pairs that SimHash does not
-    bring within ``distance`` are not found. Rows of one doc_id count as one document; rows with a null doc_id
-    are left out.
-    """
+def word_prints(column: pa.Array, seeds: int = SEEDS) -> np.ndarray:
+    """Fingerprints of the sets of words of texts, one for each seed, as signed longs; 0 for texts without words."""
+    out = np.zeros((len(column), seeds), np.uint64)
+    for first, data, off in chunks(column):
+        _, _, h, rows = tokenise(data, off, True)
+        order = np.lexsort((h, rows))
+        h, rows = h[order], rows[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+        h, rows = h[new], rows[new]
+        if not len(h):
+            continue
+        has, at, n = np.unique(rows, return_index=True, return_counts=True)
+        for seed in range(seeds):
+            bits = np.unpackbits(mix(h, 100 + seed).view(np.uint8)).reshape(-1, BITS)
+            total = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+            out[first + has, seed] = np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).ravel()
+    return out.view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts' shingles are alike; only the texts that some pair asks for are moved."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
-    prints = with_fingerprints(docs.withColumn("copy", F.xxhash64("text")), once=True).select("doc_id", "copy", "fp")
-    prints = shared_table(spark, prints, "word-prints")
-    nodes = shared_table(spark, prints.groupBy("fp", "copy").agg(F.min("doc_id").alias("node")), "texts")
-    fps = shared_table(spark, nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-prints")
-    same = nodes.join(fps, "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    near = links(fps.select("fp"), distance, bucket)
-    for end in ("a", "b"):
-        near = near.join(fps.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_rep")), end).drop(end)
-    near = near.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).filter("a < b")
-    maybe = shared_table(spark, same.union(near).distinct(), "candidates")
-    # only the texts that some pair asks for are moved
-    asked = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = shared_table(spark, pairs.select("a", "b").distinct(), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = shared_table(spark, docs.join(asked, "doc_id").dropDuplicates(["doc_id"]), "asked")
-    pairs = maybe.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    pairs = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches):
         for batch in batches:
@@ -208,9 +215,48 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, d
             ok = pa.array([_similarity(a, b, shingle) >= similarity for a, b in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
-    roots = components(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
-    grouped = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("fp", "copy", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(grouped, ["fp", "copy"]).select("doc_id", "component_id")
+    return shared_table(spark, pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "alike")
+
+
+def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
+    """(key, node, fp, first): the buckets of two texts or more; ``first`` has the smallest node and its fingerprint.
+
+    Each of a text's fingerprints ``fps`` goes to buckets of its own seed, so that two texts within ``distance``
+    bits by any seed meet.
+    """
+    masks = block_masks(blocks_for(nodes.count(), distance), distance)
+    rows = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    keyed = F.explode(F.array(*(F.xxhash64(F.lit(i), "seed", F.col("fp").bitwiseAND(F.lit(_long(m)))) for i, m in enumerate(masks))))
+    bucket = Window.partitionBy("key")
+    rows = rows.select(keyed.alias("key"), "node", "fp").withColumn("n", F.count("*").over(bucket)).withColumn("first", F.min(F.struct("node", "fp")).over(bucket))
+    return shared_table(nodes.sparkSession, rows.filter("n > 1"), "buckets")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose word shingles are alike, by SimHash and exact check.
+
+    ``SEEDS`` independent fingerprints of the set of words propose pairs: those that meet in a bucket of any seed
+    (within ``distance`` bits they always do) and differ there in ``FAR`` bits at most. A pair is kept where the
+    Jaccard similarity of its shingles is ``similarity`` or more. Exact copies of a text are one node. Pairs that
+    meet by no seed are not found. Rows of one doc_id count as one document; rows with a null doc_id are left out.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+
+    def run(batches):
+        for batch in batches:
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * SEEDS, pa.int32()), pa.array(word_prints(batch.column("text")).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), fps], names=["doc_id", "copy", "fps"])
+
+    prints = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, fps array<long>")
+    prints = shared_table(spark, prints, "word-prints")
+    nodes = shared_table(spark, prints.groupBy("copy", "fps").agg(F.min("doc_id").alias("node")), "texts")
+    met = _meetings(nodes, distance).select("key", "node", "fp", F.col("first.node").alias("a"), F.col("first.fp").alias("a_fp"))
+    near = met.filter((F.col("a") < F.col("node")) & (_differing("fp", "a_fp") <= FAR))
+    alike = _alike(near.select("a", F.col("node").alias("b")), docs, similarity, shingle)
+    roots = components(alike)
+    grouped = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("copy", "fps", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(grouped, ["copy", "fps"]).select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, **how) -> DataFrame:

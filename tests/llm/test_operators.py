@@ -164,6 +164,28 @@ def test_similar_groups(spark, docs, nothing):
     assert simhash.drop_similar(nothing).count() == 0
 
 
+def test_similar_groups_recall(spark):
+    """Texts with edits in scattered places, in one stretch and at the end, down to a similarity of 0.8."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(600):
+        base = prose(rng, rng.randrange(40, 300)).split()
+        words, n = list(base), len(base)
+        if i % 3 == 0:
+            for p in rng.sample(range(n), max(1, n // 48)):
+                words[p] = f"edit{i}"
+        elif i % 3 == 1:
+            p, k = rng.randrange(n // 2), max(1, n // 12 - 4)
+            words[p : p + k] = prose(rng, k).split()
+        else:
+            words += prose(rng, n // 6).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(words))]
+    alike = [i for i in range(600) if simhash._similarity(rows[2 * i][1].encode(), rows[2 * i + 1][1].encode(), 5) >= 0.8]
+    kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i in range(600) if 2 * i + 1 not in kept}
+    assert len(alike) > 300 and gone <= set(alike) and len(gone) >= 0.9 * len(alike)
+
+
 def brute_removed(rows, window=50):
     first, out = {}, []
     for r in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
