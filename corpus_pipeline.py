@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: SimHash links, five-word shingles at 0.8 or more."""
+    """Near copies of documents of smaller doc_id go: SimHash proposes, five-word shingles at 0.8 or more decide."""
     return drop_similar(docs, similarity=0.8, shingle=5)
 
 

@@ -232,13 +232,15 @@ def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
     return shared_table(nodes.sparkSession, rows.filter("n > 1"), "buckets")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose word shingles are alike, by SimHash and exact check.
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, block: int = 1024) -> DataFrame:
+    """The doc_ids whose text has a near copy, or an exact one, of a smaller doc_id: by SimHash and exact check.
 
     ``SEEDS`` independent fingerprints of the set of words propose pairs: those that meet in a bucket of any seed
-    (within ``distance`` bits they always do) and differ there in ``FAR`` bits at most. A pair is kept where the
-    Jaccard similarity of its shingles is ``similarity`` or more. Exact copies of a text are one node. Pairs that
-    meet by no seed are not found. Rows of one doc_id count as one document; rows with a null doc_id are left out.
+    (within ``distance`` bits they always do) and differ there in ``FAR`` bits at most. A near copy is a pair whose
+    shingles have a Jaccard similarity of ``similarity`` or more. Each text is checked against the smallest of its
+    buckets first, and where that is no near copy, against all smaller ones: in a bucket of n texts of which r are
+    left that makes r * n pairs at most, met in parts of ``block`` texts. Pairs that meet by no seed are not found.
+    Rows of one doc_id count as one document; rows with a null doc_id are left out.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
@@ -251,19 +253,25 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, d
     prints = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, fps array<long>")
     prints = shared_table(spark, prints, "word-prints")
     nodes = shared_table(spark, prints.groupBy("copy", "fps").agg(F.min("doc_id").alias("node")), "texts")
-    met = _meetings(nodes, distance).select("key", "node", "fp", F.col("first.node").alias("a"), F.col("first.fp").alias("a_fp"))
-    near = met.filter((F.col("a") < F.col("node")) & (_differing("fp", "a_fp") <= FAR))
-    alike = _alike(near.select("a", F.col("node").alias("b")), docs, similarity, shingle)
-    roots = components(alike)
-    grouped = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("copy", "fps", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(grouped, ["copy", "fps"]).select("doc_id", "component_id")
+    met = _meetings(nodes, distance)
+    near = met.filter((F.col("first.node") < F.col("node")) & (_differing("fp", "first.fp") <= FAR))
+    found = _alike(near.select(F.col("first.node").alias("a"), F.col("node").alias("b")), docs, similarity, shingle).select("b").distinct()
+    met = met.filter("n > 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).filter(F.col("node") != F.col("first.node"))
+    left = met.join(found, F.col("node") == F.col("b"), "left_anti")
+    left = left.select("key", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    smaller = met.select("key", F.col("node").alias("a"), "fp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
+    pairs = left.join(smaller, ["key", "part"]).filter((F.col("a") < F.col("b")) & (_differing("fp", "b_fp") <= FAR))
+    found = found.union(_alike(pairs, docs, similarity, shingle).select("b")).distinct()
+    copies = prints.join(nodes, ["copy", "fps"])
+    return copies.join(found, F.col("node") == F.col("b"), "left").filter("doc_id > node OR b IS NOT NULL").select("doc_id")
 
 
 def drop_similar(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of ``similar_groups``, the one of the smallest doc_id.
+    """The rows of ``docs`` without those of ``near_copies``: of two near copies that are found the smaller doc_id stays,
+    unless it is itself a near copy of a smaller one.
 
     Of rows that share a doc_id one stays. Rows with a null doc_id all stay.
     """
-    gone = similar_groups(docs.select("doc_id", "text"), **how).filter("doc_id > component_id").select("doc_id").distinct()
+    gone = near_copies(docs.select("doc_id", "text"), **how).distinct()
     kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
     return kept.dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))

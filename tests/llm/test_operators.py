@@ -186,6 +186,24 @@ def test_similar_groups_recall(spark):
     assert len(alike) > 300 and gone <= set(alike) and len(gone) >= 0.9 * len(alike)
 
 
+def test_similar_groups_checks_every_pair_of_a_bucket(spark):
+    """Groups of near copies that share their words, but not their order, with a smaller text."""
+    rng = random.Random(22)
+    base = sorted(set(prose(rng, 150).split()))
+    rows = [(0, " ".join(base))]
+    for g in range(40):
+        order = rng.sample(base, len(base))
+        for i in range(4):
+            # two of the same words with the last four moved, and two with another first word
+            words = order[:-4] + rng.sample(order[-4:], 4) if i < 2 else [f"edit{g}{i}", *order[1:]]
+            rows.append((1 + 4 * g + i, " ".join(words)))
+    rng.shuffle(rows)
+    texts = {i: t.encode() for i, t in rows}
+    want = {b for a in texts for b in texts if a < b and simhash._similarity(texts[a], texts[b], 5) >= 0.8}
+    kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 120 and set(texts) - kept == want
+
+
 def brute_removed(rows, window=50):
     first, out = {}, []
     for r in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
