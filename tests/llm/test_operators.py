@@ -329,6 +329,20 @@ def test_toxicity(spark, nothing):
     assert toxicity.drop_toxic(table, None).count() == 600
 
 
+@pytest.fixture(scope="module")
+def plain_reader():
+    words = {w: 5 for w in "you are stupid idiot loser the rose and lily coffee street".split()}
+    chars = toxicity.CharModel(words)
+    return toxicity.Restorer(chars), toxicity.Classifier(chars, ["stupid", "idiot", "loser"], np.ones(3), 0.0)
+
+
+@pytest.mark.parametrize("text", [" ".join("youare" * 20 + "stupid" + "theroseandthelily" * 10), "a " * 400 + "s t u p i d", "st" + "u" * 90 + "pid", "the.rose." * 20 + "s.t.u.p.1.d", " ".join("xq" * 20000 + "stupid")])
+def test_toxicity_of_long_runs(plain_reader, text):
+    restorer, classifier = plain_reader
+    assert classifier.found(restorer, text) == ["stupid"]
+    assert "stupid" in restorer.text(text)
+
+
 def test_language(spark, nothing):
     sample = {"aa": "kala mata sata pana rasa", "bb": "brnk strk vlkt drst prst"}
     rng = random.Random(8)
