@@ -343,6 +343,12 @@ def test_toxicity_of_long_runs(plain_reader, text):
     assert "stupid" in restorer.text(text)
 
 
+def test_doubled_letters_and_signs_alone(plain_reader):
+    restorer, classifier = plain_reader
+    assert [restorer.word(w) for w in ("stuupiid", "iddiott", "looserr", "coffee", "cofffee", "street", "1!1y", "!d!0+", "1|1y", "2024", "|", "--")] == ["stupid", "idiot", "loser", "coffee", "coffee", "street", "lily", "idiot", "lily", "2024", "", ""]
+    assert restorer.word("105€") == "lose" and classifier.found(restorer, "you stuupiid iddiott") == ["idiot", "stupid"]
+
+
 def test_language(spark, nothing):
     sample = {"aa": "kala mata sata pana rasa", "bb": "brnk strk vlkt drst prst"}
     rng = random.Random(8)
