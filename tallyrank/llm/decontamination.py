@@ -1,14 +1,14 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Texts are lower-cased (A-Z) and their white space is one space. A window of an item's length opens where a
-document shares runs of ``SEED`` words with the item, of enough weight and at nearly the same distance in both
-(three words in a row are two such runs; runs that several items have weigh less), so that the shared words stand at the same place in both. Window and item are walked over by the CGK random walk, which copies the character it stands on and moves
+document shares ``SUPPORT`` runs of ``SEED`` words with the item at nearly the same distance in both
+(three words in a row are two such runs), whatever other items have them too, so that the shared words stand at the same place in both. Window and item are walked over by the CGK random walk, which copies the character it stands on and moves
 on or stays by a random bit of step and character; that turns few edits into few differing places. The walk is
 repeated ``WALKS`` times; each time ``TABLES`` samples of ``PLACES`` places are compared, and a window passes
 where one sample agrees throughout. What passes is verified by the exact edit distance of the item to the best
 matching stretch around the window (bit-parallel, in code points).
 
-Items are the stated query set. They are taken in blocks of ``block_bytes`` bytes at most (an item of more is
+Items are the stated query set; items of one text are searched for once. They are taken in blocks of ``block_bytes`` bytes at most (an item of more is
 a block of its own), and each block is broadcast to one pass over all documents.
 """
 
@@ -26,8 +26,8 @@ SEED, WALKS, TABLES, PLACES = 2, 8, 48, 3
 DRIFT = 2
 #: How many words to either side of a supported window windows open too.
 SHIFT = 2
-#: The support that a window needs, and what a seed gives that several items have (one of a single item gives 1).
-SUPPORT, SHARED = 2.0, 0.25
+#: The seeds that a window needs (of an item of fewer seeds, all).
+SUPPORT = 2
 #: Windows that are walked over at once, in bytes of window.
 WALK_BYTES = 4 << 20
 _rng_seed = 977
@@ -66,7 +66,10 @@ class Items:
     """Seeds, embeddings and samples of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
+        ids: dict[bytes, list[int]] = {}
+        for i, t in items:
+            ids.setdefault(t, []).append(i)
+        self.ids, self.texts = list(ids.values()), list(ids)
         self.size = np.array([len(t) for t in self.texts], np.int64)
         rng = np.random.Generator(np.random.PCG64(_rng_seed))
         self.steps = int(2 * self.size.max(initial=0))
@@ -74,7 +77,7 @@ class Items:
         # places are shares of an item's own walk, the same for every item
         self.places = rng.random((WALKS, TABLES * PLACES))
         seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        self.weight = np.zeros(len(items))
+        self.seeded = np.zeros(len(self.texts), np.int64)
         for n, text in enumerate(self.texts):
             h = word_hashes(text.split(b" "))
             g = min(SEED, len(h))
@@ -88,10 +91,8 @@ class Items:
             sieve = np.zeros(1 << 20, bool)
             sieve[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             edge, item, at = np.append(edge, len(order)), item[order], at[order]
-            several = np.add.reduceat(np.concatenate([[0], item[1:] != item[:-1]]), edge[:-1]) - np.concatenate([[0], item[edge[1:-1]] != item[edge[1:-1] - 1]]) > 0
-            weight = np.repeat(np.where(several, SHARED, 1.0), np.diff(edge))
-            np.add.at(self.weight, item, weight)
-            self.seeds[g] = (sieve, key, edge, item, at, weight)
+            self.seeded += np.bincount(item, minlength=len(self.texts))
+            self.seeds[g] = (sieve, key, edge, item, at)
         self.walks = [self.walk(self._matrix(self.texts), w) for w in range(WALKS)]
 
     def _matrix(self, texts: list[bytes]) -> np.ndarray:
@@ -113,9 +114,9 @@ class Items:
         return out
 
     def candidates(self, h: np.ndarray, rows: np.ndarray):
-        """(word, item, word of the item, weight) of every seed that the words share with an item."""
+        """(word, item, word of the item) of every seed that the words share with an item."""
         found = []
-        for g, (sieve, key, edge, item, at, weight) in self.seeds.items():
+        for g, (sieve, key, edge, item, at) in self.seeds.items():
             got, pos = run_hashes(h, rows, g)
             may = np.flatnonzero(sieve[(got & np.uint64((1 << 20) - 1)).astype(np.int64)])
             i = np.minimum(np.searchsorted(key, got[may]), len(key) - 1)
@@ -123,16 +124,16 @@ class Items:
             i, pos = i[ok], pos[may[ok]]
             n = edge[i + 1] - edge[i]
             flat = np.repeat(edge[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(pos, n), item[flat], at[flat], weight[flat]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            found.append((np.repeat(pos, n), item[flat], at[flat]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-    def supported(self, row: np.ndarray, item: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The windows (row, item, start), each once and in order, that seeds of enough weight open at nearly the same place."""
+    def supported(self, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The windows (row, item, start), each once and in order, that enough seeds open at nearly the same place."""
         key, inv = np.unique(np.stack([row, item, start]), axis=1, return_inverse=True)
-        total = np.concatenate([[0], np.cumsum(np.bincount(inv.ravel(), weights=weight, minlength=key.shape[1]))])
+        total = np.concatenate([[0], np.cumsum(np.bincount(inv.ravel(), minlength=key.shape[1]))])
         place = (key[0] * len(self.ids) + key[1]) * np.int64(1 << 32) + key[2]
         low, high = np.searchsorted(place, place - DRIFT), np.searchsorted(place, place + DRIFT, "right")
-        key = key[:, total[high] - total[low] >= np.minimum(SUPPORT, self.weight[key[1]]) - 1e-9]
+        key = key[:, total[high] - total[low] >= np.minimum(SUPPORT, self.seeded[key[1]])]
         # words cut or joined by edits before the seeds move the opening
         return np.unique(np.concatenate([key + np.array([[0], [0], [d]]) for d in range(-SHIFT, SHIFT + 1)], axis=1), axis=1)
 
@@ -165,16 +166,16 @@ def _search(sent, similarity: float, keep: list[str]):
         told = [t.decode("utf-8", "ignore") for t in items.texts]
         limit = [int((1 - similarity) * len(t) + 1e-9) for t in told]
         for batch in batches:
-            hit_row, hit_item, hit_distance = [], [], []
+            hit_row, hit_item, hit_id, hit_distance = [], [], [], []
             for first, data, off in chunks(batch.column("text")):
                 ws, we, h, rows = tokenise(data, off, True)
-                pos, item, at, weight = items.candidates(h, rows)
+                pos, item, at = items.candidates(h, rows)
                 if not len(pos):
                     continue
                 row = rows[pos]
                 begin = np.searchsorted(rows, np.arange(len(off)))
                 start = np.maximum(pos - at, begin[row])
-                key = items.supported(row, item, start, weight)
+                key = items.supported(row, item, start)
                 key = key[:, (key[2] >= begin[key[0]]) & (key[2] < begin[key[0] + 1])]
                 if not key.size:
                     continue
@@ -202,12 +203,14 @@ def _search(sent, similarity: float, keep: list[str]):
                         got[1] = p + slack // 2
                 for (r, i), (d, _) in done.items():
                     if d <= limit[i]:
-                        hit_row.append(first + r)
-                        hit_item.append(i)
-                        hit_distance.append(d)
+                        for item_id in items.ids[i]:
+                            hit_row.append(first + r)
+                            hit_item.append(i)
+                            hit_id.append(item_id)
+                            hit_distance.append(d)
             rows = pa.array(hit_row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in keep), pa.array([items.ids[i] for i in hit_item], pa.int64()), pa.array(hit_distance, pa.int64()), pa.array([1 - d / max(1, len(told[i])) for i, d in zip(hit_item, hit_distance, strict=True)], pa.float64())],
+                [*(batch.column(c).take(rows) for c in keep), pa.array(hit_id, pa.int64()), pa.array(hit_distance, pa.int64()), pa.array([1 - d / max(1, len(told[i])) for i, d in zip(hit_item, hit_distance, strict=True)], pa.float64())],
                 names=[*keep, "item_id", "distance", "similarity"],
             )
 

@@ -451,3 +451,24 @@ def test_decontamination(spark, docs, nothing):
     assert {r["doc_id"] for r in decontamination.decontaminate(texts, wanted).collect()} == {100 + i for i in range(20)} | {200, 201, 202}
     assert decontamination.find_items(nothing, wanted).count() == decontamination.find_items(texts, wanted.limit(0)).count() == 0
     assert decontamination.decontaminate(docs, wanted).count() == docs.count()
+
+
+def test_decontamination_of_items_that_share_words(spark):
+    """Edited passages of items that are alone, there twice, or have a twin that differs in one word."""
+    rng = random.Random(23)
+    items, table = [], []
+    for i in range(45):
+        words = prose(rng, 15).split()
+        items.append((3 * i, " ".join(words)))
+        if i % 3 == 1:
+            items.append((3 * i + 1, " ".join(words)))
+        if i % 3 == 2:
+            items.append((3 * i + 1, " ".join([*words[:7], "twin", *words[8:]])))
+        for p in (2, 5, 8, 11):  # an edit in each of four words that don't touch
+            words[p] = words[p][:1] + "_" + words[p][2:]
+        table.append((i, prose(rng, 40) + " " + " ".join(words) + " " + prose(rng, 40)))
+    truth = {(d, i) for d, t in table for i, x in items if levenshtein_in(x, t) <= int(0.2 * len(x) + 1e-9)}
+    texts, wanted = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (4 << 20, 3000):
+        got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_items(texts, wanted, block_bytes=size).collect()]
+        assert len(truth) == 75 and set(got) == truth and len(got) == 75
