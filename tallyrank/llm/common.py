@@ -6,6 +6,7 @@ those six bytes, and no multi-byte UTF-8 character holds one of them, so words c
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed together; the arrays beside them take about 60 times as much.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: Spark's regular expression for a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,10 +28,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of ``BATCH_BYTES`` at most to and from Python; texts are long, and a batch is held
+    several times over on either side."""
+    for way in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+        spark.conf.set(f"spark.sql.execution.arrow.{way}", str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a
+    temporary folder; on a cluster, where executors would not see that, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tallyrank-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -1,36 +1,70 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are lower-cased (A-Z) and their white space is one space. A window of an item's length opens where a
-document shares ``SUPPORT`` runs of ``SEED`` words with the item at nearly the same distance in both
-(three words in a row are two such runs), whatever other items have them too, so that the shared words stand at the same place in both. Window and item are walked over by the CGK random walk, which copies the character it stands on and moves
-on or stays by a random bit of step and character; that turns few edits into few differing places. The walk is
-repeated ``WALKS`` times; each time ``TABLES`` samples of ``PLACES`` places are compared, and a window passes
-where one sample agrees throughout. What passes is verified by the exact edit distance of the item to the best
-matching stretch around the window (bit-parallel, in code points).
-
-Items are the stated query set; items of one text are searched for once. They are taken in blocks of ``block_bytes`` bytes at most (an item of more is
-a block of its own), and each block is broadcast to one pass over all documents.
+Texts are lower-cased (A-Z) and their white space is one space. Windows open in documents at every ``stride``-th
+word, whatever the words are, and in items at every word that leaves a window's length. The CGK random walk goes
+over a window: by a random bit of step and character it moves on or stays, so that a few edits make a few places
+of the embedding differ. The walk is repeated ``walks`` times. A table of the LSH samples ``places`` places of one
+walk, spread over its length; a window that agrees with an item's window in all places of a table is a candidate.
+Candidates whose whole embeddings agree in ``agree`` places or more are verified by the exact edit distance of the
+item to the best matching stretch around them (bit-parallel, in code points).
+
+The number of tables follows from the wanted recall: a table holds with the probability that a sampled place
+agrees, to the power of its places, and items longer than a window have a chance at each of the document's windows
+inside them. ``LONG`` and ``SHORT`` are set so that at least 0.9 of random edits of characters or words at a similarity
+of 0.82 are found, for items of any length (see the tests). Three steps of the walk are taken at once: a place is the three characters there.
+
+Items are the stated query set; items of one text are searched for once. They are taken in blocks of ``block_bytes``
+bytes at most (an item of more is a block of its own), each broadcast to one pass over all documents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import chunks, run_hashes, tokenise, word_hashes
+from tallyrank.llm.common import bounded_batches, chunks
+
+#: Windows that are walked over at once.
+WINDOWS = 1 << 15
+_SEED = 977
+
+
+@dataclass(frozen=True)
+class Search:
+    """How items of ``least`` characters and more are searched for: a window at every ``stride``-th word, ``steps``
+    triple steps of ``walks`` walks, ``tables`` tables of ``places`` places for each walk; ``agree``: see above."""
+
+    least: int
+    stride: int
+    steps: int
+    walks: int
+    tables: int
+    places: int
+    agree: int
+
+    @property
+    def width(self) -> int:
+        """Characters that a walk passes on average: half a character a step."""
+        return 3 * self.steps // 2
+
+
+LONG = Search(least=64, stride=2, steps=24, walks=4, tables=40, places=4, agree=19)
+SHORT = Search(least=16, stride=1, steps=10, walks=4, tables=40, places=3, agree=8)
 
-SEED, WALKS, TABLES, PLACES = 2, 8, 48, 3
-#: Seeds of one item support each other where the windows they open begin at most so many words apart.
-DRIFT = 2
-#: How many words to either side of a supported window windows open too.
-SHIFT = 2
-#: The seeds that a window needs (of an item of fewer seeds, all).
-SUPPORT = 2
-#: Windows that are walked over at once, in bytes of window.
-WALK_BYTES = 4 << 20
-_rng_seed = 977
+# -- characters and texts --------------------------------------------------------------------------
+
+#: 0 for white space, 1 to 26 for letters, digits and signs by five more; bytes beyond ASCII are spread over all.
+_KIND = np.full(256, 31, np.uint16)
+_KIND[[0x20, 9, 10, 11, 12, 13]] = 0
+for _i in range(26):
+    _KIND[97 + _i] = _KIND[65 + _i] = 1 + _i
+for _i in range(10):
+    _KIND[48 + _i] = 27 + _i % 4
+_KIND[128:] = 1 + (np.arange(128) * 37) % 30
 
 
 def plain(text: str | bytes | None) -> bytes:
@@ -38,6 +72,34 @@ def plain(text: str | bytes | None) -> bytes:
     return b" ".join(text.lower().split())
 
 
+def flat(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes with one space for each run of white space, row offsets in them); every row ends in a space."""
+    kind = _KIND[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = (kind[1:] > 0) | (kind[:-1] > 0)
+    keep[off[1:-1][off[1:-1] < len(data)]] = True
+    out = data[keep]
+    out[kind[keep] == 0] = 32
+    at = np.concatenate([[0], np.cumsum(keep)])[off]
+    # a space between rows, so that no word reaches over
+    out = np.insert(out, at[1:], 32)
+    return out, at + np.arange(len(at))
+
+
+def triples(data: np.ndarray) -> np.ndarray:
+    """At each byte the kinds of it and of the two after it, in 15 bits; spaces follow the end."""
+    kind = np.concatenate([_KIND[data], np.zeros(3, np.uint16)])
+    return (kind[:-2] << 10) | (kind[1:-1] << 5) | kind[2:]
+
+
+def word_starts(triple: np.ndarray) -> np.ndarray:
+    """Where a byte that is no space follows a space, or the beginning."""
+    space = (triple >> 10) == 0
+    first = ~space
+    first[1:] &= space[:-1]
+    return np.flatnonzero(first)
+
+
 def edit_distance(pattern: str, text: str) -> int:
     """The least edit distance of ``pattern`` to a stretch of ``text`` (Myers' bit vectors)."""
     m = len(pattern)
@@ -62,184 +124,204 @@ def edit_distance(pattern: str, text: str) -> int:
     return best
 
 
+# -- walks and tables ------------------------------------------------------------------------------
+
+
+def _advances(rng: np.random.Generator) -> np.ndarray:
+    """For every triple how far three steps of a walk go, by a random bit of each step and kind."""
+    t = np.arange(1 << 15)
+    kinds = np.stack([t >> 10, t >> 5 & 31, t & 31])
+    bits = rng.integers(0, 2, (3, 32))
+    gone = np.zeros(1 << 15, np.int64)
+    for step in range(3):
+        gone += bits[step][kinds[gone, t]]
+    return gone
+
+
+class Index:
+    """The tables of the windows of items. ``texts``: plain texts, each once."""
+
+    def __init__(self, how: Search, texts: list[bytes]):
+        self.how, rng = how, np.random.Generator(np.random.PCG64(_SEED + how.least))
+        self.advance = [[_advances(rng) for _ in range(how.steps)] for _ in range(how.walks)]
+        self.factor = rng.integers(0, 2**63, (how.walks, how.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        edges = [how.steps * i // how.places for i in range(how.places + 1)]
+        self.places = [[rng.integers(a, b) for a, b in zip(edges, edges[1:])] for _ in range(how.walks * how.tables)]
+        at, self.item, self.offset, base = [], [], [], 0
+        for i, text in enumerate(texts):
+            starts = word_starts(triples(np.frombuffer(text, np.uint8)))
+            starts = starts[(np.arange(len(starts)) < how.stride) | (starts <= len(text) - how.width)]
+            at.append(starts + base)
+            self.item.append(np.full(len(starts), i))
+            self.offset.append(starts)
+            base += len(text) + how.width * 2
+        self.item, self.offset, at = (np.concatenate(x).astype(np.int64) for x in (self.item, self.offset, at))
+        room = b" " * (how.width * 2)
+        self.seen = self.walk(triples(np.frombuffer(b"".join(t + room for t in texts), np.uint8)), at)
+        self.bits = max(12, int(np.ceil(np.log2(len(at) + 1))) + 4)
+        self.tables = []
+        for n in range(len(self.places)):
+            key = self._keys(n, self._hashed(self.seen, n // how.tables))
+            order = np.argsort(key, kind="stable")
+            sieve = np.zeros(1 << self.bits, bool)
+            sieve[(key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+            self.tables.append((sieve, key[order], order))
+
+    def walk(self, triple: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(walks * steps, windows): the triple at every third step of each walk from the places ``at``."""
+        how = self.how
+        out = np.empty((how.walks * how.steps, len(at)), np.uint16)
+        for w in range(how.walks):
+            pos = at.copy()
+            for j in range(how.steps):
+                x = triple.take(pos, mode="clip")
+                out[w * how.steps + j] = x
+                pos += self.advance[w][j].take(x)
+        return out
+
+    def _hashed(self, seen: np.ndarray, w: int) -> np.ndarray:
+        own = seen[w * self.how.steps : (w + 1) * self.how.steps]
+        return (own + np.uint64(1)) * self.factor[w][:, None]
+
+    def _keys(self, n: int, hashed: np.ndarray) -> np.ndarray:
+        first, *rest = self.places[n]
+        key = hashed[first].copy()
+        for p in rest:
+            key += hashed[p]
+        return key
+
+    def candidates(self, triple: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item window), each pair once: those that agree in a table and in ``agree`` places in all."""
+        seen, found = self.walk(triple, at), []
+        for n, (sieve, keys, order) in enumerate(self.tables):
+            if n % self.how.tables == 0:
+                hashed = self._hashed(seen, n // self.how.tables)
+            key = self._keys(n, hashed)
+            may = np.flatnonzero(sieve.take((key >> np.uint64(64 - self.bits)).astype(np.int64)))
+            low = np.searchsorted(keys, key[may])
+            n_same = np.searchsorted(keys, key[may], "right") - low
+            if n_same.any():
+                place = np.repeat(low, n_same) + np.arange(n_same.sum()) - np.repeat(np.cumsum(n_same) - n_same, n_same)
+                found.append(np.repeat(may, n_same) * len(order) + order[place])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair = np.unique(np.concatenate(found))
+        mine, own = pair // len(self.item), pair % len(self.item)
+        keep = []
+        for i in range(0, len(pair), WINDOWS):
+            same = seen[:, mine[i : i + WINDOWS]] == self.seen[:, own[i : i + WINDOWS]]
+            keep.append(same.sum(0) >= self.how.agree)
+        keep = np.concatenate(keep)
+        return mine[keep], own[keep]
+
+
 class Items:
-    """Seeds, embeddings and samples of a block of items."""
+    """A block of items: ids and plain text of each, the index of each kind, and the short items by their text."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float):
         ids: dict[bytes, list[int]] = {}
         for i, t in items:
             ids.setdefault(t, []).append(i)
-        self.ids, self.texts = list(ids.values()), list(ids)
-        self.size = np.array([len(t) for t in self.texts], np.int64)
-        rng = np.random.Generator(np.random.PCG64(_rng_seed))
-        self.steps = int(2 * self.size.max(initial=0))
-        self.bits = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.uint8)
-        # places are shares of an item's own walk, the same for every item
-        self.places = rng.random((WALKS, TABLES * PLACES))
-        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        self.seeded = np.zeros(len(self.texts), np.int64)
-        for n, text in enumerate(self.texts):
-            h = word_hashes(text.split(b" "))
-            g = min(SEED, len(h))
-            key, at = run_hashes(h, np.zeros(len(h), np.int64), g)
-            seeds.setdefault(g, []).append((key, np.full(len(key), n), at))
-        self.seeds = {}
-        for g, parts in seeds.items():
-            key, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, edge = np.unique(key[order], return_index=True)
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            edge, item, at = np.append(edge, len(order)), item[order], at[order]
-            self.seeded += np.bincount(item, minlength=len(self.texts))
-            self.seeds[g] = (sieve, key, edge, item, at)
-        self.walks = [self.walk(self._matrix(self.texts), w) for w in range(WALKS)]
-
-    def _matrix(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), max(map(len, texts), default=0) + 1), np.uint8)
-        for i, t in enumerate(texts):
-            out[i, : len(t)] = np.frombuffer(t, np.uint8)
-        return out
+        self.texts, self.ids = list(ids), list(ids.values())
+        self.told = [t.decode("utf-8", "ignore") for t in self.texts]
+        self.limit = [int((1 - similarity) * len(t) + 1e-9) for t in self.told]
+        self.parts = []
+        for how, most in ((LONG, None), (SHORT, LONG.least)):
+            mine = [n for n, t in enumerate(self.texts) if len(t) >= how.least and (most is None or len(t) < most)]
+            if mine:
+                self.parts.append((Index(how, [self.texts[n] for n in mine]), mine))
+        self.tiny = [n for n, t in enumerate(self.texts) if len(t) < SHORT.least]
 
-    def walk(self, text: np.ndarray, w: int) -> np.ndarray:
-        """The embedding of each row of ``text`` (which ends in zeros): a row for each step."""
-        n, width = text.shape
-        flat, base, at = text.ravel(), np.arange(n) * width, np.zeros(n, np.int64)
-        out = np.empty((2 * (width - 1), n), np.uint8)
-        for j in range(len(out)):
-            c = flat[base + at]
-            out[j] = c
-            at += self.bits[w, j][c]
-            np.minimum(at, width - 1, out=at)
-        return out
+    def near(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, distance) of the items that rows hold; ``data`` and ``off`` as ``flat`` makes them."""
+        triple, raw = triples(data), data.tobytes()
+        best: dict[tuple[int, int], int] = {}
+        starts = word_starts(triple)
+        for index, mine in self.parts:
+            opened = starts[:: index.how.stride]
+            spots: dict[tuple[int, int], list[int]] = {}
+            for i in range(0, len(opened), WINDOWS):
+                at = opened[i : i + WINDOWS]
+                window, own = index.candidates(triple, at)
+                row = np.searchsorted(off, at[window], "right") - 1
+                for r, n, p in zip(row.tolist(), index.item[own].tolist(), (at[window] - index.offset[own]).tolist()):
+                    spots.setdefault((r, mine[n]), []).append(p)
+            for (r, n), places in spots.items():
+                d = self._least(raw, n, sorted(set(places)), int(off[r]), int(off[r + 1]) - 1)
+                if d <= self.limit[n]:
+                    best[r, n] = d
+        if self.tiny:
+            for r in range(len(off) - 1):
+                text = b" " + raw[off[r] : off[r + 1] - 1].strip().lower() + b" "
+                for n in self.tiny:
+                    if b" " + self.texts[n] + b" " in text:
+                        best[r, n] = 0
+        return [(r, n, d) for (r, n), d in sorted(best.items())]
 
-    def candidates(self, h: np.ndarray, rows: np.ndarray):
-        """(word, item, word of the item) of every seed that the words share with an item."""
-        found = []
-        for g, (sieve, key, edge, item, at) in self.seeds.items():
-            got, pos = run_hashes(h, rows, g)
-            may = np.flatnonzero(sieve[(got & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            i = np.minimum(np.searchsorted(key, got[may]), len(key) - 1)
-            ok = key[i] == got[may]
-            i, pos = i[ok], pos[may[ok]]
-            n = edge[i + 1] - edge[i]
-            flat = np.repeat(edge[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(pos, n), item[flat], at[flat]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-
-    def supported(self, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """The windows (row, item, start), each once and in order, that enough seeds open at nearly the same place."""
-        key, inv = np.unique(np.stack([row, item, start]), axis=1, return_inverse=True)
-        total = np.concatenate([[0], np.cumsum(np.bincount(inv.ravel(), minlength=key.shape[1]))])
-        place = (key[0] * len(self.ids) + key[1]) * np.int64(1 << 32) + key[2]
-        low, high = np.searchsorted(place, place - DRIFT), np.searchsorted(place, place + DRIFT, "right")
-        key = key[:, total[high] - total[low] >= np.minimum(SUPPORT, self.seeded[key[1]])]
-        # words cut or joined by edits before the seeds move the opening
-        return np.unique(np.concatenate([key + np.array([[0], [0], [d]]) for d in range(-SHIFT, SHIFT + 1)], axis=1), axis=1)
-
-    def passing(self, windows: list[bytes], item: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in a whole sample of a walk."""
-        out = np.zeros(len(windows), bool)
-        order = np.argsort(self.size[item], kind="stable")
-        at = 0
-        while at < len(order):
-            to = min(len(order), at + max(1, WALK_BYTES // (int(self.size[item[order[min(len(order) - 1, at + 8191)]]]) + 1)), at + 8192)
-            rows = order[at:to]
-            text, own = self._matrix([windows[r] for r in rows]), item[rows]
-            if text.shape[1] <= int(self.size[own].max()):
-                text = np.pad(text, ((0, 0), (0, int(self.size[own].max()) + 1 - text.shape[1])))
-            for w in range(WALKS):
-                left = np.flatnonzero(~out[rows])
-                if not len(left):
-                    break
-                walked = self.walk(text[left], w)
-                step = (self.places[w][:, None] * 2 * self.size[own[left]]).astype(np.int64)
-                same = walked[step, np.arange(len(left))] == self.walks[w][step, own[left]]
-                out[rows[left]] = same.reshape(TABLES, PLACES, -1).all(1).any(0)
-            at = to
-        return out
+    def _least(self, raw: bytes, n: int, places: list[int], begin: int, end: int) -> int:
+        """The least distance of item n to the stretches of a row at which it may begin."""
+        best, done, slack, size = len(self.told[n]) + 1, -1, self.limit[n] + 8, len(self.texts[n])
+        for p in places:
+            if p < done or best == 0:
+                continue
+            # places near each other share a stretch
+            done = p + slack // 2
+            text = raw[max(begin, p - slack) : min(end, p + size + 2 * slack)].lower()
+            best = 0 if self.texts[n] in text else min(best, edit_distance(self.told[n], text.decode("utf-8", "ignore")))
+        return best
+
+
+_built: dict[bytes, Items] = {}
+
+
+def _items(items: list[tuple[int, bytes]], similarity: float) -> Items:
+    """The items of a broadcast block; a worker keeps those of the last one."""
+    key = repr((similarity, items)).encode()
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(items, similarity)
+    return _built[key]
 
 
-def _search(sent, similarity: float, keep: list[str]):
+def _search(sent, similarity: float):
     def run(batches):
-        items = Items(sent.value)
-        told = [t.decode("utf-8", "ignore") for t in items.texts]
-        limit = [int((1 - similarity) * len(t) + 1e-9) for t in told]
+        items = _items(sent.value, similarity)
         for batch in batches:
-            hit_row, hit_item, hit_id, hit_distance = [], [], [], []
+            docs = batch.column("doc_id")
             for first, data, off in chunks(batch.column("text")):
-                ws, we, h, rows = tokenise(data, off, True)
-                pos, item, at = items.candidates(h, rows)
-                if not len(pos):
-                    continue
-                row = rows[pos]
-                begin = np.searchsorted(rows, np.arange(len(off)))
-                start = np.maximum(pos - at, begin[row])
-                key = items.supported(row, item, start)
-                key = key[:, (key[2] >= begin[key[0]]) & (key[2] < begin[key[0] + 1])]
-                if not key.size:
-                    continue
-                texts, places = {}, {}
-                for r in np.unique(key[0]).tolist():
-                    a, b = begin[r], begin[r + 1]
-                    texts[r] = b" ".join(data[ws[a] : we[b - 1]].tobytes().lower().split())
-                    size = we[a:b] - ws[a:b] + 1
-                    places[r] = np.cumsum(size) - size
-                place = [int(places[r][s - begin[r]]) for r, s in zip(key[0].tolist(), key[2].tolist(), strict=True)]
-                windows = [texts[r][p : p + items.size[i]] for r, i, p in zip(key[0].tolist(), key[1].tolist(), place, strict=True)]
-                done: dict[tuple[int, int], list] = {}
-                for j in np.flatnonzero(items.passing(windows, key[1])):
-                    r, i, p = int(key[0, j]), int(key[1, j]), place[j]
-                    got = done.setdefault((r, i), [len(told[i]) + 1, -1])
-                    if got[0] == 0 or p < got[1]:
-                        continue
-                    slack = 4 * limit[i] + 8
-                    end = p + int(items.size[i]) + slack
-                    text = texts[r][max(0, p - slack) : end]
-                    if items.texts[i] in text:
-                        got[0] = 0
-                    else:
-                        got[0] = min(got[0], edit_distance(told[i], text.decode("utf-8", "ignore")))
-                        got[1] = p + slack // 2
-                for (r, i), (d, _) in done.items():
-                    if d <= limit[i]:
-                        for item_id in items.ids[i]:
-                            hit_row.append(first + r)
-                            hit_item.append(i)
-                            hit_id.append(item_id)
-                            hit_distance.append(d)
-            rows = pa.array(hit_row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in keep), pa.array(hit_id, pa.int64()), pa.array(hit_distance, pa.int64()), pa.array([1 - d / max(1, len(told[i])) for i, d in zip(hit_item, hit_distance, strict=True)], pa.float64())],
-                names=[*keep, "item_id", "distance", "similarity"],
-            )
+                hits = [(first + r, i, d, n) for r, n, d in items.near(*flat(data, off)) for i in items.ids[n]]
+                if hits:
+                    row, item, distance, n = zip(*hits, strict=True)
+                    like = [1 - d / max(1, len(items.told[k])) for d, k in zip(distance, n, strict=True)]
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(like, pa.float64())], names=["doc_id", "item_id", "distance", "similarity"])
 
     return run
 
 
-def find_items(docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_chars: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, similarity: float = 0.8, block_bytes: int = 1 << 19) -> DataFrame:
     """The pairs of a row of ``docs`` and an item that a stretch of its text equals up to edits.
 
-    ``items`` has item_id and text. Returns doc_id, item_id, distance (edits of code points) and similarity
-    (1 - distance / length of the item), at ``similarity`` or more. Items of fewer than ``min_chars`` characters
-    are not searched for; null texts hold and match nothing. Rows of equal items and equal rows each get their
-    pairs. A passage that differs from its item but shares no such seeds with it is not found.
+    ``items`` has item_id and text. Returns doc_id (a long), item_id, distance (edits of code points, the least of
+    the stretches found) and similarity (1 - distance / length of the item), at ``similarity`` or more. Items of fewer
+    than ``SHORT.least`` bytes are found where their words stand in a text as they are. Null texts hold and match
+    nothing, nor do texts without words and items without an id. Rows of equal items and equal rows each get their
+    pairs. A passage that agrees with its item in no table is not found.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     size = F.octet_length("text")
-    items = items.select("item_id", "text").filter((F.length("text") >= min_chars) & F.col("item_id").isNotNull())
-    total = items.agg(F.sum(size), F.max(size)).first()
-    blocks = max(1, -(-2 * (total[0] or 0) // block_bytes))
+    items = items.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    total = items.agg(F.sum(size)).first()[0] or 0
+    blocks = max(1, -(-2 * total // block_bytes))
     schema = "doc_id long, item_id long, distance long, similarity double"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for b in range(blocks):
         # a hash deals the items out to blocks of half the most bytes on average
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = [(r["item_id"], plain(r["text"])) for r in block.collect()]
+        held = sorted((r["item_id"], plain(r["text"])) for r in block.collect())
         held = [x for x in held if len(x[1]) > 0]
         if held:
-            found = docs.mapInArrow(_search(spark.sparkContext.broadcast(held), similarity, ["doc_id"]), schema)
+            found = docs.mapInArrow(_search(spark.sparkContext.broadcast(held), similarity), schema)
             out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -247,4 +329,4 @@ def find_items(docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_c
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = 0.8, **sizes) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; rows with a null doc_id are kept and not searched."""
     found = find_items(docs.filter(F.col("doc_id").isNotNull()), items, similarity, **sizes)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

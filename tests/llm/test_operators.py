@@ -430,27 +430,76 @@ def test_edit_distance():
         assert decontamination.edit_distance(a, b) == levenshtein_in(a, b)
 
 
+def edited(rng, text, share):
+    """Edits of so many characters: replaced, put in, taken out."""
+    chars = list(text)
+    for _ in range(int(share * len(text))):
+        p, kind, c = rng.randrange(len(chars)), rng.randrange(3), rng.choice("abcdefghijklmnopqrstuvwxyz ")
+        chars[p : p + (kind != 1)] = [c] * (kind != 2)
+    return "".join(chars)
+
+
 def test_decontamination(spark, docs, nothing):
     rng = random.Random(10)
-    items = [(i, prose(rng, 35)) for i in range(30)] + [(30, None), (None, prose(rng, 20)), (31, ""), (32, "short")]
-    table, truth = [], set()
+    items = [(i, prose(rng, 35)) for i in range(30)] + [(30, None), (None, prose(rng, 20)), (31, ""), (32, "short"), (33, "Short too")]
+    table, truth = [], {(202, 32)}
     for i in range(30):
-        chars = list(items[i][1])
-        for _ in range(i * len(chars) // 300):  # up to a tenth of the characters
-            chars[rng.randrange(len(chars))] = rng.choice("abcd e")
-        table.append((i, prose(rng, 50) + "\n" + "".join(chars).upper() + " " + prose(rng, 50)))
+        text = edited(rng, items[i][1], i / 300)  # up to a tenth of the characters
+        table.append((i, prose(rng, 50) + "\n" + text.upper() + " " + prose(rng, 50)))
         truth.add((i, i))
-    table += [(100 + i, prose(rng, 200)) for i in range(20)] + [(200, None), (201, ""), (0, table[0][1]), (202, "short")]
+    table += [(100 + i, prose(rng, 200)) for i in range(20)] + [(200, None), (201, ""), (0, table[0][1]), (202, "A  shOrt\none"), (203, "shorter"), (204, items[0][1][:-90])]
     texts, wanted = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for size in (4 << 20, 600):
+    for size in (1 << 19, 1200):
         got = decontamination.find_items(texts.withColumn("item_id", F.lit(1)), wanted, block_bytes=size).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in got} == truth and len(got) == 31
+        assert {(r["doc_id"], r["item_id"]) for r in got} == truth and len(got) == 32
         by_doc = dict(table[:30])
-        for r in got:
-            assert r["distance"] == levenshtein_in(decontamination.plain(items[r["item_id"]][1]).decode(), decontamination.plain(by_doc[r["doc_id"]]).decode())
-    assert {r["doc_id"] for r in decontamination.decontaminate(texts, wanted).collect()} == {100 + i for i in range(20)} | {200, 201, 202}
+        for r in got[:30]:
+            if r["doc_id"] < 30:
+                assert r["distance"] == levenshtein_in(decontamination.plain(items[r["item_id"]][1]).decode(), decontamination.plain(by_doc[r["doc_id"]]).decode())
+    assert {r["doc_id"] for r in decontamination.decontaminate(texts, wanted).collect()} == {100 + i for i in range(20)} | {200, 201, 203, 204}
     assert decontamination.find_items(nothing, wanted).count() == decontamination.find_items(texts, wanted.limit(0)).count() == 0
     assert decontamination.decontaminate(docs, wanted).count() == docs.count()
+    clash = texts.withColumn("DISTANCE", F.lit("x"))
+    assert decontamination.decontaminate(clash, wanted).columns == clash.columns
+
+
+@pytest.mark.parametrize("n_words", [4, 7, 12, 15, 35, 70])
+@pytest.mark.parametrize("kind", ["characters", "words", "every second word"])
+def test_decontamination_recall(n_words, kind):
+    """Items of 20 to 400 characters, edited as far as a similarity of 0.8 allows, against brute force."""
+    rng = random.Random(n_words)
+    items = [prose(rng, n_words) for _ in range(50)]
+    table, truth = [], set()
+    for i, text in enumerate(items * 3):
+        words = text.split()
+        if kind == "characters":
+            text = edited(rng, text, 0.18)
+        elif kind == "words":
+            for p in rng.sample(range(n_words), int(0.18 * n_words)):
+                words[p] = prose(rng, 1)
+            text = " ".join(words)
+        else:
+            for p in range(0, n_words, 2):
+                words[p] = edited(rng, words[p], 1.01 / len(words[p]))
+            text = " ".join(words)
+        pattern = items[i % 50]
+        if decontamination.edit_distance(pattern, text) <= int(0.2 * len(pattern) + 1e-9):
+            truth.add((i, i % 50))
+        table.append(f"{prose(rng, 3 + i % 5)}\n{text}  {prose(rng, 5)}".encode())
+    found = decontamination.Items([(i, decontamination.plain(t)) for i, t in enumerate(items)], 0.8)
+    data, off = np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table])])
+    got = {(r, n) for r, n, _ in found.near(*decontamination.flat(data, off))}
+    assert len(truth) > 40 and len(got & truth) >= 0.9 * len(truth)
+    assert all(decontamination.edit_distance(items[n], decontamination.plain(table[r]).decode()) <= 0.2 * len(items[n]) + 1e-9 for r, n in got)
+
+
+def test_decontamination_of_very_long_texts():
+    rng = random.Random(31)
+    item = prose(rng, 40)
+    text = (prose(rng, 2000) + "\n") * 40 + item + " x" * 30
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = decontamination.Items([(7, decontamination.plain(item)), (8, decontamination.plain(item)), (9, b"never here at all, not even once")], 0.8)
+    assert [(found.ids[n], d) for _, n, d in found.near(*decontamination.flat(data, np.array([0, len(data)])))] == [([7, 8], 0)]
 
 
 def test_decontamination_of_items_that_share_words(spark):
@@ -469,6 +518,6 @@ def test_decontamination_of_items_that_share_words(spark):
         table.append((i, prose(rng, 40) + " " + " ".join(words) + " " + prose(rng, 40)))
     truth = {(d, i) for d, t in table for i, x in items if levenshtein_in(x, t) <= int(0.2 * len(x) + 1e-9)}
     texts, wanted = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for size in (4 << 20, 3000):
+    for size in (1 << 19, 3000):
         got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_items(texts, wanted, block_bytes=size).collect()]
         assert len(truth) == 75 and set(got) == truth and len(got) == 75
