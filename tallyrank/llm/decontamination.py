@@ -53,7 +53,7 @@ class Search:
 
 
 LONG = Search(least=64, stride=2, steps=24, walks=4, tables=40, places=4, agree=19)
-SHORT = Search(least=16, stride=1, steps=10, walks=4, tables=40, places=3, agree=8)
+SHORT = Search(least=16, stride=1, steps=9, walks=6, tables=60, places=3, agree=8)
 
 # -- characters and texts --------------------------------------------------------------------------
 
