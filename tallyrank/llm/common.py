@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_table(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again; this cuts its lineage."""
-    path = f"{shared_dir(spark)}/tallyrank/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(bounded_batches(spark))}/tallyrank/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -121,7 +121,18 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return span_hashes(_BYTE[data], np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
+def pieces(batches, name: str = "text", most: int = CHUNK_BYTES):
+    """The batches in slices of whole rows, of about ``most`` bytes of a text column each."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        end, at = np.cumsum(size.astype(np.int64)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import mix, replacing, shared_table, signed
+from tallyrank.llm.common import bounded_batches, mix, pieces, replacing, shared_table, signed, texts
 
 #: Distinct lines that a task holds before it hands their counts on.
 HELD = 200_000
@@ -54,9 +54,9 @@ def _count(min_chars: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(signed(h[:, 0].copy())), pa.array(signed(h[:, 1].copy())), pa.array(n)], schema=schema)
 
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                for key in set(keys(text or b"")[1]):
+        for batch in pieces(batches):
+            for text in texts(batch):
+                for key in set(keys(text)[1]):
                     if _chars(key) >= min_chars:
                         held[xxhash.xxh3_128_digest(key)] += 1
                 if len(held) >= HELD:
@@ -76,15 +76,20 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 # -- the minimal perfect hash ----------------------------------------------------------------------
 
 
-def build_mph(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, offsets, order): the levels' bits, where each level's words begin, and the slot of each key of ``h``."""
-    words, offsets, slot = [], [0], np.full(len(h), -1, np.int64)
-    left, base = np.arange(len(h)), 0
+def _at(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+    """The places of 128-bit keys in a level of ``size`` bits; keys that share a half differ by the other."""
+    return (mix(h1, level + 1) ^ mix(h2, level + 101)) % np.uint64(size)
+
+
+def build_mph(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, offsets, order): the levels' bits, where each level's words begin, and the slot of each key."""
+    words, offsets, slot = [], [0], np.full(len(h1), -1, np.int64)
+    left, base = np.arange(len(h1)), 0
     for level in range(LEVELS):
         if not len(left):
             break
         size = max(64, -(-2 * len(left) // 64) * 64)
-        at = (mix(h[left], level + 1) % np.uint64(size)).astype(np.int64)
+        at = _at(h1[left], h2[left], level, size).astype(np.int64)
         once = np.bincount(at, minlength=size) == 1
         bits = np.packbits(once, bitorder="little").view(np.uint64)
         rank = np.cumsum(once) - 1
@@ -114,7 +119,7 @@ class Shard:
             if not len(left):
                 break
             lo, hi = self.offsets[level], self.offsets[level + 1]
-            at = mix(h1[left], level + 1) % np.uint64((hi - lo) * 64)
+            at = _at(h1[left], h2[left], level, int(hi - lo) * 64)
             word, bit = lo + (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
             bits = self.words[word]
             here = (bits >> bit) & np.uint64(1) == 1
@@ -141,7 +146,7 @@ def _build(n_shards: int):
 
     def build(table: pa.Table) -> pa.Table:
         h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-        words, offsets, slot = build_mph(h1)
+        words, offsets, slot = build_mph(h1, h2)
         prints, counts = np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32)
         prints[slot], counts[slot] = h2, np.minimum(table.column("n").to_numpy(), 2**32 - 1)
         return pa.table({"shard": [table.column("shard")[0].as_py()], "words": [words.tobytes()], "offsets": [offsets.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
@@ -194,7 +199,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
     comes back empty. Returns the columns of ``docs`` with ``text`` rewritten, and n_lines and n_dropped
     (columns of these names in ``docs`` are replaced).
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     shards, n_shards = line_index(line_counts(docs, min_chars), min_docs, shard_keys)
     size = shards.select(F.sum(F.octet_length("words") + F.octet_length("prints") + F.octet_length("counts"))).first()[0] or 0
     docs = docs.select(*replacing(docs, "n_lines", "n_dropped"))
@@ -213,8 +218,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
                         got[at == s] = index[s].find(h1[at == s], h2[at == s])
                 return got
 
-            for batch in batches:
-                found = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            for batch in pieces(batches):
+                found = texts(batch)
                 yield _rewrite(batch, _flags(found, min_chars, find), out, _line_numbers(found))
 
         return docs.mapInArrow(probe, schema)
@@ -237,8 +242,8 @@ def _by_shard(docs: DataFrame, shards: DataFrame, n_shards: int, min_chars: int,
     names = "shard long, salt long, row long, lines binary, h1 binary, h2 binary"
 
     def pack(batches):
-        for batch in batches:
-            found = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in pieces(batches):
+            found = texts(batch)
             got = defaultdict(list)
             for r, text in zip(batch.column("__row").to_pylist(), found, strict=True):
                 ks = keys(text)[1]
@@ -278,8 +283,8 @@ def _by_shard(docs: DataFrame, shards: DataFrame, n_shards: int, min_chars: int,
     joined = docs.withColumn("__row", row).join(gone, "__row", "left").drop("__row")
 
     def write(batches):
-        for batch in batches:
-            counted = _line_numbers([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
+        for batch in pieces(batches):
+            counted = _line_numbers(texts(batch))
             drops = []
             for n, lists in zip(counted, batch.column("__gone").to_pylist(), strict=True):
                 mark = np.zeros(n, bool)

@@ -1,22 +1,23 @@
 """DuckDB SQL for the rows of those queries that SQL can express."""
 
 LINE_DEDUP_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
-  FROM documents
+WITH numbered AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM numbered
 ), keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, pos, line,
          translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), often AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (o.k IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (o.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often o ON keyed.k = o.k
-GROUP BY doc_id
+GROUP BY r, doc_id
 """
 
 MIXING_SQL = r"""

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyrank.llm import decontamination, fingerprints, langid, line_dedup, lm_scoring, mixing, simhash, substring_dedup, token_counts, toxicity
+from tallyrank.llm.common import mix
 from tallyrank.llm.queries import tokenizer_file
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, SCORE double, fp string, n_lines string"
@@ -76,12 +77,13 @@ def test_line_dedup(docs, rows, nothing):
 
 def test_minimal_perfect_hash():
     h = np.unique(np.random.Generator(np.random.PCG64(1)).integers(0, 2**63, 5000, dtype=np.uint64))
-    words, offsets, slot = line_dedup.build_mph(h)
+    h[1] = h[0]  # two keys that share a half
+    words, offsets, slot = line_dedup.build_mph(h, h2 := mix(np.arange(len(h), dtype=np.uint64)))
     assert sorted(slot) == list(range(len(h)))
     prints, counts = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint32)
-    prints[slot], counts[slot] = h * np.uint64(3), np.arange(1, len(h) + 1)
+    prints[slot], counts[slot] = h2, np.arange(1, len(h) + 1)
     shard = line_dedup.Shard(words.tobytes(), offsets.tobytes(), prints.tobytes(), counts.tobytes())
-    assert (shard.find(h, h * np.uint64(3)) == np.arange(1, len(h) + 1)).all()
+    assert (shard.find(h, h2) == np.arange(1, len(h) + 1)).all()
     assert not shard.find(h + np.uint64(1), h).any()
 
 
