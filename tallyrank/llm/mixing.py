@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 Every document is taken floor(r) times for certain, r being its source's target over its source's size. The
-words still missing come from a sample with inclusion probability p, the rest of r: documents are ranked by
-Q = (U / (1 - U)) / (p / (1 - p)), U being a hash of the key, and the smallest Q are taken until the words
-taken are nearest to the target. p is one number within a source, so the order by Q there is that by U, and
-the sample is the documents whose U is at most the source's cut.
+words still missing come from a sample with inclusion probability p, the rest of r, which differs from source to
+source: each document is ranked by Q = (U / (1 - U)) / (p / (1 - p)), its random odds over its inclusion odds, U
+being a hash of the key. Of each source the documents of smallest Q are taken until the words taken are nearest to
+what the source is to give, so that the size of every source's sample is fixed.
 
-No source is sorted in one task: sums over ``CELLS`` cells of U show the cell in which the target is reached,
-and only the rows of that cell (1/4096 of a source) are summed one by one to place the cut.
+No source is sorted in one task: sums over ``CELLS`` cells of Q / (1 + Q) show the cell in which the target is
+reached, and only the rows of that cell (some 1/4096 of a source) are summed one by one to place the cut.
 """
 
 from __future__ import annotations
@@ -34,6 +34,12 @@ def rank(key: str, seed: int) -> Column:
     return F.conv(F.substring(told, 1, DIGITS), 16, 10).cast("long")
 
 
+def order(u: Column, p: Column) -> Column:
+    """Q of a document: its random odds over the odds of its inclusion probability; null where that is 0."""
+    chance = (u.cast("double") + 0.5) / float(16**DIGITS)
+    return F.when((p > 0) & (p < 1), (chance / (1 - chance)) / (p / (1 - p)))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """(source, source_size, target): sources by code point, null last, get the weights in turn.
 
@@ -53,47 +59,55 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): each row's key, source, U and size, without its text; each source's size, target, sure copies and cut."""
+    """(rows, sources): each row's key, source, U and size, without its text; each source's size, target, sure copies, p and cut."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key), F.col("source").cast("string").alias("source"), rank(key, seed).alias("u"), words(F.col("text")).alias("size"))
     rows = shared_table(spark, rows, "mix-rows")
-    cell = F.shiftright("u", 4 * DIGITS - 12)
-    cells = shared_table(spark, rows.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("n")), "mix-cells")
-    goal = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("sure", F.floor(ratio)).withColumn("missing", F.col("target") - F.col("sure") * F.col("source_size"))
+    goal = goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(0.0))
     goal = shared_table(spark, goal, "mix-goal")
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
+    # one row for each source meets its rows: small sides are broadcast, large sources are split by the adaptive plan
+    told = rows.join(goal.select(F.col("source").alias("__source"), "p", "missing"), F.col("source").eqNullSafe(F.col("__source")))
+    told = told.withColumn("q", order(F.col("u"), F.col("p"))).filter("q is not null").select("source", "size", "q", "missing")
+    cell = F.floor(F.col("q") / (1 + F.col("q")) * CELLS).cast("int")
+    cells = told.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("n"), F.first("missing").alias("missing"))
     by = W.partitionBy("source").orderBy("cell")
     run = cells.withColumn("upto", F.sum("n").over(by))
-    edge = run.join(goal, same(run, goal)).filter((F.col("missing") > F.col("upto") - F.col("n")) & (F.col("missing") <= F.col("upto")))
-    edge = shared_table(spark, edge.select(goal["source"], "cell", "missing", (F.col("upto") - F.col("n")).alias("before")), "mix-edge")
-
-    inside = rows.join(edge, same(rows, edge) & (cell == edge["cell"])).groupBy(edge["source"], "u").agg(F.sum("size").alias("n"), F.first("missing").alias("missing"), F.first("before").alias("before"))
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy("source").orderBy("u")))
-    near = F.abs(F.col("upto") - F.col("missing")) <= F.abs(F.col("upto") - F.col("n") - F.col("missing"))
-    crossing = (F.col("missing") > F.col("upto") - F.col("n")) & (F.col("missing") <= F.col("upto"))
-    cut = inside.filter(crossing).select("source", F.when(near, F.col("u")).otherwise(F.col("u") - 1).alias("cut"))
-    done = goal.join(cut, same(goal, cut), "left").select(goal["source"], "source_size", "target", "sure", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    edge = run.filter((F.col("missing") > F.col("upto") - F.col("n")) & (F.col("missing") <= F.col("upto")))
+    edge = shared_table(spark, edge.select("source", "cell", "missing", (F.col("upto") - F.col("n")).alias("before")), "mix-edge")
+
+    inside = told.select("source", "size", "q").join(edge, same(told, edge) & (cell == edge["cell"])).groupBy(edge["source"], "q").agg(F.sum("size").alias("n"), F.first("missing").alias("missing"), F.first("before").alias("before"))
+    inside = inside.withColumn("prior", F.col("before") + F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.col("prior") + F.col("n")
+    near = F.abs(upto - F.col("missing")) <= F.abs(F.col("prior") - F.col("missing"))
+    crossing = (F.col("missing") > F.col("prior")) & (F.col("missing") <= upto)
+    # the last Q taken, or the first one left
+    cut = inside.filter(crossing).select("source", F.col("q").alias("cut"), near.alias("with_cut"))
+    done = goal.join(cut, same(goal, cut), "left").select(goal["source"], "source_size", "target", "sure", "p", "cut", "with_cut")
     return rows, shared_table(spark, done, "mix-sources")
 
 
 def _decide(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds copies and taken to rows that have source, u and size."""
+    """Adds p, copies and taken to rows that have source, u and size."""
     s = sources.withColumnRenamed("source", "__source")
     rows = rows.join(s, F.col("source").cast("string").eqNullSafe(F.col("__source"))).drop("__source")
-    copies = F.when(F.col("size") > 0, F.col("sure") + F.when(F.col("u") <= F.col("cut"), 1).otherwise(0)).otherwise(0).cast("long")
-    return rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("sure", "cut", "u")
+    q = order(F.col("u"), F.col("p"))
+    more = F.when((q < F.col("cut")) | (F.col("with_cut") & (q == F.col("cut"))), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("sure") + more).otherwise(0).cast("long")
+    return rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("sure", "cut", "with_cut", "u")
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken): the mix without the texts. See ``mix_sources``."""
+    """(key, source, size, source_size, target, p, copies, taken): the mix without the texts. See ``mix_sources``."""
     return _decide(*plan_mix(docs, weights, most, seed, key))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """Adds size, source_size, target, copies and taken (size * copies) to the rows of ``docs``.
+    """Adds size, source_size, target, p (the chance of one more copy), copies and taken (size * copies) to the rows of ``docs``.
 
     A null text has size 0 and no copies; a null source is a source of its own, the last. Rows that share a
     key (a null key too) are taken or left together. A source without words has target 0. The sample ends
@@ -101,5 +115,5 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: flo
     ``docs`` are replaced.
     """
     sources = plan_mix(docs, weights, most, seed, key)[1]
-    docs = docs.select(*replacing(docs, "size", "source_size", "target", "sure", "cut", "copies", "taken", "u", "__source"))
+    docs = docs.select(*replacing(docs, "size", "source_size", "target", "p", "sure", "cut", "with_cut", "copies", "taken", "u", "__source"))
     return _decide(docs.withColumn("u", rank(key, seed)).withColumn("size", words(F.col("text"))), sources)

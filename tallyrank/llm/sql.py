@@ -40,18 +40,19 @@ WITH sized AS (
          least(cap, coalesce(max(level) FILTER (level * w <= cap) OVER (), 0) * w) AS target
   FROM levels
 ), missing AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM goal
-), ranked AS (
-  SELECT s.source, s.u, any_value(m.target - m.sure * m.source_size) AS miss, sum(s.size) AS n
-  FROM sized s JOIN missing m ON s.source IS NOT DISTINCT FROM m.source GROUP BY s.source, s.u
+  SELECT *, target - sure * source_size AS miss, CASE WHEN source_size > 0 THEN (target - sure * source_size) / source_size ELSE 0.0 END AS p
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM goal)
+), odds AS (
+  SELECT s.*, m.source_size, m.target, m.sure, m.miss,
+         CASE WHEN m.p > 0 AND m.p < 1 THEN (((u::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / (1 - (u::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)) / (m.p / (1 - m.p)) END AS q
+  FROM sized s JOIN missing m ON s.source IS NOT DISTINCT FROM m.source
 ), run AS (
-  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY u) AS upto FROM ranked
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY q) AS upto
+  FROM (SELECT source, q, any_value(miss) AS miss, sum(size) AS n FROM odds WHERE q IS NOT NULL GROUP BY source, q)
 ), cut AS (
-  SELECT source, min(CASE WHEN abs(upto - miss) <= abs(upto - n - miss) THEN u ELSE u - 1 END) AS cut
-  FROM run WHERE miss > upto - n AND miss <= upto GROUP BY source
+  SELECT source, q AS cut, abs(upto - miss) <= abs(upto - n - miss) AS with_cut FROM run WHERE miss > upto - n AND miss <= upto
 )
-SELECT s.doc_id, s.size, m.source_size, m.target,
-       (CASE WHEN s.size > 0 THEN s.size * (m.sure + CASE WHEN s.u <= coalesce(c.cut, -1) THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
-FROM sized s JOIN missing m ON s.source IS NOT DISTINCT FROM m.source
-LEFT JOIN cut c ON s.source IS NOT DISTINCT FROM c.source
+SELECT o.doc_id, o.size, o.source_size, o.target,
+       (CASE WHEN o.size > 0 THEN o.size * (o.sure + CASE WHEN o.q < c.cut OR (c.with_cut AND o.q = c.cut) THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
+FROM odds o LEFT JOIN cut c ON o.source IS NOT DISTINCT FROM c.source
 """

@@ -270,6 +270,26 @@ def test_mixing(spark, docs, rows, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_pareto_ranks(spark):
+    """Unequal inclusion probabilities: Q against the formula, and the sample of each source is that of smallest Q."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w " * 7).alias("text"), F.concat(F.lit("s"), (F.sqrt("id") / 10).cast("int").cast("string")).alias("source"))
+    plan, sources = mixing.plan_mix(rows)
+    chance = {r["source"]: r["p"] for r in sources.collect()}
+    assert len({round(p, 6) for p in chance.values()}) >= 3 and all(0 <= p < 1 for p in chance.values())
+    u = {r["doc_id"]: (r["u"] + 0.5) / 16**13 for r in plan.collect()}
+    taken = {}
+    for r in mixing.mix_sizes(rows).collect():
+        p = chance[r["source"]]
+        if p > 0:
+            q = u[r["doc_id"]] / (1 - u[r["doc_id"]]) / (p / (1 - p))
+            taken.setdefault(r["source"], []).append((q, r["copies"]))
+    for s, mine in taken.items():
+        mine.sort()
+        copies = [c for _, c in mine]
+        assert copies == sorted(copies, reverse=True) and max(copies) - min(copies) <= 1
+        assert abs(sum(c > min(copies) for c in copies) / len(copies) - chance[s]) <= 1 / len(copies) + 1e-9 or max(copies) == min(copies)
+
+
 def test_mixing_nears_targets(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"), F.concat(F.lit("s"), F.floor(F.sqrt(F.col("id") / 700)).cast("string")).alias("source"))
     got = mixing.mix_sizes(rows).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
