@@ -4,10 +4,11 @@ A model reads the letters of a word between two word boundaries. The n-grams of
 sorted hash array for each order; beside each n-gram stand its log probabilities in every language, beside
 each context the log weights of the next lower order. A text gets the language of lowest cross-entropy per
 symbol. Its score is a softmax of the differences, whose scale is fitted on labelled texts that the models
-have not seen; texts whose cross-entropy lies far above that of their language's own texts can be rejected.
+have not seen. A text is rejected where its cross-entropy lies further above that of its language's own texts than
+it does for all but ``REJECT_SHARE`` of those unseen texts.
 
-The models are fitted on a bounded sample: about ``docs_per_lang`` whole labelled texts of each language,
-taken by a hash of the text, and the ``words_per_lang`` most frequent words of those.
+The models are fitted on a bounded sample: about ``docs_per_lang`` different whole labelled texts of each language,
+taken by a hash of the text, with all their words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrank.llm.common import mix, replacing, shared_table, span_hashes
@@ -29,8 +29,8 @@ UNKNOWN = "und"
 FOLDS = 8
 #: Words whose scores a worker remembers.
 MEMO = 250_000
-#: How many standard deviations above the mean cross-entropy of its language a text is rejected.
-REJECT_AT = 6.0
+#: The share of a language's own texts, unseen by its model, that the calibrated threshold rejects.
+REJECT_SHARE = 0.001
 
 words_of = regex.compile(r"[\p{L}\p{M}]+").findall
 letter = regex.compile(r"\p{L}").search
@@ -56,7 +56,7 @@ class Models:
 
     def __init__(self, langs: list[str], counts: list[dict[str, int]]):
         self.langs, self.grams, self.logp, self.contexts, self.gamma = langs, {}, {}, {}, {}
-        self.scale, self.mean, self.sd = 1.0, np.zeros(len(langs)), np.full(len(langs), np.inf)
+        self.scale, self.mean, self.sd, self.most = 1.0, np.zeros(len(langs)), np.full(len(langs), np.inf), np.inf
         seen = [self._count(c) for c in counts]
         lower = None
         for k in range(1, ORDER + 1):
@@ -106,6 +106,10 @@ class Models:
             out[k] = {"gram": gram, "context": span_hashes(sym, e - k + 1, e), "suffix": above, "n": n}
         return out
 
+    def strangeness(self, h: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How many standard deviations a text's cross-entropy lies above the mean of a language; short texts vary more."""
+        return (h - self.mean[lang]) / (self.sd[lang] * (1 + 10 / np.sqrt(np.maximum(n, 1))))
+
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of each word in each language, number of symbols of each word)."""
         sym, first = _symbols(words)
@@ -175,16 +179,19 @@ def _groups(batch, names: tuple[str, ...], most: int = 2 << 20):
         yield got
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 1500, words_per_lang: int = 60_000) -> Models | None:
+def fit(labelled: DataFrame, docs_per_lang: int = 1500) -> Models | None:
     """The models of rows that have ``text`` and ``lang``; None where there are none."""
     spark = labelled.sparkSession
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = {r["lang"]: min(1.0, docs_per_lang / r["count"]) for r in labelled.groupBy("lang").count().collect()}
+    kinds = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
+    share = {r["lang"]: min(1.0, docs_per_lang / max(1, r["n"])) for r in kinds}
     if not share:
         return None
     part = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
     bucket = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30))
     sample = labelled.filter(bucket < F.element_at(part, F.col("lang")) * (1 << 30)).select("text", "lang", F.pmod(F.xxhash64("text", F.lit(18)), F.lit(FOLDS)).alias("fold"))
+    # a hash takes all copies of a text or none; each text counts once, so that copies don't break the bound
+    sample = sample.dropDuplicates(["text", "lang"])
     sample = shared_table(spark, sample, "lang-sample")
 
     def count(batches):
@@ -195,7 +202,6 @@ def fit(labelled: DataFrame, docs_per_lang: int = 1500, words_per_lang: int = 60
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = sample.filter("fold > 0").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("at") <= words_per_lang)
     langs = sorted(share)
     counts: list[dict[str, int]] = [{} for _ in langs]
     for r in words.select("lang", "word", "n").collect():
@@ -228,6 +234,7 @@ def _calibrate(models: Models, held: DataFrame) -> None:
     for i in range(len(models.langs)):
         if (own := h[truth == i, i]).size > 1:
             models.mean[i], models.sd[i] = own.mean(), own.std() + 0.02
+    models.most = float(np.quantile(models.strangeness(h[np.arange(len(truth)), truth], n, truth), 1 - REJECT_SHARE)) + 1e-9
 
 
 def posterior(h: np.ndarray, n: np.ndarray, scale: float) -> np.ndarray:
@@ -237,13 +244,14 @@ def posterior(h: np.ndarray, n: np.ndarray, scale: float) -> np.ndarray:
 
 
 def identify(docs: DataFrame, models: Models | None, reject: bool = False) -> DataFrame:
-    """Adds lang_pred, score and cross_entropy (per symbol, natural log) to the rows of ``docs``, without ``text``.
+    """Adds lang_pred, score, cross_entropy (per symbol, natural log) and rejected to the rows of ``docs``, without ``text``.
 
-    A null text, or one without a letter, gets ``und`` and score 0. With ``reject``, so do texts whose
-    cross-entropy is ``REJECT_AT`` standard deviations above the mean of their language. Without models every
+    A null text, or one without a letter, gets ``und`` and score 0, and null for the rest. ``rejected`` tells texts whose
+    cross-entropy is further above the mean of their language than the calibrated threshold; with ``reject`` these get
+    ``und`` and score 0 too. Of languages of equal cross-entropy the first by code point wins. Without models every
     row gets ``und``. Only the text is read. Columns of these names in ``docs`` are replaced.
     """
-    docs = docs.select(*replacing(docs, "lang_pred", "score", "cross_entropy"))
+    docs = docs.select(*replacing(docs, "lang_pred", "score", "cross_entropy", "rejected"))
     keep = [c for c in docs.columns if c != "text"]
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -251,21 +259,23 @@ def identify(docs: DataFrame, models: Models | None, reject: bool = False) -> Da
         models = sent.value
         reader = models and Reader(models)
         for batch in batches:
-            pred, score, entropy = [], [], []
+            pred, score, entropy, strange = [], [], [], []
             for rows in _groups(batch, ("text",)):
                 if models is None:
-                    pred, score, entropy = pred + [UNKNOWN] * len(rows), score + [0.0] * len(rows), entropy + [None] * len(rows)
+                    pred, score, entropy, strange = pred + [UNKNOWN] * len(rows), score + [0.0] * len(rows), entropy + [None] * len(rows), strange + [None] * len(rows)
                     continue
                 h, n = reader.read([r[0] or "" for r in rows])
                 best, p = h.argmin(1), posterior(h, n, models.scale).max(1)
                 low = h.min(1)
                 ok = n > 0
+                far = models.strangeness(low, n, best) > models.most
+                strange += [bool(x) if k else None for x, k in zip(far, n > 0, strict=True)]
                 if reject:
-                    ok &= low <= models.mean[best] + REJECT_AT * models.sd[best] * (1 + 10 / np.sqrt(np.maximum(n, 1)))
+                    ok &= ~far
                 pred += [models.langs[b] if x else UNKNOWN for b, x in zip(best, ok, strict=True)]
                 score += [float(v) if x else 0.0 for v, x in zip(p, ok, strict=True)]
                 entropy += [float(v) if x else None for v, x in zip(low, n > 0, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64())], names=[*keep, "lang_pred", "score", "cross_entropy"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(strange, pa.bool_())], names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, cross_entropy double"]))
+    return docs.mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, cross_entropy double, rejected boolean"]))

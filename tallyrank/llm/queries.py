@@ -32,7 +32,7 @@ def tokenizer_file() -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
     models = fit_languages(docs.filter(~F.col("held_out")).select("text", "lang"))
-    return identify(docs.select("doc_id", "held_out", "text"), models).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "held_out", "text"), models).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

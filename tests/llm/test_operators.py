@@ -382,22 +382,67 @@ def test_language(spark, nothing):
     assert [r["lang_pred"] for r in got[:5]] == ["aa", "bb", "und", "und", "und"] and got[5]["lang_pred"] == "und"
     assert [r["lang_pred"] for r in got[6:]] == ["bb", "bb"] and all(0 <= r["score"] <= 1 for r in got)
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), None).collect()} == {"und"}
+    told = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), models).collect()}
+    assert told[1] is False and told[3] is None and told[6] is True
+    copies = spark.createDataFrame([("same text here", "aa")] * 3000 + [(make("aa", 9), "aa") for _ in range(40)] + [(make("bb", 9), "bb") for _ in range(40)], "text string, lang string")
+    assert langid.identify(spark.createDataFrame(odd[:2], "doc_id long, text string"), langid.fit(copies)).filter("lang_pred = 'bb'").count() == 1
     assert langid.fit(nothing.select("text", "lang")) is None and langid.identify(nothing, models).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    models = langid.Models(["x"], [Counter({"abab": 3, "abc": 2, "ca": 1, "b": 5})])
-    letters = ["a", "b", "c", "\x03"]
-    for prefix in ("", "a", "ab", "abab", "cc"):
-        probs = []
-        for c in letters:
-            word = prefix + c.strip("\x03")
-            total, _ = models.score([word])
-            shorter, _ = models.score([prefix])
-            probs.append((prefix, c, total[0, 0], shorter[0, 0]))
-        assert all(np.isfinite(p[2]) for p in probs)
-    sym, first = langid._symbols(["abab"])
-    assert len(sym) == 6 and list(first) == [0]
+def brute_kneser_ney(counts, order=langid.ORDER):
+    """P(c | context) of interpolated Kneser-Ney over words between boundaries, with plain dictionaries."""
+    edge = "\x03"
+    seen = [Counter() for _ in range(order + 1)]
+    for w, n in counts.items():
+        x = edge + w + edge
+        for e in range(1, len(x)):
+            for k in range(1, min(order, e + 1) + 1):
+                seen[k][(x[e - k + 1 : e + 1], e - k + 1 == 0)] += n
+    grams = {k: {g for g, _ in seen[k]} for k in range(1, order + 1)}
+    used = {}
+    for k in range(1, order + 1):
+        for g in grams[k]:
+            opens = (g, True) in seen[k]
+            if k == order or (opens and k > 1):
+                used[g] = seen[k][(g, True)] + seen[k][(g, False)]
+            else:
+                used[g] = max(1, sum(h[1:] == g for h in grams[k + 1]))
+    d = {}
+    for k in range(1, order + 1):
+        once, twice = (sum(used[g] == i for g in grams[k]) for i in (1, 2))
+        d[k] = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    floor = 1 / (len(grams[1]) + 1)
+
+    def p(c, context):
+        k = len(context) + 1
+        mine = [g for g in grams[k] if g[:-1] == context]
+        lower = floor if k == 1 else p(c, context[1:])
+        if not mine:
+            return lower
+        total = sum(used[g] for g in mine)
+        g = context + c
+        return max(0, used[g] - d[k] if g in grams[k] else 0) / total + d[k] * len(mine) / total * lower
+
+    return p, {g for g in grams[1]}
+
+
+def test_kneser_ney_against_brute_force():
+    counts = Counter({"abab": 3, "abc": 2, "ca": 1, "b": 5, "abcabcab": 1})
+    models, (p, letters) = langid.Models(["x"], [counts]), brute_kneser_ney(counts)
+    for word in ("a", "b", "ab", "abab", "cabab", "zz", "abcz", "bbbbbbbb", "abcabcabc"):
+        x = "\x03" + word + "\x03"
+        want = sum(np.log(p(x[e], x[max(0, e - langid.ORDER + 1) : e])) for e in range(1, len(x)))
+        total, size = models.score([word])
+        assert total[0, 0] == pytest.approx(want, rel=1e-4) and size[0] == len(word) + 1
+    for context in ("", "a", "\x03ab", "abab", "cc"):
+        # the letters seen and one for all others share the whole
+        assert sum(p(c, context) for c in letters) + p("?", context) == pytest.approx(1.0)
+
+
+def test_equal_entropies_go_to_the_first_language(spark):
+    models = langid.Models(["aa", "bb"], [{"xy": 3}, {"xy": 3}])
+    got = langid.identify(spark.createDataFrame([(1, "xy xy"), (2, "q")], "doc_id long, text string"), models).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("aa", 0.5), ("aa", 0.5)]
 
 
 def test_fingerprints(docs, rows, nothing, monkeypatch):
