@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyrank.llm.common import bounded_batches, chunks
 
 #: Windows that are walked over at once.
-WINDOWS = 1 << 15
+WINDOWS = 1 << 16
 _SEED = 977
 
 
@@ -197,10 +197,12 @@ class Index:
             if n % self.how.tables == 0:
                 hashed = self._hashed(seen, n // self.how.tables)
             key = self._keys(n, hashed)
-            may = np.flatnonzero(sieve.take((key >> np.uint64(64 - self.bits)).astype(np.int64)))
-            low = np.searchsorted(keys, key[may])
-            n_same = np.searchsorted(keys, key[may], "right") - low
-            if n_same.any():
+            may = np.flatnonzero(sieve.take((key >> np.uint64(64 - self.bits)).view(np.int64)))
+            low = np.minimum(np.searchsorted(keys, key[may]), len(keys) - 1)
+            hit = np.flatnonzero(keys[low] == key[may])
+            if len(hit):
+                may, low = may[hit], low[hit]
+                n_same = np.searchsorted(keys, key[may], "right") - low
                 place = np.repeat(low, n_same) + np.arange(n_same.sum()) - np.repeat(np.cumsum(n_same) - n_same, n_same)
                 found.append(np.repeat(may, n_same) * len(order) + order[place])
         if not found:
@@ -225,6 +227,8 @@ class Items:
         self.texts, self.ids = list(ids), list(ids.values())
         self.told = [t.decode("utf-8", "ignore") for t in self.texts]
         self.limit = [int((1 - similarity) * len(t) + 1e-9) for t in self.told]
+        # triples of items in ASCII: each edit takes three of them at most
+        self.grams = [triples(np.frombuffer(t, np.uint8))[:-3].tolist() if t.isascii() else None for t in self.texts]
         self.parts = []
         for how, most in ((LONG, None), (SHORT, LONG.least)):
             mine = [n for n, t in enumerate(self.texts) if len(t) >= how.least and (most is None or len(t) < most)]
@@ -247,7 +251,7 @@ class Items:
                 for r, n, p in zip(row.tolist(), index.item[own].tolist(), (at[window] - index.offset[own]).tolist()):
                     spots.setdefault((r, mine[n]), []).append(p)
             for (r, n), places in spots.items():
-                d = self._least(raw, n, sorted(set(places)), int(off[r]), int(off[r + 1]) - 1)
+                d = self._least(raw, triple, n, sorted(set(places)), int(off[r]), int(off[r + 1]) - 1)
                 if d <= self.limit[n]:
                     best[r, n] = d
         if self.tiny:
@@ -258,7 +262,7 @@ class Items:
                         best[r, n] = 0
         return [(r, n, d) for (r, n), d in sorted(best.items())]
 
-    def _least(self, raw: bytes, n: int, places: list[int], begin: int, end: int) -> int:
+    def _least(self, raw: bytes, triple: np.ndarray, n: int, places: list[int], begin: int, end: int) -> int:
         """The least distance of item n to the stretches of a row at which it may begin."""
         best, done, slack, size = len(self.told[n]) + 1, -1, self.limit[n] + 8, len(self.texts[n])
         for p in places:
@@ -266,10 +270,21 @@ class Items:
                 continue
             # places near each other share a stretch
             done = p + slack // 2
-            text = raw[max(begin, p - slack) : min(end, p + size + 2 * slack)].lower()
-            best = 0 if self.texts[n] in text else min(best, edit_distance(self.told[n], text.decode("utf-8", "ignore")))
+            a, b = max(begin, p - slack), min(end, p + size + 2 * slack)
+            text = raw[a:b].lower()
+            if self.texts[n] in text:
+                best = 0
+            elif self._may(n, triple[a:b]):
+                best = min(best, edit_distance(self.told[n], text.decode("utf-8", "ignore")))
         return best
 
+    def _may(self, n: int, triple: np.ndarray) -> bool:
+        """Whether a stretch has as many of an item's triples as must be left within the limit of edits."""
+        if self.grams[n] is None:
+            return True
+        have = set(triple.tolist())
+        return sum(g in have for g in self.grams[n]) >= len(self.grams[n]) - 3 * self.limit[n]
+
 
 _built: dict[bytes, Items] = {}
 
