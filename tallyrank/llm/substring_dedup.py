@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.llm.bloom import bits_for, bloom_of
-from tallyrank.llm.common import chunks, mix, replacing, run_hashes, shared_table, signed, span_hashes, tokenise
+from tallyrank.llm.common import chunks, mix, pieces, replacing, run_hashes, shared_table, signed, span_hashes, tokenise
 
 K = 20
 #: Suffixes that a tree is made of at once; a group is never split.
 TREE_ROWS = 2048
+#: Parts into which the occurrences of one window are dealt.
+SALTS = 64
 _RUNS = pa.schema([("big", pa.bool_()), ("key", pa.int64()), ("key2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("words", pa.binary())])
 _RUNS_SQL = "big boolean, key long, key2 long, doc long, row long, at long, left int, words binary"
 
@@ -232,9 +234,12 @@ def repeats(docs: DataFrame, window: int = 50, group: int = 16384, filter_bits:
     runs = shared_table(spark, source.mapInArrow(_runs(window, is_repeated, is_big), _RUNS_SQL), "runs")
     small = runs.filter(~F.col("big")).select("key", "doc", "row", "at", "left", "words")
     trees = small.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "row long, start long, end long")
-    large = runs.filter("big").select("key", "key2", "doc", "row", "at")
-    least = large.groupBy("key", "key2").agg(F.min("doc").alias("least"))
-    whole = large.join(least, ["key", "key2"]).filter(F.col("doc") > F.col("least")).select("row", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    # a window that very many documents share is dealt out by row, and its least document goes to every part; windows
+    # of one document, by far the most, need no join
+    large = runs.filter("big").select("key", "key2", "doc", "row", "at", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+    least = large.groupBy("key", "key2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = large.join(least, ["key", "key2", "salt"]).filter(F.col("doc") > F.col("least")).select("row", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     return trees.union(whole)
 
 
@@ -256,7 +261,7 @@ def drop_repeats(docs: DataFrame, window: int = 50, digest: bool = False, **size
     made = "kept_sha256" if digest else "text"
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             kept, words_n, gone_n = [], [], []
             for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 words = (text or b"").split()
