@@ -307,7 +307,7 @@ def test_language_model(docs, rows, nothing):
     train_ids = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 3]
     c = Counter(t for r in train_ids for t in tokens(r))
     n, v = sum(c.values()), len(c)
-    for sizes in ({}, {"words": 10, "bits": 1 << 16, "bucket_bytes": 1000}):
+    for sizes in ({}, {"words": 10, "bits": 1 << 16, "bucket_bytes": 1000}, {"words": 10, "bucket_bytes": 1000, "fan": 4}):
         got = sorted(lm_scoring.score_texts(split, split.filter("part <> 0"), **sizes).collect(), key=lambda r: (repr(r["doc_id"]), r["n_tokens"]))
         want = sorted(rows, key=lambda r: (repr(r[0]), len(tokens(r))))
         for g, r in zip(got, want, strict=True):
@@ -318,6 +318,31 @@ def test_language_model(docs, rows, nothing):
     assert {r["n_known"] for r in lm_scoring.score_texts(docs, nothing).collect()} == {0}
 
 
+def test_scores_of_a_small_corpus_by_hand(spark):
+    """Every pair is held, those found once too; the model's log10 probabilities against the formulas."""
+    lines = ["a b a b a c", "b a", "c c c c c c c c c"]
+    told = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    model, _ = lm_scoring.train(told)
+    assert model.least == {lm_scoring.WORD: 1, lm_scoring.PAIR: 1}
+    tokens = [t.split() + [" end"] for t in lines]
+    one, two = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip(["<"] + t, t))
+    lv = lambda n: lm_scoring.level(np.array([n]))
+    mid, top = (lambda n: float(lm_scoring.middle(lv(n))[0]) if n else 0.0), (lambda n: float(lm_scoring.top(lv(n))[0]) if n else 0.0)
+    whole, v = sum(map(mid, one.values())), len(one)
+    p1 = lambda w: (mid(one[w]) + 0.1) / (whole + 0.1 * (v + 1))
+
+    def p(w, h):
+        after = {x: n for (a, x), n in two.items() if a == h}
+        r, t = top(int(np.ceil(sum(map(mid, after.values()))))) if after else 0.0, mid(len(after))
+        c = max(top(one[h if h != "<" else " end"]), r)
+        return (mid(two[h, w]) + (c - r + t) * p1(w)) / (c + t) if c else p1(w)
+
+    got = lm_scoring.score_texts(told, told).collect()
+    for r in got:
+        t = tokens[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(log10(p(w, h)) for h, w in zip(["<"] + t, t)), rel=1e-6)
+
+
 def test_bloom_levels():
     counts = np.arange(1, 5000)
     lv = lm_scoring.level(counts)
