@@ -20,17 +20,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import chunks, mix, replacing, shared_table, tokenise
+from tallyrank.llm.common import chunks, mix, pieces, replacing, shared_table, span_hashes, texts, tokenise
 
 BITS = 64
 #: Shingles whose bits are summed at once.
 STEP = 1 << 14
 #: Independent word-set fingerprints of a text where an exact check follows, and the bits that two of one seed
-#: may differ in to be checked (chance meetings in a bucket differ in over 16 as a rule).
-SEEDS, FAR = 4, 12
+#: may differ in to be checked (chance meetings in a bucket differ in over 16 as a rule), and that all may differ in together:
+#: texts with a fifth of their words of their own differ in 38 of 256 on average.
+SEEDS, FAR, FAR_ALL = 4, 12, 64
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -56,8 +57,8 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fp") -> Da
     keep = [c for c in replacing(docs, name) if c.lower() != "text"]
 
     def run(batches):
-        for batch in batches:
-            got = [fingerprint(x or b"", shingle) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in pieces(batches):
+            got = [fingerprint(x, shingle) for x in texts(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(got, np.uint64).view(np.int64))], names=[*keep, name])
 
     docs = docs.select(*keep, "text")
@@ -197,56 +198,93 @@ def word_prints(column: pa.Array, seeds: int = SEEDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _differing(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _differing(a: str | Column, b: str | Column) -> Column:
+    return F.bit_count((F.col(a) if isinstance(a, str) else a).bitwiseXOR(F.col(b) if isinstance(b, str) else b))
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> list[bytes]:
+    """For each text the sorted 64-bit hashes of its different shingles of words, A-Z lower-cased; of a text of fewer words
+    the hash of them all."""
+    out = []
+    for _, data, off in chunks(column):
+        _, _, h, rows = tokenise(data, off, True)
+        edges = np.searchsorted(rows, np.arange(len(off)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            n = max(1, b - a - shingle + 1)
+            at = np.arange(a, a + n)
+            out.append(np.unique(span_hashes(h[a:b], at - a, np.minimum(at - a + shingle, b - a))).tobytes())
+    return out
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' shingles are alike; only the texts that some pair asks for are moved."""
+    """The pairs (a, b) of doc_ids whose texts' shingles are alike; only texts that some pair asks for are looked at."""
     spark = docs.sparkSession
     pairs = shared_table(spark, pairs.select("a", "b").distinct(), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = shared_table(spark, docs.join(asked, "doc_id").dropDuplicates(["doc_id"]), "asked")
-    pairs = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def cut(batches):
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shingle_sets(batch.column("text"), shingle), pa.binary())], names=["node", "shingles"])
+
+    held = docs.join(asked, "doc_id").select("doc_id", "text").mapInArrow(cut, "node long, shingles binary")
+    # the rows of one doc_id are one document; its smallest text counts
+    held = shared_table(spark, held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+    side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches):
-        for batch in batches:
-            texts = zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True)
-            ok = pa.array([_similarity(a, b, shingle) >= similarity for a, b in texts], pa.bool_())
+        for batch in pieces(batches, "of_a"):
+            ok = []
+            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
-    return shared_table(spark, pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "alike")
+    return shared_table(spark, pairs.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long"), "alike")
 
 
 def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
-    """(key, node, fp, first): the buckets of two texts or more; ``first`` has the smallest node and its fingerprint.
+    """(key, node, fp, n): the buckets of two texts or more, n being their texts.
 
     Each of a text's fingerprints ``fps`` goes to buckets of its own seed, so that two texts within ``distance``
     bits by any seed meet.
     """
+    spark = nodes.sparkSession
     masks = block_masks(blocks_for(nodes.count(), distance), distance)
     rows = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
     keyed = F.explode(F.array(*(F.xxhash64(F.lit(i), "seed", F.col("fp").bitwiseAND(F.lit(_long(m)))) for i, m in enumerate(masks))))
-    bucket = Window.partitionBy("key")
-    rows = rows.select(keyed.alias("key"), "node", "fp").withColumn("n", F.count("*").over(bucket)).withColumn("first", F.min(F.struct("node", "fp")).over(bucket))
-    return shared_table(nodes.sparkSession, rows.filter("n > 1"), "buckets")
+    rows = rows.select(keyed.alias("key"), "node", "fp")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return shared_table(spark, rows.join(shared, "key"), "buckets")
+
+
+def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b), each once, that differ in ``FAR_ALL`` bits of all seeds together at most."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("fps").alias(f"of_{x}"))
+    pairs = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    bits = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: _differing(x, y)), F.lit(0), lambda t, x: t + x)
+    return pairs.filter(bits <= FAR_ALL).select("a", "b")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, block: int = 1024) -> DataFrame:
-    """The doc_ids whose text has a near copy, or an exact one, of a smaller doc_id: by SimHash and exact check.
+def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, block: int = 1024) -> DataFrame:
+    """(doc_id, group): the documents that have near copies or exact ones, and the smallest doc_id of their group.
 
     ``SEEDS`` independent fingerprints of the set of words propose pairs: those that meet in a bucket of any seed
-    (within ``distance`` bits they always do) and differ there in ``FAR`` bits at most. A near copy is a pair whose
-    shingles have a Jaccard similarity of ``similarity`` or more. Each text is checked against the smallest of its
-    buckets first, and where that is no near copy, against all smaller ones: in a bucket of n texts of which r are
-    left that makes r * n pairs at most, met in parts of ``block`` texts. Pairs that meet by no seed are not found.
+    (within ``distance`` bits they always do) and differ in ``FAR`` bits there, and in ``FAR_ALL`` bits of all seeds
+    together, at most. A near copy is a pair whose shingles have a Jaccard similarity of ``similarity`` or more; groups
+    are what such pairs connect. Each text is checked against two hubs of its buckets first: the smallest, and the one
+    that meets most others, which is the original of its edited copies as a rule. Pairs that these links have put into
+    one group already need no check. The others of a bucket are checked pair by pair, in parts of ``block`` texts: where
+    r texts lie outside the largest group of a bucket of n, r * n pairs at most. Pairs that meet by no seed are not found.
     Rows of one doc_id count as one document; rows with a null doc_id are left out.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * SEEDS, pa.int32()), pa.array(word_prints(batch.column("text")).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), fps], names=["doc_id", "copy", "fps"])
 
@@ -254,24 +292,41 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, dist
     prints = shared_table(spark, prints, "word-prints")
     nodes = shared_table(spark, prints.groupBy("copy", "fps").agg(F.min("doc_id").alias("node")), "texts")
     met = _meetings(nodes, distance)
-    near = met.filter((F.col("first.node") < F.col("node")) & (_differing("fp", "first.fp") <= FAR))
-    found = _alike(near.select(F.col("first.node").alias("a"), F.col("node").alias("b")), docs, similarity, shingle).select("b").distinct()
-    met = met.filter("n > 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).filter(F.col("node") != F.col("first.node"))
-    left = met.join(found, F.col("node") == F.col("b"), "left_anti")
-    left = left.select("key", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    smaller = met.select("key", F.col("node").alias("a"), "fp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
-    pairs = left.join(smaller, ["key", "part"]).filter((F.col("a") < F.col("b")) & (_differing("fp", "b_fp") <= FAR))
-    found = found.union(_alike(pairs, docs, similarity, shingle).select("b")).distinct()
-    copies = prints.join(nodes, ["copy", "fps"])
-    return copies.join(found, F.col("node") == F.col("b"), "left").filter("doc_id > node OR b IS NOT NULL").select("doc_id")
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    hub = lambda df, by: df.groupBy("key").agg(F.max_by(F.struct("node", "fp"), by).alias("hub"))
+    hubs = hub(met, -F.col("node")).union(hub(met.filter("n > 2").join(weight, "node"), F.struct("weight", -F.col("node")))).distinct()
+    near = met.join(hubs, "key").filter((F.col("hub.node") != F.col("node")) & (_differing("fp", "hub.fp") <= FAR))
+    near = near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    edges = _alike(_sieved(near, nodes), docs, similarity, shingle)
+    roots = shared_table(spark, components(edges), "roots")
+
+    met = met.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = shared_table(spark, met.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "rooted")
+    mode = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("mode"), F.count("*").alias("roots"))
+    mode = mode.filter("roots > 1").drop("roots")
+    split = met.join(mode, "key")
+    left = split.filter("root <> mode").select("key", F.col("node").alias("x"), F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    every = split.select("key", F.col("node").alias("y"), "fp", "root", "mode", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
+    pairs = left.join(every, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("mode")) | (F.col("x") < F.col("y"))) & (_differing("fp", "x_fp") <= FAR))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    edges = edges.union(_alike(_sieved(pairs, nodes), docs, similarity, shingle))
+    roots = shared_table(spark, components(edges), "roots")
+    copies = prints.join(nodes, ["copy", "fps"]).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group"))
+    # rows of one doc_id whose texts lie in different groups: the smallest counts
+    return copies.groupBy("doc_id").agg(F.min("group").alias("group"))
 
 
 def drop_similar(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without those of ``near_copies``: of two near copies that are found the smaller doc_id stays,
-    unless it is itself a near copy of a smaller one.
+    """The rows of ``docs`` without those of ``near_groups`` but the smallest doc_id of each group.
 
-    Of rows that share a doc_id one stays. Rows with a null doc_id all stay.
+    Of rows that share a doc_id the one with the smallest text stays (of equal texts the smallest row, columns in
+    order). Rows with a null doc_id all stay. A null text counts as empty; texts without words are copies of each other.
     """
-    gone = near_copies(docs.select("doc_id", "text"), **how).distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+    gone = near_groups(docs.select("doc_id", "text"), **how).filter(F.col("doc_id") > F.col("group")).select("doc_id")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = shared_table(docs.sparkSession, named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    alone = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
+    first = first.select("doc_id", "r.*").select(*docs.columns)
+    return alone.union(first).union(docs.filter(F.col("doc_id").isNull()))
