@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed together; the arrays beside them take about 60 times as much.
 CHUNK_BYTES = 1 << 20
-#: Bytes of an Arrow batch between Spark and Python.
+#: Bytes of an Arrow batch that Spark sends to Python.
 BATCH_BYTES = 4 << 20
 #: Spark's regular expression for a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +29,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches of ``BATCH_BYTES`` at most to and from Python; texts are long, and a batch is held
-    several times over on either side."""
-    for way in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
-        spark.conf.set(f"spark.sql.execution.arrow.{way}", str(BATCH_BYTES))
+    """The session, with Arrow batches of ``BATCH_BYTES`` at most on their way to Python; texts are long, and a batch is
+    held several times over on either side. (The bound on batches that come back loses columns in Spark 4.1.2; the
+    operators send small ones by themselves.)"""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -428,6 +428,48 @@ def test_toxicity_of_long_runs(plain_reader, text):
     assert "stupid" in restorer.text(text)
 
 
+def test_viterbi_against_all_paths(plain_reader):
+    model = plain_reader[0].model
+    rng = random.Random(12)
+
+    def paths(arcs, i):
+        if i == len(arcs):
+            yield "", 0.0
+            return
+        for j, letters, cost in arcs[i]:
+            for rest, more in paths(arcs, j):
+                yield letters + rest, cost + more
+
+    def score(read):
+        total, h = 0.0, toxicity.START
+        for c in read + toxicity.END:
+            end = c in " " + toxicity.END
+            total += model.log(h, toxicity.END if end else c)
+            h = toxicity.START if end else h[1:] + c
+        return total
+
+    words = ["1d10t", "l0ser", "s t u p i d", "y 0 u a r e", "coofffee", "s.t.u", "2", "$t0p1d!!"]
+    words += ["".join(rng.choice("stu1d0. i$") for _ in range(rng.randrange(1, 9))).strip() or "x" for _ in range(60)]
+    for word in words:
+        best = max(score(read) - cost for read, cost in paths(toxicity.lattice(word), 0))
+        got = toxicity.decode(word, model)
+        assert max(score(read) - cost for read, cost in paths(toxicity.lattice(word), 0) if read == got) == pytest.approx(best), word
+
+
+def test_spaced_runs_are_cut_into_words(plain_reader):
+    restorer, classifier = plain_reader
+    assert restorer.run("y o u a r e s t u p 1 d") == "you are stupid"
+    assert restorer.text("Then: y 0 u\ta r e  l o s e r and lily") == "then you are  loser and lily"
+    assert classifier.found(restorer, "y o u a r e a n i d i o t") == ["idiot"]
+
+
+def test_a_score_of_one_half(spark, plain_reader):
+    rows = spark.createDataFrame([(1, ""), (1, ""), (2, None), (3, "rose")], "doc_id long, text string")
+    got = toxicity.score_toxicity(rows, plain_reader[1]).collect()
+    assert {(r["score"], r["predicted"]) for r in got} == {(0.5, 1)} and len(got) == 4
+    assert toxicity.drop_toxic(rows, plain_reader[1]).count() == 0
+
+
 def test_doubled_letters_and_signs_alone(plain_reader):
     restorer, classifier = plain_reader
     assert [restorer.word(w) for w in ("stuupiid", "iddiott", "looserr", "coffee", "cofffee", "street", "1!1y", "!d!0+", "1|1y", "2024", "|", "--")] == ["stupid", "idiot", "loser", "coffee", "coffee", "street", "lily", "idiot", "lily", "2024", "", ""]
