@@ -573,9 +573,35 @@ def test_fingerprints(docs, rows, nothing, monkeypatch):
 
 def test_sketches_retry(spark):
     a, b = list(range(0, 400)), list(range(300, 900))
-    rows = spark.createDataFrame([(1, a, b), (2, a, a), (3, [], [])], "rid long, a array<long>, b array<long>")
+    rows = spark.createDataFrame([(1, a, b), (2, a, a), (3, [], []), (4, [k * 0x1E3779B97F4A7C15 % 2**62 for k in (1, 2, 3)], [k * 0x1E3779B97F4A7C15 % 2**62 for k in (2, 3, 4, 5)])], "rid long, a array<long>, b array<long>")
+    rows = rows.withColumn("a_print", fingerprints.fingerprint(F.col("a"))).withColumn("b_print", fingerprints.fingerprint(F.col("b")))
     got = {r["rid"]: (r["plus"], r["minus"]) for r in fingerprints.differences(rows, [("a", "b", 0.01)], 4).collect()}
-    assert got == {1: (300, 500)}
+    assert got == {1: (300, 500), 4: (1, 2)}
+    # the fingerprints alone do for a few differing digests, not for hundreds
+    first = {r["rid"]: (r["plus"], r["minus"]) for r in fingerprints._first(rows, [("a", "b", 0.01)], 4).filter("left = 0").collect()}
+    assert first == {4: (1, 2)}
+
+
+def test_differing_digests_from_two_strings(spark):
+    """The cells of two strings, subtracted and peeled by hand, give the digests that differ; counts are the sizes."""
+    rng = random.Random(18)
+    shared = [rng.getrandbits(63) - 2**62 for _ in range(70000)]
+    more, less = [rng.getrandbits(63) - 2**62 for _ in range(5)], [rng.getrandbits(63) - 2**62 for _ in range(4)]
+    for common in (shared[:30], shared):
+        rows = spark.createDataFrame([(common + more, common + less)], "a array<long>, b array<long>")
+        rows = rows.select(fingerprints.fingerprint(F.col("a")).alias("x"), fingerprints.fingerprint(F.col("b")).alias("y"))
+        r = rows.select("x", "y", fingerprints.subtract(F.col("x"), F.col("y")).alias("d"), fingerprints.count_of(F.col("x")).alias("n")).first()
+        assert r["n"] == len(common) + 5 and len(r["x"]) == 24 * 32 and r["x"] != r["y"]
+        cells = {c["cell"]: [c["sign"], c["key"], c["check"]] for c in r["d"]}
+        hash_of = lambda k: xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42) & 0xFFFFFFFF
+        got = {1: set(), -1: set()}
+        while alone := [(c, v) for c, v in cells.items() if abs(v[0]) == 1 and hash_of(v[1]) == v[2]]:
+            sign, key, check = alone[0][1]
+            got[sign].add(key)
+            for j in range(3):
+                c = j * 8 + (key >> (7 * j + 5) & 7)
+                cells[c] = [cells[c][0] - sign, cells[c][1] ^ key, cells[c][2] ^ check]
+        assert not any(map(any, cells.values())) and got == {1: set(more), -1: set(less)}
 
 
 def test_range_search(spark):
