@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed together; the arrays beside them take about 60 times as much.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a row group of an intermediate table.
+GROUP_BYTES = 16 << 20
 #: Bytes of an Arrow batch that Spark sends to Python.
 BATCH_BYTES = 4 << 20
 #: Spark's regular expression for a word.
@@ -51,7 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_table(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again; this cuts its lineage."""
     path = f"{shared_dir(bounded_batches(spark))}/tallyrank/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # a task that writes or reads holds a row group, and rows of packed arrays are long
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
