@@ -93,7 +93,21 @@ def duplicate_ratio(text: Column, size: int = 200) -> Column:
     return F.when(n == 0, 1.0).otherwise(1.0 - F.size(F.array_distinct(parts)) / F.size(parts))
 
 
+def filled(template: str, **parts: Column) -> Column:
+    """A template with columns in its braces."""
+    import re
+
+    cut = re.split(r"{(\w+)}", template)
+    return F.concat(*(parts[x] if i % 2 else F.lit(x) for i, x in enumerate(cut) if x))
+
+
+def known_sector(sector: str | None) -> str:
+    """A sector as the tables know it."""
+    return (sector or "").upper().strip() or "TECH"
+
+
 def education_bonus(education: Column, sector: str) -> Column:
+    sector = known_sector(sector)
     sector_words = K.EDUCATION.get(sector, K.EDUCATION["TECH"])
     low = F.lower(F.coalesce(education, F.lit("")))
     has = F.exists(lit_array(sector_words), lambda w: F.contains(low, w))

@@ -2,11 +2,12 @@
 
 # fixed values: words that no query counts
 STOP_WORDS = (
-    "the and for with a of to in is at by from on an this that these those are be been being have has had do does did "
-    "but or as if then else when where why how all any both each few more most other some such no nor not only own same so "
-    "than too very s t can will just should now using experience work working knowledge skills ability years role team "
-    "development engineer developer management systems solutions services infrastructure"
-).split()
+    "the", "and", "for", "with", "a", "of", "to", "in", "is", "at", "by", "from", "on", "an", "this", "that", "these", "those", "are", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "but", "or", "as", "if", "then", "else", "when", "where", "why", "how", "all", "any", "both",
+    "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
+    "will", "just", "should", "now", "using", "experience", "work", "working", "knowledge", "skills", "ability", "years", "role", "team",
+    "development", "engineer", "developer", "management", "systems", "solutions", "services", "infrastructure",
+)
 
 # fixed values: level of a title by the first word it contains, in this order; otherwise 2
 TITLE_LEVELS = (("director", 6), ("principal", 5), ("staff", 5), ("lead", 4), ("head", 4), ("senior", 3), ("sr", 3), ("junior", 1), ("jr", 1), ("intern", 0), ("co-op", 0), ("associate", 1))
@@ -89,16 +90,58 @@ DOMAIN_TERMS = {
         ("Terraform modules", "Istio", "Helm charts", "Prometheus metrics", "Grafana dashboards", "ArgoCD", "Kubernetes", "AWS"),
     ),
 }
+# fixed values: titles of the lines that a search adds
 TERM_TITLES = ("Architectures", "Debugging & Failure Modes", "Performance Optimization", "Adjacent Expertise")
+# fixed values: words for the behaviour of a seniority
 BEHAVIOUR = {
     "Junior": ("learning", "exposure to", "worked under", "assisted in", "monitored"),
     "Senior": ("designed", "led", "owned", "migrated", "reduced latency by", "scaled system limits", "diagnosed production issues"),
     "Lead": ("mentored", "architected", "defined standards", "drove adoption", "RFC processes", "established engineering standards", "guided junior developers"),
 }
+# fixed values: technologies that a description may name
 TECH_STACK = ("React", "TypeScript", "Python", "Node.js", "Go", "Kubernetes", "AWS", "Terraform", "Docker", "PostgreSQL", "Redis", "FastAPI", "PyTorch", "Git", "Django", "Java", "Svelte", "Vue", "GraphQL")
 
-# fixed values: a role by the first group of words that a title contains, in this order; otherwise Other
+# fixed values: headers of the export
 EXPORT_HEADERS = ("Rank", "Candidate ID", "Name", "Current Title", "Years Experience", "Career Velocity (0-10)", "Freshness Label", "Status Label", "Semantic Score (raw)", "Education Bonus", "Final Composite Score", "Confidential Reasoning")
+
+# fixed values: a role by the first group of words that a title contains, in this order; otherwise Other
 ROLES = (("Frontend", ("frontend", "react")), ("Backend", ("backend", "api", "distributed")), ("Machine Learning", ("ml", "data scientist", "ai", "nlp")), ("DevOps", ("devops", "sre", "cloud")))
+
+# fixed values: bands of experience
 BANDS = ("Junior (<2 yrs)", "Mid (2-5 yrs)", "Senior (5-8 yrs)", "Lead/Principal (>8 yrs)")
+
+# fixed values: states of activity
 STATES = ("Active Now", "Recent", "Dormant")
+
+# fixed values: the encoder of a sector, and that of all others
+ENCODERS = {
+    "TECH": "microsoft/codebert-base", "FIN": "ProsusAI/finbert", "HEALTH": "dmis-lab/biobert-base-cased-v1.2", "LEGAL": "nlpaueb/legal-bert-small-uncased",
+    "REAL": "llmware/industry-bert-asset-management-v0.1", "MANU": "cea-list-ia/ManufactuBERT", "COMM": "nlptown/bert-base-multilingual-uncased-sentiment",
+    "LOGI": "inovex/multi2convai-logistics-en-bert", "MEDIA": "cardiffnlp/twitter-roberta-base", "ENERGY": "Master-AI-Lab/EnergyBERT", "EDU": "vasugoel/K-12BERT",
+    "GOV": "ESGBERT/GovRoBERTa-governance",
+}
+OTHER_ENCODER = "cross-encoder/ms-marco-MiniLM-L-6-v2"
+
+# fixed values: sentences of the reason that is given for a score
+REASONS = {
+    "capped": "{name} presents {years} years of experience for a senior role; capped at 65 due to lack of deep background.",
+    "stuffed": "{name} lists a dense skill set ({n_skills} skills) with a very brief resume text; penalized for potential keyword stuffing.",
+    "dormant": "Exceptional {fit} ({semantic}% semantic match) — but profile dormant. High skill match, low active intent signal.",
+    "top": "Elite candidate showing exceptional career velocity. {path}{skills} High-caliber {leader}.",
+    "solid": "Strong matching profile. {path}{skills} Steady career progression and solid competence.",
+    "potential": "Satisfactory skills align with core stack, though profile freshness or experience velocity remains moderate.{skills}",
+    "longshot": "Insufficient contextual relevance or dormant profile activity makes this candidate a low-priority match.",
+    "path": "Progressed from {earliest} to {title} over {years} years.",
+    "no path": "Demonstrates {years} years of experience as {title}.",
+    "skills": " Aligned with core requirements in {matched}.",
+}
+
+# fixed value: the flag of repeated content; the percentage is filled in
+DUPLICATE_FLAG = "⚠ Duplicate content detected (%.0f%% repeated)"
+
+# fixed values: strengths and weaknesses that fill up a comparison
+STRENGTHS = ("Experience profile", "Career history progression", "Self-declared skill alignment")
+WEAKNESSES = ("Profile details verification", "Missing adjacent stack elements")
+
+# fixed value: the head of a resume in a request for many
+RESUME_HEAD = "===== RESUME {n} ({file}) ====="

@@ -45,11 +45,16 @@ def compare(a: tuple, b: tuple) -> int:
     return (gap < 0) - (gap > 0)
 
 
-def rank_exact(scored: DataFrame) -> DataFrame:
-    """(rank, candidate_id): the comparator over rows ordered by semantic depth, then id. One task, by its nature."""
+def rank_exact(scored: DataFrame, most: int = 100_000) -> DataFrame:
+    """(rank, candidate_id): the comparator over rows ordered by semantic depth, then id. One task, by its nature, so
+    lists of over ``most`` rows are an error; ``rank_total`` ranks those."""
 
     def run(frames):
-        rows = [r for f in frames for r in f.itertuples(index=False)]
+        rows = []
+        for f in frames:
+            rows += f.itertuples(index=False)
+            if len(rows) > most:
+                raise ValueError(f"rank_exact ranks {most} rows at most; use rank_total")
         rows.sort(key=lambda r: (-r.semantic, r.candidate_id))
         rows.sort(key=cmp_to_key(lambda x, y: compare((x.final_score, x.freshness_score), (y.final_score, y.freshness_score))))
         yield pd.DataFrame({"rank": range(1, len(rows) + 1), "candidate_id": [r.candidate_id for r in rows]})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
 from tallyrank.functions import constants as K
+from tallyrank.operators.order import numbered
 
 HISTORY = "array<struct<title:string,company:string,start_date:string,end_date:string>>"
 
@@ -81,9 +82,11 @@ def upsert(pool: DataFrame, incoming: DataFrame, order: str = "source_file") ->
     name is none are added. Merging the same batch again changes nothing.
     """
     pool = pool.select(*COLUMNS).withColumn("person", person_key(pool))
+    # only rows that have a person are dealt out by it
     first = W.partitionBy("person").orderBy("candidate_id")
-    pool = pool.withColumn("__nth", F.when(F.col("person").isNotNull(), F.row_number().over(first)).otherwise(0))
-    target, rest = pool.filter("__nth = 1").drop("__nth"), pool.filter("__nth <> 1").drop("__nth", "person")
+    named = pool.filter("person is not null").withColumn("__nth", F.row_number().over(first))
+    target = named.filter("__nth = 1").drop("__nth")
+    rest = named.filter("__nth > 1").drop("__nth", "person").unionByName(pool.filter("person is null").drop("person"))
     incoming = incoming.withColumn("candidate_id", F.lit(None).cast("string")).select(*COLUMNS)
     incoming = incoming.withColumn("person", person_key(incoming))
     named = target.withColumn("__new", F.lit(0)).unionByName(incoming.filter("person is not null").withColumn("__new", F.lit(1)))
@@ -95,6 +98,6 @@ def upsert(pool: DataFrame, incoming: DataFrame, order: str = "source_file") ->
 def allocate_ids(rows: DataFrame) -> DataFrame:
     """Numbers rows without a candidate_id on from the highest there is, by name and file."""
     top = rows.agg(F.coalesce(F.max(F.expr("try_cast(regexp_extract(candidate_id, '^cand_([0-9]+)$', 1) as bigint)")), F.lit(0)).alias("__top"))
-    new = rows.filter("candidate_id is null").withColumn("rn", F.row_number().over(W.orderBy("name", "source_file", "resume_text")))  # new rows only
-    new = new.join(F.broadcast(top)).withColumn("candidate_id", F.format_string("cand_%04d", F.col("__top") + F.col("rn")))
+    new = numbered(rows.filter("candidate_id is null"), F.asc("name"), F.asc("source_file"), F.asc("resume_text"))
+    new = new.join(F.broadcast(top)).withColumn("candidate_id", F.format_string("cand_%04d", F.col("__top") + F.col("rank")))  # one row
     return rows.filter("candidate_id is not null").unionByName(new.select(*rows.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
 from tallyrank.functions import constants as K
+from tallyrank.operators.order import numbered
 
 
 def words_of(text: str) -> list[str]:
@@ -33,6 +34,21 @@ def pool_limit(n: int) -> int:
 
 
 def prefilter(pool: DataFrame, query: str, keywords: list[str], key: Column | str = "candidate_id") -> DataFrame:
-    """The best of the pool; ties go by the key. A global top-k: sorted parts are merged, the pool is not."""
+    """The best of the pool; ties go by the key.
+
+    Scores are few whole numbers: their counts give the pool's size and the score at the edge, all above it are in, and
+    only the rows at the edge are numbered. Nothing is sorted as a whole. The pool is read twice.
+    """
     scored = keyword_scores(pool, query, keywords)
-    return scored.orderBy(F.desc("keyword_score"), key).limit(pool_limit(pool.count()))
+    counts = sorted(((r["keyword_score"], r["n"]) for r in scored.groupBy("keyword_score").agg(F.count("*").alias("n")).collect()), reverse=True)
+    left = pool_limit(sum(n for _, n in counts))
+    for edge, n in counts:
+        if left <= n:
+            break
+        left -= n
+    else:
+        return scored
+    at_edge = scored.filter(F.col("keyword_score") == edge)
+    if left < n:
+        at_edge = numbered(at_edge, F.asc(key) if isinstance(key, str) else key).filter(F.col("rank") <= left).drop("rank")
+    return scored.filter(F.col("keyword_score") > edge).unionByName(at_edge)

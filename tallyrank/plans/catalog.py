@@ -10,7 +10,7 @@ from tallyrank.functions import constants as K
 from tallyrank.operators import chunking, copilot, expansion, ocr, order, pool, prefilter, score, stats, vectors
 from tallyrank.plans import sql as S
 from tallyrank.plans.view import AS_OF, candidates, read
-from tallyrank.sources.store import PoolStore, export_rows, shared_dir
+from tallyrank.sources.store import PoolStore, export_columns, export_rows, shared_dir, written
 from tallyrank.streaming.ingest import ingest_batch
 
 REQUEST = score.Request(S.QUERY, S.KEYWORDS, AS_OF)
@@ -51,7 +51,7 @@ def keyword_presence(spark, d):
 
 @query(S.over("top", "SELECT candidate_id, overlap, title_bonus, kw_bonus, kscore AS score FROM top WHERE raw > 0 OR kscore = 0 QUALIFY row_number() OVER (ORDER BY kscore DESC, candidate_id) <= (SELECT least(count(*), greatest(50, floor(0.2 * count(*)))) FROM top)"))
 def keyword_prefilter(spark, d):
-    best = prefilter.prefilter(candidates(spark, d), REQUEST.query, list(REQUEST.keywords))
+    best = prefilter.prefilter(written(candidates(spark, d), "view"), REQUEST.query, list(REQUEST.keywords))
     return best.select("candidate_id", "overlap", "title_bonus", "kw_bonus", F.col("keyword_score").alias("score"))
 
 
@@ -89,8 +89,9 @@ def semantic_normalised(spark, d):
     return rows.select("candidate_id", F.round("semantic", 6).alias("semantic"))
 
 
-def scored(spark, d):
-    return score.scored_pool(candidates(spark, d), REQUEST)
+def scored(spark, d, request=REQUEST):
+    """The scored view. The view is written once: the prefilter, the scales and the scores each read it."""
+    return score.scored_pool(written(candidates(spark, d), "view"), request)
 
 
 @query(S.over("labelled", "SELECT candidate_id, final_score, semantic_score, velocity_score, status_label, capped FROM labelled"))
@@ -247,7 +248,7 @@ def _files(rows: DataFrame) -> DataFrame:
     len(list_distinct(CASE WHEN a.k IS NULL THEN b.hk ELSE a.hk END)) AS n_jobs, greatest(coalesce(a.years_experience, b.years_experience + 1), coalesce(b.years_experience + 1, a.years_experience)) AS years
     FROM (SELECT a.*, coalesce(hk, []) AS hk FROM a LEFT JOIN (SELECT k, list(title || company || start_date) AS hk FROM jobs GROUP BY k) h USING (k)) a
     FULL JOIN (SELECT b.*, coalesce(hk, []) AS hk FROM b LEFT JOIN (SELECT k, list(title || company || start_date) AS hk FROM jobs GROUP BY k) h USING (k)) b ON a.name = b.name)
-  SELECT name, coalesce(id, 'cand_' || CASE WHEN nid < 10000 THEN lpad(CAST(nid AS VARCHAR), 4, '0') ELSE CAST(nid AS VARCHAR) END) AS candidate_id, n_skills, n_jobs, years FROM (
+  SELECT name, coalesce(id, printf('cand_%04d', nid)) AS candidate_id, n_skills, n_jobs, years FROM (
     SELECT *, (SELECT max(CAST(substr(id, 6) AS BIGINT)) FROM m) + CASE WHEN id IS NULL THEN row_number() OVER (PARTITION BY id IS NULL ORDER BY name) END AS nid FROM m)"""))
 def upsert_merge(spark, d):
     rows = _files(candidates(spark, d))
@@ -256,7 +257,7 @@ def upsert_merge(spark, d):
     return merged.select("name", "candidate_id", F.size("skills_listed").alias("n_skills"), F.size("career_history").alias("n_jobs"), F.col("years_experience").alias("years"))
 
 
-@query("SELECT c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN 'cand_' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE 'cand_' || (SELECT CASE WHEN max(c_custkey) + n < 10000 THEN lpad(CAST(max(c_custkey) + n AS VARCHAR), 4, '0') ELSE CAST(max(c_custkey) + n AS VARCHAR) END FROM customer c2 WHERE c2.c_custkey % 4 > 0) END AS candidate_id FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END AS n FROM customer)")
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN printf('cand_%04d', c_custkey) ELSE printf('cand_%04d', n + (SELECT max(c_custkey) FROM customer c2 WHERE c2.c_custkey % 4 > 0)) END AS candidate_id FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END AS n FROM customer)")
 def id_allocation(spark, d):
     rows = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 > 0, F.format_string("cand_%04d", "c_custkey")).alias("candidate_id"), F.lit("").alias("source_file"), F.lit("").alias("resume_text"))
     return pool.allocate_ids(rows).select("name", "candidate_id")
@@ -271,7 +272,7 @@ def similar_candidates(spark, d):
 
 IDS = ["cand_0012", "cand_0005", "cand_0031", "cand_9999999"]
 COMPARE_SQL = S.over("ranked", "SELECT * FROM ranked")
-for _a, _b in ((S.PARTS["cand"], S.PARTS["cand"] + f" WHERE 'cand_' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') IN ({S.listed(IDS)[1:-1]})"), (S.PARTS["top"], "SELECT *, 0.5 AS raw FROM kw")):
+for _a, _b in ((S.PARTS["cand"], S.PARTS["cand"] + f" WHERE printf('cand_%04d', c_custkey) IN ({S.listed(IDS)[1:-1]})"), (S.PARTS["top"], "SELECT *, 0.5 AS raw FROM kw")):
     COMPARE_SQL = COMPARE_SQL.replace(_a, _b)
 
 
@@ -284,7 +285,7 @@ def compare_top2(spark, d):
 
 @query(S.over("ranked", "SELECT " + ", ".join(f'{c} AS "{h}"' for c, h in zip(("rank", "candidate_id", "name", "current_title", "years_experience", "velocity_score", "label", "status_label", "semantic_score", "bonus", "final_score", "reasoning"), K.EXPORT_HEADERS, strict=True)) + " FROM ranked"))
 def csv_brief(spark, d):
-    return export_rows(order.rank_total(scored(spark, d)))
+    return export_rows(order.rank_total(export_columns(scored(spark, d))))
 
 
 @query(S.over("gap", "SELECT candidate_id, 'The job needs hands-on experience with ' || coalesce(missing[1], 'System Optimization') || '. How would you approach adopting it?' AS question2, 'You listed ' || coalesce(matched[1], 'Python') || ' as a strength. Which non-obvious failure mode did you meet in production?' AS question5 FROM gap"))

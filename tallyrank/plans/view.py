@@ -1,4 +1,4 @@
-"""Candidates over the driver's tables: customers that have a document, with orders as jobs and parts as skills."""
+"""Candidates over the driver's tables: customers, with orders as jobs, parts as skills and a document as resume (empty where there is none)."""
 
 from __future__ import annotations
 
@@ -28,11 +28,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = items.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).join(orders.select("o_orderkey", F.col("o_custkey").alias("k")), "o_orderkey")
     skills = bought.join(read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("skill")), "p_partkey")
     skills = skills.groupBy("k").agg(F.array_sort(F.collect_set("skill")).alias("skills_listed"))
-    base = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey"), F.col("text").alias("resume_text")), "c_custkey").withColumnRenamed("c_custkey", "k")
+    base = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey"), F.coalesce("text", F.lit("")).alias("resume_text")), "c_custkey", "left").withColumn("resume_text", F.coalesce("resume_text", F.lit(""))).withColumnRenamed("c_custkey", "k")
     study = F.create_map(*(F.lit(x) for x in ("AUTOMOBILE", "BSc Mechanical Engineering", "BUILDING", "BS Computer Science", "FURNITURE", "MBA", "HOUSEHOLD", "Nursing", "MACHINERY", "MSc CS")))
     years = F.round(F.col("days") / 365.25, 1)
     return base.join(history, "k", "left").join(skills, "k", "left").select(
-        F.concat(F.lit("cand_"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("candidate_id"),
+        F.format_string("cand_%04d", "k").alias("candidate_id"),
         F.col("c_name").alias("name"),
         F.coalesce(F.get("career_history", F.lit(0))["title"], F.lit("Software Engineer")).alias("current_title"),
         F.when(F.col("k") % 10 == 3, F.least(years, F.lit(1.5))).otherwise(F.coalesce(years, F.lit(1.0))).alias("years_experience"),

@@ -47,10 +47,17 @@ class PoolStore:
         return self.write(self.spark.createDataFrame([], schema))
 
 
+EXPORTED = ("rank", "candidate_id", "name", "current_title", "years_experience", "velocity_score", "freshness_label", "status_label", "semantic_score", "education_bonus", "final_score", "reasoning")
+
+
+def export_columns(scored: DataFrame) -> DataFrame:
+    """What ranking and export need, so that the rest of the rows (their texts) is not sorted."""
+    return scored.select(*EXPORTED[1:], "freshness_score")
+
+
 def export_rows(ranked: DataFrame) -> DataFrame:
     """The twelve export columns, by rank."""
-    columns = ("rank", "candidate_id", "name", "current_title", "years_experience", "velocity_score", "freshness_label", "status_label", "semantic_score", "education_bonus", "final_score", "reasoning")
-    return ranked.select(*(F.col(c).alias(h) for c, h in zip(columns, K.EXPORT_HEADERS, strict=True)))
+    return ranked.select(*(F.col(c).alias(h) for c, h in zip(EXPORTED, K.EXPORT_HEADERS, strict=True)))
 
 
 def write_csv(ranked: DataFrame, path: str) -> None:
@@ -81,7 +88,22 @@ def markdown_brief(ranked: DataFrame, description: str, seniority: str, sector:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a
+    temporary folder; on a cluster, where executors would not see that, it is an error."""
+    import re
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyrank-")).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tallyrank-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what is read several times."""
+    path = f"{shared_dir(df.sparkSession)}/tallyrank/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
