@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyrank.functions import constants as K
+
 
 def similar_request(title: Column, skills: Column) -> Column:
     return F.concat(F.lit("Looking for a "), title, F.lit(" skilled in "), F.array_join(skills, ", "), F.lit("."))
@@ -42,15 +44,42 @@ def history_lines(history: Column) -> Column:
     return F.array_join(F.transform(history, lambda j: F.concat(F.lit("- "), part(j, "title", "None"), F.lit(" at "), part(j, "company", "None"), F.lit(" ("), part(j, "start_date", "None"), F.lit(" to "), part(j, "end_date", "None"), F.lit(")"))), "\n")
 
 
+def fact_sheet() -> Column:
+    """A candidate as lines of facts, for a request about several."""
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
+    facts = (
+        ("Name", F.col("name")), ("Title", F.col("current_title")), ("Experience", F.concat(F.col("years_experience").cast("string"), F.lit(" years"))),
+        ("Final Score", F.col("final_score").cast("string")), ("Semantic Depth", F.concat(F.col("semantic_score").cast("string"), F.lit("%"))),
+        ("Velocity Score", F.concat(F.col("velocity_score").cast("string"), F.lit("/10"))), ("Freshness", F.col("freshness_label")), ("Skills", listed("skills_listed")),
+        ("Matches", listed("matched_skills")), ("Gaps", listed("missing_skills")), ("Pitch", F.col("reasoning")),
+    )
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit("None"))) for k, v in facts))
+
+
 def strengths(matched: Column) -> Column:
     """Three: the first matched, or a stock one where none is, filled up by stock ones."""
-    base = F.when(F.size(matched) > 0, F.slice(matched, 1, 3)).otherwise(F.array(F.lit("Experience profile")))
-    return F.slice(F.concat(base, F.array(F.lit("Career history progression"), F.lit("Self-declared skill alignment"))), 1, 3)
+    base = F.when(F.size(matched) > 0, F.slice(matched, 1, 3)).otherwise(F.array(F.lit(K.STRENGTHS[0])))
+    return F.slice(F.concat(base, F.array(*map(F.lit, K.STRENGTHS[1:]))), 1, 3)
 
 
 def weaknesses(missing: Column) -> Column:
-    base = F.when(F.size(missing) > 0, F.slice(missing, 1, 2)).otherwise(F.array(F.lit("Profile details verification")))
-    return F.slice(F.concat(base, F.array(F.lit("Missing adjacent stack elements"))), 1, 2)
+    base = F.when(F.size(missing) > 0, F.slice(missing, 1, 2)).otherwise(F.array(F.lit(K.WEAKNESSES[0])))
+    return F.slice(F.concat(base, F.array(*map(F.lit, K.WEAKNESSES[1:]))), 1, 2)
+
+
+def synthesis(scored: DataFrame) -> DataFrame:
+    """One row of three texts about compared rows: strengths of the best two, trade-offs, a recommendation."""
+    row = F.struct(F.col("pos"), *(F.col(c) for c in ("name", "final_score", "years_experience", "velocity_score", "semantic_score", "matched_skills")))
+    listed = scored.agg(F.array_sort(F.collect_list(row)).alias("l"))  # as many rows as were compared
+    best = F.array_sort("l", lambda x, y: F.when(x["final_score"] > y["final_score"], -1).when(x["final_score"] < y["final_score"], 1).otherwise(F.when(x["pos"] < y["pos"], -1).otherwise(1)))
+    told = listed.select("l", F.get(best, F.lit(0)).alias("a"), F.get(best, F.lit(1)).alias("b"))
+    names = F.array_join(F.transform("l", lambda r: r["name"]), " vs ")
+    first = lambda r, n: F.array_join(F.slice(F.col(r)["matched_skills"], 1, n), ", ")
+    text = lambda c: c.cast("string")
+    head = F.concat(names, F.lit(": "), F.col("a")["name"], F.lit(" leads with a score of "), text(F.col("a")["final_score"]), F.lit(" and matches in "), first("a", 3), F.lit("."))
+    second = F.when(F.col("b").isNotNull(), F.concat(F.lit(" "), F.col("b")["name"], F.lit(" brings "), first("b", 2), F.lit(" and "), text(F.col("b")["years_experience"]), F.lit(" years of experience."))).otherwise("")
+    advice = F.concat(F.lit("Put "), F.col("a")["name"], F.lit(" first: a semantic match of "), text(F.col("a")["semantic_score"]), F.lit("% and a career velocity of "), text(F.col("a")["velocity_score"]), F.lit("/10."))
+    return told.select(F.concat(head, second).alias("strengths_synthesis"), F.lit("Long, steady experience stands against fast promotion and an active profile; weigh stability against speed of learning.").alias("tradeoffs_synthesis"), advice.alias("recruiter_recommendation"))
 
 
 def select_ids(pool: DataFrame, ids: list[str]) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
 from tallyrank.functions import constants as K
-from tallyrank.operators import chunking, copilot, expansion, ocr, order, pool, prefilter, score, stats, vectors
+from tallyrank.operators import chunking, copilot, expansion, ocr, order, parsing, pool, prefilter, rank, score, stats, vectors
 from tallyrank.plans import sql as S
 from tallyrank.plans.view import AS_OF, candidates, read
 from tallyrank.sources.store import PoolStore, export_columns, export_rows, shared_dir, written
+from tallyrank.sources import candidates as source
+from tallyrank.sources.generator import COHORTS, generate
 from tallyrank.streaming.ingest import ingest_batch
 
 REQUEST = score.Request(S.QUERY, S.KEYWORDS, AS_OF)
@@ -195,12 +198,13 @@ def _buckets(part: str, case: str, names=()) -> str:
     return S.over(part, counted)
 
 
-ROLE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(current_title), '{w}')" for w in ws)} THEN '{r}'" for r, ws in K.ROLES) + " ELSE 'Other' END"
+ROLE_TITLES = ("React Native Lead", "Frontend Dev", "API Engineer", "Distributed Systems", "HTML Writer", "Data Scientist", "Maintenance", "NLP Lead", "SRE", "Cloud Architect", "DevOps and Backend", "Nurse")
 
 
-@query(_buckets("cand", ROLE_SQL))
+@query(f"SELECT CASE {' '.join(f'WHEN {" OR ".join(f"contains(lower(t), '{w}')" for w in ws)} THEN {chr(39)}{r}{chr(39)}' for r, ws in K.ROLES)} ELSE 'Other' END AS bucket, count(*) AS n FROM (SELECT {S.listed(ROLE_TITLES)}[(c_custkey % {len(ROLE_TITLES)} + 1)::INT] AS t FROM customer) GROUP BY 1")
 def statistics_roles(spark, d):
-    return stats.role_counts(candidates(spark, d))
+    titles = F.element_at(C.lit_array(ROLE_TITLES), (F.col("c_custkey") % len(ROLE_TITLES) + 1).cast("int"))
+    return stats.role_counts(read(spark, d, "customer").select(titles.alias("current_title")))
 
 
 @query(_buckets("cand", f"CASE WHEN years_experience < 2 THEN '{K.BANDS[0]}' WHEN years_experience < 5 THEN '{K.BANDS[1]}' WHEN years_experience < 8 THEN '{K.BANDS[2]}' ELSE '{K.BANDS[3]}' END", K.BANDS))
@@ -288,10 +292,18 @@ def csv_brief(spark, d):
     return export_rows(order.rank_total(export_columns(scored(spark, d))))
 
 
-@query(S.over("gap", "SELECT candidate_id, 'The job needs hands-on experience with ' || coalesce(missing[1], 'System Optimization') || '. How would you approach adopting it?' AS question2, 'You listed ' || coalesce(matched[1], 'Python') || ' as a strength. Which non-obvious failure mode did you meet in production?' AS question5 FROM gap"))
+def _guide_sql(sector: str) -> str:
+    return f"""SELECT candidate_id, 'What was the most complex scaling challenge you owned in the {sector} space, and how did you solve it?' AS question1,
+      'The job needs hands-on experience with ' || coalesce(missing[1], 'System Optimization') || '. How would you approach adopting it?' AS question2,
+      'Another key requirement is ' || coalesce(missing[2], 'Architectural Patterns') || '. Which failure modes do you watch out for?' AS question3,
+      'Which engineering standards did you define at your previous companies?' AS question4,
+      'You listed ' || coalesce(matched[1], 'Python') || ' as a strength. Which non-obvious failure mode did you meet in production?' AS question5, 'sector,gap,gap,growth,strength' AS kinds FROM gap"""
+
+
+@query(S.over("gap", _guide_sql("FIN")))
 def question_guide(spark, d):
-    rows = score.skills_gap(candidates(spark, d), REQUEST.keywords).withColumn("g", copilot.question_guide())
-    return rows.select("candidate_id", F.element_at("g", 2)["question"].alias("question2"), F.element_at("g", 5)["question"].alias("question5"))
+    rows = score.skills_gap(candidates(spark, d), REQUEST.keywords).withColumn("g", copilot.question_guide("FIN"))
+    return rows.select("candidate_id", *(F.element_at("g", i)["question"].alias(f"question{i}") for i in range(1, 6)), F.array_join(F.transform("g", lambda q: q["kind"]), ",").alias("kinds"))
 
 
 @query(S.over("cand", "SELECT candidate_id, 'Subject: Career opportunity: ' || current_title || chr(10) || chr(10) || 'Hi ' || name || ',' || chr(10) || chr(10) || 'I came across your profile while sourcing for a ' || current_title || ' position. Your background as a ' || current_title || ' with ' || printf('%.1f', years_experience) || ' years of experience and your expertise in ' || CASE WHEN len(skills) > 0 THEN array_to_string(skills, ', ') ELSE 'cutting-edge engineering stacks' END || ' stood out.' || chr(10) || chr(10) || 'Would you be open to a short call this week?' || chr(10) || chr(10) || 'Best regards' AS text FROM cand"))
@@ -320,15 +332,31 @@ def jd_keywords(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(expansion.first_words(F.col("text")), " ").alias("words"))
 
 
-@query()
+def _has_word(text: str, word: str) -> str:
+    import re
+
+    return rf"regexp_matches(' ' || lower({text}) || ' ', '[^\p{{L}}\p{{N}}_]{re.escape(word)}[^\p{{L}}\p{{N}}_]')"
+
+
+DOMAIN_TEXT = "'we need ' || p_name || CASE p_partkey % 9 WHEN 0 THEN ' react.' WHEN 1 THEN ', Go and Redis' WHEN 2 THEN ' computer vision;' WHEN 3 THEN ' html+SRE' WHEN 4 THEN ' nlp_tools' WHEN 5 THEN ' Next.js' WHEN 6 THEN ' cloud ai ui' ELSE ' mail' END"
+DOMAIN_CASES = ", ".join(f"CASE WHEN {' OR '.join(_has_word('t', w) for w in ws)} THEN '{d}' END" for d, ws in K.DOMAIN_WORDS.items())
+
+
+@query(f"SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'Backend' END AS domains FROM (SELECT id, list_filter([{DOMAIN_CASES}], lambda x: x IS NOT NULL) AS l FROM (SELECT p_partkey AS id, {DOMAIN_TEXT} AS t FROM part UNION ALL SELECT -doc_id - 1, coalesce(text, '') FROM documents))")
 def query_domains(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.array_join(expansion.domain_flags(F.col("text")), ",").alias("domains"))
+    parts = read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.expr(DOMAIN_TEXT).alias("t"))
+    docs = read(spark, d, "documents").select((-F.col("doc_id") - 1).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    return parts.unionByName(docs).select("id", F.array_join(expansion.domain_flags(F.col("t")), ",").alias("domains"))
 
 
-@query()
+@query("""WITH boxes AS (SELECT l_orderkey AS doc, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) * 7)::DOUBLE AS y, (l_suppkey % 90)::DOUBLE AS x, CAST(l_partkey AS VARCHAR) AS t, CASE WHEN l_suppkey % 90 < 50 THEN 0 ELSE 1 END AS side FROM lineitem),
+  lined AS (SELECT *, max(side) OVER (PARTITION BY doc) AS two, floor((y / 7 - 1) / 2) AS line FROM boxes),
+  ls AS (SELECT doc, line, string_agg(t, ' ' ORDER BY x, t) AS text FROM lined WHERE two = 0 GROUP BY doc, line)
+SELECT doc, string_agg(t, chr(10) ORDER BY side, y, x, t) AS text FROM lined WHERE two = 1 GROUP BY doc
+UNION ALL SELECT doc, string_agg(text, chr(10) ORDER BY line) AS text FROM ls GROUP BY doc""")
 def ocr_pages(spark, d):
     """Boxes made from order lines: the order is the document, suppliers give the place."""
-    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(0).alias("page"), F.lit(100.0).alias("width"), (F.col("l_suppkey") % 90).cast("double").alias("x_min"), (F.col("l_suppkey") % 90 + 10).cast("double").alias("x_max"), (F.col("l_linenumber") * 7).cast("double").alias("y_min"), F.col("l_partkey").cast("string").alias("text"))
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(0).alias("page"), F.lit(100.0).alias("width"), (F.col("l_suppkey") % 90).cast("double").alias("x_min"), (F.col("l_suppkey") % 90 + 10).cast("double").alias("x_max"), (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) * 7).cast("double").alias("y_min"), F.col("l_partkey").cast("string").alias("text"))
     return ocr.document_text(ocr.page_text(rows))
 
 
@@ -348,3 +376,144 @@ def ingest_stream(spark, d):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(d)
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return store.read().agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.countDistinct("source_file").alias("files"))
+
+
+TYPED = score.Request(S.QUERY, S.KEYWORDS, AS_OF, seniority="senior", sector=" fin ")
+TYPED_SQL = S.over("final", "SELECT candidate_id, final_score, capped, bonus FROM final").replace(S.bonus("education"), S.bonus("education", "FIN"))
+
+
+@query(TYPED_SQL)
+def score_as_typed(spark, d):
+    """Seniority and sector as someone types them: the cap and the sector's words hold."""
+    return scored(spark, d, TYPED).select("candidate_id", "final_score", F.col("guardrail_seniority_cap_applied").alias("capped"), F.col("education_bonus").alias("bonus"))
+
+
+SECTOR_INPUT = (*K.SECTORS, "fin", " health ", "none", "")
+
+
+@query(f"SELECT c_custkey AS id, CASE up " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.ENCODERS.items()) + f" ELSE '{K.OTHER_ENCODER}' END AS encoder, CASE WHEN trim(up) IN ({S.listed(K.SECTORS)[1:-1]}) THEN trim(up) ELSE 'TECH' END AS sector FROM (SELECT c_custkey, upper({S.listed(SECTOR_INPUT)}[(c_custkey % {len(SECTOR_INPUT)} + 1)::INT]) AS up FROM customer)")
+def encoder_routing(spark, d):
+    typed = F.element_at(C.lit_array(SECTOR_INPUT), (F.col("c_custkey") % len(SECTOR_INPUT) + 1).cast("int"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), rank.encoder_column(typed).alias("encoder"), C.sector_or_default(typed).alias("sector"))
+
+
+@query(S.over("cand", "SELECT candidate_id, candidate_id AS id, name FROM cand WHERE candidate_id = 'cand_0012'"))
+def candidate_lookup(spark, d):
+    return rank.find(rank.with_id(candidates(spark, d)), "cand_0012").select("candidate_id", "id", "name")
+
+
+@query("SELECT c_custkey // 15 AS batch, count(*) AS n, string_agg('===== RESUME ' || (c_custkey % 15 + 1) || ' (' || c_name || ') =====' || chr(10) || c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey) AS prompt FROM customer GROUP BY 1")
+def batch_prompts(spark, d):
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("file"), F.col("c_mktsegment").alias("text"))
+    return parsing.batch_prompts(rows)
+
+
+@query("SELECT c_custkey AS pos, c_custkey // 15 AS batch, CASE WHEN c_custkey % 15 < (c_custkey // 15) % 17 THEN (c_custkey // 15) * 100 + c_custkey % 15 END AS record FROM customer")
+def records_by_position(spark, d):
+    """Arrays of records that are too short, empty or too long, matched to their batches by place."""
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("pos"))
+    answers = rows.select(F.floor(F.col("pos") / 15).alias("batch")).distinct().filter("batch % 17 > 0")
+    answers = answers.withColumn("records", F.transform(F.sequence(F.lit(0), (F.col("batch") % 17 - 1).cast("int")), lambda i: F.col("batch") * 100 + i))
+    matched, rest = parsing.zip_by_position(rows, answers)
+    return matched.select("pos", "batch", "record").unionByName(rest.select("pos", "batch", F.lit(None).cast("long").alias("record")))
+
+
+FILES = ("/in/jane_doe_resume.pdf", "Priya.Sharma-CV-final.PDF", "resume_2024.pdf", "a\\b\\Li.pdf", "X.pdf", "anna maria de la cruz.pdf", "JOHN 3 SMITH copy.docx", "new latest.pdf")
+NOISE = ("resume", "cv", "profile", "final", "updated", "copy", "new", "latest")
+
+
+@query(f"""SELECT id, CASE WHEN len(ws) BETWEEN 2 AND 4 OR (len(ws) = 1 AND length(ws[1]) > 2) THEN array_to_string(list_transform(ws, lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS name
+  FROM (SELECT id, list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_extract(f, '([^/\\\\]+)$', 1), '\.[^.]*$', ''), '[_\-.\s]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '\d') AND w NOT IN ({S.listed(NOISE)[1:-1]})) AS ws
+  FROM (SELECT c_custkey AS id, {S.listed(FILES)}[(c_custkey % 8 + 1)::INT] AS f FROM customer))""")
+def names_from_files(spark, d):
+    f = F.element_at(C.lit_array(FILES), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), C.name_from_file(f).alias("name"))
+
+
+@query(S.over("cand", f"""SELECT candidate_id, CASE WHEN valid THEN given ELSE 'Unknown Candidate' END AS name, NOT valid AS name_not_extracted FROM (SELECT candidate_id, given,
+  NOT (low IN ({S.listed(K.GENERIC_NAMES)[1:-1]}) OR len(ws) = 0 OR regexp_matches(given, '[/|]') OR low = lower(current_title)) AND len(list_filter(ws, lambda w: len(list_filter({S.listed(K.TITLE_WORDS)}, lambda t: contains(w, t))) > 0)) / greatest(len(ws), 1) < 0.5 AS valid
+  FROM (SELECT candidate_id, current_title, given, trim(lower(given)) AS low, list_filter(string_split_regex(regexp_replace(trim(lower(given)), '[/|\-]', ' ', 'g'), '\s+'), lambda w: w <> '') AS ws FROM (SELECT *, {S.listed(NAMES)}[(k % 8 + 1)::INT] AS given FROM cand)))"""))
+def names_kept(spark, d):
+    """Names that are none are replaced when a pool is scored."""
+    rows = candidates(spark, d).withColumn("name", F.element_at(C.lit_array(NAMES), (F.substring_index("candidate_id", "_", -1).cast("long") % 8 + 1).cast("int")))
+    return score.score(rows.withColumn("raw_semantic_score", F.lit(0.0)), REQUEST).select("candidate_id", "name", "name_not_extracted")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE round(greatest(0, date_diff('day', o_orderdate, CASE WHEN o_orderkey % 3 = 1 THEN {S.AS_OF} ELSE DATE '1996-06-30' END)) / 365.25, 6)::DOUBLE END AS years FROM orders")
+def years_span(spark, d):
+    k = F.col("o_orderkey") % 3
+    start = F.when(k > 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    end = F.when(k == 2, F.lit("June 1996")).otherwise(F.lit(None).cast("string"))
+    end = F.when(k == 2, F.lit("30 June 1996")).otherwise(end)
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(C.years_span(start, end, AS_OF), 6).alias("years"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion')")
+def keyword_mentions(spark, d):
+    return source.mentions(read(spark, d, "documents"), "Tion").select("doc_id")
+
+
+@query("SELECT c_custkey AS id, c_name AS text FROM customer")
+def fences_stripped(spark, d):
+    """Answers with a code fence, inside the path of a model's response."""
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("```json\n"), "c_name", F.lit("\n```"))).when(k == 1, F.concat(F.lit("  ```\n"), "c_name", F.lit("```  "))).otherwise(F.col("c_name"))
+    part = F.array(F.struct(text.alias("text")))
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(part.alias("parts")).alias("content"))).alias("candidates")))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), parsing.answer_text(answer).alias("text"))
+
+
+@query(S.over("cand", "SELECT candidate_id, coalesce(lines, '') AS lines, 'Looking for a ' || current_title || ' skilled in ' || array_to_string(skills, ', ') || '.' AS request FROM cand LEFT JOIN (SELECT k, string_agg('- ' || title || ' at ' || company || ' (' || start_date || ' to ' || end_date || ')', chr(10) ORDER BY d DESC, ok DESC) AS lines FROM jobs GROUP BY k) h USING (k)"))
+def history_lines(spark, d):
+    rows = candidates(spark, d)
+    return rows.select("candidate_id", copilot.history_lines(F.col("career_history")).alias("lines"), copilot.similar_request(F.col("current_title"), F.col("skills_listed")).alias("request"))
+
+
+@query(S.over("gap", f"""SELECT candidate_id, array_to_string(((CASE WHEN len(matched) > 0 THEN matched[1:3] ELSE ['{K.STRENGTHS[0]}'] END) || {S.listed(K.STRENGTHS[1:])})[1:3], '|') AS strengths,
+  array_to_string(((CASE WHEN len(missing) > 0 THEN missing[1:2] ELSE ['{K.WEAKNESSES[0]}'] END) || {S.listed(K.WEAKNESSES[1:])})[1:2], '|') AS weaknesses FROM gap"""))
+def strengths_weaknesses(spark, d):
+    rows = score.skills_gap(candidates(spark, d), REQUEST.keywords)
+    return rows.select("candidate_id", F.array_join(copilot.strengths(F.col("matched_skills")), "|").alias("strengths"), F.array_join(copilot.weaknesses(F.col("missing_skills")), "|").alias("weaknesses"))
+
+
+@query(S.over("ranked", "SELECT candidate_id, 'Name: ' || name || chr(10) || 'Title: ' || current_title || chr(10) || 'Experience: ' || printf('%.1f', years_experience) || ' years' || chr(10) || 'Final Score: ' || printf('%.1f', final_score) || chr(10) || 'Semantic Depth: ' || printf('%.1f', semantic_score) || '%' || chr(10) || 'Velocity Score: ' || printf('%.1f', velocity_score) || '/10' || chr(10) || 'Freshness: ' || label || chr(10) || 'Skills: ' || array_to_string(skills, ', ') || chr(10) || 'Matches: ' || array_to_string(matched, ', ') || chr(10) || 'Gaps: ' || array_to_string(missing, ', ') || chr(10) || 'Pitch: ' || reasoning AS sheet FROM ranked"))
+def fact_sheets(spark, d):
+    return scored(spark, d).select("candidate_id", copilot.fact_sheet().alias("sheet"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, round(1 / (1 + exp(-(l_discount * 100 - 5))), 9) AS p FROM lineitem")
+def sigmoid(spark, d):
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.round(vectors.sigmoid(F.col("l_discount") * 100 - 5), 9).alias("p"))
+
+
+@query("SELECT label, pos, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS x FROM (SELECT label, vec_id % 2 AS m, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) GROUP BY label, pos")
+def mean_pooled(spark, d):
+    rows = read(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("mask"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return vectors.mean_pool(rows, "label").select("label", F.posexplode("vector").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {sum(x for _, x in COHORTS[: i + 1]) * 520 // 100 - sum(x for _, x in COHORTS[:i]) * 520 // 100}::BIGINT)' for i, (n, _) in enumerate(COHORTS))}) t(cohort, n)")
+def generated_cohorts(spark, d):
+    return generate(spark).groupBy("cohort").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 = 0 THEN 'name,resume_text' WHEN c_custkey % 5 = 0 THEN 'name' WHEN c_custkey % 7 = 0 THEN 'resume_text' ELSE '' END AS missing, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN 1.0::DOUBLE END AS years FROM customer")
+def validated_records(spark, d):
+    k = F.col("c_custkey")
+    kind = "array<struct<title:string,company:string,start_date:string,end_date:string>>"
+    rows = read(spark, d, "customer").select(k.cast("string").alias("candidate_id"), F.when(k % 5 > 0, F.col("c_name")).alias("name"), F.lit("Dev").alias("current_title"), F.lit(None).cast("double").alias("years_experience"), F.lit(None).cast("array<string>").alias("skills_listed"), F.lit(None).cast(kind).alias("career_history"), F.lit(None).cast("string").alias("last_active"), F.when(k % 7 > 0, F.lit("text")).alias("resume_text"))
+    good, bad = source.validate(rows)
+    good = good.select(F.col("candidate_id").cast("long").alias("id"), F.lit("").alias("missing"), F.col("years_experience").alias("years"))
+    return good.unionByName(bad.select(F.col("candidate_id").cast("long").alias("id"), F.array_join("missing_fields", ",").alias("missing"), F.lit(None).cast("double").alias("years")))
+
+
+@query()
+def rank_description(spark, d):
+    """A description ranked by its fragments' vectors, from requirements to order."""
+    return rank.rank(candidates(spark, d), S.QUERY, "senior", "tech", AS_OF).rows.select("rank", "candidate_id", "id", "final_score", "raw_semantic_score", "status_label")
+
+
+@query()
+def rank_similar(spark, d):
+    """The ten candidates nearest to one, for the description made of its title and skills."""
+    return rank.similar(candidates(spark, d), "cand_0007", AS_OF)[0].select("rank", "candidate_id", "id", "final_score")

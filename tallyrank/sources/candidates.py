@@ -38,7 +38,7 @@ def validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = rows.withColumn("missing_fields", lacking)
     good = told.filter(F.size("missing_fields") == 0)
     history = F.filter(F.coalesce("career_history", F.array().cast(HISTORY)), lambda j: j.isNotNull())
-    good = good.select("candidate_id", "name", "current_title", F.coalesce("years_experience", F.lit(1.0)).alias("years_experience"), F.coalesce("skills_listed", F.array().cast("array<string>")).alias("skills_listed"), history.alias("career_history"), "last_active", "resume_text")
+    good = good.select("candidate_id", "name", "current_title", F.coalesce("years_experience", F.lit(1.0)).alias("years_experience"), F.coalesce("skills_listed", F.array().cast("array<string>")).alias("skills_listed"), history.alias("career_history"), "last_active", "resume_text", *(c for c in ("education", "location") if c in told.columns))
     return good, told.filter(F.size("missing_fields") > 0)
 
 
@@ -103,9 +103,13 @@ def extract_text(files: DataFrame, extractors: list) -> DataFrame:
     return files.withColumn("text", first("content"))
 
 
+# fixed values: MIME types of archives and documents
+MIME = {"application/pdf": "pdf", "application/zip": "zip", "application/x-zip-compressed": "zip", "application/json": "json"}
+
+
 def read_candidates(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """By extension: a PDF or ZIP as files, anything else as JSON."""
-    kind = format or (path.rsplit(".", 1)[-1].lower() if "." in path else "json")
+    """By extension, or by ``format``, an extension or MIME type: a PDF or ZIP as files, anything else as JSON."""
+    kind = MIME.get(format or "", format) or (path.rsplit(".", 1)[-1].lower() if "." in path else "json")
     if kind == "zip":
         return zip_entries(spark.read.format("binaryFile").load(path))
     if kind == "pdf":

@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
+from tallyrank.operators.parsing import parse_files
 from tallyrank.operators.pool import COLUMNS, build_records, skip_ingested, upsert
-from tallyrank.sources.store import PoolStore
+from tallyrank.sources.candidates import extract_text, zip_entries
+from tallyrank.sources.store import PoolStore, written
 
 FILES_PER_BATCH = 15
 
 
-def ingest_batch(store: PoolStore, rows: DataFrame, metrics: PoolStore | None = None) -> None:
-    """Merges parsed rows (record fields, source_file, error) into the pool; rows with an error are told in ``metrics``."""
+def ingest_batch(store: PoolStore, rows: DataFrame, metrics: PoolStore | None = None, batch: int | None = None) -> None:
+    """Merges parsed rows (record fields, source_file, error) into the pool; rows with an error are told in ``metrics``.
+    A ``batch`` that is run again keeps the figures of its first run."""
     spark = rows.sparkSession
+    rows = written(rows, "parsed")
     pool = store.read()
     if pool is None:
         pool = spark.createDataFrame([], build_records(rows).withColumn("candidate_id", F.lit(None).cast("string")).select(*COLUMNS).schema)
@@ -31,8 +35,10 @@ def ingest_batch(store: PoolStore, rows: DataFrame, metrics: PoolStore | None =
             F.count("*").alias("total"), F.count_if("__known").alias("skipped"), F.count_if(F.col("__known").isNull() & F.col("error").isNull()).alias("parsed"), F.count_if(F.col("__known").isNull() & F.col("error").isNotNull()).alias("failed"),
             F.slice(F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.col("source_file")))), 1, 20).alias("failed_files"),
         )
-        told = told.withColumn("percent", C.progress(F.col("parsed"), F.col("failed"), F.col("total"), F.col("skipped")))
+        told = told.withColumn("batch", F.lit(batch).cast("long")).withColumn("percent", C.progress(F.col("parsed"), F.col("failed"), F.col("total"), F.col("skipped")))
         before = metrics.read()
+        if before is not None and batch is not None and before.filter(F.col("batch") == batch).take(1):
+            return
         metrics.write(told if before is None else before.unionByName(told))
 
 
@@ -41,12 +47,51 @@ def start_ingest(spark: SparkSession, path: str, parse: Callable[[DataFrame], Da
     ``checkpoint``. ``parse`` turns file rows (path, content) into parsed rows."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", FILES_PER_BATCH).load(path)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        ingest_batch(store, parse(batch), metrics)
+    def merge(batch: DataFrame, number: int) -> None:
+        ingest_batch(store, parse(batch), metrics, number)
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def parsed_resumes(parser, extractors: list) -> Callable[[DataFrame], DataFrame]:
+    """A parse function for PDFs and archives of them: text by the first extractor that finds any, then ``parser``."""
+
+    def parse(files: DataFrame) -> DataFrame:
+        archives = files.filter(F.lower("path").endswith(".zip"))
+        single = files.filter(~F.lower("path").endswith(".zip")).select(F.col("path").alias("archive"), F.regexp_extract("path", r"([^/]+)$", 1).alias("entry"), "content", F.lit(None).cast("string").alias("error"))
+        entries = extract_text(zip_entries(archives).unionByName(single), extractors).withColumn("source_file", F.regexp_extract(F.coalesce("entry", "archive"), r"([^/]+)$", 1))
+        bad = entries.filter("error is not null").select("source_file", "error")
+        good = parse_files(entries.filter("error is null"), parser).drop("how")
+        return good.unionByName(bad, allowMissingColumns=True)
+
+    return parse
+
+
+def progress_event(metrics: PoolStore, store: PoolStore, running: bool = False, most_files: int = 20) -> dict:
+    """The state of an ingest as a record: its batches' counts, percent and failed files; the pool's size once it is over."""
+    told = metrics.read()
+    sums = ("total", "skipped", "parsed", "failed")
+    row = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.array_sort(F.array_distinct(F.flatten(F.collect_list("failed_files")))).alias("files")).first() if told is not None else None
+    event = {c: row[c] if row else 0 for c in sums}
+    left = event["total"] - event["skipped"]
+    event |= {"failed_files": list(row["files"])[:most_files] if row else [], "percent": 100 if left <= 0 else min(100, (event["parsed"] + event["failed"]) * 100 // left), "status": "running" if running else "done"}
+    if not running:
+        pool = store.read()
+        event["total_candidate_count"] = pool.count() if pool is not None else 0
+    return event
+
+
+def progress(query, metrics: PoolStore, store: PoolStore, every: float = 2.0):
+    """The events of a running ingest, one every so many seconds, and the last when it has ended."""
+    while query.isActive:
+        yield progress_event(metrics, store, running=True)
+        query.awaitTermination(every)
+    if query.exception() is not None:
+        yield {**progress_event(metrics, store), "status": "error", "error_message": str(query.exception())}
+    else:
+        yield progress_event(metrics, store)
+
+
 def json_resumes(files: DataFrame) -> DataFrame:
     """The default parser: a file is one JSON record; one that can't be read has an error."""
     fields = "name string, current_title string, years_experience double, career_history array<struct<title:string,company:string,start_date:string,end_date:string>>, skills_listed array<string>, last_active string, education string, location string, resume_text string"
