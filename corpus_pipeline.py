@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies of documents of smaller doc_id go: SimHash proposes, five-word shingles at 0.8 or more decide."""
+    """Of each group of near copies the smallest doc_id stays: SimHash proposes, five-word shingles at 0.8 or more decide."""
     return drop_similar(docs, similarity=0.8, shingle=5)
 
 
@@ -54,7 +54,7 @@ STAGES = [
     ("mixing sources", mixing),
 ]
 
-#: The first stage's model is beyond SQL; the rows are tested against a brute-force version.
+#: The first stage's model is beyond SQL; the rows are tested against a brute-force version of the stages after it.
 ORACLE_SQL = None
 
 
