@@ -248,17 +248,17 @@ def _files(rows: DataFrame) -> DataFrame:
 
 @query(S.over("cand", """, a AS (SELECT * FROM cand WHERE k % 3 <> 0), b AS (SELECT * FROM cand WHERE k % 3 <> 1),
   m AS (SELECT coalesce(a.name, b.name) AS name, a.candidate_id AS id, coalesce(a.text, b.text) AS text, coalesce(b.k, a.k) AS f,
-    len(list_distinct(coalesce(a.skills, []) || CASE WHEN b.k IS NULL THEN [] ELSE b.skills || ['Extra'] END)) AS n_skills,
+    array_to_string(list_sort(list_distinct(coalesce(a.skills, []) || CASE WHEN b.k IS NULL THEN [] ELSE b.skills || ['Extra'] END)), '|') AS skills, md5(coalesce(b.text, a.text)) AS resume,
     len(list_distinct(CASE WHEN a.k IS NULL THEN b.hk ELSE a.hk END)) AS n_jobs, greatest(coalesce(a.years_experience, b.years_experience + 1), coalesce(b.years_experience + 1, a.years_experience)) AS years
     FROM (SELECT a.*, coalesce(hk, []) AS hk FROM a LEFT JOIN (SELECT k, list(title || company || start_date) AS hk FROM jobs GROUP BY k) h USING (k)) a
     FULL JOIN (SELECT b.*, coalesce(hk, []) AS hk FROM b LEFT JOIN (SELECT k, list(title || company || start_date) AS hk FROM jobs GROUP BY k) h USING (k)) b ON a.name = b.name)
-  SELECT name, coalesce(id, printf('cand_%04d', nid)) AS candidate_id, n_skills, n_jobs, years FROM (
+  SELECT name, coalesce(id, printf('cand_%04d', nid)) AS candidate_id, skills, resume, n_jobs, years FROM (
     SELECT *, (SELECT max(CAST(substr(id, 6) AS BIGINT)) FROM m) + CASE WHEN id IS NULL THEN row_number() OVER (PARTITION BY id IS NULL ORDER BY name) END AS nid FROM m)"""))
 def upsert_merge(spark, d):
     rows = _files(candidates(spark, d))
     new = rows.filter("k % 3 <> 1").withColumn("skills_listed", F.concat("skills_listed", F.array(F.lit("Extra")))).withColumn("years_experience", F.col("years_experience") + 1)
     merged = pool.upsert(rows.filter("k % 3 <> 0"), new)
-    return merged.select("name", "candidate_id", F.size("skills_listed").alias("n_skills"), F.size("career_history").alias("n_jobs"), F.col("years_experience").alias("years"))
+    return merged.select("name", "candidate_id", F.array_join(F.sort_array("skills_listed"), "|").alias("skills"), F.md5(F.coalesce("resume_text", F.lit("")).cast("binary")).alias("resume"), F.size("career_history").alias("n_jobs"), F.col("years_experience").alias("years"))
 
 
 @query("SELECT c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN printf('cand_%04d', c_custkey) ELSE printf('cand_%04d', n + (SELECT max(c_custkey) FROM customer c2 WHERE c2.c_custkey % 4 > 0)) END AS candidate_id FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END AS n FROM customer)")
@@ -423,7 +423,7 @@ NOISE = ("resume", "cv", "profile", "final", "updated", "copy", "new", "latest")
 
 
 @query(f"""SELECT id, CASE WHEN len(ws) BETWEEN 2 AND 4 OR (len(ws) = 1 AND length(ws[1]) > 2) THEN array_to_string(list_transform(ws, lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS name
-  FROM (SELECT id, list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_extract(f, '([^/\\\\]+)$', 1), '\.[^.]*$', ''), '[_\-.\s]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '\d') AND w NOT IN ({S.listed(NOISE)[1:-1]})) AS ws
+  FROM (SELECT id, list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_extract(f, '([^/\\\\]+)$', 1), '\\.[^.]*$', ''), '[_\\-.\\s]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '\\d') AND w NOT IN ({S.listed(NOISE)[1:-1]})) AS ws
   FROM (SELECT c_custkey AS id, {S.listed(FILES)}[(c_custkey % 8 + 1)::INT] AS f FROM customer))""")
 def names_from_files(spark, d):
     f = F.element_at(C.lit_array(FILES), (F.col("c_custkey") % 8 + 1).cast("int"))
@@ -432,7 +432,7 @@ def names_from_files(spark, d):
 
 @query(S.over("cand", f"""SELECT candidate_id, CASE WHEN valid THEN given ELSE 'Unknown Candidate' END AS name, NOT valid AS name_not_extracted FROM (SELECT candidate_id, given,
   NOT (low IN ({S.listed(K.GENERIC_NAMES)[1:-1]}) OR len(ws) = 0 OR regexp_matches(given, '[/|]') OR low = lower(current_title)) AND len(list_filter(ws, lambda w: len(list_filter({S.listed(K.TITLE_WORDS)}, lambda t: contains(w, t))) > 0)) / greatest(len(ws), 1) < 0.5 AS valid
-  FROM (SELECT candidate_id, current_title, given, trim(lower(given)) AS low, list_filter(string_split_regex(regexp_replace(trim(lower(given)), '[/|\-]', ' ', 'g'), '\s+'), lambda w: w <> '') AS ws FROM (SELECT *, {S.listed(NAMES)}[(k % 8 + 1)::INT] AS given FROM cand)))"""))
+  FROM (SELECT candidate_id, current_title, given, trim(lower(given)) AS low, list_filter(string_split_regex(regexp_replace(trim(lower(given)), '[/|\\-]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS ws FROM (SELECT *, {S.listed(NAMES)}[(k % 8 + 1)::INT] AS given FROM cand)))"""))
 def names_kept(spark, d):
     """Names that are none are replaced when a pool is scored."""
     rows = candidates(spark, d).withColumn("name", F.element_at(C.lit_array(NAMES), (F.substring_index("candidate_id", "_", -1).cast("long") % 8 + 1).cast("int")))
