@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.llm.common import read, remainder
 from tallyrank.llm.decontamination import find_items
+from tallyrank.llm.divergence import audit
 from tallyrank.llm.fingerprints import compare_versions
 from tallyrank.llm.langid import fit as fit_languages
 from tallyrank.llm.langid import identify
@@ -16,7 +17,7 @@ from tallyrank.llm.line_dedup import dedup_lines
 from tallyrank.llm.lm_scoring import score_texts
 from tallyrank.llm.mixing import mix_sizes
 from tallyrank.llm.simhash import near_duplicates
-from tallyrank.llm.sql import LINE_DEDUP_SQL, MIXING_SQL
+from tallyrank.llm.sql import DIVERGENCE_SQL, LINE_DEDUP_SQL, MIXING_SQL
 from tallyrank.llm.substring_dedup import drop_repeats
 from tallyrank.llm.token_counts import token_counts
 from tallyrank.llm.toxicity import fit as fit_toxicity
@@ -84,6 +85,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, classifier).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"), min_docs=30, smooth=5, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -95,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL}

@@ -56,3 +56,35 @@ SELECT o.doc_id, o.size, o.source_size, o.target,
        (CASE WHEN o.size > 0 THEN o.size * (o.sure + CASE WHEN o.q < c.cut OR (c.with_cut AND o.q = c.cut) THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
 FROM odds o LEFT JOIN cut c ON o.source IS NOT DISTINCT FROM c.source
 """
+
+DIVERGENCE_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS MATERIALIZED (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), size AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), counted AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS n,
+         sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, k.term)::HUGEINT AS lc, sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang)::HUGEINT AS ln, v
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN size s ON s.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS MATERIALIZED (
+  SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (lc + 5)) // (ln + 5 * v))::BIGINT AS q FROM cells
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), both_parts AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE c > 0 AND p > q
+)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 50
+"""
