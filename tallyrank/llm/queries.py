@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrank.llm.collocations import collocations
 from tallyrank.llm.common import read, remainder
 from tallyrank.llm.decontamination import find_items
 from tallyrank.llm.divergence import audit
@@ -17,7 +18,7 @@ from tallyrank.llm.line_dedup import dedup_lines
 from tallyrank.llm.lm_scoring import score_texts
 from tallyrank.llm.mixing import mix_sizes
 from tallyrank.llm.simhash import near_duplicates
-from tallyrank.llm.sql import DIVERGENCE_SQL, LINE_DEDUP_SQL, MIXING_SQL
+from tallyrank.llm.sql import COLLOCATIONS_SQL, DIVERGENCE_SQL, LINE_DEDUP_SQL, MIXING_SQL
 from tallyrank.llm.substring_dedup import drop_repeats
 from tallyrank.llm.token_counts import token_counts
 from tallyrank.llm.toxicity import fit as fit_toxicity
@@ -89,6 +90,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read(spark, sf_dir, "documents"), min_docs=30, smooth=5, top=50)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), least=30, top=2000, swallowed=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -101,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
     "op11_divergence": op11_divergence,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_collocations": COLLOCATIONS_SQL}

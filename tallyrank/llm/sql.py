@@ -88,3 +88,34 @@ WITH d AS MATERIALIZED (
 )
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 50
 """
+
+COLLOCATIONS_SQL = r"""
+WITH piece AS MATERIALIZED (
+  SELECT row_number() OVER () AS p, lang, words FROM (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda w: w <> '') AS words FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+  WHERE len(words) > 0
+), word AS MATERIALIZED (
+  SELECT p, lang, unnest(range(1, len(words) + 1)) AS i, words FROM piece
+), phrase AS MATERIALIZED (
+  SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM word, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 30
+), total AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM piece GROUP BY lang
+), cut AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM phrase, (SELECT unnest([1, 2, 3]) AS k) WHERE m >= 2 AND k < m
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score, k
+  FROM cut c JOIN phrase x ON x.lang = c.lang AND x.phrase = c.first JOIN phrase y ON y.lang = c.lang AND y.phrase = c.rest
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[s:s + w - 1], ' ') AS phrase, max(f) AS longer
+  FROM phrase, (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([2, 3]) AS w) WHERE w < m AND s + w - 1 <= m GROUP BY ALL
+), ranked AS (
+  SELECT o.*, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank
+  FROM lowest o LEFT JOIN inside i ON i.lang = o.lang AND i.phrase = o.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * o.a
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= 2000
+"""
