@@ -154,15 +154,27 @@ def vectors(kept: DataFrame) -> DataFrame:
     return ordered.select("lang", "source", "term", "n").mapInArrow(_vectors, VECTORS)
 
 
+def _merged(fragments: list[dict]) -> tuple[list[str], list[str], np.ndarray]:
+    """(terms, sources, counts by source and term) of a chunk's fragments, in order."""
+    terms = [t for f in fragments for t in f["terms"]]
+    sources = sorted({s for f in fragments for s in f["sources"]}, key=str.encode)
+    place, counts, at = {s: i for i, s in enumerate(sources)}, np.zeros((len(sources), len(terms)), np.int64), 0
+    for f in fragments:
+        n = len(f["terms"])
+        counts[[place[s] for s in f["sources"]], at : at + n] = np.array(f["counts"], np.int64).reshape(-1, n)
+        at += n
+    return terms, sources, counts
+
+
 def _compare(top: int, smooth: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                names, size = [g["source"] for g in r["groups"]], len(r["terms"])
+                terms, sources, counts = _merged(r["fragments"])
+                names, size = [g["source"] for g in r["groups"]], len(terms)
                 total = np.array([g["n"] for g in r["groups"]], np.int64) + smooth * r["v"]
-                place, n = {s: i for i, s in enumerate(r["sources"])}, len(names)
+                place, n = {s: i for i, s in enumerate(sources)}, len(names)
                 mine = [place.get(s) for s in names]
-                counts = np.array(r["counts"], np.int64).reshape(len(r["sources"]), size)
                 p = proportion(counts + smooth, total[[i for i, x in enumerate(mine) if x is not None]][:, None]) if size else counts
                 alone = proportion(np.full(n, smooth), total) if r["v"] else np.zeros(n, np.int64)
                 # groups stand in one order on both sides, so the present ones are the rows of p in turn
@@ -180,7 +192,7 @@ def _compare(top: int, smooth: int):
                         over = row - whole
                         at = np.flatnonzero((counts[mine[i]] > 0) & (over > 0))
                         at = at[np.argsort(-over[at], kind="stable")[:top]]  # ids go up in UTF-8 order, so ties are in it
-                        yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(at)), pa.array([names[i]] * len(at)), pa.array([r["terms"][j] for j in at], pa.string()), pa.array((r["chunk"] << 12) + at, pa.int64()), pa.array(over[at], pa.int64())], ["lang", "source", "item", "id", "value"])
+                        yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(at)), pa.array([names[i]] * len(at)), pa.array([terms[j] for j in at], pa.string()), pa.array((r["chunk"] << 13) + at, pa.int64()), pa.array(over[at], pa.int64())], ["lang", "source", "item", "id", "value"])
 
     return run
 
@@ -201,12 +213,16 @@ def audit(docs: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50) -
     n = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = named.select("lang", "source").distinct().join(n, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("g"))
     langs = groups.groupBy("lang").agg(F.array_sort(F.collect_list("g")).alias("groups"))  # as many as the rows of the answer, or fewer
+    sizes = dense.select("lang", F.col("chunk").alias("fragment"), F.size("terms").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("fragment"))
+    sizes = sizes.withColumn("chunk", F.floor((upto - F.col("n")) / CHUNK_TERMS))  # fragments of small partitions go together
+    fragment = F.struct("fragment", "terms", "sources", "counts")
+    packed = dense.withColumnRenamed("chunk", "fragment").join(sizes.drop("n"), ["lang", "fragment"]).groupBy("lang", "chunk").agg(F.array_sort(F.collect_list(fragment)).alias("fragments"))  # below 2 CHUNK_TERMS terms
     langs = langs.join(dense.groupBy("lang").agg(F.sum(F.size("terms")).alias("v")), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
     none = langs.select("lang", F.lit(-1).cast("long").alias("chunk"))  # a language without kept terms has its pairs too
-    told = dense.select("lang", "chunk").unionByName(none).join(langs, "lang").join(dense, ["lang", "chunk"], "left")
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    told = told.select("lang", "chunk", "groups", "v", empty("terms", "array<string>"), empty("sources", "array<string>"), empty("counts", "array<long>"))
-    found = shared_table(spark, told.repartition("lang", "chunk").mapInArrow(_compare(top, smooth), FOUND), "divergence")
+    told = sizes.select("lang", "chunk").distinct().unionByName(none).join(langs, "lang").join(packed, ["lang", "chunk"], "left")
+    told = told.withColumn("fragments", F.coalesce("fragments", F.array().cast(packed.schema["fragments"].dataType)))
+    found = shared_table(spark, told.repartition("lang", "chunk").select("lang", "chunk", "groups", "v", "fragments").mapInArrow(_compare(top, smooth), FOUND), "divergence")
     half = found.filter("id < 0").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     pairs = _ranked(pairs.withColumn("part", F.lit("pair")), F.asc("item"))
