@@ -17,6 +17,7 @@ from tallyrank.llm.langid import identify
 from tallyrank.llm.line_dedup import dedup_lines
 from tallyrank.llm.lm_scoring import score_texts
 from tallyrank.llm.mixing import mix_sizes
+from tallyrank.llm.pii import personal_data
 from tallyrank.llm.simhash import near_duplicates
 from tallyrank.llm.sql import COLLOCATIONS_SQL, DIVERGENCE_SQL, LINE_DEDUP_SQL, MIXING_SQL
 from tallyrank.llm.substring_dedup import drop_repeats
@@ -90,6 +91,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read(spark, sf_dir, "documents"), min_docs=30, smooth=5, top=50)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"), least=30, top=2000, swallowed=80)
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
     "op11_divergence": op11_divergence,
+    "op12_pii": op12_pii,
     "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_collocations": COLLOCATIONS_SQL}
