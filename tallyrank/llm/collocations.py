@@ -4,8 +4,8 @@ A task cuts its texts into shards of ``SHARD_BYTES``, turns them into word ids a
 word, two, four: no phrase is longer). Suffixes that share n words are neighbours then; each LCP interval of depth n is one
 phrase, its length the count. Counts are summed in the task, then merged by (lang, phrase) over all tasks.
 
-Phrases of three and four words are counted in a second pass, where all their pairs may be frequent: the frequent pairs go
-out as a Bloom filter of a fixed size (16 MB), which lets some others through but loses none, so counts stay exact.
+Words are counted first, then pairs of frequent words, then phrases of three and four words whose pairs are frequent. What is
+frequent goes out as a Bloom filter of a fixed size (16 MB), which lets some others through but loses none, so counts stay exact.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyrank.llm.common import _BYTE, bounded_batches, chunks, mix, pieces, shared_table, span_hashes, word_hashes
 
 #: Bytes of text in a shard, and rows of counts that a task holds back to sum them.
-SHARD_BYTES, HELD_ROWS = 4 << 20, 500_000
+SHARD_BYTES, HELD_ROWS = 2 << 20, 200_000
 #: Words of the longest phrase.
 LONGEST = 4
 #: The filter of frequent pairs: blocks of so many bits each, and probes of a pair in its block.
@@ -36,7 +36,7 @@ _WORD = ~(_SPACE | _CUT)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-COUNTED = "lang string, phrase string, words int, n long"
+COUNTED = "lang string, phrase string, n long"
 
 
 # -- shards ----------------------------------------------------------------------------------------
@@ -109,68 +109,65 @@ class Shard:
         for h in range(1, LONGEST):
             self.left[: max(self.n - h, 0)] += self.piece[h:] == self.piece[: max(self.n - h, 0)]
 
-    def after(self, rank: np.ndarray, h: int) -> np.ndarray:
-        """The rank of the suffix h words on; 0 beyond the piece."""
-        out = np.zeros(self.n, np.int64)
-        out[: max(self.n - h, 0)] = rank[h:]
-        return np.where(self.left > h, out, 0)
-
-    def pairs(self):
-        """(rank of each place by two words, a place of each rank): the first round of prefix doubling."""
-        key = self.ids * (int(self.ids.max(initial=0)) + 1) + self.after(self.ids, 1)
-        _, at, rank = np.unique(key, return_index=True, return_inverse=True)
-        return rank.reshape(-1) + 1, at
-
-    def intervals(self, depth: int, order: np.ndarray, same: np.ndarray):
-        """(place, count) of the LCP intervals of a depth: ``order`` is the suffix array, ``same`` says whether a suffix shares
-        ``depth`` words with the one before it. Only the shard's own suffixes count."""
-        whole = self.left[order] >= depth
-        number = np.cumsum(whole & ~same) - 1
-        first = order[whole & ~same]
-        count = np.bincount(number[whole], self.own[order[whole]], len(first)).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+    def known(self, bits: np.ndarray, langs: pa.Array) -> np.ndarray:
+        """Whether a word is in a filter; each different word is looked up once."""
+        place = np.zeros(int(self.ids.max(initial=0)) + 1, np.int64)
+        place[self.ids[::-1]] = np.arange(self.n)[::-1]
+        first = place[np.flatnonzero(np.bincount(self.ids, minlength=len(place)))]
+        hit = np.zeros(len(place), bool)
+        hit[self.ids[first]] = held(bits, keys(lang_hashes(langs)[self.lang[first]], self.hash[first]))
+        return hit[self.ids]
+
+    def pair_ranks(self, known: np.ndarray):
+        """(rank of each place by two words, a place of each rank): the first round of prefix doubling. Ranks count from 1; 0 is for
+        places without a second word, or where a word is not ``known``."""
+        at = np.flatnonzero((self.left >= 2) & known & np.roll(known, -1))
+        key, rank = self.ids[at] * (int(self.ids.max(initial=0)) + 1) + self.ids[(at + 1) % max(self.n, 1)], np.zeros(self.n, np.int64)
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        rank[at] = back.reshape(-1) + 1
+        return rank, at[first]
+
+    def intervals(self, suffixes: np.ndarray, rank: np.ndarray):
+        """(place, count) of the LCP intervals: suffixes are sorted by their rank at a depth, and neighbours of one rank share that many
+        words. Only the shard's own suffixes count."""
+        order = suffixes[np.argsort(rank[suffixes], kind="stable")]
+        if not len(order):
+            return order, order
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = rank[order][1:] != rank[order][:-1]
+        first = order[fresh]
+        count = np.bincount(np.cumsum(fresh) - 1, self.own[order], len(first)).astype(np.int64)
         return first[count > 0], count[count > 0]
 
     def table(self, depth: int, at: np.ndarray, count: np.ndarray, langs: pa.Array) -> pa.Table:
         words = [self.words.take(pa.array(self.word[at + i])) for i in range(depth)]
         phrase = words[0] if depth == 1 else pc.binary_join_element_wise(*words, " ")
-        return pa.table({"lang": langs.take(pa.array(self.lang[at])), "phrase": phrase, "words": pa.array(np.full(len(at), depth, np.int32)), "n": count})
+        return pa.table({"lang": langs.take(pa.array(self.lang[at])), "phrase": phrase, "n": count})
 
 
-def _shares(order: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
-    """Whether a suffix has the same ranks as the one before it."""
-    out = np.zeros(len(order), bool)
-    if len(order):
-        out[1:] = np.logical_and.reduce([r[order][1:] == r[order][:-1] for r in ranks])
-    return out
+def words_of(s: Shard, langs: pa.Array) -> list[pa.Table]:
+    """The words of a shard, and their number by language as the count of the empty phrase."""
+    total = np.bincount(s.lang, s.own, len(langs)).astype(np.int64)
+    return [pa.table({"lang": langs, "phrase": pa.array([""] * len(langs)), "n": total}), s.table(1, *s.intervals(np.arange(s.n), s.ids), langs)]
 
 
-def short_phrases(s: Shard, langs: pa.Array) -> list[pa.Table]:
-    """Words and pairs of a shard, and its number of words by language as the count of the empty phrase."""
-    two, _ = s.pairs()
-    order = np.argsort(two, kind="stable")
-    total = np.bincount(s.lang, s.own, len(langs)).astype(np.int64)
-    out = [pa.table({"lang": langs, "phrase": pa.array([""] * len(langs)), "words": pa.array(np.zeros(len(langs), np.int32)), "n": total})]
-    out.append(s.table(1, *s.intervals(1, order, _shares(order, s.ids)), langs))
-    return [*out, s.table(2, *s.intervals(2, order, _shares(order, two) & (s.left[order] >= 2)), langs)]
+def pairs_of(s: Shard, langs: pa.Array, words: np.ndarray) -> list[pa.Table]:
+    """The pairs of a shard both of whose words are in the filter."""
+    two, _ = s.pair_ranks(s.known(words, langs))
+    return [s.table(2, *s.intervals(np.flatnonzero(two), two), langs)]
 
 
-def long_phrases(s: Shard, langs: pa.Array, bits: np.ndarray) -> list[pa.Table]:
+def long_phrases(s: Shard, langs: pa.Array, words: np.ndarray, pairs: np.ndarray) -> list[pa.Table]:
     """Phrases of three and four words of a shard all of whose pairs are in the filter."""
-    two, at = s.pairs()
-    known = np.zeros(len(at), bool)
-    whole = np.flatnonzero(s.left[at] >= 2)
-    salt = lang_hashes(langs)
-    known[whole] = held(bits, pair_hashes(salt[s.lang[at[whole]]], s.hash[at[whole]], s.hash[at[whole] + 1]))
-    known = known[two - 1]
-    three = (s.left >= 3) & known & np.roll(known, -1)
-    four = three & (s.left >= 4) & np.roll(known, -2)
-    deep = two * (int(two.max(initial=0)) + 1) + s.after(two, 2)  # the last round: four words
-    suffixes = np.flatnonzero(three)
-    order = suffixes[np.argsort(deep[suffixes], kind="stable")]
-    third = s.after(s.ids, 2)
-    out = [s.table(3, *s.intervals(3, order, _shares(order, two, third)), langs)]
-    order = order[four[order]]
-    return [*out, s.table(4, *s.intervals(4, order, _shares(order, deep)), langs)]
+    two, at = s.pair_ranks(s.known(words, langs))
+    hit = np.concatenate([[False], held(pairs, keys(lang_hashes(langs)[s.lang[at]], s.hash[at], s.hash[(at + 1) % max(s.n, 1)]))])[two]
+    three = np.flatnonzero((s.left >= 3) & hit & np.roll(hit, -1))
+    four = three[(s.left[three] >= 4) & np.roll(hit, -2)[three]]
+    rank = np.zeros(s.n, np.int64)
+    rank[three] = two[three] * (int(s.ids.max(initial=0)) + 1) + s.ids[three + 2]
+    deep = np.zeros(s.n, np.int64)  # the last round of prefix doubling: two words by two
+    deep[four] = two[four] * (int(two.max(initial=0)) + 1) + two[four + 2]
+    return [s.table(3, *s.intervals(three, rank), langs), s.table(4, *s.intervals(four, deep), langs)]
 
 
 # -- the filter of pairs ----------------------------------------------------------------------------
@@ -180,8 +177,9 @@ def lang_hashes(langs: pa.Array) -> np.ndarray:
     return mix(word_hashes([x.encode() for x in langs.to_pylist()]), 3) if len(langs) else np.zeros(0, np.uint64)
 
 
-def pair_hashes(lang: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(lang + a * np.uint64(0x9E3779B97F4A7C15) + mix(b, 1), 2)
+def keys(lang: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """The filter's key of a word or of a pair."""
+    return mix(lang + a * np.uint64(0x9E3779B97F4A7C15) + (mix(b, 1) if b is not None else np.uint64(0)), 2)
 
 
 def probes(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -203,9 +201,10 @@ def _marks(batches):
     for b in batches:
         words = [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
         lang = b.column("lang").dictionary_encode()
-        h = pair_hashes(lang_hashes(lang.dictionary)[np.asarray(lang.indices)], word_hashes([w[0] for w in words]), word_hashes([w[1] for w in words])) if words else np.zeros(0, np.uint64)
-        block, places = probes(h)
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(block, PROBES)), pa.array(np.concatenate(places))], ["block", "place"])
+        if words:
+            parts = [word_hashes(list(w)) for w in zip(*words, strict=True)]
+            block, places = probes(keys(lang_hashes(lang.dictionary)[np.asarray(lang.indices)], *parts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(block, PROBES)), pa.array(np.concatenate(places))], ["block", "place"])
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,9 +213,10 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """The filter's bytes. A block has ``BLOCK_BITS`` places and ``BLOCKS`` of them come to the driver, however many pairs there are."""
-    marks = pairs.select("lang", "phrase").mapInArrow(_marks, "block long, place long").distinct()
+def filter_of(phrases: DataFrame) -> np.ndarray:
+    """The bytes of a filter of words, or of pairs. A block has ``BLOCK_BITS`` places and ``BLOCKS`` of them come to the driver, however
+    many phrases there are."""
+    marks = phrases.select("lang", "phrase").mapInArrow(_marks, "block long, place long").distinct()
     out = np.zeros(BLOCKS * BLOCK_BITS // 8, np.uint8)
     size = BLOCK_BITS // 8
     for r in marks.groupBy("block").applyInPandas(_block, "block long, bits binary").toLocalIterator():
@@ -228,8 +228,8 @@ def pair_filter(pairs: DataFrame) -> np.ndarray:
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
-    out = pa.concat_tables(tables).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
-    return out.rename_columns(["lang", "phrase", "words", "n"])
+    out = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    return out.rename_columns(["lang", "phrase", "n"])
 
 
 def _counter(phrases):
@@ -256,20 +256,24 @@ def _counter(phrases):
 
 
 def frequent(texts: DataFrame, phrases, least: int) -> DataFrame:
-    """COUNTED of all phrases found ``least`` times, and the words of each language as the count of the empty phrase."""
-    counted = texts.mapInArrow(_counter(phrases), COUNTED)
-    summed = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return summed.filter((F.col("n") >= least) | (F.col("words") == 0))
+    """(lang, phrase, words, n) of all phrases found ``least`` times, and of the empty phrase. Each task has summed its own, so rows are
+    dealt out by phrase as they are."""
+    counted = texts.mapInArrow(_counter(phrases), COUNTED).repartition("lang", "phrase")
+    summed = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("phrase") == ""))
+    return summed.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n")
 
 
 def count_phrases(docs: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, words, n) of ``docs`` (lang, text): every phrase of one to four words found ``least`` times, written."""
     spark = bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    short = shared_table(spark, frequent(texts, short_phrases, least), "phrases-short")
-    sent = spark.sparkContext.broadcast(pair_filter(short.filter("words = 2")))  # 16 MB, whatever the corpus
-    long = shared_table(spark, frequent(texts, lambda s, langs: long_phrases(s, langs, sent.value), least), "phrases-long")
-    return short.unionByName(long)
+    send = lambda rows: spark.sparkContext.broadcast(filter_of(rows))  # noqa: E731  # 16 MB, whatever the corpus
+    words = shared_table(spark, frequent(texts, words_of, least), "words")
+    w = send(words.filter("words = 1"))
+    pairs = shared_table(spark, frequent(texts, lambda s, langs: pairs_of(s, langs, w.value), least), "pairs")
+    p = send(pairs)
+    longer = shared_table(spark, frequent(texts, lambda s, langs: long_phrases(s, langs, w.value, p.value), least), "phrases")
+    return words.unionByName(pairs).unionByName(longer)
 
 
 # -- scores -----------------------------------------------------------------------------------------
