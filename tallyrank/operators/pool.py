@@ -18,10 +18,11 @@ def skip_ingested(incoming: DataFrame, pool: DataFrame, key: str = "source_file"
     return incoming.join(pool.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def build_records(parsed: DataFrame) -> DataFrame:
-    """Parsed fields with the defaults of a record. Missing columns are taken as null."""
+def clean_records(parsed: DataFrame) -> DataFrame:
+    """Parsed fields as a record's columns, without the defaults that a merge must not put over known values: title, education,
+    location and text stay null where they were not parsed. Missing columns are taken as null."""
     have = set(parsed.columns)
-    col = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    col = lambda c, kind="string": F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
     job = lambda j: F.struct(
         F.coalesce(j["title"], F.lit("Developer")).alias("title"), F.coalesce(j["company"], F.lit("Company")).alias("company"),
         F.coalesce(j["start_date"], F.lit("2020-01-01")).alias("start_date"), j["end_date"].alias("end_date"),
@@ -29,18 +30,28 @@ def build_records(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({
         "name": C.strip(F.coalesce(col("name"), F.lit("Unknown Candidate"))),
         "name_not_extracted": F.coalesce(col("name_not_extracted", "boolean"), F.lit(False)),
-        "current_title": F.coalesce(col("current_title"), F.lit("Software Engineer")),
+        "current_title": col("current_title"),
         "years_experience": F.coalesce(col("years_experience", "double"), F.lit(1.0)),
         "career_history": F.transform(F.filter(F.coalesce(col("career_history", HISTORY), F.array().cast(HISTORY)), lambda j: j.isNotNull()), job),
         "skills_listed": F.coalesce(col("skills_listed", "array<string>"), F.array().cast("array<string>")),
         "last_active": F.nullif(col("last_active"), F.lit("")),
-        "education": F.coalesce(col("education"), F.lit("")),
-        "location": F.coalesce(col("location"), F.lit("Remote")),
-        "resume_text": F.coalesce(col("resume_text"), F.lit("")),
+        "education": col("education"),
+        "location": col("location"),
+        "resume_text": col("resume_text"),
         "source_file": col("source_file"),
     })
 
 
+def fill_records(rows: DataFrame) -> DataFrame:
+    """The defaults of what no parse has given."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("current_title", "Software Engineer"), ("education", ""), ("location", "Remote"), ("resume_text", ""))})
+
+
+def build_records(parsed: DataFrame) -> DataFrame:
+    """Parsed fields with the defaults of a record. Missing columns are taken as null."""
+    return fill_records(clean_records(parsed))
+
+
 def union_skills(a: Column, b: Column) -> Column:
     """First seen first, trimmed; case counts."""
     return F.array_distinct(F.concat(F.transform(a, C.strip), F.transform(b, C.strip)))
@@ -59,11 +70,11 @@ def person_key(df: DataFrame) -> Column:
     return F.when(~F.col("name_not_extracted") & (low != "") & ~low.isin(*K.GENERIC_NAMES), low)
 
 
-def _folded(rows: DataFrame, order: list[str]) -> DataFrame:
+def _folded(rows: DataFrame, order: list[str], keys: tuple[str, ...] = ("person",)) -> DataFrame:
     """Rows of one person made one, in the order given: later values that are not empty win. A person has few rows."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct(*order)))
     listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, "skills_listed", "career_history"))), lambda r: F.struct(r["skills_listed"].alias("s"), r["career_history"].alias("h")))
-    out = rows.groupBy("person").agg(
+    out = rows.groupBy(*keys).agg(
         F.min_by("candidate_id", F.struct(*order)).alias("candidate_id"), F.min_by("name", F.struct(*order)).alias("name"), *(last(c).alias(c) for c in ("current_title", "education", "location", "last_active", "resume_text", "source_file")),
         F.max("years_experience").alias("years_experience"), listed.alias("__l"),
     )
@@ -101,3 +112,33 @@ def allocate_ids(rows: DataFrame) -> DataFrame:
     new = numbered(rows.filter("candidate_id is null"), F.asc("name"), F.asc("source_file"), F.asc("resume_text"))
     new = new.join(F.broadcast(top)).withColumn("candidate_id", F.format_string("cand_%04d", F.col("__top") + F.col("rank")))  # one row
     return rows.filter("candidate_id is not null").unionByName(new.select(*rows.columns))
+
+
+def with_new_ids(incoming: DataFrame, known: DataFrame, top: int) -> DataFrame:
+    """Incoming rows (``person`` null where they have none) with candidate_id: one number on from ``top`` for each person that ``known``
+    (person) lacks and for each row without a person, by name and file; null for known persons. Only incoming rows are numbered."""
+    named = incoming.filter("person is not null").groupBy("person").agg(F.min("name").alias("name"), F.min("source_file").alias("source_file"), F.min("row").alias("row"))
+    named = named.join(known.filter("person is not null").select("person").distinct(), "person", "left_anti")
+    new = named.unionByName(incoming.filter("person is null").select("person", "name", "source_file", "row"))
+    ids = numbered(new, F.asc("name"), F.asc("source_file"), F.asc("row")).withColumn("id", F.format_string("cand_%04d", F.lit(top) + F.col("rank")))
+    incoming = incoming.drop("candidate_id")
+    some = incoming.filter("person is not null").join(ids.filter("person is not null").select("person", F.col("id").alias("candidate_id")), "person", "left")
+    loose = incoming.filter("person is null").join(ids.filter("person is null").select("row", F.col("id").alias("candidate_id")), "row")
+    return some.unionByName(loose)
+
+
+def merge_buckets(old: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Pool rows of some buckets with incoming rows (``COLUMNS``, bucket, person, row) merged in; a person's rows share a bucket, so rows
+    are dealt out once, by bucket. Of several old rows of a name the first by id takes the merge. Incoming rows merge in the order of
+    their files."""
+    n = old.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    old = old.select("bucket", *COLUMNS).withColumn("person", person_key(old)).withColumn("__new", F.lit(0)).withColumn("row", F.lit(None).cast("string"))
+    rows = old.unionByName(incoming.select("bucket", *COLUMNS, "person", "row").withColumn("__new", F.lit(1))).repartition(int(n), "bucket")
+    named, loose = rows.filter("person is not null"), rows.filter("person is null")
+    nth = F.row_number().over(W.partitionBy("bucket", "person", "__new").orderBy("candidate_id", "row"))
+    named = named.withColumn("__nth", nth)
+    rest = named.filter("__new = 0 and __nth > 1")
+    named = named.filter("__new = 1 or __nth = 1").withColumn("__order", F.coalesce("source_file", F.lit(""))).withColumn("row", F.coalesce("row", F.lit("")))
+    merged = _folded(named, ["__new", "__order", "row"], ("bucket", "person"))
+    out = [x.select("bucket", *COLUMNS) for x in (merged, loose, rest)]
+    return fill_records(out[0].unionByName(out[1]).unionByName(out[2]))

@@ -11,10 +11,11 @@ from tallyrank.functions import constants as K
 from tallyrank.operators import chunking, copilot, expansion, ocr, order, parsing, pool, prefilter, rank, score, stats, vectors
 from tallyrank.plans import sql as S
 from tallyrank.plans.view import AS_OF, candidates, read
-from tallyrank.sources.store import PoolStore, export_columns, export_rows, shared_dir, written
+from tallyrank.sources.buckets import BucketStore
+from tallyrank.sources.store import export_columns, export_rows, new_folder, written
 from tallyrank.sources import candidates as source
 from tallyrank.sources.generator import COHORTS, generate
-from tallyrank.streaming.ingest import ingest_batch
+from tallyrank.streaming.ingest import failures, ingest_batch, pool_of
 
 REQUEST = score.Request(S.QUERY, S.KEYWORDS, AS_OF)
 QUERIES: dict = {}
@@ -363,19 +364,63 @@ def ocr_pages(spark, d):
 @query("SELECT count(*) AS n, count(DISTINCT c_name) AS names, count(DISTINCT c_custkey) AS files FROM customer")
 def ingest_stream(spark, d):
     """The customers as a stream of files into a pool; a second run from the same checkpoint finds nothing new."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/tallyrank/ingest-{uuid.uuid4().hex}"
-    store = PoolStore(spark, f"{base}/pool")
+    base = new_folder(spark, "ingest")
+    store = BucketStore(spark, f"{base}/pool")
     schema = read(spark, d, "customer").schema
 
-    def merge(batch: DataFrame, _: int) -> None:
-        ingest_batch(store, batch.select(F.col("c_name").alias("name"), F.concat(F.lit("f"), F.col("c_custkey")).alias("source_file"), F.lit(None).cast("string").alias("error")))
+    def merge(batch: DataFrame, number: int) -> None:
+        ingest_batch(store, batch.select(F.col("c_name").alias("name"), F.concat(F.lit("f"), F.col("c_custkey")).alias("source_file"), F.lit(None).cast("string").alias("error")), number)
 
     for _ in range(2):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(d)
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return store.read().agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.countDistinct("source_file").alias("files"))
+    return pool_of(store).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.countDistinct("source_file").alias("files"))
+
+
+MERGES = 20
+
+
+@query(f"""WITH files AS (SELECT o_custkey AS k, o_orderkey AS ok, o_custkey % 20 AS b0, o_orderkey % {MERGES} AS b, o_orderpriority AS title, o_orderstatus AS company, strftime(o_orderdate, '%Y-%m-%d') AS start_date, o_totalprice AS price FROM orders),
+  last AS (SELECT k, arg_max(title, b * 1000000000 + ok) AS current_title, max(price) AS years, count(DISTINCT company || '|' || title || '|' || start_date) AS n_jobs, count(DISTINCT title) AS n_skills, arg_max(ok, b * 1000000000 + ok) AS f FROM files GROUP BY k)
+  SELECT c_name AS name, current_title, years AS years_experience, n_jobs, n_skills, printf('in/%09d.pdf', f) AS source_file FROM last JOIN customer ON c_custkey = k""")
+def pool_merge(spark, d):
+    """Orders as resumes of their customers, merged into a bucketed pool in twenty batches, the last given first once more."""
+    store = BucketStore(spark, new_folder(spark, "merge"), buckets=16)
+    job = F.struct(F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("company"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"), F.lit(None).cast("string").alias("end_date"))
+    rows = read(spark, d, "orders").join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name")), "o_custkey")
+    rows = rows.select((F.col("o_orderkey") % MERGES).alias("b"), "name", F.col("o_orderpriority").alias("current_title"), F.col("o_totalprice").alias("years_experience"), F.array(job).alias("career_history"), F.array("o_orderpriority").alias("skills_listed"), F.format_string("in/%09d.pdf", "o_orderkey").alias("source_file"), F.lit(None).cast("string").alias("error"))
+    rows = written(rows, "merge-rows")
+    for batch in [*range(MERGES), 0]:
+        ingest_batch(store, rows.filter(F.col("b") == batch).drop("b"))
+    return pool_of(store).select("name", "current_title", "years_experience", F.size("career_history").cast("long").alias("n_jobs"), F.size("skills_listed").cast("long").alias("n_skills"), "source_file")
+
+
+def _ledger(spark, d) -> BucketStore:
+    """Documents as files of two archives that name them alike; one in seven can't be parsed the first time, one in fourteen ever."""
+    store = BucketStore(spark, new_folder(spark, "ledger"), buckets=16)
+    rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a"), (F.col("doc_id") % 2).cast("string")).alias("archive"), F.format_string("in/%d.pdf", F.floor(F.col("doc_id") / 2)).alias("source_file"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.format_string("person %d", "doc_id").alias("name"))
+    for n, every in enumerate((7, 7, 14)):
+        ingest_batch(store, rows.withColumn("error", F.when(F.col("doc_id") % every == 0, F.format_string("try %d", F.lit(n)))).drop("doc_id"))
+    return store
+
+
+LEDGER_SQL = "SELECT doc_id, 'a' || doc_id % 2 AS archive, 'in/' || doc_id // 2 || '.pdf' AS source_file, sha256(coalesce(text, '')) AS digest FROM documents"
+
+
+@query(f"SELECT archive, source_file, digest, CASE WHEN doc_id % 14 = 0 THEN 'failed' ELSE 'parsed' END AS state, CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 1 END::BIGINT AS batch, CASE WHEN doc_id % 14 = 0 THEN 'try 2' END AS error FROM ({LEDGER_SQL})")
+def ingest_ledger(spark, d):
+    return _ledger(spark, d).read("ledger").drop("bucket")
+
+
+@query(f"SELECT archive, source_file, digest, 3::BIGINT AS batch, 'try 2' AS error FROM ({LEDGER_SQL}) WHERE doc_id % 14 = 0")
+def ingest_failures(spark, d):
+    return failures(_ledger(spark, d))
+
+
+@query("""SELECT b AS batch, n AS total, CASE WHEN b = 1 THEN 0 ELSE n - bad END AS skipped, CASE b WHEN 1 THEN n - bad WHEN 2 THEN 0 ELSE bad - worse END AS parsed, CASE WHEN b = 3 THEN worse ELSE bad END AS failed
+  FROM (SELECT count(*) AS n, count(*) FILTER (doc_id % 7 = 0) AS bad, count(*) FILTER (doc_id % 14 = 0) AS worse FROM documents), (SELECT unnest([1::BIGINT, 2, 3]) AS b)""")
+def ingest_batches(spark, d):
+    return _ledger(spark, d).read("batches").drop("bucket", "percent")
 
 
 TYPED = score.Request(S.QUERY, S.KEYWORDS, AS_OF, seniority="senior", sector=" fin ")

@@ -68,15 +68,15 @@ def zip_entries(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                         for info in z.infolist():
-                            base = info.filename.rsplit("/", 1)[-1]
-                            if not info.filename.lower().endswith(".pdf") or base.startswith("._") or info.filename.startswith("__MACOSX"):
+                            name = info.orig_filename.replace("\\", "/")  # archives made on Windows
+                            if not name.lower().endswith(".pdf") or name.rsplit("/", 1)[-1].startswith("._") or name.startswith("__MACOSX"):
                                 continue
                             try:
                                 if info.file_size > MOST_BYTES:
                                     raise ValueError("entry is too large")
-                                rows.append((path, info.filename, z.read(info), None))
+                                rows.append((path, name, z.read(info), None))
                             except Exception as e:  # one bad entry leaves the others
-                                rows.append((path, info.filename, None, str(e)))
+                                rows.append((path, name, None, str(e)))
                 except Exception as e:
                     rows.append((path, None, None, str(e)))
                 yield pd.DataFrame(rows, columns=["archive", "entry", "content", "error"])

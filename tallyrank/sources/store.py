@@ -9,38 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.functions import constants as K
+from tallyrank.sources.commits import CommitLog
 
 
 class PoolStore:
-    """Parquet versions under one path and a pointer to the current one. A version is written whole before the
-    pointer names it, and the folder that is read is never the one that is written. Works on any Hadoop file system."""
+    """Parquet versions under one path and a log of commits that name them. A version is written whole before its commit, and
+    the folder that is read is never the one that is written. Works on any Hadoop file system."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._of(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.log = CommitLog(spark, f"{self.path}/_commits")
 
     def current(self) -> str | None:
-        versions = self._of(f"{self.path}/_pointers")
-        if not self._fs.exists(versions):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(versions))
-        return f"{self.path}/{names[-1].split('-', 1)[1]}" if names else None
+        told = self.log.last()[1]
+        return f"{self.path}/{told['version']}" if told else None
 
     def read(self) -> DataFrame | None:
         now = self.current()
         return self.spark.read.parquet(now) if now else None
 
     def write(self, pool: DataFrame) -> str:
-        """Writes the next version; the pointer's name carries its number, and creating it is the commit."""
-        versions = self._of(f"{self.path}/_pointers")
-        self._fs.mkdirs(versions)
-        number = 1 + max((int(s.getPath().getName().split("-", 1)[0]) for s in self._fs.listStatus(versions)), default=0)
-        name = uuid.uuid4().hex
+        """Writes the next version; ``Conflict`` where another writer committed one meanwhile."""
+        number, name = self.log.last()[0] + 1, uuid.uuid4().hex
         pool.write.parquet(f"{self.path}/{name}")
-        if not self._fs.createNewFile(self._of(f"{self.path}/_pointers/{number:012d}-{name}")):
-            raise RuntimeError("another writer was first")
+        self.log.append(number, {"version": name})
         return name
 
     def truncate(self, schema) -> str:
@@ -102,8 +94,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a folder in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/tallyrank/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again, for what is read several times."""
-    path = f"{shared_dir(df.sparkSession)}/tallyrank/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tallyrank.operators import chunking, copilot, expansion, ocr, order, pool, prefilter, score, vectors
 from tallyrank.sources import candidates as source
 from tallyrank.sources.generator import COHORTS, generate
-from tallyrank.sources.store import PoolStore, markdown_brief, write_csv
-from tallyrank.streaming.ingest import json_resumes, start_ingest
+from tallyrank.sources.buckets import BucketStore
+from tallyrank.sources.store import markdown_brief, write_csv
+from tallyrank.streaming.ingest import failures, json_resumes, pool_of, start_ingest
 
 AS_OF = date(2026, 5, 20)
 REQUEST = score.Request("python kafka", ("Python", "Kafka"), AS_OF)
@@ -155,17 +156,17 @@ def test_sources(spark, tmp_path):
 
 
 def test_store_and_stream(spark, tmp_path):
-    store, metrics = PoolStore(spark, str(tmp_path / "pool")), PoolStore(spark, str(tmp_path / "metrics"))
+    store = BucketStore(spark, str(tmp_path / "pool"))
     drop = tmp_path / "in"
     drop.mkdir()
     for i in range(4):
         (drop / f"r{i}.json").write_text(json.dumps({"name": f"Person {i % 3}", "current_title": "Dev", "skills_listed": [str(i)]}) if i else "broken")
     for _ in range(2):
-        start_ingest(spark, str(drop), json_resumes, store, str(tmp_path / "checkpoint"), metrics).awaitTermination()
-    rows = {r["name"]: r for r in store.read().collect()}
+        start_ingest(spark, str(drop), json_resumes, store, str(tmp_path / "checkpoint")).awaitTermination()
+    rows = {r["name"]: r for r in pool_of(store).collect()}
     assert set(rows) == {"Person 0", "Person 1", "Person 2"} and len({r["candidate_id"] for r in rows.values()}) == 3
-    told = metrics.read().first()
-    assert (told["total"], told["failed"], told["failed_files"], told["percent"]) == (4, 1, ["r0.json"], 100)
+    told = store.read("batches").collect()
+    assert [(r["total"], r["failed"], r["percent"]) for r in told] == [(4, 1, 100)] and [r["source_file"] for r in failures(store).collect()] == ["r0.json"]
 
 
 def test_exports(spark, tmp_path):

@@ -13,7 +13,7 @@ from tallyrank.operators import chunking, expansion, order, parsing, prefilter,
 from tallyrank.sources import settings
 from tallyrank.sources.candidates import read_candidates
 from tallyrank.sources.generator import generate
-from tallyrank.sources.store import PoolStore
+from tallyrank.sources.buckets import BucketStore
 from tallyrank.streaming import ingest
 
 AS_OF = date(2026, 5, 20)
@@ -154,7 +154,7 @@ def test_fallbacks(spark):
 
 
 def test_archives_to_pool(spark, tmp_path):
-    store, metrics = PoolStore(spark, str(tmp_path / "pool")), PoolStore(spark, str(tmp_path / "metrics"))
+    store = BucketStore(spark, str(tmp_path / "pool"))
     (tmp_path / "in").mkdir()
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -165,18 +165,10 @@ def test_archives_to_pool(spark, tmp_path):
     (tmp_path / "in" / "cyd.pdf").write_bytes(b"Cyd Fox\nEngineer")
     parse = ingest.parsed_resumes(Shaky(), [lambda b: None, lambda b: b.decode()])
     for _ in range(2):
-        query = ingest.start_ingest(spark, str(tmp_path / "in"), parse, store, str(tmp_path / "check"), metrics)
-        events = list(ingest.progress(query, metrics, store, every=0.2))
+        query = ingest.start_ingest(spark, str(tmp_path / "in"), parse, store, str(tmp_path / "check"))
+        events = list(ingest.progress(query, store, every=0.2))
         assert events[-1] == {"total": 4, "skipped": 0, "parsed": 3, "failed": 1, "failed_files": ["empty.pdf"], "percent": 100, "status": "done", "total_candidate_count": 3}
-    assert {(r["name"], tuple(r["skills_listed"])) for r in store.read().collect()} == {("Ann Lee", ("Python",)), ("Bob Ray", ("Go",)), ("Cyd Fox", ())}
-
-
-def test_a_batch_that_runs_again_keeps_its_figures(spark, tmp_path):
-    store, metrics = PoolStore(spark, str(tmp_path / "pool")), PoolStore(spark, str(tmp_path / "metrics"))
-    rows = spark.createDataFrame([("Ann Lee", "a", None), (None, "b", "bad")], "name string, source_file string, error string")
-    for _ in range(2):
-        ingest.ingest_batch(store, rows, metrics, 7)
-    assert [(r["batch"], r["parsed"], r["failed"]) for r in metrics.read().collect()] == [(7, 1, 1)] and store.read().count() == 1
+    assert {(r["name"], tuple(r["skills_listed"])) for r in ingest.pool_of(store).collect()} == {("Ann Lee", ("Python",)), ("Bob Ray", ("Go",)), ("Cyd Fox", ())}
 
 
 def test_settings():
