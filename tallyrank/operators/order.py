@@ -1,5 +1,4 @@
-"""Ranking orders. ``rank_total`` is a total order and scales; ``rank_exact`` is the comparator with a tie band,
-which depends on the order of its input and so must see the whole list: use it for lists that fit one task."""
+"""Ranking orders. ``rank_total`` is a total order; ``rank_exact`` is the comparator with a tie band, segment by segment."""
 
 from __future__ import annotations
 
@@ -45,19 +44,41 @@ def compare(a: tuple, b: tuple) -> int:
     return (gap < 0) - (gap > 0)
 
 
+def segments(classes: DataFrame) -> DataFrame:
+    """Adds ``segment`` and ``rows``, the rows in it, to (final_score, freshness_score, n): scores downwards, cut where one lies more than
+    the band below the one before it. Across a cut the higher score always goes first."""
+    by = W.orderBy(F.desc("final_score"))
+    cut = F.lag("final_score").over(by) - F.col("final_score") > BAND
+    cut = classes.withColumn("segment", F.sum(F.when(cut, 1).otherwise(0)).over(by))
+    return cut.withColumn("rows", F.sum("n").over(W.partitionBy("segment")))
+
+
+def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
+    """The comparator over (final_score, freshness_score) rows that come by depth, then id; adds their places."""
+    rows = rows.sort_values(["depth", "id"], ascending=[False, True], kind="stable")
+    pairs = list(zip(rows["final_score"], rows["freshness_score"], strict=True))
+    order = sorted(range(len(pairs)), key=cmp_to_key(lambda i, j: compare(pairs[i], pairs[j])))
+    return rows.iloc[order].assign(place=range(len(order)))
+
+
 def rank_exact(scored: DataFrame, most: int = 100_000) -> DataFrame:
-    """(rank, candidate_id): the comparator over rows ordered by semantic depth, then id. One task, by its nature, so
-    lists of over ``most`` rows are an error; ``rank_total`` ranks those."""
-
-    def run(frames):
-        rows = []
-        for f in frames:
-            rows += f.itertuples(index=False)
-            if len(rows) > most:
-                raise ValueError(f"rank_exact ranks {most} rows at most; use rank_total")
-        rows.sort(key=lambda r: (-r.semantic, r.candidate_id))
-        rows.sort(key=cmp_to_key(lambda x, y: compare((x.final_score, x.freshness_score), (y.final_score, y.freshness_score))))
-        yield pd.DataFrame({"rank": range(1, len(rows) + 1), "candidate_id": [r.candidate_id for r in rows]})
-
-    few = scored.select("candidate_id", "final_score", "freshness_score", F.col("raw_semantic_score").alias("semantic"))
-    return few.coalesce(1).mapInPandas(run, "rank long, candidate_id string")
+    """(rank, candidate_id): the comparator with its tie band over rows that come by semantic depth, then id, segment by segment.
+
+    Scores have one decimal and freshness one value a day of the last year, so their pairs are bounded (some 370,000), whatever the pool;
+    they are cut into segments at gaps wider than the band. The rows of a segment are sorted by the comparator in one task, as a
+    whole list would be. Where a segment has over ``most`` rows its pairs are sorted in the order of their first rows, and rows of
+    one pair stand together as they come. Both are the same unless the band makes a cycle, where the comparator has no order and
+    a sort's result depends on how its list comes. Then rows are numbered by segment and place, by ranges.
+    """
+    pair = ["final_score", "freshness_score"]
+    rows = scored.select("candidate_id", *pair, F.col("raw_semantic_score").alias("depth"))
+    first = F.min(F.struct((-F.col("depth")).alias("depth"), F.col("candidate_id").alias("id")))
+    cut = segments(rows.groupBy(*pair).agg(F.count("*").alias("n"), first.alias("f")))
+    cut = cut.select(*pair, "segment", "rows", (-F.col("f.depth")).alias("depth"), F.col("f.id").alias("id"))
+    kind = "final_score double, freshness_score double, segment long, depth double, id string, place long"
+    asked = lambda df: df.select(F.col("final_score").cast("double"), F.col("freshness_score").cast("double"), "segment", F.col("depth").cast("double"), "id")
+    few = rows.withColumnRenamed("candidate_id", "id").join(cut.filter(F.col("rows") <= most).select(*pair, "segment"), pair)
+    few = asked(few).groupBy("segment").applyInPandas(_sorted, kind).select("segment", "place", "depth", F.col("id").alias("candidate_id"))
+    many = asked(cut.filter(F.col("rows") > most)).groupBy("segment").applyInPandas(_sorted, kind).select(*pair, "segment", "place")
+    many = rows.join(many, pair).select("segment", "place", F.col("depth").cast("double").alias("depth"), "candidate_id")
+    return numbered(few.unionByName(many), F.asc("segment"), F.asc("place"), F.desc("depth"), F.asc("candidate_id")).select("rank", "candidate_id")

@@ -114,17 +114,18 @@ def allocate_ids(rows: DataFrame) -> DataFrame:
     return rows.filter("candidate_id is not null").unionByName(new.select(*rows.columns))
 
 
-def with_new_ids(incoming: DataFrame, known: DataFrame, top: int) -> DataFrame:
-    """Incoming rows (``person`` null where they have none) with candidate_id: one number on from ``top`` for each person that ``known``
+def with_new_ids(incoming: DataFrame, known: DataFrame, top: int) -> tuple[DataFrame, int]:
+    """(rows, how many ids are new): incoming rows (``person`` null where they have none) with candidate_id, one number on from ``top`` for each person that ``known``
     (person) lacks and for each row without a person, by name and file; null for known persons. Only incoming rows are numbered."""
     named = incoming.filter("person is not null").groupBy("person").agg(F.min("name").alias("name"), F.min("source_file").alias("source_file"), F.min("row").alias("row"))
     named = named.join(known.filter("person is not null").select("person").distinct(), "person", "left_anti")
     new = named.unionByName(incoming.filter("person is null").select("person", "name", "source_file", "row"))
-    ids = numbered(new, F.asc("name"), F.asc("source_file"), F.asc("row")).withColumn("id", F.format_string("cand_%04d", F.lit(top) + F.col("rank")))
+    ids = numbered(new, F.asc("name"), F.asc("source_file"), F.asc("row"))
+    count, ids = ids.count(), ids.withColumn("id", F.format_string("cand_%04d", F.lit(top) + F.col("rank")))
     incoming = incoming.drop("candidate_id")
     some = incoming.filter("person is not null").join(ids.filter("person is not null").select("person", F.col("id").alias("candidate_id")), "person", "left")
     loose = incoming.filter("person is null").join(ids.filter("person is null").select("row", F.col("id").alias("candidate_id")), "row")
-    return some.unionByName(loose)
+    return some.unionByName(loose), count
 
 
 def merge_buckets(old: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -34,12 +34,16 @@ def pool_limit(n: int) -> int:
 
 
 def prefilter(pool: DataFrame, query: str, keywords: list[str], key: Column | str = "candidate_id") -> DataFrame:
-    """The best of the pool; ties go by the key.
+    """The best of the pool; ties go by the key. The pool is read twice."""
+    return best_of(keyword_scores(pool, query, keywords), key)
+
+
+def best_of(scored: DataFrame, key: Column | str = "candidate_id") -> DataFrame:
+    """The rows that go on by their keyword_score.
 
     Scores are few whole numbers: their counts give the pool's size and the score at the edge, all above it are in, and
-    only the rows at the edge are numbered. Nothing is sorted as a whole. The pool is read twice.
+    only the rows at the edge are numbered. Nothing is sorted as a whole.
     """
-    scored = keyword_scores(pool, query, keywords)
     counts = sorted(((r["keyword_score"], r["n"]) for r in scored.groupBy("keyword_score").agg(F.count("*").alias("n")).collect()), reverse=True)
     left = pool_limit(sum(n for _, n in counts))
     for edge, n in counts:

@@ -20,6 +20,10 @@ from tallyrank.operators.score import Request, attach_scores, score
 from tallyrank.sources.store import written
 
 
+#: Tells the rows of a pool apart while it is ranked.
+ROW = "__row"
+
+
 @dataclass(frozen=True)
 class Ranked:
     """The rows by rank, the request they were scored by, the expanded query and the sector that was decided on."""
@@ -63,12 +67,13 @@ def asked(description: str) -> str:
     return description
 
 
-def semantic_scores(pool: DataFrame, query: str, embed: Callable[[Column], Column] = vectors.embed, embed_query: Callable[[str], list[float]] | None = None) -> DataFrame:
-    """(candidate_id, best, unified): every resume in fragments, all vectors centred, the best cosine to the query."""
+def semantic_scores(pool: DataFrame, query: str, embed: Callable[[Column], Column] = vectors.embed, embed_query: Callable[[str], list[float]] | None = None, key: str = "candidate_id") -> DataFrame:
+    """(candidate_id, best, unified): every resume in fragments, all vectors centred, the best cosine to the query. ``key`` tells rows apart.
+    Fragments are cut and embedded once; the mean and the cosines read what was written."""
     vector = embed_query(query) if embed_query else vectors.hashed_vectors([query])[0].tolist()
-    parts = chunking.fragments(pool).withColumn("embedding", embed(F.col("fragment")))
-    best = vectors.best_fragment(vectors.centred_cosine(parts, vector), "candidate_id")
-    return vectors.unified_score(pool.join(best, "candidate_id")).select("candidate_id", "best", "unified")
+    parts = written(chunking.fragments(pool, key).select(key, embed(F.col("fragment")).alias("embedding")), "fragments")
+    best = vectors.best_fragment(vectors.centred_cosine(parts, vector), key)
+    return vectors.unified_score(pool.join(best, key)).select("candidate_id", "best", "unified")
 
 
 def rank(pool: DataFrame, description: str, seniority: str = "Senior", sector: str = "TECH", as_of: date | None = None, top: int | None = None, weights: tuple[float, float, float] = (0.60, 0.25, 0.15), provider=None, expander=None, embed=vectors.embed, embed_query=None) -> Ranked:
@@ -81,12 +86,12 @@ def rank(pool: DataFrame, description: str, seniority: str = "Senior", sector: s
     told = (provider.requirements if provider else expansion.requirements)(asked(description), sector)
     expanded = (expander.expand if expander else expansion.expand)(description, seniority)
     request = Request(f"{description} {expanded}", tuple(told["top_keywords"]), as_of, seniority, told["sector_token"], weights)
-    pool = written(pool, "rank-pool")
+    pool = written(pool.withColumn(ROW, F.monotonically_increasing_id()), "rank-pool")  # ids may repeat
     chosen = written(prefilter(pool, request.query, list(request.keywords)), "chosen")
-    scores = semantic_scores(chosen, told["polished_requirements"], embed, embed_query)
+    scores = semantic_scores(chosen, told["polished_requirements"], embed, embed_query, ROW)
     rows = written(score(attach_scores(pool, scores), request), "scored")
-    keys = order.rank_total(rows.select("candidate_id", "final_score", "freshness_score"), top).select("candidate_id", "rank")
-    return Ranked(with_id(rows.join(keys, "candidate_id")), request, expanded, told["sector_token"])
+    keys = order.rank_total(rows.select(ROW, "candidate_id", "final_score", "freshness_score"), top).select(ROW, "rank")
+    return Ranked(with_id(rows.join(keys, ROW).drop(ROW)), request, expanded, told["sector_token"])
 
 
 def similar(pool: DataFrame, wanted: str, as_of: date, most: int = 10, **how) -> tuple[DataFrame, str]:

@@ -31,6 +31,26 @@ def activity_counts(pool: DataFrame, as_of: date) -> DataFrame:
     return _filled(pool.sparkSession, counted, K.STATES)
 
 
+def statistics(pool: DataFrame, as_of: date) -> DataFrame:
+    """(part, bucket, n) in one pass over the pool: roles, experience bands and states of activity (0 where a band or state has none), and
+    the total."""
+    rows = pool.select(C.role_of(F.col("current_title")).alias("role"), C.experience_band(F.col("years_experience")).alias("band"), C.activity_state(F.col("last_active"), as_of).alias("state"))
+    sets = [[F.col("role")], [F.col("band")], [F.col("state")], []]
+    counted = rows.groupingSets(sets, "role", "band", "state").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    part = F.when(F.col("g") == 3, "role").when(F.col("g") == 5, "band").when(F.col("g") == 6, "state").otherwise("total")
+    counted = counted.select(part.alias("part"), F.coalesce("role", "band", "state", F.lit("all")).alias("bucket"), "n")
+    none = [("band", b, 0) for b in K.BANDS] + [("state", x, 0) for x in K.STATES] + [("total", "all", 0)]
+    filled = counted.unionByName(pool.sparkSession.createDataFrame(none, "part string, bucket string, n long"))
+    return filled.groupBy("part", "bucket").agg(F.sum("n").alias("n"))
+
+
+def source_report(pool: DataFrame, categories: dict[str, tuple[str, ...]], column: str = "source_file") -> DataFrame:
+    """(rows, with_file, files, known): rows of a pool, those that name a file, the different files, and those that a category lists."""
+    base = F.regexp_extract(F.col(column), r"([^/\\\\]+)$", 1)
+    listed = base.isin(*(f for files in categories.values() for f in files))
+    return pool.agg(F.count("*").alias("rows"), F.count(column).alias("with_file"), F.count_distinct(column).alias("files"), F.count_distinct(F.when(listed, F.col(column))).alias("known"))
+
+
 def label_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("status_label").agg(F.count("*").alias("n"))
 

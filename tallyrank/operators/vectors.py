@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,19 +16,21 @@ DIM = 64
 
 
 def mean_vector(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row, ``mu``: the mean of all vectors. Sums by position are partial before the shuffle."""
-    parts = df.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mu"))
+    """One row (mu, n): the mean of all vectors and their number, in one pass, a buffer of one vector a task. No vectors, mu null."""
+    known = df.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    sums = known.groupBy(F.lit(1).alias("g")).agg(Summarizer.metrics("mean", "count").summary(F.col("v")).alias("s"))  # grouped: none where there are none
+    one = df.sparkSession.range(1).select(F.lit(1).alias("g"))
+    return one.join(sums, "g", "left").select(F.when(F.col("s").isNotNull(), vector_to_array("s.mean")).alias("mu"), F.coalesce("s.count", F.lit(0)).alias("n"))
 
 
 def centred_cosine(df: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
     """Adds score, (cosine + 1) / 2 of the vectors and the query, both less the mean (if there are several)."""
-    mu = mean_vector(df, vector).join(df.agg(F.count("*").alias("__n")))
+    mu = mean_vector(df, vector).withColumnsRenamed({"mu": "__mu", "n": "__n"})
     q = F.array(*(F.lit(float(x)) for x in query))
-    less = lambda v: F.zip_with(v, F.col("mu"), lambda x, m: x.cast("double") - m)
+    less = lambda v: F.zip_with(v, F.col("__mu"), lambda x, m: x.cast("double") - m)
     joined = df.join(F.broadcast(mu))  # one row
     several = F.col("__n") > 1
-    return joined.withColumn("score", (F.when(several, C.cosine(less(F.col(vector)), less(q))).otherwise(C.cosine(F.col(vector), q)) + 1) / 2).drop("mu", "__n")
+    return joined.withColumn("score", (F.when(several, C.cosine(less(F.col(vector)), less(q))).otherwise(C.cosine(F.col(vector), q)) + 1) / 2).drop("__mu", "__n")
 
 
 def best_fragment(scored: DataFrame, key: str) -> DataFrame:

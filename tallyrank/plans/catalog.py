@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
 from tallyrank.functions import constants as K
-from tallyrank.operators import chunking, copilot, expansion, ocr, order, parsing, pool, prefilter, rank, score, stats, vectors
+from tallyrank.operators import chunking, copilot, encoders, expansion, ocr, order, parsing, pool, postings, prefilter, rank, score, stats, vectors
 from tallyrank.plans import sql as S
 from tallyrank.plans.view import AS_OF, candidates, read
 from tallyrank.sources.buckets import BucketStore
 from tallyrank.sources.store import export_columns, export_rows, new_folder, written
 from tallyrank.sources import candidates as source
 from tallyrank.sources.generator import COHORTS, generate
+from tallyrank.streaming import freshness as fresh
+from tallyrank.streaming.progress import ProgressTable, progress_rows, until_told
 from tallyrank.streaming.ingest import failures, ingest_batch, pool_of
 
 REQUEST = score.Request(S.QUERY, S.KEYWORDS, AS_OF)
@@ -118,6 +120,19 @@ def rank_exact(spark, d):
     return order.rank_exact(scored(spark, d))
 
 
+@query(S.over("top", "SELECT candidate_id, overlap, title_bonus, kw_bonus, kscore AS score FROM top WHERE raw > 0 OR kscore = 0 QUALIFY row_number() OVER (ORDER BY kscore DESC, candidate_id) <= (SELECT least(count(*), greatest(50, floor(0.2 * count(*)))) FROM top)"))
+def prefilter_by_index(spark, d):
+    """The prefilter from the inverted index of a bucketed pool."""
+    store = BucketStore(spark, new_folder(spark, "indexed"), buckets=8)
+    rows = candidates(spark, d).select("candidate_id", "resume_text", "career_history")
+    at = store.snapshot()
+    rows = rows.withColumn("bucket", store.bucket(F.col("candidate_id"), at))
+    store.commit(at, {"pool": (rows, list(range(at.buckets)))})
+    postings.refresh(store)
+    best = postings.prefilter(store, REQUEST.query, list(REQUEST.keywords))
+    return best.select("candidate_id", "overlap", "title_bonus", "kw_bonus", F.col("keyword_score").alias("score"))
+
+
 @query(S.over("gap", "SELECT candidate_id, len(matched) AS n_matched, len(missing) AS n_missing, array_to_string(matched, ';') AS matched FROM gap"))
 def skills_gap(spark, d):
     rows = score.skills_gap(candidates(spark, d), REQUEST.keywords)
@@ -177,10 +192,43 @@ def unified_score(spark, d):
     return vectors.unified_score(rows.join(best, "label")).select("candidate_id", F.round("unified", 6).alias("unified"))
 
 
-@query()
+CHUNK_UNITS = f"""RECURSIVE para AS (
+    SELECT doc_id, trim(p, {S.WHITE}) AS p, pos FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
+  ), sized AS (SELECT doc_id, pos, p, {S.word_count('p')} AS n FROM para WHERE p <> ''
+  ), unit AS (
+    SELECT doc_id, pos, 0 AS sub, CASE WHEN n > 300 THEN 'B' ELSE 'P' END AS kind, CASE WHEN n > 300 THEN 0 ELSE n END AS n, CASE WHEN n > 300 THEN '' ELSE p END AS text FROM sized
+    UNION ALL SELECT doc_id, pos, sub + 1, 'S', {S.word_count('s')}, s FROM (SELECT doc_id, pos, trim(s, {S.WHITE}) AS s, sub FROM (SELECT doc_id, pos, unnest(string_split(replace(replace(p, '! ', '. '), '? ', '. '), '. ')) AS s, unnest(range(len(string_split(replace(replace(p, '! ', '. '), '? ', '. '), '. ')))) AS sub FROM sized WHERE n > 300)) WHERE s <> ''
+  ), numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS i FROM unit
+  ), fold AS (
+    SELECT doc_id, i, kind, n, text, n AS size, 0 AS c, kind <> 'B' AS open, FALSE AS closed FROM numbered WHERE i = 1
+    UNION ALL SELECT x.doc_id, x.i, x.kind, x.n, x.text, CASE WHEN x.kind = 'B' OR f.size + x.n > 300 THEN x.n ELSE f.size + x.n END,
+      CASE WHEN (x.kind = 'B' OR f.size + x.n > 300) AND f.open THEN f.c + 1 ELSE f.c END, x.kind <> 'B', (x.kind = 'B' OR f.size + x.n > 300) AND f.open
+    FROM fold f JOIN numbered x ON x.doc_id = f.doc_id AND x.i = f.i + 1
+  ), ends AS (SELECT doc_id, c, any_value(kind) AS ended FROM fold WHERE closed GROUP BY ALL
+  ), frag AS (
+    SELECT f.doc_id, f.c AS frag_no, CASE WHEN any_value(e.ended) = 'S' THEN string_agg(text, '. ' ORDER BY i) || '.' ELSE string_agg(text, chr(10) ORDER BY i) END AS fragment
+    FROM fold f LEFT JOIN ends e ON e.doc_id = f.doc_id AND e.c = f.c + 1 WHERE kind <> 'B' GROUP BY f.doc_id, f.c)"""
+
+
+@query(f"WITH {CHUNK_UNITS} SELECT doc_id, frag_no::INT AS frag_no, md5(fragment) AS digest, {S.word_count('fragment')} AS n_words FROM frag")
 def chunk_resume(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", chunking.chunks(F.col("text")).alias("c"))
-    return rows.select("doc_id", F.size("c").alias("n_chunks"), F.coalesce(F.array_max(F.transform("c", C.word_count)), F.lit(0)).alias("max_words"))
+    """Every fragment of every document."""
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("frag_no", "c"))
+    return rows.select("doc_id", "frag_no", F.md5(F.col("c").cast("binary")).alias("digest"), C.word_count(F.col("c")).alias("n_words"))
+
+
+SECTOR_OF_LANG = "CASE lang WHEN 'en' THEN 'TECH' WHEN 'de' THEN 'FIN' WHEN 'fr' THEN 'HEALTH' ELSE 'LEGAL' END"
+ENCODER_OF = "CASE sector " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.ENCODERS.items()) + f" ELSE '{K.OTHER_ENCODER}' END"
+
+
+@query(f"""WITH hashed AS (SELECT doc_id, encoder, ('0x' || substr(md5(encoder || ':' || w), 1, 15))::BIGINT AS h FROM (SELECT doc_id, {ENCODER_OF} AS encoder, unnest(words[1:512]) AS w FROM
+    (SELECT doc_id, {SECTOR_OF_LANG} AS sector, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS words FROM documents)))
+  SELECT doc_id, encoder, (h % 64)::INT AS pos, sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM hashed GROUP BY ALL HAVING sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END) <> 0""")
+def encoded_by_sector(spark, d):
+    """Documents as fragments of four sectors, each embedded by its sector's encoder."""
+    parts = read(spark, d, "documents").select("doc_id", F.col("text").alias("fragment"), F.expr(SECTOR_OF_LANG).alias("sector"))
+    rows = encoders.embed_fragments(parts).select("doc_id", "encoder", F.posexplode("embedding").alias("pos", "x"))
+    return rows.filter("x <> 0").withColumn("x", F.col("x").cast("double"))
 
 
 @query()
@@ -218,6 +266,59 @@ def statistics_activity(spark, d):
     return stats.activity_counts(candidates(spark, d), AS_OF)
 
 
+ROLE_CASE = " ".join("WHEN " + " OR ".join(f"contains(lower(current_title), '{w}')" for w in ws) + f" THEN '{r}'" for r, ws in K.ROLES)
+BAND_CASE = f"CASE WHEN years_experience < 2 THEN '{K.BANDS[0]}' WHEN years_experience < 5 THEN '{K.BANDS[1]}' WHEN years_experience < 8 THEN '{K.BANDS[2]}' ELSE '{K.BANDS[3]}' END"
+STATE_CASE = f"CASE WHEN date_diff('day', last_active, {S.AS_OF}) <= 7 THEN 'Active Now' WHEN date_diff('day', last_active, {S.AS_OF}) <= 60 THEN 'Recent' ELSE 'Dormant' END"
+
+
+@query(S.over("cand", f"""SELECT part, bucket, sum(n)::BIGINT AS n FROM (
+    SELECT 'role' AS part, CASE {ROLE_CASE} ELSE 'Other' END AS bucket, count(*) AS n FROM cand GROUP BY 2 UNION ALL SELECT 'band', {BAND_CASE}, count(*) FROM cand GROUP BY 2
+    UNION ALL SELECT 'state', {STATE_CASE}, count(*) FROM cand GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM cand
+    UNION ALL SELECT 'band', unnest({S.listed(K.BANDS)}), 0 UNION ALL SELECT 'state', unnest({S.listed(K.STATES)}), 0) GROUP BY part, bucket"""))
+def statistics(spark, d):
+    return stats.statistics(candidates(spark, d), AS_OF)
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (c_custkey % 3 > 0) AS with_file, count(DISTINCT CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END) AS files, count(DISTINCT CASE WHEN c_custkey % 3 > 0 AND c_nationkey IN (1, 2, 77) THEN c_nationkey END) AS known FROM customer")
+def source_report(spark, d):
+    rows = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.format_string("in/x/%d.pdf", "c_nationkey")).alias("source_file"))
+    return stats.source_report(rows, {"first": ("1.pdf", "77.pdf"), "second": ("2.pdf",)})
+
+
+@query("SELECT 'user ' || user_id AS candidate_id, CASE WHEN days <= 7 THEN 'Active Now' WHEN days <= 60 THEN 'Recent' ELSE 'Dormant' END AS label FROM (SELECT user_id, date_diff('day', max(ts), (SELECT max(ts) FROM events WHERE event_type = 'purchase')) AS days FROM events WHERE event_type = 'purchase' GROUP BY user_id)")
+def freshness_stream(spark, d):
+    """Purchases as signs of life: the label that each user's state has when the stream is through, by timers."""
+    base = new_folder(spark, "fresh")
+    before = spark.conf.get(fresh.ROCKSDB[0], None)
+    spark.conf.set(*fresh.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        seen = stream.filter("event_type = 'purchase'").select(F.concat(F.lit("user "), "user_id").alias("candidate_id"), F.col("ts").cast("timestamp").alias("seen"))
+        fresh.freshness_changes(seen).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(fresh.ROCKSDB[0]) if before is None else spark.conf.set(fresh.ROCKSDB[0], before)
+    return spark.read.parquet(f"{base}/out").groupBy("candidate_id").agg(F.max_by("label", "at").alias("label"))
+
+
+@query("SELECT n_nationkey % 5 AS part, count(*) AS rows FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def stream_progress(spark, d):
+    """Customers streamed from five files, a batch each: the rows of the progress table's batches, in the order of the files."""
+    base = new_folder(spark, "progress")
+    for part in range(5):
+        read(spark, d, "customer").filter(F.col("c_nationkey") % 5 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    table = ProgressTable(spark, f"{base}/events")
+    spark.streams.addListener(table)
+    try:
+        stream = spark.readStream.schema(read(spark, d, "customer").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
+        until_told(spark, f"{base}/events", run.id)
+    finally:
+        spark.streams.removeListener(table)
+    rows = progress_rows(spark, f"{base}/events", run.id).filter("batch is not null and rows > 0")
+    return rows.select(F.col("batch").cast("int").alias("part"), "rows")
+
+
 @query(S.over("labelled", "SELECT status_label, count(*) AS n FROM labelled GROUP BY status_label"))
 def label_counts(spark, d):
     return stats.label_counts(scored(spark, d))

@@ -46,29 +46,28 @@ def ingest_batch(store: BucketStore, rows: DataFrame, batch: int | None = None,
     given = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in KEY]
     rows = rows.select(*(c for c in rows.columns if c not in KEY), *given)
     rows = rows.withColumn("row", F.concat_ws("\x1f", *KEY)).withColumn("place", store.bucket(F.col("row"), at))
-    rows = written(rows.dropDuplicates(["row"]).withColumn("total", F.lit(1)), "parsed")
+    rows = clean_records(rows.dropDuplicates(["row"])).select("place", "row", *KEY, "error", *(c for c in COLUMNS if c not in ("candidate_id", "source_file")))
+    person = person_key(rows)
+    rows = written(rows.withColumn("person", person).withColumn("bucket", store.bucket(F.coalesce(F.concat(F.lit("p"), "person"), F.concat(F.lit("f"), "row")), at)), "parsed")
     files = store.touched(rows.select(F.col("place").alias("bucket")))
     ledger = _known(store, "ledger", LEDGER, at, files)
-    parsed = ledger.filter("state = 'parsed'").select(*KEY)
-    fresh = written(rows.join(parsed, list(KEY), "left_anti"), "fresh")
-    told = fresh.agg(F.count("*").alias("fresh"), F.count("error").alias("failed")).first()
-    total = rows.count()
-    figures = {"total": total, "skipped": total - told["fresh"], "parsed": told["fresh"] - told["failed"], "failed": told["failed"]}
+    done = ledger.filter("state = 'parsed'").select(*KEY, F.lit(True).alias("done"))
+    rows = written(rows.join(done, list(KEY), "left"), "seen")
+    good = F.col("done").isNull() & F.col("error").isNull()
+    told = rows.agg(F.count("*").alias("total"), F.count("done").alias("skipped"), F.count_if(good).alias("parsed"), F.collect_set(F.when(good, F.col("bucket"))).alias("touched")).first()
+    figures = {c: told[c] for c in ("total", "skipped", "parsed")}
+    figures["failed"] = figures["total"] - figures["skipped"] - figures["parsed"]
     number = at.number + 1 if batch is None else batch
-    entries = fresh.select(F.col("place").alias("bucket"), *KEY, F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("state"), F.lit(number).cast("long").alias("batch"), "error")
-    changes = {"ledger": (ledger.join(entries.select(*KEY), list(KEY), "left_anti").select(*entries.columns).unionByName(entries), files)} if told["fresh"] else {}
-    values = {"done": {**at.values.get("done", {}), query: number}} if batch is not None else {}
-    good = clean_records(fresh.filter("error is null"))
+    changes, values = {}, {"done": {**at.values.get("done", {}), query: number}} if batch is not None else {}
+    if figures["skipped"] < figures["total"]:
+        entries = rows.filter("done is null").select(F.col("place").alias("bucket"), *KEY, F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("state"), F.lit(number).cast("long").alias("batch"), "error")
+        changes["ledger"] = (ledger.join(entries.select(*KEY), list(KEY), "left_anti").select(*entries.columns).unionByName(entries), files)
     if figures["parsed"]:
-        person = person_key(good)
-        good = good.withColumn("person", person).withColumn("bucket", store.bucket(F.coalesce(F.concat(F.lit("p"), "person"), F.concat(F.lit("f"), "row")), at))
-        good = written(good.select("bucket", "person", "row", *(c for c in COLUMNS if c != "candidate_id")), "good")
-        touched = store.touched(good)
+        touched, top = sorted(told["touched"]), at.values.get("top", 0)
         old = _known(store, "pool", POOL, at, touched)
-        numbered = written(with_new_ids(good, old.select(person_key(old).alias("person")), at.values.get("top", 0)), "numbered")
-        top = numbered.agg(F.max(F.expr("cast(substring(candidate_id, 6) as bigint)")).alias("top")).first()["top"]
+        numbered, new = with_new_ids(rows.filter(good), old.select(person_key(old).alias("person")), top)
         changes["pool"] = (merge_buckets(old, numbered), touched)
-        values["top"] = max(at.values.get("top", 0), top or 0)
+        values["top"] = top + new
     counted = store.spark.createDataFrame([(number, *figures.values())], "batch long, total long, skipped long, parsed long, failed long")
     counted = counted.withColumn("percent", C.progress(F.col("parsed"), F.col("failed"), F.col("total"), F.col("skipped")).cast("long")).withColumn("bucket", store.bucket(F.col("batch"), at))
     where = store.touched(counted)

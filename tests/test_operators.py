@@ -22,11 +22,51 @@ AS_OF = date(2026, 5, 20)
 REQUEST = score.Request("python kafka", ("Python", "Kafka"), AS_OF)
 
 
+def chunk(text: str | None, most: int = 300) -> list[str]:
+    """The fold over paragraphs and sentences in plain Python."""
+    out: list[str] = []
+    open_, size = [], 0
+    for para in filter(None, map(str.strip, (text or "").split("\n"))):
+        n = len(para.split())
+        if size + n <= most:
+            open_.append(para)
+            size += n
+            continue
+        if open_:
+            out.append("\n".join(open_))
+        open_, size = [para], n
+        if n > most:
+            open_, size = [], 0
+            for mark in ("! ", "? "):
+                para = para.replace(mark, ". ")
+            for sentence in filter(None, map(str.strip, para.split(". "))):
+                m = len(sentence.split())
+                if size + m > most:
+                    if open_:
+                        out.append(". ".join(open_) + ".")
+                    open_, size = [], 0
+                open_.append(sentence)
+                size += m
+    return [*out, "\n".join(open_)] if open_ else out
+
+
+CHUNKED = [None, "", " \n\t", "a b\n\nc", ". ".join(" ".join(["w"] * 100) for _ in range(7)) + "\nend", "x " * 900, "a b! c? " * 150 + "\n" + "z " * 10, "p " * 299 + "\n" + "q " * 2 + "\n" + "r. s " * 400, ". . . " * 200, "one\n" * 301]
+
+
+def test_chunks_of_a_column(spark, sf):
+    """The fold in the JVM against the one in Python, on odd texts and on all documents."""
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(CHUNKED)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for rows, most in ((odd, 300), (odd, 5), (docs, 300), (docs, 40)):
+        for r in rows.select("text", chunking.chunks(F.col("text"), most).alias("c")).collect():
+            assert r["c"] == chunk(r["text"], most)
+
+
 def test_chunks():
-    assert chunking.chunk("") == chunking.chunk(None) == []
-    assert chunking.chunk("a b\n\nc") == ["a b\nc"]
+    assert chunk("") == chunk(None) == []
+    assert chunk("a b\n\nc") == ["a b\nc"]
     para = ". ".join(" ".join(["w"] * 100) for _ in range(7))
-    got = chunking.chunk(para + "\nend")
+    got = chunk(para + "\nend")
     assert [len(c.split()) for c in got] == [300, 300, 101]
     assert got[0].endswith(".") and got[2].endswith("\nend")
 
@@ -34,7 +74,7 @@ def test_chunks():
 @given(st.lists(st.lists(st.sampled_from(["a", "b.", "c!", "d"]), max_size=60), max_size=12))
 def test_chunks_keep_words(paras):
     text = "\n".join(" ".join(p) for p in paras)
-    assert sum(len(c.split()) for c in chunking.chunk(text, 20)) == len(text.split())
+    assert sum(len(c.split()) for c in chunk(text, 20)) == len(text.split())
 
 
 def test_compare_is_no_order():

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrank import __main__ as command
-from tallyrank.operators import chunking, expansion, order, parsing, prefilter, rank, score, vectors
+from tallyrank.operators import expansion, order, parsing, prefilter, rank, score, vectors
 from tallyrank.sources import settings
 from tallyrank.sources.candidates import read_candidates
 from tallyrank.sources.generator import generate
+from tests.test_operators import chunk
 from tallyrank.sources.buckets import BucketStore
 from tallyrank.streaming import ingest
 
@@ -34,7 +35,7 @@ def test_rank_against_its_parts(spark, pool):
     import numpy as np
 
     chosen = prefilter.prefilter(pool, got.request.query, list(got.request.keywords)).select("candidate_id", "resume_text").collect()
-    parts = [(r["candidate_id"], c) for r in chosen for c in (chunking.chunk(r["resume_text"]) or [""])]
+    parts = [(r["candidate_id"], c) for r in chosen for c in (chunk(r["resume_text"]) or [""])]
     v = vectors.hashed_vectors([c for _, c in parts]).astype(float)
     mu, q = v.mean(0), vectors.hashed_vectors([ASKED])[0].astype(float)
     norm = lambda x: max(np.linalg.norm(x), 1e-12)
@@ -79,15 +80,16 @@ def test_request_takes_any_case():
     assert (r.seniority, r.sector) == ("Principal", "HEALTH") and score.Request("q", (), AS_OF, sector="").sector == "TECH"
 
 
-def test_exact_order_is_bounded(spark):
+def test_exact_order(spark):
     rows = spark.range(30).select(F.col("id").cast("string").alias("candidate_id"), (F.col("id") % 7 / 4).alias("final_score"), (F.col("id") % 3 / 10).alias("freshness_score"), (F.col("id") % 5).alias("raw_semantic_score"))
     from functools import cmp_to_key
 
     want = sorted(rows.collect(), key=lambda r: (-r["raw_semantic_score"], r["candidate_id"]))
     want.sort(key=cmp_to_key(lambda a, b: order.compare((a["final_score"], a["freshness_score"]), (b["final_score"], b["freshness_score"]))))
     assert [r["candidate_id"] for r in order.rank_exact(rows).orderBy("rank").collect()] == [r["candidate_id"] for r in want]
-    with pytest.raises(Exception, match="at most"):
-        order.rank_exact(rows, most=29).collect()
+    by = {r["candidate_id"]: (r["final_score"], r["freshness_score"]) for r in want}
+    apart = [by[r["candidate_id"]] for r in order.rank_exact(rows, most=29).orderBy("rank").collect()]  # beyond: rows of one pair stand together
+    assert sorted(apart) == sorted(by.values()) and sum(a != b for a, b in zip(apart, apart[1:], strict=False)) == len(set(apart)) - 1
 
 
 def test_prefilter_takes_ties_by_key(spark):
@@ -201,7 +203,7 @@ def test_command(spark, pool, tmp_path, capsys):
 def test_chunk_rules():
     """Every fragment has 300 words at most but a sentence that is longer; words keep their order."""
     text = "\n".join([" ".join(f"w{i}" for i in range(310)), "a b. " * 200, "end"])
-    got = chunking.chunk(text)
+    got = chunk(text)
     assert [len(c.split()) for c in got] == [310, 300, 101] and got[1].endswith(".") and got[-1].split()[-1] == "end"
 
 
