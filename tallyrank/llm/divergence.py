@@ -167,6 +167,10 @@ def _merged(fragments: list[dict]) -> tuple[list[str], list[str], np.ndarray]:
 
 
 def _compare(top: int, smooth: int):
+    def found(lang, source, items, ids, values):
+        columns = [pa.array([lang] * len(items), pa.string()), pa.array([source] * len(items), pa.string()), pa.array(items, pa.string()), pa.array(ids, pa.int64()), pa.array(values, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "id", "value"])
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -187,12 +191,12 @@ def _compare(top: int, smooth: int):
                         there = [j for j in range(at, to) if mine[j] is not None]
                         other[[j - at for j in there]] = p[[mine[j] for j in there]]
                         far = np.abs(other - row).sum(1)
-                        yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * (to - at)), pa.array([names[i]] * (to - at)), pa.array(names[at:to]), pa.array([-1] * (to - at), pa.int64()), pa.array(far, pa.int64())], ["lang", "source", "item", "id", "value"])
+                        yield found(r["lang"], names[i], names[at:to], np.full(to - at, -1), far)
                     if mine[i] is not None:
                         over = row - whole
                         at = np.flatnonzero((counts[mine[i]] > 0) & (over > 0))
                         at = at[np.argsort(-over[at], kind="stable")[:top]]  # ids go up in UTF-8 order, so ties are in it
-                        yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(at)), pa.array([names[i]] * len(at)), pa.array([terms[j] for j in at], pa.string()), pa.array((r["chunk"] << 13) + at, pa.int64()), pa.array(over[at], pa.int64())], ["lang", "source", "item", "id", "value"])
+                        yield found(r["lang"], names[i], [terms[j] for j in at], (r["chunk"] << 13) + at, over[at])
 
     return run
 

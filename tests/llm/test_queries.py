@@ -8,7 +8,7 @@ from tallyrank.llm import queries
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
