@@ -42,7 +42,8 @@ def retrying(call: Callable, *args, sleep: Callable[[float], None] = time.sleep,
             last = e
         except (ConnectionError, TimeoutError) as e:
             last = e
-        sleep(FIRST_WAIT * 2**attempt * jitter())
+        if attempt < TRIES - 1:
+            sleep(FIRST_WAIT * 2**attempt * jitter())
     raise RuntimeError(f"no answer after {TRIES} tries") from last
 
 
@@ -79,18 +80,19 @@ def parse_files(files: DataFrame, parser, size: int = PER_BATCH) -> DataFrame:
     ``parser`` has parse(texts) -> list of records, and may have parse_pages(content) -> record. A batch that fails, or
     gives fewer records than texts, leaves its files to be parsed alone; what fails alone, or has no text, is read from its
     pages; what fails there too comes back with an error. The record's fields, source_file, error and how (batch, alone,
-    pages, failed) are returned. A failure is told, never dropped.
+    pages, failed) are returned. A failure is told, never dropped. Calls that are answered by an error of ``RETRIED`` are tried again.
     """
+    parse = lambda texts: retrying(parser.parse, texts)
 
     def alone(file: str, text: str | None, content) -> dict:
         error = "no text"
         if text:
             try:
-                return {**parser.parse([text])[0], "how": "alone", "error": None}
+                return {**parse([text])[0], "how": "alone", "error": None}
             except Exception as e:
                 error = str(e) or type(e).__name__
         try:
-            return {**parser.parse_pages(bytes(content)), "how": "pages", "error": None}
+            return {**retrying(parser.parse_pages, bytes(content)), "how": "pages", "error": None}
         except Exception as e:
             return {"how": "failed", "error": f"{error}; {e}"}
 
@@ -102,7 +104,7 @@ def parse_files(files: DataFrame, parser, size: int = PER_BATCH) -> DataFrame:
                 out: dict[int, dict] = {}
                 if texts:
                     try:
-                        for (i, _), record in zip(texts, parser.parse([t for _, t in texts]), strict=False):
+                        for (i, _), record in zip(texts, parse([t for _, t in texts]), strict=False):
                             out[i] = {**record, "how": "batch", "error": None}
                     except Exception:  # the batch's files are parsed one by one
                         out = {}

@@ -231,13 +231,45 @@ def encoded_by_sector(spark, d):
     return rows.filter("x <> 0").withColumn("x", F.col("x").cast("double"))
 
 
-@query()
+TWIN = "twin"
+
+
+def _hashed(words: str, keys: str, source: str) -> str:
+    """Signed word counts by place of a text's first 512 words, as ``encoders.HashedWords`` makes them."""
+    spelled = f"SELECT {keys} ('0x' || substr(md5('{TWIN}:' || w), 1, 15))::BIGINT AS h FROM (SELECT {keys} unnest(list_filter(string_split_regex(lower({words}), '\\s+'), lambda x: x <> '')[1:512]) AS w FROM {source})"
+    return f"SELECT {keys} h % 64 AS pos, sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END) AS x FROM ({spelled}) GROUP BY ALL"
+
+
+def _by_fragments(select: str, query: str = S.QUERY, keywords: tuple[str, ...] = S.KEYWORDS) -> str:
+    """``select`` over the ranked view whose raw score is the best fragment's centred cosine to S.QUERY."""
+    best = f"""chosen AS (SELECT k, candidate_id FROM kw QUALIFY row_number() OVER (ORDER BY kscore DESC, candidate_id) <= least(count(*) OVER (), greatest(50, floor(0.2 * count(*) OVER ())))),
+      piece AS MATERIALIZED (SELECT candidate_id, coalesce(frag_no, 0) AS frag_no, coalesce(fragment, '') AS fragment FROM chosen LEFT JOIN frag ON frag.doc_id = k),
+      dense AS (SELECT candidate_id, frag_no, pos, coalesce(x, 0)::DOUBLE AS x FROM (SELECT candidate_id, frag_no, unnest(range(64)) AS pos FROM piece) LEFT JOIN ({_hashed("fragment", "candidate_id, frag_no,", "(SELECT DISTINCT * FROM piece)")}) USING (candidate_id, frag_no, pos)),
+      mean AS (SELECT pos, avg(x) AS m FROM dense GROUP BY pos),
+      asked AS (SELECT pos, coalesce(x, 0)::DOUBLE AS q FROM (SELECT unnest(range(64)) AS pos) LEFT JOIN ({_hashed("t", "", f"(SELECT '{S.QUERY}' AS t)")}) USING (pos)),
+      near AS (SELECT candidate_id, frag_no, (sum((x - m) * (q - m)) / (greatest(sqrt(sum((x - m) * (x - m))), 1e-12) * greatest(sqrt(sum((q - m) * (q - m))), 1e-12)) + 1) / 2 AS score FROM dense JOIN mean USING (pos) JOIN asked USING (pos) GROUP BY ALL),
+      top AS (SELECT kw.*, coalesce(best, 0.0) AS raw FROM kw LEFT JOIN (SELECT candidate_id, max(score) AS best FROM near GROUP BY 1) USING (candidate_id))"""
+    chain = S.over("ranked", select)[len("WITH ") :].replace(f"top AS ({S.PARTS['top']})", best)
+    words = lambda text: S.listed(prefilter.words_of(text))
+    chain = chain.replace(S.listed(S.ASKED), words(query)).replace(S.listed(S.WANTED), words(" ".join(keywords)))
+    return f"WITH {CHUNK_UNITS}, {chain}"
+
+
+def _twin_embed(text):
+    return encoders.embed_by()(text, F.lit(TWIN))
+
+
+def _twin_query(text: str) -> list[float]:
+    return encoders.HashedWords(TWIN).encode([text])[0].tolist()
+
+
+@query(_by_fragments("SELECT candidate_id, round(raw, 6) AS raw_semantic_score FROM ranked"))
 def semantic_rank(spark, d):
-    """Fragments, the default embedder, centring, the best fragment: the evaluated candidates' raw scores."""
-    chosen = prefilter.prefilter(candidates(spark, d), REQUEST.query, list(REQUEST.keywords))
-    parts = chunking.fragments(chosen).withColumn("embedding", vectors.embed("fragment"))
-    best = vectors.best_fragment(vectors.centred_cosine(parts, vectors.hashed_vectors([REQUEST.query])[0].tolist()), "candidate_id")
-    return score.attach_scores(candidates(spark, d), best.withColumn("unified", F.col("best"))).select("candidate_id", F.round("raw_semantic_score", 6).alias("raw_semantic_score"))
+    """Fragments, an embedder that SQL can follow, centring, the best fragment: the evaluated candidates' raw scores."""
+    pool = written(candidates(spark, d), "view")
+    chosen = written(prefilter.prefilter(pool, REQUEST.query, list(REQUEST.keywords)), "chosen")
+    scores = rank.semantic_scores(chosen, REQUEST.query, _twin_embed, _twin_query)
+    return score.attach_scores(pool, scores).select("candidate_id", F.round("raw_semantic_score", 6).alias("raw_semantic_score"))
 
 
 def _buckets(part: str, case: str, names=()) -> str:
@@ -462,6 +494,20 @@ def ocr_pages(spark, d):
     return ocr.document_text(ocr.page_text(rows))
 
 
+@query(f"""WITH boxes AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn, l_suppkey % 90 AS x, l_suppkey % 90 + CASE WHEN l_partkey % 5 = 0 THEN 70 ELSE 10 END AS x2, l_partkey::VARCHAR AS t FROM lineitem),
+  paged AS (SELECT *, avg(CASE WHEN x < 40 AND x2 > 60 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY doc, page) < 0.15 AND max(x) OVER (PARTITION BY doc, page) >= 50 AS two FROM boxes),
+  lined AS (SELECT doc, page, (rn - 1) // 2 AS line, string_agg(t, ' ' ORDER BY x, t) AS t FROM paged WHERE NOT two GROUP BY ALL),
+  pages AS (SELECT doc, page, string_agg(t, chr(10) ORDER BY x >= 50, rn, x, t) AS t FROM paged WHERE two GROUP BY ALL UNION ALL SELECT doc, page, string_agg(t, chr(10) ORDER BY line) FROM lined GROUP BY ALL)
+  SELECT doc, string_agg(t, '{ocr.PAGE_BREAK}' ORDER BY page) AS text FROM pages GROUP BY doc""")
+def ocr_columns(spark, d):
+    """Boxes over two pages, some so wide that they cross the middle: those pages are read by lines, the others by columns."""
+    at = W.partitionBy("l_orderkey", F.col("l_linenumber") % 2).orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    x = F.col("l_suppkey") % 90
+    wide = F.when(F.col("l_partkey") % 5 == 0, 70).otherwise(10)
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), F.lit(100.0).alias("width"), x.cast("double").alias("x_min"), (x + wide).cast("double").alias("x_max"), (F.row_number().over(at) * 7).cast("double").alias("y_min"), F.col("l_partkey").cast("string").alias("text"))
+    return ocr.document_text(ocr.page_text(rows))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT c_name) AS names, count(DISTINCT c_custkey) AS files FROM customer")
 def ingest_stream(spark, d):
     """The customers as a stream of files into a pool; a second run from the same checkpoint finds nothing new."""
@@ -653,10 +699,24 @@ def validated_records(spark, d):
     return good.unionByName(bad.select(F.col("candidate_id").cast("long").alias("id"), F.array_join("missing_fields", ",").alias("missing"), F.lit(None).cast("double").alias("years")))
 
 
-@query()
+TOLD = expansion.requirements(S.QUERY, "tech")
+DESCRIBED = _by_fragments("SELECT rank, candidate_id, final_score, round(raw, 6) AS raw_semantic_score, status_label FROM ranked", f"{S.QUERY} {expansion.expand(S.QUERY, 'senior')}", tuple(TOLD["top_keywords"]))
+
+
+@query(DESCRIBED)
 def rank_description(spark, d):
     """A description ranked by its fragments' vectors, from requirements to order."""
-    return rank.rank(candidates(spark, d), S.QUERY, "senior", "tech", AS_OF).rows.select("rank", "candidate_id", "id", "final_score", "raw_semantic_score", "status_label")
+    rows = rank.rank(candidates(spark, d), S.QUERY, "senior", "tech", AS_OF, embed=_twin_embed, embed_query=_twin_query).rows
+    return rows.select("rank", "candidate_id", "final_score", F.round("raw_semantic_score", 6).alias("raw_semantic_score"), "status_label")
+
+
+@query(DESCRIBED.replace(S.PARTS["cand"], f"WITH once AS ({S.PARTS['cand']}) SELECT * FROM once UNION ALL SELECT * FROM once WHERE k % 13 = 0"))
+def rank_repeated_ids(spark, d):
+    """A pool in which one in thirteen ids stands twice: as many rows come back."""
+    pool = candidates(spark, d)
+    pool = pool.unionByName(pool.filter(F.substring("candidate_id", 6, 9).cast("long") % 13 == 0))
+    rows = rank.rank(pool, S.QUERY, "senior", "tech", AS_OF, embed=_twin_embed, embed_query=_twin_query).rows
+    return rows.select("rank", "candidate_id", "final_score", F.round("raw_semantic_score", 6).alias("raw_semantic_score"), "status_label")
 
 
 @query()
