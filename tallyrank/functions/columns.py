@@ -59,7 +59,8 @@ def parse_date(c: Column, as_of: date) -> Column:
         (r"^[a-zA-Z]+[,\s]+\d{4}$", F.when(month > 0, made(year, month.cast("string"), F.lit("1")))),
         (r"^\d{1,2}\s+[a-zA-Z]+\s+\d{4}$", F.when(month > 0, made(year, month.cast("string"), day))),
     )
-    out = F.when(F.coalesce(c, F.lit("")) == "", F.lit(None).cast("date")).when(F.lower(x).isin(*K.NOW_WORDS), F.lit(as_of))
+    out = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-M-d"))  # most dates; nothing to strip there
+    out = out.when(F.coalesce(c, F.lit("")) == "", F.lit(None).cast("date")).when(F.lower(x).isin(*K.NOW_WORDS), F.lit(as_of))
     for pattern, value in layouts:
         out = out.when(x.rlike(pattern), value)
     return out

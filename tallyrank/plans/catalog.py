@@ -57,7 +57,8 @@ def keyword_presence(spark, d):
 
 @query(S.over("top", "SELECT candidate_id, overlap, title_bonus, kw_bonus, kscore AS score FROM top WHERE raw > 0 OR kscore = 0 QUALIFY row_number() OVER (ORDER BY kscore DESC, candidate_id) <= (SELECT least(count(*), greatest(50, floor(0.2 * count(*)))) FROM top)"))
 def keyword_prefilter(spark, d):
-    best = prefilter.prefilter(written(candidates(spark, d), "view"), REQUEST.query, list(REQUEST.keywords))
+    scores = prefilter.keyword_scores(candidates(spark, d), REQUEST.query, list(REQUEST.keywords))
+    best = prefilter.best_of(written(scores.select("candidate_id", "overlap", "title_bonus", "kw_bonus", "keyword_score"), "scores"))
     return best.select("candidate_id", "overlap", "title_bonus", "kw_bonus", F.col("keyword_score").alias("score"))
 
 
@@ -69,7 +70,8 @@ def seniority_level(spark, d):
 
 @query(S.over("vel", "SELECT candidate_id, round(velocity_raw, 6) AS velocity_raw, round(velocity, 6) AS velocity FROM vel"))
 def career_velocity(spark, d):
-    return score.velocity(candidates(spark, d), AS_OF).select("candidate_id", F.round("velocity_raw", 6).alias("velocity_raw"), F.round("career_velocity_score", 6).alias("velocity"))
+    raw = written(candidates(spark, d).select("candidate_id", score.velocity_raw(AS_OF).alias("velocity_raw")), "velocity")
+    return score.velocity(raw, AS_OF).select("candidate_id", F.round("velocity_raw", 6).alias("velocity_raw"), F.round("career_velocity_score", 6).alias("velocity"))
 
 
 @query(S.over("fresh", "SELECT candidate_id, days, round(freshness, 6) AS score, label, staleness FROM fresh"))
@@ -91,13 +93,14 @@ def education_bonus(spark, d):
 
 @query(S.over("depth", "SELECT candidate_id, round(sem0, 6) AS semantic FROM depth"))
 def semantic_normalised(spark, d):
-    rows = score._scaled(score.keyword_depth(candidates(spark, d), REQUEST), ("raw_semantic_score", "semantic", None))
+    pool = written(score.prepared(candidates(spark, d), REQUEST).select("candidate_id", "keyword_score"), "depths")
+    rows = score._scaled(score.keyword_depth(pool, REQUEST), ("raw_semantic_score", "semantic", None))
     return rows.select("candidate_id", F.round("semantic", 6).alias("semantic"))
 
 
 def scored(spark, d, request=REQUEST):
-    """The scored view. The view is written once: the prefilter, the scales and the scores each read it."""
-    return score.scored_pool(written(candidates(spark, d), "view"), request)
+    """The scored view. What scores need is written once, without the texts: the prefilter, the scales and the scores each read it."""
+    return score.scored_pool(written(score.prepared(candidates(spark, d), request).drop("resume_text"), "view"), request)
 
 
 @query(S.over("labelled", "SELECT candidate_id, final_score, semantic_score, velocity_score, status_label, capped FROM labelled"))
@@ -389,7 +392,7 @@ def _files(rows: DataFrame) -> DataFrame:
   SELECT name, coalesce(id, printf('cand_%04d', nid)) AS candidate_id, skills, resume, n_jobs, years FROM (
     SELECT *, (SELECT max(CAST(substr(id, 6) AS BIGINT)) FROM m) + CASE WHEN id IS NULL THEN row_number() OVER (PARTITION BY id IS NULL ORDER BY name) END AS nid FROM m)"""))
 def upsert_merge(spark, d):
-    rows = _files(candidates(spark, d))
+    rows = written(_files(candidates(spark, d)), "view")
     new = rows.filter("k % 3 <> 1").withColumn("skills_listed", F.concat("skills_listed", F.array(F.lit("Extra")))).withColumn("years_experience", F.col("years_experience") + 1)
     merged = pool.upsert(rows.filter("k % 3 <> 0"), new)
     return merged.select("name", "candidate_id", F.array_join(F.sort_array("skills_listed"), "|").alias("skills"), F.md5(F.coalesce("resume_text", F.lit("")).cast("binary")).alias("resume"), F.size("career_history").alias("n_jobs"), F.col("years_experience").alias("years"))
