@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
@@ -51,6 +52,14 @@ def source_report(pool: DataFrame, categories: dict[str, tuple[str, ...]], colum
     return pool.agg(F.count("*").alias("rows"), F.count(column).alias("with_file"), F.count_distinct(column).alias("files"), F.count_distinct(F.when(listed, F.col(column))).alias("known"))
 
 
+def first_and_last(rows: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first and the last ``n`` rows along columns (nulls first), with ``end`` (first or last) and ``place`` from 1 in that order. A task
+    keeps ``n`` rows at either end; where there are fewer than twice as many, rows are told at both."""
+    up, down = [F.asc(c) for c in order], [F.desc(c) for c in order]
+    told = lambda end, by: rows.orderBy(*by).limit(n).withColumns({"end": F.lit(end), "place": F.row_number().over(W.orderBy(*up))})
+    return told("first", up).unionByName(told("last", down))
+
+
 def label_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("status_label").agg(F.count("*").alias("n"))
 

@@ -320,6 +320,28 @@ def source_report(spark, d):
     return stats.source_report(rows, {"first": ("1.pdf", "77.pdf"), "second": ("2.pdf",)})
 
 
+@query("SELECT 'first' AS \"end\", row_number() OVER (ORDER BY c_custkey)::INT AS place, c_name FROM customer QUALIFY place <= 5 UNION ALL SELECT 'last', row_number() OVER (ORDER BY c_custkey)::INT, c_name FROM (SELECT * FROM customer ORDER BY c_custkey DESC LIMIT 5)")
+def first_and_last(spark, d):
+    return stats.first_and_last(read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("end", "place", "c_name")
+
+
+JOBS_OF = "SELECT o_custkey AS k, o_orderkey AS ok, {company} AS company, CASE WHEN o_orderkey % 2 = 0 THEN 'Lead' ELSE ' lead ' END AS title, strftime(o_orderdate, '%Y') AS start_date, o_orderpriority AS end_date FROM orders"
+
+
+@query(f"""WITH both_lists AS (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY list, ok) AS pos FROM (SELECT 1 AS list, * FROM ({JOBS_OF.format(company="o_orderstatus")}) WHERE ok % 3 > 0 UNION ALL SELECT 2, * FROM ({JOBS_OF.format(company="lower(o_orderstatus)")}) WHERE ok % 3 < 2)),
+  keyed AS (SELECT *, lower(trim(company)) || '|' || lower(trim(title)) || '|' || trim(start_date) AS job FROM both_lists),
+  once AS (SELECT k, job, min(pos) AS first, arg_max(company, pos) AS company, arg_max(title, pos) AS title, arg_max(start_date, pos) AS start_date, arg_max(end_date, pos) AS end_date FROM keyed GROUP BY k, job)
+  SELECT k, (row_number() OVER (PARTITION BY k ORDER BY first) - 1)::INT AS pos, company, title, start_date, end_date FROM once""")
+def history_union(spark, d):
+    """Two lists of jobs of each customer, made of its orders, as one: each job where it first stood, as it was last given."""
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ok"), "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "Lead").otherwise(" lead ").alias("title"), F.date_format("o_orderdate", "yyyy").alias("start_date"), F.col("o_orderpriority").alias("end_date"))
+    job = lambda company: F.struct("ok", F.struct("title", company.alias("company"), "start_date", "end_date").alias("j"))
+    listed = lambda keep, company: F.transform(F.array_sort(F.collect_list(F.when(keep, job(company)))), lambda x: x["j"])
+    rows = orders.groupBy("k").agg(listed(F.col("ok") % 3 > 0, F.col("o_orderstatus")).alias("a"), listed(F.col("ok") % 3 < 2, F.lower("o_orderstatus")).alias("b"))
+    return rows.select("k", F.posexplode(pool.union_history(F.col("a"), F.col("b"))).alias("pos", "j")).select("k", "pos", "j.company", "j.title", "j.start_date", "j.end_date")
+
+
 @query("SELECT 'user ' || user_id AS candidate_id, CASE WHEN days <= 7 THEN 'Active Now' WHEN days <= 60 THEN 'Recent' ELSE 'Dormant' END AS label FROM (SELECT user_id, date_diff('day', max(ts), (SELECT max(ts) FROM events WHERE event_type = 'purchase')) AS days FROM events WHERE event_type = 'purchase' GROUP BY user_id)")
 def freshness_stream(spark, d):
     """Purchases as signs of life: the label that each user's state has when the stream is through, by timers."""
