@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def shared_table(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+#: Paths of the tables that ``passing_tables`` deletes at its end.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession):
+    """Tables shared inside are deleted at the end, but for those shared with ``keep``. What is returned from inside must come from kept
+    tables only."""
+    outer = _passing.set([])
+    try:
+        yield
+    finally:
+        for path in _passing.get():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _passing.reset(outer)
+
+
+def shared_table(spark: SparkSession, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again; this cuts its lineage."""
     path = f"{shared_dir(bounded_batches(spark))}/tallyrank/{tag}-{uuid.uuid4().hex}"
+    if not keep and _passing.get() is not None:
+        _passing.get().append(path)
     # a task that writes or reads holds a row group, and rows of packed arrays are long
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

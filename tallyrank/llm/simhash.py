@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import chunks, mix, pieces, replacing, shared_table, span_hashes, texts, tokenise
+from tallyrank.llm.common import chunks, mix, passing_tables, pieces, replacing, shared_table, span_hashes, texts, tokenise
 
 BITS = 64
 #: Shingles whose bits are summed at once.
@@ -32,6 +32,13 @@ STEP = 1 << 14
 #: may differ in to be checked (chance meetings in a bucket differ in over 16 as a rule), and that all may differ in together:
 #: pairs at a similarity of 0.8 to 0.9 differ in 24 of 256 on average, and in 52 at most of 1500 tried.
 SEEDS, FAR, FAR_ALL = 4, 12, 52
+#: Of two texts' shingle hashes together the smallest so many are compared before whole sets are, and how many standard deviations
+#: below the similarity asked for their share may lie: a pair that is as similar is lost once in 30,000, and never where both sets are smaller.
+SAMPLE, BELOW = 64, 4.0
+#: Parts that the rows of one text, or of one print, are dealt out to.
+SALTS = 16
+#: Turns of checks against a few texts of a bucket before those against all of it, and about how many a turn has.
+TURNS, FEW = 2, 32
 #: How many times more random prints fill buckets as much.
 CROWDED = 64
 
@@ -154,6 +161,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _salt(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def _given(rows: DataFrame, groups: DataFrame, on: list[str], key: str) -> DataFrame:
+    """``rows`` with what ``groups`` (on, first, n and more) says of theirs. The rows of one text, or print, may be very many: their group
+    is there once for each of ``SALTS`` parts of them, by ``key``; that of a single row, ``first``, once."""
+    parts = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(_salt("first")))
+    salted = groups.withColumn("__salt", F.explode(parts)).drop("first", "n")
+    return rows.withColumn("__salt", _salt(key)).join(salted, [*on, "__salt"]).drop("__salt")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket: int = 64) -> DataFrame:
     """The rows of ``docs`` with their fingerprint ``fp`` (a signed long) and component_id, without ``text``.
 
@@ -164,11 +183,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket
     """
     spark = docs.sparkSession
     docs = shared_table(spark, with_fingerprints(docs.select(*replacing(docs, "fp", "component_id")), shingle), "prints")
-    fps = shared_table(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    fps = shared_table(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-prints")
     roots = components(links(fps.select("fp"), distance, bucket))
-    grouped = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs.join(grouped.join(least, "root").select("fp", "component_id"), "fp")
+    return _given(docs, grouped.join(least, "root").select("fp", "first", "n", "component_id"), ["fp"], "doc_id")
 
 
 def _similarity(a: bytes, b: bytes, shingle: int) -> float:
@@ -218,6 +237,15 @@ def shingle_sets(column: pa.Array, shingle: int) -> list[bytes]:
     return out
 
 
+def sample_alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sorted sets may be as similar, by the ``SAMPLE`` smallest hashes of both together: each side's own smallest hold those."""
+    x, y = np.frombuffer(a, np.uint64)[:SAMPLE], np.frombuffer(b, np.uint64)[:SAMPLE]
+    least = np.union1d(x, y)[:SAMPLE]
+    both = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), least, assume_unique=True))
+    n = len(least)
+    return both >= similarity * n - BELOW * (similarity * (1 - similarity) * n) ** 0.5 - 1e-9
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts' shingles are alike; only texts that some pair asks for are looked at."""
     spark = docs.sparkSession
@@ -231,20 +259,24 @@ def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -
     held = docs.join(asked, "doc_id").select("doc_id", "text").mapInArrow(cut, "node long, shingles binary")
     # the rows of one doc_id are one document; its smallest text counts
     held = shared_table(spark, held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
-    side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def check(batches):
-        for batch in pieces(batches, "of_a"):
-            ok = []
-            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+    def whole(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+    def kept(pairs: DataFrame, sets: Column, test) -> DataFrame:
+        side = lambda x: held.select(F.col("node").alias(x), sets.alias(f"of_{x}"))
+
+        def check(batches):
+            for batch in pieces(batches, "of_a"):
+                ok = [test(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return shared_table(spark, pairs.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long"), "alike")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+    pairs = kept(pairs, F.substring("shingles", 1, 8 * SAMPLE), lambda a, b: sample_alike(a, b, similarity))
+    return shared_table(spark, kept(shared_table(spark, pairs, "sampled"), F.col("shingles"), whole), "alike")
 
 
 def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
@@ -271,6 +303,19 @@ def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter(bits <= FAR_ALL).select("a", "b")
 
 
+def _unlinked(met: DataFrame, roots: DataFrame, part, parts: Column | None = None) -> DataFrame:
+    """Pairs (a, b) that meet in a bucket and lie in different groups, one of them outside the largest group of the bucket. ``part`` deals
+    a bucket's texts out; one outside meets those of its own part, or of all ``parts``."""
+    met = shared_table(met.sparkSession, met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    mode = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("mode"), F.count("*").alias("roots"))
+    split = met.join(mode.filter("roots > 1").drop("roots"), "key")
+    own = F.array(part(F.col("node"))) if parts is None else parts
+    left = split.filter("root <> mode").select("key", F.col("node").alias("x"), F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.explode(own).alias("part"))
+    every = split.select("key", F.col("node").alias("y"), "fp", "root", "mode", part(F.col("node")).alias("part"))
+    pairs = left.join(every, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("mode")) | (F.col("x") < F.col("y"))) & (_differing("fp", "x_fp") <= FAR))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, block: int = 1024) -> DataFrame:
     """(doc_id, group): the documents that have near copies or exact ones, and the smallest doc_id of their group.
 
@@ -279,13 +324,18 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, dist
     together, at most. A near copy is a pair whose shingles have a Jaccard similarity of ``similarity`` or more; groups
     are what such pairs connect. Each text is checked against two hubs of its buckets first: the smallest, and the one
     that meets most others, which is the original of its edited copies as a rule. Pairs that these links have put into
-    one group already need no check. The others of a bucket are checked pair by pair, in parts of ``block`` texts: where
-    r texts lie outside the largest group of a bucket of n, r * n pairs at most. Pairs that meet by no seed are not found.
+    one group already need no check. Then, ``TURNS`` times, each text outside the largest group of its bucket is checked against some
+    ``FEW`` others of it: a text with many near copies there finds one. What is still outside is checked pair by pair, in parts of
+    ``block`` texts: where r texts are left of a bucket of n, r * n pairs at most. Pairs that meet by no seed are not found.
     Rows of one doc_id count as one document; rows with a null doc_id are left out.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+    with passing_tables(spark):
+        return shared_table(spark, _groups(spark, docs, similarity, shingle, distance, block), "near-groups", keep=True)
+
 
+def _groups(spark: SparkSession, docs: DataFrame, similarity: float, shingle: int, distance: int, block: int) -> DataFrame:
     def run(batches):
         for batch in pieces(batches):
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * SEEDS, pa.int32()), pa.array(word_prints(batch.column("text")).ravel()))
@@ -293,7 +343,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, dist
 
     prints = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, fps array<long>")
     prints = shared_table(spark, prints, "word-prints")
-    nodes = shared_table(spark, prints.groupBy("copy", "fps").agg(F.min("doc_id").alias("node")), "texts")
+    nodes = shared_table(spark, prints.groupBy("copy", "fps").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "texts")
     met = _meetings(nodes, distance)
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     hub = lambda df, by: df.groupBy("key").agg(F.max_by(F.struct("node", "fp"), by).alias("hub"))
@@ -303,18 +353,16 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, dist
     edges = _alike(_sieved(near, nodes), docs, similarity, shingle)
     roots = shared_table(spark, components(edges), "roots")
 
-    met = met.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = shared_table(spark, met.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "rooted")
-    mode = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("mode"), F.count("*").alias("roots"))
-    mode = mode.filter("roots > 1").drop("roots")
-    split = met.join(mode, "key")
-    left = split.filter("root <> mode").select("key", F.col("node").alias("x"), F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    every = split.select("key", F.col("node").alias("y"), "fp", "root", "mode", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
-    pairs = left.join(every, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("mode")) | (F.col("x") < F.col("y"))) & (_differing("fp", "x_fp") <= FAR))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    edges = edges.union(_alike(_sieved(pairs, nodes), docs, similarity, shingle))
+    met = shared_table(spark, met.filter("n > 2"), "crowded")
+    for turn in range(TURNS):
+        some = _unlinked(met, roots, lambda node: F.pmod(F.xxhash64(node, F.lit(turn)), F.ceil(F.col("n") / FEW)).cast("int"))
+        edges = edges.union(_alike(_sieved(some, nodes), docs, similarity, shingle))
+        roots = shared_table(spark, components(edges), "roots")
+    every = _unlinked(met, roots, lambda node: F.pmod(F.xxhash64(node), F.ceil(F.col("n") / block)).cast("int"), F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1))
+    edges = edges.union(_alike(_sieved(every, nodes), docs, similarity, shingle))
     roots = shared_table(spark, components(edges), "roots")
-    copies = prints.join(nodes, ["copy", "fps"]).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group"))
+    texts = nodes.withColumnRenamed("node", "first").join(roots.withColumnRenamed("node", "first"), "first", "left")
+    copies = _given(prints, texts.withColumn("group", F.coalesce("root", "first")).drop("root"), ["copy", "fps"], "doc_id").select("doc_id", "group")
     # rows of one doc_id whose texts lie in different groups: the smallest counts
     return copies.groupBy("doc_id").agg(F.min("group").alias("group"))
 
