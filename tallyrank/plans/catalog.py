@@ -656,6 +656,35 @@ def names_kept(spark, d):
     return score.score(rows.withColumn("raw_semantic_score", F.lit(0.0)), REQUEST).select("candidate_id", "name", "name_not_extracted")
 
 
+FIRST_WORDS = r"^[^\s]+(?: [^\s]+){0,2}"
+
+
+@query(f"""SELECT doc_id, given AS name, NOT (low IN ({S.listed(K.GENERIC_NAMES)[1:-1]}) OR len(ws) = 0 OR regexp_matches(given, '[/|]') OR (title <> '' AND low = lower(title)))
+  AND len(list_filter(ws, lambda w: len(list_filter({S.listed(K.TITLE_WORDS)}, lambda t: contains(w, t))) > 0)) / greatest(len(ws), 1) < 0.5 AS valid
+  FROM (SELECT doc_id, given, title, lower(given) AS low, list_filter(string_split_regex(regexp_replace(lower(given), '[/|\\-]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS ws
+  FROM (SELECT doc_id, regexp_replace(regexp_extract(coalesce(text, ''), '{FIRST_WORDS}'), '[."'']', '', 'g') AS given, source AS title FROM documents))""")
+def names_in_documents(spark, d):
+    """The first words of every document as a name, its source as a title."""
+    given = F.regexp_replace(F.regexp_extract(F.coalesce("text", F.lit("")), FIRST_WORDS, 0), "[.\"']", "")
+    return read(spark, d, "documents").select("doc_id", given.alias("name"), C.valid_name(given, F.col("source")).alias("valid"))
+
+
+PART_FILE = "'in/' || replace(p_name, ' ', '_') || CASE WHEN p_size % 3 = 0 THEN '-Resume' WHEN p_size % 3 = 1 THEN ' 2024 ' || lower(p_type) ELSE '.final copy' END || '.pdf'"
+
+
+@query(f"""SELECT id, CASE WHEN len(ws) BETWEEN 2 AND 4 OR (len(ws) = 1 AND length(ws[1]) > 2) THEN array_to_string(list_transform(ws, lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS name
+  FROM (SELECT id, list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_extract(f, '([^/]+)$', 1), '\\.[^.]*$', ''), '[_\\-.\\s]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '\\d') AND w NOT IN ({S.listed(NOISE)[1:-1]})) AS ws
+  FROM (SELECT p_partkey AS id, {PART_FILE} AS f FROM part))""")
+def names_of_part_files(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), C.name_from_file(F.expr(PART_FILE)).alias("name"))
+
+
+@query("SELECT bucket, count(*) AS n FROM (SELECT CASE " + ROLE_CASE.replace("current_title", "text") + " ELSE 'Other' END AS bucket FROM documents) GROUP BY bucket")
+def roles_in_documents(spark, d):
+    """Whole documents as titles: the first role whose words any text holds."""
+    return stats.role_counts(read(spark, d, "documents").select(F.col("text").alias("current_title")))
+
+
 @query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE round(greatest(0, date_diff('day', o_orderdate, CASE WHEN o_orderkey % 3 = 1 THEN {S.AS_OF} ELSE DATE '1996-06-30' END)) / 365.25, 6)::DOUBLE END AS years FROM orders")
 def years_span(spark, d):
     k = F.col("o_orderkey") % 3

@@ -69,8 +69,8 @@ def ingest_batch(store: BucketStore, rows: DataFrame, batch: int | None = None,
         changes["pool"] = (merge_buckets(old, numbered), touched)
         values["top"] = top + new
     counted = store.spark.createDataFrame([(number, *figures.values())], "batch long, total long, skipped long, parsed long, failed long")
-    counted = counted.withColumn("percent", C.progress(F.col("parsed"), F.col("failed"), F.col("total"), F.col("skipped")).cast("long")).withColumn("bucket", store.bucket(F.col("batch"), at))
-    where = store.touched(counted)
+    counted = counted.withColumn("percent", C.progress(F.col("parsed"), F.col("failed"), F.col("total"), F.col("skipped")).cast("long")).withColumn("bucket", F.lit(number % at.buckets))
+    where = [number % at.buckets]
     before = _known(store, "batches", BATCHES, at, where)
     changes["batches"] = (before.unionByName(counted.select(*before.columns)), where)
     store.commit(at, changes, values)
