@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -84,23 +86,59 @@ def zip_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "archive string, entry string, content binary, error string")
 
 
-def extract_text(files: DataFrame, extractors: list) -> DataFrame:
-    """Adds text: what the first extractor that finds any gives. An extractor takes bytes and gives text or None."""
-
-    @F.pandas_udf("string")
-    def first(content: pd.Series) -> pd.Series:
+_STREAM = re.compile(rb"<<((?:(?!stream).)*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\[((?:[^\[\]()]|\((?:\\.|[^\\()])*\))*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|'|\")|(T\*|\b(?:T[dD]|ET)\b)", re.S)
+_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)", re.S)
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
+
+
+def pdf_text(data: bytes) -> str | None:
+    """The text that a PDF's pages show in one-byte fonts, a line for each move to another; plain and deflated streams are read. None where
+    the bytes are no PDF; text in fonts with glyph numbers is not found."""
+    if not data.startswith(b"%PDF"):
+        return None
+    special = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+    def plain(m) -> bytes:
+        c = m[1]
+        return bytes([int(c, 8) & 255]) if c[:1].isdigit() and int(c[:1]) < 8 else special.get(c, b"" if c.strip() == b"" else c)
+
+    shown = lambda s: _ESCAPE.sub(plain, s[1:-1])
+    out: list[bytes] = []
+    for head, body in _STREAM.findall(data):
+        if b"/FlateDecode" in head:
+            body = zlib.decompressobj().decompress(body)
+        elif b"/Filter" in head:
+            continue  # pictures and other codings
+        if b"Tj" not in body and b"TJ" not in body:
+            continue
+        for several, one, move in _SHOWN.findall(body):
+            out.append(b"\n" if move else b"".join(map(shown, _STRING.findall(several or one))))
+    lines = b"".join(out).decode("cp1252", "replace").split("\n")
+    return "\n".join(x.strip() for x in lines if x.strip()) or None
+
+
+def extract_text(files: DataFrame, extractors: list | None = None) -> DataFrame:
+    """Adds text, what the first extractor that finds any gives, and extract_errors, what the extractors before it failed with. An extractor
+    takes bytes and gives text or None; ``pdf_text`` is the one there is."""
+    tried = [pdf_text] if extractors is None else extractors
+
+    @F.pandas_udf("struct<text string, errors array<string>>")
+    def first(content: pd.Series) -> pd.DataFrame:
         def one(data):
-            for f in extractors:
+            errors: list[str] = []
+            for f in tried:
                 try:
                     if data is not None and (text := f(bytes(data))) and text.strip():
-                        return text
-                except Exception:
-                    continue
-            return None
+                        return text, errors
+                except Exception as e:  # the next one may do
+                    errors.append(f"{getattr(f, '__name__', 'extractor')}: {str(e) or type(e).__name__}")
+            return None, errors
 
-        return content.map(one)
+        return pd.DataFrame([one(x) for x in content], columns=["text", "errors"])
 
-    return files.withColumn("text", first("content"))
+    told = files.withColumn("__told", first("content"))
+    return told.withColumns({"text": F.col("__told.text"), "extract_errors": F.col("__told.errors")}).drop("__told")
 
 
 # fixed values: MIME types of archives and documents

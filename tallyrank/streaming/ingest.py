@@ -109,8 +109,8 @@ def start_ingest(spark: SparkSession, path: str, parse: Callable[[DataFrame], Da
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def parsed_resumes(parser, extractors: list) -> Callable[[DataFrame], DataFrame]:
-    """A parse function for PDFs and archives of them: text by the first extractor that finds any, then ``parser``. A file is told by its
+def parsed_resumes(parser, extractors: list | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A parse function for PDFs and archives of them: text by the first extractor that finds any (``pdf_text`` where none are named), then ``parser``. A file is told by its
     archive and its whole path there."""
 
     def parse(files: DataFrame) -> DataFrame:
