@@ -5,7 +5,7 @@ chunk and its place there (``searchsorted``), so ids go up in UTF-8 order and ti
 are one ``bincount`` of ids a chunk, dense vectors of one length for all groups of the language.
 
 The work is dealt out by term, then by chunk: no dictionary is held whole anywhere, and a source that has most of the
-documents has no more terms than the others. What grows with the square of a language's sources is the answer itself.
+documents has no more terms than the others. A task holds one fragment's counts and a sum for each pair of a language's groups. What grows with the square of a language's sources is the answer itself.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyrank.llm.common import bounded_batches, chunks, pieces, shared_table
 
-#: Terms of a dense vector.
-CHUNK_TERMS = 4096
+#: Terms of a chunk, and counts (terms by groups) of a fragment of it, at most.
+CHUNK_TERMS, CELLS = 4096, 1 << 22
 #: Bytes of text that are counted at once, and rows of counts that a task holds back to sum them.
 TEXT_BYTES, HELD_ROWS = 4 << 20, 400_000
 #: Groups that are compared with one group at a time.
@@ -120,29 +120,31 @@ def _vectors(batches):
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
-    lang, rows, n_terms, last = None, [], 0, None
+    lang, rows, n_terms, last, names = None, [], 0, None, set()
 
     def chunk():
         nonlocal made, rows, n_terms
         kept = np.array(sorted({t for t, _, _ in rows}), object)
         ids = np.searchsorted(kept, np.array([t for t, _, _ in rows], object))
-        names = sorted({s for _, s, _ in rows})
-        place = {s: i for i, s in enumerate(names)}
+        sources = sorted(names)
+        place = {s: i for i, s in enumerate(sources)}
         at = np.fromiter((place[s] for _, s, _ in rows), np.int64, len(rows)) * len(kept) + ids
-        counts = np.zeros(len(names) * len(kept), np.int64)
+        counts = np.zeros(len(sources) * len(kept), np.int64)
         np.add.at(counts, at, np.fromiter((n for _, _, n in rows), np.int64, len(rows)))  # a bincount in whole numbers
-        out = pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([(part << 32) + made], pa.int64()), pa.array([[t.decode() for t in kept]]), pa.array([[s.decode() for s in names]]), pa.array([counts], pa.list_(pa.int64()))], ["lang", "chunk", "terms", "sources", "counts"])
+        out = pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([(part << 32) + made], pa.int64()), pa.array([[t.decode() for t in kept]]), pa.array([[s.decode() for s in sources]]), pa.array([counts], pa.list_(pa.int64()))], ["lang", "chunk", "terms", "sources", "counts"])
         made, rows, n_terms = made + 1, [], 0
+        names.clear()
         return out
 
     for b in batches:
         binary = (b.column(c).cast(pa.binary()).to_pylist() for c in ("term", "source"))
         for this, term, source, n in zip(b.column("lang").to_pylist(), *binary, b.column("n").to_pylist(), strict=True):
             if this != lang or term != last:
-                if rows and (this != lang or n_terms == CHUNK_TERMS):
+                if rows and (this != lang or n_terms == CHUNK_TERMS or (n_terms + 1) * len(names) > CELLS):
                     yield chunk()
                 lang, last, n_terms = this, term, n_terms + 1
             rows.append((term, source, n))
+            names.add(source)
     if rows:
         yield chunk()
 
@@ -154,49 +156,73 @@ def vectors(kept: DataFrame) -> DataFrame:
     return ordered.select("lang", "source", "term", "n").mapInArrow(_vectors, VECTORS)
 
 
-def _merged(fragments: list[dict]) -> tuple[list[str], list[str], np.ndarray]:
-    """(terms, sources, counts by source and term) of a chunk's fragments, in order."""
-    terms = [t for f in fragments for t in f["terms"]]
-    sources = sorted({s for f in fragments for s in f["sources"]}, key=str.encode)
-    place, counts, at = {s: i for i, s in enumerate(sources)}, np.zeros((len(sources), len(terms)), np.int64), 0
-    for f in fragments:
-        n = len(f["terms"])
-        counts[[place[s] for s in f["sources"]], at : at + n] = np.array(f["counts"], np.int64).reshape(-1, n)
-        at += n
-    return terms, sources, counts
+def _fragments(column: pa.ListArray, at: int):
+    """(terms, sources, counts by source and term) of a chunk's fragments, in order; counts never become Python numbers."""
+    held = column[at].values
+    for i in range(len(held) if held is not None else 0):
+        terms, sources, counts = (held.field(c)[i].values for c in ("terms", "sources", "counts"))
+        yield terms, sources.to_pylist(), counts.to_numpy(zero_copy_only=False).reshape(len(sources), len(terms))
+
+
+class Comparison:
+    """The groups of a language over one chunk: sums of differences of all pairs, and each group's terms that lie highest above the
+    language. A fragment's counts are held at a time, and one sum for each pair."""
+
+    def __init__(self, names: list[str], n: np.ndarray, v: int, smooth: int, top: int):
+        self.names, self.smooth, self.top, self.terms = names, smooth, top, 0
+        self.total, self.whole = n + smooth * v, int(n.sum()) + smooth * v
+        self.alone = proportion(np.full(len(names), smooth), self.total) if v else np.zeros(len(names), np.int64)  # p of a term that a group lacks
+        self.far = np.zeros((len(names), len(names)), np.int64)
+        self.best: list[list[tuple[int, int, str]]] = [[] for _ in names]
+
+    def add(self, terms: pa.Array, mine: list[int], counts: np.ndarray) -> None:
+        """A fragment's terms: ``counts`` of the groups ``mine``, by their places."""
+        size = len(terms)
+        share = proportion(counts + self.smooth, self.total[mine][:, None])
+        q = proportion(counts.sum(0) + self.smooth, self.whole)
+        others = np.setdiff1d(np.arange(len(self.names)), mine)
+        for i, m in enumerate(mine):
+            for at in range(i + 1, len(mine), BLOCK):
+                self._put(m, mine[at : at + BLOCK], np.abs(share[at : at + BLOCK] - share[i]).sum(1))
+            for at in range(0, len(others), BLOCK):
+                self._put(m, others[at : at + BLOCK], np.abs(self.alone[others[at : at + BLOCK], None] - share[i]).sum(1))
+            over = share[i] - q
+            high = np.flatnonzero((counts[i] > 0) & (over > 0))
+            high = high[np.argsort(-over[high], kind="stable")[: self.top]]  # ids go up in UTF-8 order, so ties are in it
+            self.best[m] += [(-int(over[j]), self.terms + int(j), terms[int(j)].as_py()) for j in high]
+        for i, m in enumerate(others):
+            self._put(m, others[i + 1 :], np.abs(self.alone[others[i + 1 :]] - self.alone[m]) * size)
+        self.terms += size
+
+    def _put(self, m: int, others, values: np.ndarray) -> None:
+        others = np.asarray(others, np.int64)
+        np.add.at(self.far, (np.minimum(m, others), np.maximum(m, others)), values)
+
+    def found(self, lang: str, chunk: int):
+        """Batches of FOUND."""
+
+        def batch(source, items, ids, values):
+            columns = [pa.array([lang] * len(items), pa.string()), pa.array([source] * len(items), pa.string()), pa.array(items, pa.string()), pa.array(ids, pa.int64()), pa.array(values, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "id", "value"])
+
+        for i, name in enumerate(self.names):
+            rest = self.names[i + 1 :]
+            yield batch(name, rest, np.full(len(rest), -1), self.far[i, i + 1 :])
+            best = sorted(self.best[i])[: self.top]
+            yield batch(name, [t for _, _, t in best], [(chunk << 13) + j for _, j, _ in best], [-v for v, _, _ in best])
 
 
 def _compare(top: int, smooth: int):
-    def found(lang, source, items, ids, values):
-        columns = [pa.array([lang] * len(items), pa.string()), pa.array([source] * len(items), pa.string()), pa.array(items, pa.string()), pa.array(ids, pa.int64()), pa.array(values, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "id", "value"])
-
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                terms, sources, counts = _merged(r["fragments"])
-                names, size = [g["source"] for g in r["groups"]], len(terms)
-                total = np.array([g["n"] for g in r["groups"]], np.int64) + smooth * r["v"]
-                place, n = {s: i for i, s in enumerate(sources)}, len(names)
-                mine = [place.get(s) for s in names]
-                p = proportion(counts + smooth, total[[i for i, x in enumerate(mine) if x is not None]][:, None]) if size else counts
-                alone = proportion(np.full(n, smooth), total) if r["v"] else np.zeros(n, np.int64)
-                # groups stand in one order on both sides, so the present ones are the rows of p in turn
-                whole = proportion(counts.sum(0) + smooth, total.sum() - smooth * r["v"] * (n - 1)) if size else None
-                for i in range(n):
-                    row = p[mine[i]] if mine[i] is not None else np.full(size, alone[i])
-                    for at in range(i + 1, n, BLOCK):
-                        to = min(n, at + BLOCK)
-                        other = np.repeat(alone[at:to, None], size, 1)
-                        there = [j for j in range(at, to) if mine[j] is not None]
-                        other[[j - at for j in there]] = p[[mine[j] for j in there]]
-                        far = np.abs(other - row).sum(1)
-                        yield found(r["lang"], names[i], names[at:to], np.full(to - at, -1), far)
-                    if mine[i] is not None:
-                        over = row - whole
-                        at = np.flatnonzero((counts[mine[i]] > 0) & (over > 0))
-                        at = at[np.argsort(-over[at], kind="stable")[:top]]  # ids go up in UTF-8 order, so ties are in it
-                        yield found(r["lang"], names[i], [terms[j] for j in at], (r["chunk"] << 13) + at, over[at])
+            for i in range(b.num_rows):
+                groups = b.column("groups")[i].as_py()
+                names = [g["source"] for g in groups]
+                told = Comparison(names, np.array([g["n"] for g in groups], np.int64), b.column("v")[i].as_py(), smooth, top)
+                place = {s: j for j, s in enumerate(names)}
+                for terms, sources, counts in _fragments(b.column("fragments"), i):
+                    told.add(terms, [place[s] for s in sources], counts)
+                yield from told.found(b.column("lang")[i].as_py(), b.column("chunk")[i].as_py())
 
     return run
 
