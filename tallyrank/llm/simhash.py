@@ -37,8 +37,6 @@ SEEDS, FAR, FAR_ALL = 4, 12, 52
 SAMPLE, BELOW = 64, 4.0
 #: Parts that the rows of one text, or of one print, are dealt out to.
 SALTS = 16
-#: Turns of checks against a few texts of a bucket before those against all of it, and about how many a turn has.
-TURNS, FEW = 2, 32
 #: How many times more random prints fill buckets as much.
 CROWDED = 64
 
@@ -303,14 +301,13 @@ def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter(bits <= FAR_ALL).select("a", "b")
 
 
-def _unlinked(met: DataFrame, roots: DataFrame, part, parts: Column | None = None) -> DataFrame:
+def _unlinked(met: DataFrame, roots: DataFrame, part, parts: Column) -> DataFrame:
     """Pairs (a, b) that meet in a bucket and lie in different groups, one of them outside the largest group of the bucket. ``part`` deals
-    a bucket's texts out; one outside meets those of its own part, or of all ``parts``."""
+    a bucket's texts out to ``parts``; one outside goes to all of them."""
     met = shared_table(met.sparkSession, met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mode = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("mode"), F.count("*").alias("roots"))
     split = met.join(mode.filter("roots > 1").drop("roots"), "key")
-    own = F.array(part(F.col("node"))) if parts is None else parts
-    left = split.filter("root <> mode").select("key", F.col("node").alias("x"), F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.explode(own).alias("part"))
+    left = split.filter("root <> mode").select("key", F.col("node").alias("x"), F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.explode(parts).alias("part"))
     every = split.select("key", F.col("node").alias("y"), "fp", "root", "mode", part(F.col("node")).alias("part"))
     pairs = left.join(every, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("mode")) | (F.col("x") < F.col("y"))) & (_differing("fp", "x_fp") <= FAR))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -324,9 +321,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, dist
     together, at most. A near copy is a pair whose shingles have a Jaccard similarity of ``similarity`` or more; groups
     are what such pairs connect. Each text is checked against two hubs of its buckets first: the smallest, and the one
     that meets most others, which is the original of its edited copies as a rule. Pairs that these links have put into
-    one group already need no check. Then, ``TURNS`` times, each text outside the largest group of its bucket is checked against some
-    ``FEW`` others of it: a text with many near copies there finds one. What is still outside is checked pair by pair, in parts of
-    ``block`` texts: where r texts are left of a bucket of n, r * n pairs at most. Pairs that meet by no seed are not found.
+    one group already need no check. The others of a bucket are checked pair by pair, in parts of ``block`` texts: where
+    r texts lie outside the largest group of a bucket of n, r * n pairs at most, first by a sample of their shingles. Pairs that meet by no seed are not found.
     Rows of one doc_id count as one document; rows with a null doc_id are left out.
     """
     spark = docs.sparkSession
@@ -353,12 +349,7 @@ def _groups(spark: SparkSession, docs: DataFrame, similarity: float, shingle: in
     edges = _alike(_sieved(near, nodes), docs, similarity, shingle)
     roots = shared_table(spark, components(edges), "roots")
 
-    met = shared_table(spark, met.filter("n > 2"), "crowded")
-    for turn in range(TURNS):
-        some = _unlinked(met, roots, lambda node: F.pmod(F.xxhash64(node, F.lit(turn)), F.ceil(F.col("n") / FEW)).cast("int"))
-        edges = edges.union(_alike(_sieved(some, nodes), docs, similarity, shingle))
-        roots = shared_table(spark, components(edges), "roots")
-    every = _unlinked(met, roots, lambda node: F.pmod(F.xxhash64(node), F.ceil(F.col("n") / block)).cast("int"), F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1))
+    every = _unlinked(met.filter("n > 2"), roots, lambda node: F.pmod(F.xxhash64(node), F.ceil(F.col("n") / block)).cast("int"), F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1))
     edges = edges.union(_alike(_sieved(every, nodes), docs, similarity, shingle))
     roots = shared_table(spark, components(edges), "roots")
     texts = nodes.withColumnRenamed("node", "first").join(roots.withColumnRenamed("node", "first"), "first", "left")
