@@ -71,15 +71,22 @@ def passing_tables(spark: SparkSession):
 
 
 def shared_table(spark: SparkSession, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again; this cuts its lineage."""
+    """Writes ``df`` to the shared folder and reads it again; this cuts its lineage. There is no mark of success: on local files the driver
+    would start two more processes for its permissions, table after table."""
     path = f"{shared_dir(bounded_batches(spark))}/tallyrank/{tag}-{uuid.uuid4().hex}"
     if not keep and _passing.get() is not None:
         _passing.get().append(path)
     # a task that writes or reads holds a row group, and rows of packed arrays are long
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is dealt out by its key whatever Spark guesses of its size. The guess leaves out what ``explode`` adds and
+    how far Parquet shrinks numbers, so tables that grow with the corpus would be gathered and hashed on the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def remainder(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n

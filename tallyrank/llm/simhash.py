@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import chunks, mix, passing_tables, pieces, replacing, shared_table, span_hashes, texts, tokenise
+from tallyrank.llm.common import chunks, dealt, mix, passing_tables, pieces, replacing, shared_table, span_hashes, texts, tokenise
 
 BITS = 64
 #: Shingles whose bits are summed at once.
@@ -118,14 +118,14 @@ def links(fps: DataFrame, distance: int = 4, bucket: int = 64) -> DataFrame:
     keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("m")) for i, m in enumerate(masks))))
     rows = fps.select("fp", keyed.alias("k")).select("k.c", "k.m", "fp")
     shared = rows.groupBy("c", "m").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    rows = shared_table(spark, rows.join(shared, ["c", "m"]), "buckets")
+    rows = shared_table(spark, rows.join(dealt(shared), ["c", "m"]), "buckets")
     small = rows.filter(F.col("n") <= bucket)
-    pairs = small.select("c", "m", F.col("fp").alias("a")).join(small.select("c", "m", F.col("fp").alias("b")), ["c", "m"])
+    pairs = small.select("c", "m", F.col("fp").alias("a")).join(dealt(small.select("c", "m", F.col("fp").alias("b"))), ["c", "m"])
     pairs = pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
     crowd = shared_table(spark, rows.filter(F.col("n") > bucket).select("fp").distinct(), "crowd")
     near = _near_values(F.col("fp"), crowd, distance // 2)
     least = near.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).filter(F.col("a") < F.col("most")).select("value", "a")
-    tied = near.join(least, "value").filter(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+    tied = near.join(dealt(least), "value").filter(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
     return pairs.union(tied).distinct()
 
 
@@ -143,11 +143,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b")
+        large = both.join(dealt(least), "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b")
         # large star ends; edges now point from a smaller node a to b, and small star ties b's smaller nodes together
-        large = shared_table(spark, large.union(edges.join(least.withColumnRenamed("a", "b"), "b").select(F.col("m").alias("a"), "b").filter("a < b")).distinct(), "edges")
+        large = shared_table(spark, large.union(edges.join(dealt(least.withColumnRenamed("a", "b")), "b").select(F.col("m").alias("a"), "b").filter("a < b")).distinct(), "edges")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x"))
+        small = large.join(dealt(least), "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x"))
         edges = shared_table(spark, small.filter("m < x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "edges")
         now = mark(edges)
         if now == before:
@@ -168,7 +168,7 @@ def _given(rows: DataFrame, groups: DataFrame, on: list[str], key: str) -> DataF
     is there once for each of ``SALTS`` parts of them, by ``key``; that of a single row, ``first``, once."""
     parts = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(_salt("first")))
     salted = groups.withColumn("__salt", F.explode(parts)).drop("first", "n")
-    return rows.withColumn("__salt", _salt(key)).join(salted, [*on, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", _salt(key)).join(dealt(salted), [*on, "__salt"]).drop("__salt")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket: int = 64) -> DataFrame:
@@ -183,9 +183,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket
     docs = shared_table(spark, with_fingerprints(docs.select(*replacing(docs, "fp", "component_id")), shingle), "prints")
     fps = shared_table(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-prints")
     roots = components(links(fps.select("fp"), distance, bucket))
-    grouped = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    grouped = fps.join(dealt(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return _given(docs, grouped.join(least, "root").select("fp", "first", "n", "component_id"), ["fp"], "doc_id")
+    return _given(docs, grouped.join(dealt(least), "root").select("fp", "first", "n", "component_id"), ["fp"], "doc_id")
 
 
 def _similarity(a: bytes, b: bytes, shingle: int) -> float:
@@ -254,7 +254,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shingle_sets(batch.column("text"), shingle), pa.binary())], names=["node", "shingles"])
 
-    held = docs.join(asked, "doc_id").select("doc_id", "text").mapInArrow(cut, "node long, shingles binary")
+    held = docs.join(dealt(asked), "doc_id").select("doc_id", "text").mapInArrow(cut, "node long, shingles binary")
     # the rows of one doc_id are one document; its smallest text counts
     held = shared_table(spark, held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
 
@@ -271,7 +271,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -
                 ok = [test(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+        return pairs.join(dealt(side("a")), "a").join(dealt(side("b")), "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
     pairs = kept(pairs, F.substring("shingles", 1, 8 * SAMPLE), lambda a, b: sample_alike(a, b, similarity))
     return shared_table(spark, kept(shared_table(spark, pairs, "sampled"), F.col("shingles"), whole), "alike")
@@ -290,13 +290,13 @@ def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
     keyed = F.explode(F.array(*(F.xxhash64(F.lit(i), "seed", F.col("fp").bitwiseAND(F.lit(_long(m)))) for i, m in enumerate(masks))))
     rows = rows.select(keyed.alias("key"), "node", "fp")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return shared_table(spark, rows.join(shared, "key"), "buckets")
+    return shared_table(spark, rows.join(dealt(shared), "key"), "buckets")
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b), each once, that differ in ``FAR_ALL`` bits of all seeds together at most."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("fps").alias(f"of_{x}"))
-    pairs = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.select("a", "b").distinct().join(dealt(side("a")), "a").join(dealt(side("b")), "b")
     bits = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: _differing(x, y)), F.lit(0), lambda t, x: t + x)
     return pairs.filter(bits <= FAR_ALL).select("a", "b")
 
@@ -304,12 +304,12 @@ def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _unlinked(met: DataFrame, roots: DataFrame, part, parts: Column) -> DataFrame:
     """Pairs (a, b) that meet in a bucket and lie in different groups, one of them outside the largest group of the bucket. ``part`` deals
     a bucket's texts out to ``parts``; one outside goes to all of them."""
-    met = shared_table(met.sparkSession, met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    met = shared_table(met.sparkSession, met.join(dealt(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mode = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("mode"), F.count("*").alias("roots"))
-    split = met.join(mode.filter("roots > 1").drop("roots"), "key")
+    split = met.join(dealt(mode.filter("roots > 1").drop("roots")), "key")
     left = split.filter("root <> mode").select("key", F.col("node").alias("x"), F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.explode(parts).alias("part"))
     every = split.select("key", F.col("node").alias("y"), "fp", "root", "mode", part(F.col("node")).alias("part"))
-    pairs = left.join(every, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("mode")) | (F.col("x") < F.col("y"))) & (_differing("fp", "x_fp") <= FAR))
+    pairs = left.join(dealt(every), ["key", "part"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("mode")) | (F.col("x") < F.col("y"))) & (_differing("fp", "x_fp") <= FAR))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -343,8 +343,8 @@ def _groups(spark: SparkSession, docs: DataFrame, similarity: float, shingle: in
     met = _meetings(nodes, distance)
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     hub = lambda df, by: df.groupBy("key").agg(F.max_by(F.struct("node", "fp"), by).alias("hub"))
-    hubs = hub(met, -F.col("node")).union(hub(met.filter("n > 2").join(weight, "node"), F.struct("weight", -F.col("node")))).distinct()
-    near = met.join(hubs, "key").filter((F.col("hub.node") != F.col("node")) & (_differing("fp", "hub.fp") <= FAR))
+    hubs = hub(met, -F.col("node")).union(hub(met.filter("n > 2").join(dealt(weight), "node"), F.struct("weight", -F.col("node")))).distinct()
+    near = met.join(dealt(hubs), "key").filter((F.col("hub.node") != F.col("node")) & (_differing("fp", "hub.fp") <= FAR))
     near = near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
     edges = _alike(_sieved(near, nodes), docs, similarity, shingle)
     roots = shared_table(spark, components(edges), "roots")
@@ -352,7 +352,7 @@ def _groups(spark: SparkSession, docs: DataFrame, similarity: float, shingle: in
     every = _unlinked(met.filter("n > 2"), roots, lambda node: F.pmod(F.xxhash64(node), F.ceil(F.col("n") / block)).cast("int"), F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1))
     edges = edges.union(_alike(_sieved(every, nodes), docs, similarity, shingle))
     roots = shared_table(spark, components(edges), "roots")
-    texts = nodes.withColumnRenamed("node", "first").join(roots.withColumnRenamed("node", "first"), "first", "left")
+    texts = nodes.withColumnRenamed("node", "first").join(dealt(roots.withColumnRenamed("node", "first")), "first", "left")
     copies = _given(prints, texts.withColumn("group", F.coalesce("root", "first")).drop("root"), ["copy", "fps"], "doc_id").select("doc_id", "group")
     # rows of one doc_id whose texts lie in different groups: the smallest counts
     return copies.groupBy("doc_id").agg(F.min("group").alias("group"))
@@ -366,9 +366,9 @@ def drop_similar(docs: DataFrame, **how) -> DataFrame:
     """
     gone = near_groups(docs.select("doc_id", "text"), **how).filter(F.col("doc_id") > F.col("group")).select("doc_id")
     named = docs.filter(F.col("doc_id").isNotNull())
-    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = named.join(dealt(gone), "doc_id", "left_anti").select(*docs.columns)
     again = shared_table(docs.sparkSession, named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    alone = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
+    alone = kept.join(dealt(again), "doc_id", "left_anti").select(*docs.columns)
+    first = kept.join(dealt(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
     first = first.select("doc_id", "r.*").select(*docs.columns)
     return alone.union(first).union(docs.filter(F.col("doc_id").isNull()))
