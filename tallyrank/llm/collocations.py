@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import _BYTE, bounded_batches, chunks, mix, pieces, shared_table, span_hashes, word_hashes
+from tallyrank.llm.common import _BYTE, bounded_batches, chunks, dealt, mix, pieces, shared_table, span_hashes, word_hashes
 
 #: Bytes of text in a shard, and rows of counts that a task holds back to sum them.
 SHARD_BYTES, HELD_ROWS = 2 << 20, 200_000
@@ -282,7 +282,7 @@ def count_phrases(docs: DataFrame, least: int) -> DataFrame:
 def _looked_up(cuts: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
     """Adds the count of a part. A frequent word is part of very many phrases, so both sides are salted."""
     table = counts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return cuts.join(table, ["lang", part, "salt"]).drop(part)
+    return cuts.join(dealt(table), ["lang", part, "salt"]).drop(part)
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, swallowed: int = 80) -> DataFrame:
@@ -306,7 +306,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, swallowed: i
     words = F.split("phrase", " ")
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda i: F.array_join(F.slice(words, i, m), " "))))
     longer = found.filter("words >= 3").select("lang", F.col("a").alias("longer"), F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * swallowed))
+    kept = scored.join(dealt(longer), ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * swallowed))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     # the best of each of many parts first, so that no task sorts a whole language
     kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
