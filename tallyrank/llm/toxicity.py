@@ -7,9 +7,9 @@ characters with spaces between them every space is an arc for nothing and one fo
 the same path cuts the run into words. The presence of restored words, and of beginnings of words, is scored by a
 ridge logistic regression.
 
-Both models are fitted on a bounded sample: about ``per_class`` labelled texts of each label, taken by a hash
-of the key that labels and texts share, of those all words and, as the regression's size, the ``features`` words that
-tell the labels apart best.
+Both models are fitted on all labelled texts, each different one once: the character model on all their words, the regression on
+the ``features`` words that tell the labels apart best (its size). Texts, words and counts stay in tables; the driver gets the counts of strings
+of up to five characters, which grow as slowly as the vocabulary, and the regression is Spark's own.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyrank.llm.common import pieces, replacing, shared_table
+from tallyrank.llm.bloom import bits_for, bloom_of
+from tallyrank.llm.common import dealt, pieces, replacing, shared_table, signed
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "aeiou"}
@@ -42,8 +45,12 @@ STEMS = (3, 4, 5, 6, 7)
 LONGEST = 64
 #: Words whose readings a worker remembers.
 MEMO = 200_000
-#: A feature must be found in so many texts of the sample.
+#: A feature must be found in so many labelled texts.
 LEAST_TEXTS = 4
+#: The most bits of the filter of labelled ids, which only spares texts a way: what else it lets through goes in the join.
+ID_BITS = 1 << 27
+#: The ridge of a weight, the steps of the regression, and the decimals that its weights keep, so that the order of sums doesn't show.
+RIDGE, STEPS, DECIMALS = 0.2, 60, 4
 
 #: Signs that end words and stand for no letter.
 _STOPS = ",.;:?\"'"
@@ -63,9 +70,9 @@ def _odd(word: str) -> bool:
 class Counts:
     """Counts of strings in two sorted arrays, by a 64-bit hash."""
 
-    def __init__(self, counts: Counter):
-        pairs = sorted((xxh64_intdigest(g), n) for g, n in counts.items())
-        self.keys, self.counts = array("Q", (k for k, _ in pairs)), array("Q", (n for _, n in pairs))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = array("Q", keys[order].astype(np.uint64).tobytes()), array("Q", counts[order].astype(np.uint64).tobytes())
 
     def __getitem__(self, gram: str) -> int:
         key = xxh64_intdigest(gram)
@@ -73,23 +80,42 @@ class Counts:
         return self.counts[at] if at < len(self.keys) and self.keys[at] == key else 0
 
 
+#: Kinds of counted strings beside those of k characters (k) and what stands before their last (ORDER + k).
+KNOWN = 2 * ORDER
+
+
+def grams(counts: dict[str, int]) -> Counter:
+    """Counts by (kind, hash) of the strings that the character model needs of words; of whole words those with a letter twice."""
+    out: Counter = Counter()
+    for word, n in counts.items():
+        x = START + word + END
+        for i in range(len(START), len(x)):
+            for k in range(ORDER):
+                out[k, x[i - k : i + 1]] += n
+                out[ORDER + k, x[i - k : i]] += n
+        if _twice.search(word):
+            out[KNOWN, word] += n
+    return Counter({(kind, xxh64_intdigest(g)): n for (kind, g), n in out.items()})
+
+
 class CharModel:
     """log P(c | up to four characters before) of words' letters, interpolated over the orders."""
 
     def __init__(self, counts: dict[str, int]):
-        self.grams, self.before, self.memo = [], [], {}
-        self.known = Counts(Counter(counts))
-        for k in range(ORDER):
-            grams, before = Counter(), Counter()
-            for word, n in counts.items():
-                x = START + word + END
-                for i in range(len(START), len(x)):
-                    grams[x[i - k : i + 1]] += n
-                    before[x[i - k : i]] += n
-            if k == 0:
-                self.size, self.total = len(grams) + 1, before[""]
-            self.grams.append(Counts(grams))
-            self.before.append(Counts(before))
+        got = grams(counts)
+        self._take(*(np.array([f(x) for x in got.items()], t) for f, t in ((lambda x: x[0][0], np.int64), (lambda x: x[0][1], np.uint64), (lambda x: x[1], np.int64))))
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> CharModel:
+        """The model of summed ``grams``: kind, h (signed), n."""
+        own = cls.__new__(cls)
+        own._take(rows["kind"].to_numpy(), rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+        return own
+
+    def _take(self, kind: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
+        made = [Counts(h[kind == k], n[kind == k]) for k in range(KNOWN + 1)]
+        self.grams, self.before, self.known, self.memo = made[:ORDER], made[ORDER:KNOWN], made[KNOWN], {}
+        self.size, self.total = len(made[0].keys) + 1, sum(made[ORDER].counts)
 
     def fresh(self) -> CharModel:
         """The same without what it remembers."""
@@ -262,6 +288,13 @@ class Classifier:
             out.update(x for x in self.long if x in w[1:]) if w[0] == " " else out.update(self._marked(w))
         return sorted(out)
 
+    def of_words(self, words: list[str]) -> list[str]:
+        """The weighted words among what ``Restorer.words`` gave for a text; ``found`` gives the same for the text."""
+        out: set[str] = set()
+        for w in words:
+            out.update(x for x in self.long if x in w[1:]) if w[:1] == " " else out.update(self._marked(w))
+        return sorted(out)
+
     def _marked(self, plain: str) -> tuple[str, ...]:
         return tuple(x for x in (plain, *("^" + plain[:k] for k in STEMS if len(plain) > k)) if x in self.weights)
 
@@ -281,80 +314,95 @@ class Classifier:
         return 1 / (1 + np.exp(-min(50.0, max(-50.0, x))))
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, strength: float = 0.2, steps: int = 12) -> np.ndarray:
-    """Weights and bias of a logistic regression by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], strength)
-    penalty[-1] = 1e-3
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        r = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((x * r[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-4:
-            break
-    return w
+def _ridge(rows: DataFrame, features: int, total: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression of rows (toxic, has: the places of its features, n: how many texts), ``total`` texts."""
+    place = F.udf(lambda has: Vectors.sparse(max(features, 1), sorted(has), [1.0] * len(has)), VectorUDT())
+    data = rows.select(F.col("toxic").cast("double").alias("label"), place("has").alias("features"), F.col("n").alias("weight"))
+    made = LogisticRegression(weightCol="weight", regParam=RIDGE / total, standardization=False, maxIter=STEPS, tol=1e-8, family="binomial").fit(data)
+    return np.round(made.coefficients.toArray()[:features], DECIMALS), round(float(made.intercept), DECIMALS)
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic): every different labelled text once for each of its labels."""
+    ids = labels.select(F.xxhash64("doc_id").alias("h")).distinct()
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(ids, min(ID_BITS, bits_for(ids.count()))))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
+
+    def likely(batches):
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(sent.value.has(batch.column("h").to_numpy().view(np.uint64)), pa.bool_()))
+
+    texts = texts.mapInArrow(likely, texts.schema)
+    return texts.join(dealt(labels), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, features: int = 600) -> Classifier | None:
-    """The classifier of the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic: 0 or 1) marks; other
+def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier | None:
+    """The classifier of all rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic: 0 or 1) marks; other
     labels and null ids don't count. None where either label is missing."""
     spark = docs.sparkSession
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, per_class / n[0]))
-    chosen = labels.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
-    # the sample's ids are few by its definition, and limit() proves it to the broadcast
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.limit(4 * per_class)), "doc_id")
-    sample = sample.select("text", "toxic").dropDuplicates(["text", "toxic"])
-    sample = shared_table(spark, sample, "toxic-sample")
+    texts = shared_table(spark, labelled(docs, labels), "toxic-texts")
+    of = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(of) < 2:
+        return None
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             got = Counter()
             for text in batch.column("text").to_pylist():
                 got.update(w for w in (_edges.sub("", x) for x in text.lower().split()) if w.isalpha() and len(w) <= LONGEST)
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["word", "n"])
 
-    common = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    chars = CharModel({r["word"]: r["n"] for r in common.collect()})
+    def cut(batches):
+        for batch in batches:
+            got = grams(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+            h = np.fromiter((k[1] for k in got), np.uint64, len(got))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.int32()), pa.array(signed(h)), pa.array(list(got.values()), pa.int64())], names=["kind", "h", "n"])
+
+    words = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chars = CharModel.of(words.mapInArrow(cut, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).toArrow())
     sent = spark.sparkContext.broadcast(chars)
 
-    def tell(batches):
+    def restored(batches):
         restorer = Restorer(sent.value.fresh())
+        for batch in pieces(batches):
+            got = [sorted(w for w in restorer.words(x) if w) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(got, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    # texts are restored once; features and rows of the regression come from their words
+    read = shared_table(spark, texts.mapInArrow(restored, "toxic int, words array<string>"), "toxic-words")
+
+    def tell(batches):
         for batch in batches:
             got = Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                got.update((w, label) for w in marks(restorer.words(text)) if w)
+            for found, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                got.update((w, label) for w in marks(set(found)))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([v if k[1] else 0 for k, v in got.items()], pa.int64()), pa.array([0 if k[1] else v for k, v in got.items()], pa.int64())], names=["word", "yes", "no"])
 
-    of = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(of) < 2:
-        return None
-    told = sample.mapInArrow(tell, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    told = read.mapInArrow(tell, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     a, b, c, d = F.col("yes"), F.lit(of[1]) - F.col("yes"), F.col("no"), F.lit(of[0]) - F.col("no")
-    odds = F.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5))
-    words = [r["word"] for r in told.filter(F.col("yes") + F.col("no") >= LEAST_TEXTS).orderBy(F.desc(F.abs(odds)), "word").limit(features).collect()]
+    # the log-likelihood ratio of a word and the label; odds by their error would rank common words over those found with one label only
+    part = lambda x, word, label: F.when(x > 0, x * F.log(x * (of[0] + of[1]) / (word * label))).otherwise(0.0)
+    tells = part(a, a + c, F.lit(of[1])) + part(b, b + d, F.lit(of[1])) + part(c, a + c, F.lit(of[0])) + part(d, b + d, F.lit(of[0]))
+    words = [r["word"] for r in told.filter(F.col("yes") + F.col("no") >= LEAST_TEXTS).orderBy(F.desc(F.round(tells, 6)), "word").limit(features).collect()]
     blank = Classifier(chars, words, np.zeros(len(words)), 0.0)
-    sent_blank = spark.sparkContext.broadcast(blank)
+    at = {w: i for i, w in enumerate(words)}
+    weighted = blank.weights, blank.long
 
     def rows(batches):
-        blank = sent_blank.value.fresh()
-        restorer, at = Restorer(blank.chars), {w: i for i, w in enumerate(words)}
+        own = Classifier(None, [], np.zeros(0), 0.0)
+        own.weights, own.long = weighted
         for batch in batches:
-            got = [[at[w] for w in blank.found(restorer, text)] for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "has"])
-
-    found = sample.mapInArrow(rows, "toxic int, has array<int>").orderBy("toxic", "has").collect()
-    x, y = np.zeros((len(found), len(words))), np.array([r["toxic"] for r in found], float)
-    for i, r in enumerate(found):
-        x[i, r["has"]] = 1
-    w = _ridge(x, y)
-    # the sample is balanced; the bias goes back to the labels' own odds
-    bias = w[-1] + log(n[1] / n[0]) - log(of[1] / of[0])
-    return Classifier(chars, words, w[:-1], float(bias))
+            got = [[at[w] for w in own.of_words(found)] for found in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "has"])
+
+    found = read.mapInArrow(rows, "toxic int, has array<int>").groupBy("toxic", "has").agg(F.count("*").cast("double").alias("n"))
+    weights, bias = _ridge(shared_table(spark, found, "toxic-rows"), len(words), of[0] + of[1])
+    # copies count once above; the bias goes back to the labels' own odds
+    return Classifier(chars, words, weights, bias + log(n[1] / n[0]) - log(of[1] / of[0]))
 
 
 def drop_toxic(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
