@@ -18,11 +18,14 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyrank.llm.bloom import bits_for, bloom_of
 from tallyrank.llm.common import chunks, dealt, mix, passing_tables, pieces, replacing, shared_table, span_hashes, texts, tokenise
 
 BITS = 64
@@ -39,6 +42,8 @@ SAMPLE, BELOW = 64, 4.0
 SALTS = 16
 #: How many times more random prints fill buckets as much.
 CROWDED = 64
+#: Bits, at most, of a filter of doc_ids that tasks and driver hold.
+ID_BITS = 1 << 26
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -244,17 +249,26 @@ def sample_alike(a: bytes, b: bytes, similarity: float) -> bool:
     return both >= similarity * n - BELOW * (similarity * (1 - similarity) * n) ** 0.5 - 1e-9
 
 
+def _likely(ids: DataFrame):
+    """A test of arrays of longs, true for all that stand in the only column of ``ids`` and few others. Texts pass it before they are dealt
+    out; its size is bounded, however many ids there are."""
+    sent = ids.sparkSession.sparkContext.broadcast(bloom_of(ids, min(ID_BITS, bits_for(ids.count()))))
+    return lambda found: sent.value.has(np.ascontiguousarray(found, np.int64).view(np.uint64))
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts' shingles are alike; only texts that some pair asks for are looked at."""
     spark = docs.sparkSession
     pairs = shared_table(spark, pairs.select("a", "b").distinct(), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # sets that no pair asks for may pass; they meet none
+    asked = _likely(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def cut(batches):
         for batch in pieces(batches):
+            batch = batch.filter(pa.array(asked(batch.column("doc_id").to_numpy()), pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shingle_sets(batch.column("text"), shingle), pa.binary())], names=["node", "shingles"])
 
-    held = docs.join(asked, "doc_id").select("doc_id", "text").mapInArrow(cut, "node long, shingles binary")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "node long, shingles binary")
     # the rows of one doc_id are one document; its smallest text counts
     held = shared_table(spark, held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
 
@@ -289,8 +303,8 @@ def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
     rows = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
     keyed = F.explode(F.array(*(F.xxhash64(F.lit(i), "seed", F.col("fp").bitwiseAND(F.lit(_long(m)))) for i, m in enumerate(masks))))
     rows = rows.select(keyed.alias("key"), "node", "fp")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return shared_table(spark, rows.join(dealt(shared), "key"), "buckets")
+    # counted where they are dealt to: each row is shuffled once
+    return shared_table(spark, rows.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1"), "buckets")
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -364,11 +378,15 @@ def drop_similar(docs: DataFrame, **how) -> DataFrame:
     Of rows that share a doc_id the one with the smallest text stays (of equal texts the smallest row, columns in
     order). Rows with a null doc_id all stay. A null text counts as empty; texts without words are copies of each other.
     """
+    spark = docs.sparkSession
     gone = near_groups(docs.select("doc_id", "text"), **how).filter(F.col("doc_id") > F.col("group")).select("doc_id")
     named = docs.filter(F.col("doc_id").isNotNull())
-    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = shared_table(docs.sparkSession, named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    alone = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
+    again = shared_table(spark, named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    # only rows that may be among them are dealt out with their texts
+    test = _likely(gone.union(again).select(F.col("doc_id").cast("long")))
+    likely = F.pandas_udf(lambda ids: pd.Series(test(ids)), "boolean")(F.col("doc_id").cast("long"))
+    kept = named.filter(likely).join(dealt(gone), "doc_id", "left_anti").select(*docs.columns)
+    alone = kept.join(dealt(again), "doc_id", "left_anti").select(*docs.columns)
+    first = kept.join(dealt(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
     first = first.select("doc_id", "r.*").select(*docs.columns)
-    return alone.union(first).union(docs.filter(F.col("doc_id").isNull()))
+    return named.filter(~likely).union(alone).union(first).union(docs.filter(F.col("doc_id").isNull()))

@@ -25,6 +25,21 @@ def test_near_dedup(spark):
     assert [r["doc_id"] for r in simhash.drop_similar(small_docs(spark)).collect()] == [0]
 
 
+def test_texts_of_near_dedup_are_neither_joined_nor_dealt(spark):
+    docs = small_docs(spark)
+    kept = simhash.drop_similar(docs.union(docs.limit(1)))
+    assert [r["doc_id"] for r in kept.collect()] == [0] and gathered(kept) == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simhash._alike(spark.sql("SELECT * FROM VALUES (1L, 2L), (1L, 9L) AS t(a, b)"), docs, 0.8, 5)
+        assert [tuple(r) for r in got.collect()] == [(1, 2)]
+        nodes = spark.sql("SELECT * FROM VALUES (1L, array(1L, 2L, 3L, 4L)), (2L, array(1L, 2L, 3L, 5L)) AS t(node, fps)")
+        met = spark.read.parquet(*simhash._meetings(nodes, 4).inputFiles())
+        assert met.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c <> n or n < 2").count() == 0 and met.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_counts_of_parts(spark):
     counts = spark.sql("SELECT * FROM VALUES ('x', 'a', 7L), ('x', 'b', 9L) AS t(lang, phrase, n)")
     cuts = spark.sql("SELECT * FROM VALUES ('x', 'a b', 'a', 0), ('x', 'a b', 'a', 1) AS t(lang, phrase, first, salt)")
