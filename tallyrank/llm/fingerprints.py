@@ -15,6 +15,8 @@ All work on a pair stays in the task that its key was dealt to; cells are never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,6 +63,15 @@ def fingerprint(keys: Column) -> Column:
     return F.lower(F.array_join(F.flatten(F.array(*tables)), ""))
 
 
+def packed(text: Column) -> Column:
+    """A fingerprint as it is moved and kept: two digits a byte."""
+    return F.unhex(text)
+
+
+def unpacked(held: Column) -> Column:
+    return F.lower(F.hex(held))
+
+
 def _part(text: Column, cell: Column, at: int, digits: int) -> Column:
     """A number in a fingerprint's cell, as a signed long."""
     return F.conv(F.substring(text, cell * DIGITS + at + 1, F.lit(digits)), 16, -10).cast("long")
@@ -89,9 +100,10 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return (part - 1) * FAN + F.size(F.filter(F.element_at(F.array(*map(lits, parts)), part), lambda b: b <= key)) - 1
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, made: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """(doc_id, text, next, rid) and for every other column x of ``docs`` x and next_x: each row with what the next one by
     doc_id, then text, has; the last is followed by the first, and a null doc_id is the smallest. rid tells rows apart.
+    ``made``: more such columns, which are worked out where rows were dealt to, so that they are not moved.
 
     The order is cut into ranges that begin at ids there are, so that the row after a range's last one is known:
     rows with the id at which the next range begins are copied to the range before.
@@ -107,6 +119,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = F.struct(((_bucket(F.col("k"), bounds) + len(bounds) - 1) % len(bounds)).alias("bucket"), F.lit(1).alias("copy"))
     starts = F.element_at(F.array(*(F.lit(b).cast("long") for b in bounds)), _bucket(F.col("k"), bounds) + 1) == F.col("k") if len(bounds) <= FAN else F.col("k").isin(bounds)
     dealt = docs.withColumn("to", F.explode(F.when(starts, F.array(own, before)).otherwise(F.array(own)))).select("doc_id", "text", *more, "k", "to.*")
+    if made:
+        dealt, more = dealt.repartition("bucket").withColumns({c: f() for c, f in made.items()}), [*more, *made]
     order = W.partitionBy("bucket").orderBy("copy", "k", "text")
     placed = dealt.withColumns({"next": F.lead("text").over(order), **{f"next_{c}": F.lead(c).over(order) for c in more}, "rn": F.row_number().over(order)})
     rid = F.shiftleft(F.col("bucket").cast("long"), 40) + F.col("rn")
@@ -148,7 +162,9 @@ def _peel(cells: DataFrame, place, check) -> DataFrame:
 
 def _first(pairs: DataFrame, versions: list[tuple[str, str, float]], tasks: int) -> DataFrame:
     """What peeling recovers from the fingerprints themselves."""
-    dealt = pairs.repartition(tasks, "rid")
+    prints = sorted({f"{c}_print" for v in versions for c in v[:2]})
+    dealt = pairs.select("rid", *(packed(F.col(c)).alias(c) for c in prints)).repartition(tasks, "rid")
+    dealt = dealt.withColumns({c: unpacked(F.col(c)) for c in prints})
     marked = lambda i: lambda x: F.struct(F.lit(i).alias("pair"), x.alias("c"))
     sides = [F.transform(subtract(F.col(f"{a}_print"), F.col(f"{b}_print")), marked(i)) for i, (a, b, _) in enumerate(versions)]
     cells = dealt.select("rid", F.explode(F.concat(*sides)).alias("x")).select("rid", F.lit(CELLS).alias("m"), F.col("x.pair").alias("pair"), "x.c.*")
@@ -198,16 +214,17 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keys = digests(F.coalesce("text", F.lit("")))
     # digests and fingerprint of a text are worked out once, and go to the row before it as those of its next text
-    rows = with_next(docs.select("doc_id", "text", keys.alias("a")).withColumn("a_print", fingerprint(F.col("a"))))
+    rows = with_next(docs.select("doc_id", "text", keys.alias("a")), {"a_print": lambda: packed(fingerprint(F.col("a")))})
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut)))
     rows = rows.select("rid", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "a_print", F.col("next_a").alias("n"), F.col("next_a_print").alias("n_print"), digests(F.col("edited")).alias("e"))
-    rows = shared_table(spark, rows.withColumn("e_print", fingerprint(F.col("e"))), "versions")
+    rows = shared_table(spark, rows.withColumn("e_print", packed(fingerprint(F.col("e")))), "versions")
     tasks = max(8, -(-rows.count() // TASK_DOCS))
-    found = differences(rows.select("rid", "a", "e", "n", "a_print", "e_print", "n_print"), [("a", "e", 0.25), ("a", "n", 0.55)], tasks)
+    told = rows.select("rid", "a", "e", "n", *(unpacked(F.col(c)).alias(c) for c in ("a_print", "e_print", "n_print")))
+    found = differences(told, [("a", "e", 0.25), ("a", "n", 0.55)], tasks)
     wide = found.groupBy("rid").agg(*(F.sum(F.when(F.col("pair") == i, F.col(c))).alias(f"{c}{i}") for i in range(2) for c in ("plus", "minus")))
-    rows = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "a_print", "e_print").withColumn("size", count_of(F.col("a_print"))).join(wide, "rid", "left")
+    rows = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "a_print", "e_print").withColumns({c: unpacked(F.col(c)) for c in ("a_print", "e_print")}).withColumn("size", count_of(F.col("a_print"))).join(wide, "rid", "left")
 
     def near(i: int) -> Column:
         plus, minus = (F.coalesce(f"{c}{i}", F.lit(0)) for c in ("plus", "minus"))
