@@ -86,16 +86,38 @@ KNOWN = 2 * ORDER
 
 def grams(counts: dict[str, int]) -> Counter:
     """Counts by (kind, hash) of the strings that the character model needs of words; of whole words those with a letter twice."""
-    out: Counter = Counter()
+    longest: Counter = Counter()
+    known = {word: n for word, n in counts.items() if _twice.search(word)}
     for word, n in counts.items():
         x = START + word + END
-        for i in range(len(START), len(x)):
-            for k in range(ORDER):
-                out[k, x[i - k : i + 1]] += n
-                out[ORDER + k, x[i - k : i]] += n
-        if _twice.search(word):
-            out[KNOWN, word] += n
-    return Counter({(kind, xxh64_intdigest(g)): n for (kind, g), n in out.items()})
+        for i in range(len(x) - ORDER + 1):
+            longest[x[i : i + ORDER]] += n
+    return _orders(longest, known)
+
+
+def _gathered(batches):
+    """Counts of different words (word, n), ``MEMO`` of them at a time."""
+    held: dict[str, int] = {}
+    for batch in batches:
+        held.update(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True))
+        if len(held) >= MEMO:
+            yield held
+            held = {}
+    if held:
+        yield held
+
+
+def _orders(own: Counter, known: dict[str, int]) -> Counter:
+    """What ``grams`` gives, from the counts of strings of ``ORDER`` characters: each shorter one ends some of those, and each
+    string without its last character stands before it."""
+    made = {KNOWN: known}
+    for k in range(ORDER - 1, -1, -1):
+        made[k], made[ORDER + k], shorter = own, Counter(), Counter()
+        for g, n in own.items():
+            made[ORDER + k][g[:-1]] += n
+            shorter[g[1:]] += n
+        own = shorter
+    return Counter({(kind, xxh64_intdigest(g)): n for kind, of in made.items() for g, n in of.items()})
 
 
 class CharModel:
@@ -126,9 +148,13 @@ class CharModel:
     def log(self, context: str, c: str) -> float:
         if (got := self.memo.get(context + c)) is None:
             p = (self.grams[0][c] + 0.1) / (self.total + 0.1 * self.size)
+            n = b = 1
             for k in range(1, ORDER):
                 h = context[-k:]
-                p = (self.grams[k][h + c] + 3 * p) / (self.before[k][h] + 3)
+                # what never stood in a word, or before a letter, doesn't with more before it
+                b = b and self.before[k][h]
+                n = n and b and self.grams[k][h + c]
+                p = (n + 3 * p) / (b + 3)
             if len(self.memo) > MEMO:
                 self.memo.clear()
             got = self.memo[context + c] = log(p)
@@ -169,13 +195,18 @@ def decode(word: str, model: CharModel) -> str:
     # readings are chains of letters, so that words of any length take time and memory in proportion
     best: list[dict[str, tuple[float, tuple]] | None] = [{} for _ in range(len(word) + 1)]
     best[0][START] = (0.0, ())
+    memo = model.memo
     for i in range(len(word)):
         states, best[i] = best[i], None
         for context, (score, read) in states.items():
             for j, letters, cost in arcs[i]:
                 s, h = score - cost, context
                 for c in letters:
-                    s, h = (s + model.log(h, END), START) if c == " " else (s + model.log(h, c), h[1:] + c)
+                    if c == " ":
+                        s, h = s + model.log(h, END), START
+                    else:
+                        p = memo.get(x := h + c)
+                        s, h = s + (model.log(h, c) if p is None else p), x[1:]
                 if h not in best[j] or best[j][h][0] < s:
                     best[j][h] = (s, (read, letters) if letters else read)
     ends = [(s + model.log(h, END), _letters(read)) for h, (s, read) in best[-1].items()]
@@ -190,10 +221,6 @@ def _letters(read: tuple) -> str:
     return "".join(reversed(out))
 
 
-def out_of_one(word: str) -> bool:
-    return len(word) == 1
-
-
 class Restorer:
     """Plain forms of words and texts; remembers those of words."""
 
@@ -209,7 +236,8 @@ class Restorer:
             got = word.rstrip(_STOPS)
             if got.isalpha() and not _twice.search(got):
                 return got
-            core = _long_edge.sub("", _long_edge.sub("", word))
+            # a run of signs at an edge has three at least
+            core = _long_edge.sub("", _long_edge.sub("", word)) if word[:1] * 3 == word[:3] or word[-1:] * 3 == word[-3:] else word
             plain = _edges.sub("", core)
             if plain.isalpha() and not _odd(plain) and (plain == core or not any(c in LEET for c in core.replace(plain, ""))):
                 got = decode(plain, self.model) if _twice.search(plain) and not self.model.known[plain] else plain
@@ -235,7 +263,7 @@ class Restorer:
         """The words that the spaced-out runs of a lower-case text spell, and each run joined, with a leading space;
         ``words``: the text's words."""
         out: set[str] = set()
-        if any(map(out_of_one, words)):
+        if 1 in map(len, words):
             for run in SPACED.findall(text):
                 if any(map(str.isalpha, run)):
                     read = self.run(run)
@@ -258,9 +286,9 @@ class Restorer:
         return "".join([*out, plain(low[at:])])
 
 
-def marks(words: set[str]) -> set[str]:
-    """The words and their beginnings; a beginning is marked by ^."""
-    return {w for w in words if w[:1] != " "} | {"^" + w[:k] for w in words if w[:1] != " " for k in STEMS if len(w) > k}
+def marks(word: str) -> tuple[str, ...]:
+    """A word and its beginnings, which are marked by ^; nothing of one with a leading space."""
+    return () if word[:1] == " " else (word, *("^" + word[:k] for k in STEMS if len(word) > k))
 
 
 class Classifier:
@@ -268,35 +296,55 @@ class Classifier:
 
     def __init__(self, chars: CharModel, words: list[str], weights: np.ndarray, bias: float):
         self.chars, self.weights, self.bias = chars, dict(zip(words, weights.tolist(), strict=True)), bias
-        self.long, self.memo = [w for w in words if len(w) >= 4 and w[0] != "^"], {}
+        self.long, self.memo, self.none = [w for w in words if len(w) >= 4 and w[0] != "^"], {}, set()
+        #: What words begin with whose beginnings are weighted.
+        self.heads = {w[1 : 1 + STEMS[0]] for w in words if w[:1] == "^"}
 
     def fresh(self) -> Classifier:
         """The same without what it remembers, so that a task's memory goes with the task."""
         own = Classifier(self.chars.fresh(), [], np.zeros(0), self.bias)
-        own.weights, own.long = self.weights, self.long
+        own.weights, own.long, own.heads = self.weights, self.long, self.heads
         return own
 
     def found(self, restorer: Restorer, text: str) -> list[str]:
         out, text = set(), text.lower()
         words, memo = set(text.split()), self.memo
-        for w in words:
+        # most words have no weight
+        for w in words.difference(self.none):
             if (got := memo.get(w)) is None:
                 got = self._of(restorer, w)
-            if got:
-                out.update(got)
+            out.update(got)
         for w in restorer.spaced(words, text):
             out.update(x for x in self.long if x in w[1:]) if w[0] == " " else out.update(self._marked(w))
         return sorted(out)
 
     def of_words(self, words: list[str]) -> list[str]:
         """The weighted words among what ``Restorer.words`` gave for a text; ``found`` gives the same for the text."""
-        out: set[str] = set()
-        for w in words:
-            out.update(x for x in self.long if x in w[1:]) if w[:1] == " " else out.update(self._marked(w))
+        out, memo = set(), self.memo
+        for w in set(words).difference(self.none):
+            if w[:1] == " ":
+                out.update(x for x in self.long if x in w[1:])
+                continue
+            if (got := memo.get(w)) is None:
+                got = self._kept(w, self._marked(w))
+            out.update(got)
         return sorted(out)
 
     def _marked(self, plain: str) -> tuple[str, ...]:
-        return tuple(x for x in (plain, *("^" + plain[:k] for k in STEMS if len(plain) > k)) if x in self.weights)
+        if plain[: STEMS[0]] not in self.heads:
+            return (plain,) if plain in self.weights else ()
+        return tuple(x for x in marks(plain) if x in self.weights)
+
+    def _kept(self, word: str, got: tuple[str, ...]) -> tuple[str, ...]:
+        """``got``, remembered as what ``word`` has."""
+        if len(self.memo) + len(self.none) >= MEMO:
+            self.memo.clear()
+            self.none.clear()
+        if got:
+            self.memo[word] = got
+        else:
+            self.none.add(word)
+        return got
 
     def _of(self, restorer: Restorer, word: str) -> tuple[str, ...]:
         """The weighted words in a word as it stands; a worker remembers them."""
@@ -304,10 +352,7 @@ class Classifier:
         got = self._marked(plain)
         if len(word) > LONGEST:
             return got + tuple(x for x in self.long if x in plain)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = got
-        return got
+        return self._kept(word, got)
 
     def score(self, restorer: Restorer, text: str) -> float:
         x = self.bias + sum(self.weights[w] for w in self.found(restorer, text))
@@ -351,14 +396,17 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier |
 
     def count(batches):
         for batch in pieces(batches):
-            got = Counter()
+            raw, got = Counter(), Counter()
             for text in batch.column("text").to_pylist():
-                got.update(w for w in (_edges.sub("", x) for x in text.lower().split()) if w.isalpha() and len(w) <= LONGEST)
+                raw.update(text.lower().split())
+            for x, n in raw.items():
+                if (w := _edges.sub("", x)).isalpha() and len(w) <= LONGEST:
+                    got[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["word", "n"])
 
     def cut(batches):
-        for batch in batches:
-            got = grams(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+        for counts in _gathered(batches):
+            got = grams(counts)
             h = np.fromiter((k[1] for k in got), np.uint64, len(got))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.int32()), pa.array(signed(h)), pa.array(list(got.values()), pa.int64())], names=["kind", "h", "n"])
 
@@ -376,11 +424,17 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier |
     read = shared_table(spark, texts.mapInArrow(restored, "toxic int, words array<string>"), "toxic-words")
 
     def tell(batches):
+        memo: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            got = Counter()
+            got: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for found, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                got.update((w, label) for w in marks(set(found)))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([v if k[1] else 0 for k, v in got.items()], pa.int64()), pa.array([0 if k[1] else v for k, v in got.items()], pa.int64())], names=["word", "yes", "no"])
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo.update((w, marks(w)) for w in found if w not in memo)
+                got[label].update(set().union(*map(memo.__getitem__, found)))
+            for label, of in got.items():
+                n, none = pa.array(list(of.values()), pa.int64()), pa.array(np.zeros(len(of), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), *((n, none) if label else (none, n))], names=["word", "yes", "no"])
 
     told = read.mapInArrow(tell, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     a, b, c, d = F.col("yes"), F.lit(of[1]) - F.col("yes"), F.col("no"), F.lit(of[0]) - F.col("no")
@@ -390,11 +444,11 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier |
     words = [r["word"] for r in told.filter(F.col("yes") + F.col("no") >= LEAST_TEXTS).orderBy(F.desc(F.round(tells, 6)), "word").limit(features).collect()]
     blank = Classifier(chars, words, np.zeros(len(words)), 0.0)
     at = {w: i for i, w in enumerate(words)}
-    weighted = blank.weights, blank.long
+    weighted = blank.weights, blank.long, blank.heads
 
     def rows(batches):
         own = Classifier(None, [], np.zeros(0), 0.0)
-        own.weights, own.long = weighted
+        own.weights, own.long, own.heads = weighted
         for batch in batches:
             got = [[at[w] for w in own.of_words(found)] for found in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "has"])
