@@ -1,42 +1,45 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with a log-frequency Bloom filter that grows with the corpus.
 
-Word and word-pair counts of all training documents are gathered by bucket. A count c is held at level
-1 + floor(log_BASE c): the filter gets one key for each level from 1 to that, and a count is read back by
-probing level after level until one is missing. Contexts are held the same way, with the sum and the number
-of the pairs kept after them. The filter is cut into blocks by n-gram, so that each block is filled where
-its n-grams were summed, and its size is fixed by ``bits``: broadcasting it never grows with the corpus. The
-smallest counts that do not fit are left out, order by order, by a threshold that the numbers of n-grams of
-each count give; where all fit, all are held, those found once too.
+Texts are packed into units of about ``UNIT_TOKENS`` tokens, whose words are numbered. A unit asks for each of its different
+words and word pairs once, and says how often it has them itself; what it asks is dealt out to buckets, as many as the corpus
+needs. A bucket sums the counts of its n-grams and holds them in a filter of its own: a count c is held at level
+1 + floor(log_BASE c), the filter gets one key for each level from 1 to that, and a count is read back by probing level after
+level until one is missing. Contexts are held the same way, with the sum and the number of the pairs after them. All n-grams
+are held, those found once too, however large the corpus; no filter goes to all tasks or through the driver. The levels that a
+filter gives go back to the units, a byte for each.
 
 Probabilities are Witten-Bell interpolations of the counts read back:
 P1(w) = (c(w) + ADD) / (all + ADD * (V + 1)) and P(w | h) = (c(h w) + (C(h) - R(h) + T(h)) * P1(w)) / (C(h) + T(h)),
-where C is the count of h, R the sum and T the number of the kept pairs after h. R and C are rounded up to
+where C is the count of h, R the sum and T the number of the pairs after h. R and C are rounded up to
 the top of their level, pairs to its middle, so that probabilities sum to 1 at most.
 
-The exact counts that ``base_score`` needs are broadcast for the words of most tokens, at most ``words`` of
-them; the other words are joined.
+The exact counts that ``base_score`` needs come back with the words' levels.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import BATCH_BYTES, chunks, mix, replacing, shared_table, signed, tokenise, word_hashes
+from tallyrank.llm.common import chunks, mix, replacing, shared_table, tokenise, word_hashes
 
-BASE, ADD, HASHES, UNIT_BITS = 1.5, 0.1, 6, 9.0
+BASE, ADD, HASHES, UNIT_BITS = 1.5, 0.1, 6, 16.0
 _LOG = np.log(BASE)
-#: Words and pairs that a task gathers before it sums them and hands them on.
-HELD = 2_000_000
+#: Tokens of a unit; a longer text is one by itself.
+UNIT_TOKENS = 2_500_000
 #: What stands for the end and the start of a text; no word has a space.
 END, START = (int(x) for x in word_hashes([b" end", b" start"]))
+#: Kinds of keys in a filter.
 WORD, PAIR, KEPT_SUM, KEPT_KINDS = 1, 2, 3, 4
-#: Keys in a row of summed counts.
-ROW_KEYS = 1 << 16
+#: Parts of packed rows beside ``WORD`` and ``PAIR``: a unit, contexts, and a bucket's numbers of words.
+UNIT, CONTEXT, NUMBERS = 0, 5, 6
+#: The least bits of a filter.
+LEAST_BITS = 1 << 16
 _M32 = np.uint64(0xFFFFFFFF)
 
 
@@ -62,190 +65,224 @@ def token_hashes(data: np.ndarray, off: np.ndarray):
     return np.insert(h, at, np.uint64(END)), np.insert(rows, at, np.arange(n))
 
 
-def pair_keys(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For every token a key of it after the one before it (the start of the text before the first)."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    first = np.ones(len(h), bool)
-    first[1:] = rows[1:] != rows[:-1]
-    before[first] = START
-    return (before & _M32) << np.uint64(32) | (h & _M32)
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in as few bytes each as the largest needs, after a byte that says how many."""
+    size = next(n for n in (1, 2, 4, 8) if n == 8 or not len(x) or int(x.max()) < 1 << 8 * n)
+    return bytes([size]) + x.astype(f"u{size}").tobytes()
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]):
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
 
 
-_PACKED = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: the upper ones of small numbers compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def _packed_rows(order: int, keys: list[np.ndarray], counts: list[np.ndarray], n_buckets: int):
-    """The sums of keys, a row for each bucket that has any, in batches of about ``BATCH_BYTES``. The numbers of buckets
-    are powers of two, so that one is cut into whole others."""
-    k, c = _summed(keys, counts)
-    at = mix(k, 5) % np.uint64(n_buckets)
-    by = np.argsort(at, kind="stable")
-    k, c, at = k[by], c[by], at[by]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-    edges = np.append(first, len(at)).tolist()
-    parts = [[x[a:b].tobytes() for a, b in zip(edges, edges[1:])] for x in (k, c.astype(np.int64))]
-    bucket, a = at[first].astype(np.int64), 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + BATCH_BYTES // 16, "right")) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array([order] * (b - a), pa.int32()), pa.array(bucket[a:b]), pa.array(parts[0][a:b], pa.binary()), pa.array(parts[1][a:b], pa.binary())], schema=_PACKED)
-        a = b
+def _of_planes(b: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _gather(n_buckets: int):
-    def run(batches):
-        held: dict[int, list] = {WORD: [], PAIR: []}
-        size = 0
+def _packed_keys(k: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    d = k.copy()
+    d[1:] -= k[:-1]
+    return _planes(d)
 
-        def out():
-            for order, parts in held.items():
-                if parts:
-                    yield from _packed_rows(order, [x[0] for x in parts], [x[1] for x in parts], n_buckets)
-                    parts.clear()
 
-        for batch in batches:
-            for _, data, off in chunks(batch.column("text")):
-                h, rows = token_hashes(data, off)
-                for order, keys in ((WORD, h), (PAIR, pair_keys(h, rows))):
-                    k, c = np.unique(keys, return_counts=True)
-                    held[order].append((k, c.astype(np.int64)))
-                    size += len(k)
-                if size > HELD:
-                    size = 0
-                    yield from out()
-        if size:
-            yield from out()
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(b, np.uint64), dtype=np.uint64)
 
-    return run
 
+def _inverse(x: int) -> np.uint64:
+    return np.uint64(pow(x, -1, 1 << 64))
 
-def _runs(batches, key: str):
-    """(order, value of the key, keys, counts) of neighbouring rows of one order and key, summed; the rows come sorted.
-    ``HELD`` keys are held before they are summed."""
-    held, size, own = [], 0, None
-    for batch in batches:
-        for order, bucket, k, c in zip(*(batch.column(x).to_pylist() for x in ("order", key, "keys", "counts")), strict=True):
-            if held and own != (order, bucket):
-                yield *own, *_summed(*zip(*held, strict=True))
-                held, size = [], 0
-            own = (order, bucket)
-            held.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
-            size += len(held[-1][0])
-            if size > HELD and len(held) > 1:
-                held = [_summed(*zip(*held, strict=True))]
-                size = 0
-    if held:
-        yield *own, *_summed(*zip(*held, strict=True))
 
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """The keys that ``mix`` with seed 5 has made these of."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x *= _inverse(0x94D049BB133111EB)
+    x ^= (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x *= _inverse(0xBF58476D1CE4E5B9)
+    x ^= (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+    return x - np.uint64((5 * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (2**64 - 1))
 
-def _deal(n_buckets: int):
-    """Deals packed rows, which come sorted by order and bucket, out to more buckets."""
 
-    def run(batches):
-        for order, _, k, c in _runs(batches, "bucket"):
-            yield from _packed_rows(order, [k], [c], n_buckets)
+_PACKED = pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("bucket", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+PACKED = "unit long, part int, bucket long, a binary, b binary, c binary, d binary"
+
+
+def _row(unit: int, part: int, bucket: int, *parts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((unit, part, bucket, *parts, *[None] * (4 - len(parts))), _PACKED, strict=True)], schema=_PACKED)
 
-    return run
 
+def _rows(unit: int, part: int, bucket: np.ndarray, *columns: tuple) -> pa.RecordBatch:
+    """A row for each bucket; entries come by bucket. ``columns``: arrays, and how to pack a bucket's part of each."""
+    edges = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)] if len(bucket) else [0]
+    n = len(edges) - 1
+    packed = [[pack(x[a:b]) for a, b in zip(edges, edges[1:])] for x, pack in columns]
+    packed += [[None] * n] * (4 - len(packed))
+    return pa.RecordBatch.from_arrays([pa.array([unit] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(bucket[edges[:-1]].astype(np.int64)), *(pa.array(x, pa.binary()) for x in packed)], schema=_PACKED)
 
-def _sum_buckets(batches):
-    """The sums of buckets, whose rows come sorted, ``ROW_KEYS`` to a row."""
-    for order, bucket, k, c in _runs(batches, "bucket"):
-        for i in range(0, len(k), ROW_KEYS):
-            row = (order, bucket, k[i : i + ROW_KEYS].tobytes(), c[i : i + ROW_KEYS].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED, strict=True)], schema=_PACKED)
 
+def _pack_units(batches):
+    """Units: the rows' columns without the text (a), the tokens by the number of their word (b), the words by frequency and
+    START (c), and how often the texts to learn from have each (d)."""
+    place, nth, held, size = TaskContext.get().partitionId() << 33, 0, [], 0
+
+    def unit():
+        h, inv, n = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        at = np.empty(len(h), np.uint32)
+        at[order] = np.arange(len(h), dtype=np.uint32)
+        idx = at[inv]
+        rows = pa.Table.from_batches([x[1] for x in held]).combine_chunks()
+        lengths = np.concatenate([x[2] for x in held])
+        rows = rows.append_column("__length", pa.array(lengths))
+        learn = np.repeat(rows["__learn"].to_numpy(), lengths)
+        counts = np.append(np.bincount(idx[learn], minlength=len(h)), 0)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        return _row(place + nth, UNIT, -1, sink.getvalue().to_pybytes(), pa.compress(_planes(idx), "zstd", asbytes=True), np.append(h[order], np.uint64(START)).tobytes(), _narrow(counts))
 
-def _unpacked(batches, test=lambda lv: lv > 0):
-    """(order, keys, counts) of the rows of summed counts whose level passes."""
     for batch in batches:
-        for order, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("order", "keys", "counts")), strict=True):
-            k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
-            ok = test(level(c))
-            yield order, k[ok], c[ok]
+        own = batch.drop_columns(["text"])
+        for first, data, off in chunks(batch.column("text")):
+            n = len(off) - 1
+            h, rows = token_hashes(data, off)
+            held.append((h, own.slice(first, n), np.bincount(rows, minlength=n)))
+            size += len(h)
+            if size >= UNIT_TOKENS:
+                yield unit()
+                nth, size = nth + 1, 0
+                held.clear()
+    if held:
+        yield unit()
 
 
-def _histogram(batches):
-    """Numbers of n-grams by order and level, and their tokens."""
-    for order, _, c in _unpacked(batches):
-        lv = level(c)
-        n, tokens = np.bincount(lv), np.bincount(lv, weights=c)
-        has = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([order] * len(has), pa.int32()), pa.array(has, pa.int32()), pa.array(n[has], pa.int64()), pa.array(tokens[has].astype(np.int64))], names=["order", "level", "n", "tokens"])
+class Unit:
+    """A unit's rows, tokens and words, and its pairs: ``codes`` of two word numbers."""
 
+    def __init__(self, a: bytes, b: bytes, c: bytes):
+        self.rows = pa.ipc.open_stream(a).read_all()
+        self.lengths = self.rows["__length"].to_numpy()
+        self.idx = _of_planes(pa.decompress(b, int(4 * self.lengths.sum()), "zstd", asbytes=True), np.uint32)
+        self.words = np.frombuffer(c, np.uint64)
+        before = np.empty_like(self.idx)
+        before[1:] = self.idx[:-1]
+        before[np.cumsum(self.lengths) - self.lengths] = len(self.words) - 1
+        self.codes = before.astype(np.uint64) * np.uint64(len(self.words)) + self.idx
 
-def _held(least: dict[int, int]):
-    """The rows without the n-grams below the lowest level held: as many as the filter has room for, however large the corpus."""
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """Keys of pairs, mixed; their upper bits tell the bucket."""
+        low, n = self.words & _M32, np.uint64(len(self.words))
+        return mix(low[codes // n] << np.uint64(32) | low[codes % n], 5)
 
-    def run(batches):
-        for batch in batches:
-            for i, (order, k, c) in enumerate(_unpacked([batch])):
-                ok = level(c) >= least[order]
-                if ok.any():
-                    row = (order, batch.column("bucket")[i].as_py(), k[ok].tobytes(), c[ok].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED, strict=True)], schema=_PACKED)
 
-    return run
+def word_places(words: np.ndarray) -> np.ndarray:
+    """Mixed keys of words as contexts; their upper bits tell the bucket."""
+    return mix(words & _M32, 5)
+
 
+def _bucket(mixed: np.ndarray, buckets: int) -> np.ndarray:
+    """``buckets`` is a power of two of 2 at least."""
+    return mixed >> np.uint64(65 - buckets.bit_length())
 
-def _contexts(least: int):
-    """(h, kept, kinds): sum and number of the held pairs after each word."""
+
+def _ask_pairs(buckets: int):
+    """What units ask of the pairs' buckets: keys, and how often the texts to learn from have them."""
 
     def run(batches):
-        for _, k, c in _unpacked(batches, lambda lv: lv >= least):
-            h, inv = np.unique(k >> np.uint64(32), return_inverse=True)
-            kept = np.ceil(np.bincount(inv, weights=middle(level(c)), minlength=len(h))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(kept), pa.array(np.bincount(inv, minlength=len(h)).astype(np.int64))], names=["h", "kept", "kinds"])
+        for batch in batches:
+            for unit, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("unit", "a", "b", "c")), strict=True):
+                own = Unit(a, b, c)
+                learn = np.repeat(own.rows["__learn"].to_numpy(), own.lengths)
+                s = np.sort(own.codes << np.uint64(1) | learn)
+                code = s >> np.uint64(1)
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                n = np.add.reduceat((s & np.uint64(1)).astype(np.int64), first)
+                k = own.keys(code[first])
+                order = np.argsort(k, kind="stable")
+                k = k[order]
+                yield _rows(unit, PAIR, _bucket(k, buckets), (k, _packed_keys), (n[order], _narrow))
 
     return run
 
 
-def _pack_contexts(blocks: int):
+def _ask_words(buckets: int):
+    """What units ask of the words' buckets: hashes, and how often the texts to learn from have them."""
+
     def run(batches):
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            block = (mix(h, 5) % np.uint64(blocks)).astype(np.int64)
-            for b in np.unique(block):
-                mine = block == b
-                rows = [(kind, b, h[mine].tobytes(), batch.column(c).to_numpy()[mine].tobytes()) for kind, c in ((KEPT_SUM, "kept"), (KEPT_KINDS, "kinds"))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+            for unit, c, d in zip(*(batch.column(x).to_pylist() for x in ("unit", "c", "d")), strict=True):
+                words, n = np.frombuffer(c, np.uint64), _wide(d)
+                place = word_places(words)
+                order = np.argsort(place, kind="stable")
+                yield _rows(unit, WORD, _bucket(place[order], buckets), (words[order], lambda x: x.tobytes()), (n[order], _narrow))
 
     return run
 
 
-def _places(keys: np.ndarray, kind, lv, size: int) -> list[np.ndarray]:
-    """Bit positions of keys at a level, within a block of ``size`` bits."""
-    a = mix(keys ^ mix(np.array([kind << 20 | lv], np.uint64), 11), 1)
-    b = mix(a, 2) | np.uint64(1)
-    return [((a + np.uint64(i) * b) >> np.uint64(17)) % np.uint64(size) for i in range(HASHES)]
+def _by_bucket(batches):
+    """(bucket, its rows); rows come sorted by bucket."""
+    held, own = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "unit", "a", "b", "c")), strict=True):
+            if held and own != row[0]:
+                yield own, held
+                held = []
+            own = row[0]
+            held.append(row[1:])
+    if held:
+        yield own, held
 
 
-class Filter:
-    """The filter: ``blocks`` blocks of ``size`` bits. ``levels`` reads counts back as levels, 0 where there is none."""
+def _summed(keys: np.ndarray, *counts: np.ndarray):
+    """(different keys, which of them each key is, the sums of their counts)"""
+    k, inv = np.unique(keys, return_inverse=True)
+    return k, inv, *(np.bincount(inv, weights=c, minlength=len(k)).astype(np.int64) for c in counts)
 
-    def __init__(self, bits: np.ndarray, blocks: int):
-        self.bits, self.blocks, self.size = bits, blocks, len(bits) * 8 // blocks
 
-    def has(self, keys, kind: int, lv: int) -> np.ndarray:
-        base = (mix(keys, 5) % np.uint64(self.blocks)).astype(np.uint64) * np.uint64(self.size)
-        out, left = np.zeros(len(keys), bool), np.arange(len(keys))
-        for at in _places(keys, kind, lv, self.size):
-            p = base[left] + at[left]
-            left = left[(self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+class Filter:
+    """A filter of ``size`` bits. ``levels`` reads counts back as levels, 0 where there is none."""
+
+    def __init__(self, size: int, held: list[tuple[int, np.ndarray, np.ndarray]]):
+        """``held``: kind, keys and levels of what it holds."""
+        self.size = np.uint64(size)
+        marked = np.zeros(size, bool)
+        for kind, keys, lv in held:
+            at = 1
+            while (up := lv >= at).any():
+                keys, lv = keys[up], lv[up]
+                a, b = self._ways(keys, kind, at)
+                for i in range(HASHES):
+                    marked[self._place(a, b, i)] = True
+                at += 1
+        self.bits = np.packbits(marked, bitorder="little")
+
+    @staticmethod
+    def _ways(keys: np.ndarray, kind: int, lv: int):
+        a = mix(keys ^ mix(np.array([kind << 20 | lv], np.uint64), 11), 1)
+        return a, mix(a, 2) | np.uint64(1)
+
+    def _place(self, a, b, i: int) -> np.ndarray:
+        return ((a + np.uint64(i) * b >> np.uint64(32)) * self.size) >> np.uint64(32)
+
+    def has(self, keys: np.ndarray, kind: int, lv: int) -> np.ndarray:
+        left, (a, b) = np.arange(len(keys)), self._ways(keys, kind, lv)
+        for i in range(HASHES):
+            p = self._place(a, b, i)
+            found = np.flatnonzero(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1)
+            if len(found) < len(left):
+                left, a, b = left[found], a[found], b[found]
+        out = np.zeros(len(keys), bool)
         out[left] = True
         return out
 
-    def levels(self, keys: np.ndarray, kind: int, least: int = 1) -> np.ndarray:
-        """``least``: the lowest level that is held; the probes begin there."""
-        out, left, lv = np.zeros(len(keys), np.int64), np.arange(len(keys)), least
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        out, left, lv = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
         while len(left):
             left = left[self.has(keys[left], kind, lv)]
             out[left] = lv
@@ -253,204 +290,184 @@ class Filter:
         return out
 
 
-def _fill(least: dict[int, int], size: int):
-    """Sets the bits of the n-grams of blocks, whose rows come sorted, from the lowest level held of their kind on."""
+def _levels(bits: int, held: list[tuple], asked: list[tuple]) -> list[np.ndarray]:
+    """The levels of ``asked`` (kind, keys, mixed), read back from filters of ``bits`` bits at most of what is ``held`` (kind, keys, mixed,
+    counts). Where one filter would be larger the keys are dealt out to several, one after another; none is left out."""
+    held = [(kind, k[n > 0], m[n > 0], level(n[n > 0])) for kind, k, m, n in held]
+    need = int(UNIT_BITS * sum(int(lv.sum()) for *_, lv in held))
+    parts = -(-need // bits) if need > bits else 1
+    out = [np.zeros(len(k), np.uint8) for _, k, _ in asked]
+    for i in range(parts):
+        mine = lambda m, i=i: m % np.uint64(parts) == np.uint64(i) if parts > 1 else slice(None)
+        got = Filter(max(LEAST_BITS, -(-need // parts)), [(kind, k[mine(m)], lv[mine(m)]) for kind, k, m, lv in held])
+        for x, (kind, k, m) in zip(out, asked, strict=True):
+            x[mine(m)] = got.levels(k[mine(m)], kind)
+    return out
+
+
+def _tell_pairs(buckets: int, bits: int):
+    """The levels of the pairs that units ask for, and the contexts of the pairs held: numbers of kinds, and twice their sums, which
+    may be halves, dealt out to the words' buckets."""
 
     def run(batches):
-        bits, own = np.zeros(size // 8, np.uint8), None
-        for batch in batches:
-            for block, kind, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "order", "keys", "counts")), strict=True):
-                if own not in (None, block):
-                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
-                    bits[:] = 0
-                own = block
-                k, lv, at = np.frombuffer(keys, np.uint64), level(np.frombuffer(counts, np.int64)), least.get(kind, 1)
-                while (up := lv >= at).any():
-                    k, lv = k[up], lv[up]
-                    for p in _places(k, kind, at, size):
-                        np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
-                    at += 1
-        if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+        for bucket, rows in _by_bucket(batches):
+            keys, counts = [_unpacked_keys(r[2]) for r in rows], [_wide(r[3]) for r in rows]
+            k, inv, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            (lv,) = _levels(bits, [(PAIR, k, k, n)], [(PAIR, k, k)])
+            got, at = lv[inv], np.cumsum([0, *map(len, keys)])
+            for i, r in enumerate(rows):
+                yield _row(r[1], PAIR, bucket, got[at[i] : at[i + 1]].tobytes())
+            h, inv = np.unique(_unmixed(k[n > 0]) >> np.uint64(32), return_inverse=True)
+            kinds, twice = np.bincount(inv, minlength=len(h)), np.bincount(inv, weights=2 * middle(level(n[n > 0])), minlength=len(h)).astype(np.int64)
+            place = word_places(h)
+            order = np.argsort(place, kind="stable")
+            yield _rows(-1, CONTEXT, _bucket(place[order], buckets), (h[order], _narrow), (kinds[order], _narrow), (twice[order], _narrow))
 
     return run
 
 
-def least_levels(numbers: dict[tuple[int, int], int], units: float) -> dict[int, int]:
-    """The lowest level to hold of words and of pairs, such that all keys fit: words may take half of ``units``,
-    pairs and their contexts the rest. ``numbers``: n-grams by order and level. An n-gram takes a unit for each
-    level from the lowest one held to its own."""
-    out = {}
-    for order, share in ((WORD, 0.5), (PAIR, 0.3)):
-        need = lambda at, order=order: sum(n * (lv - at + 1) for (o, lv), n in numbers.items() if o == order and lv >= at)
-        at = 1
-        while need(at) > share * units:
-            at += 1
-        out[order] = at
-    return out
+def _tell_words(bits: int):
+    """Of the words that units ask for the exact counts (a) and the levels of word, kinds after it and their sum (b, c, d); and the
+    bucket's numbers: tokens, and words by level."""
+
+    def run(batches):
+        for bucket, rows in _by_bucket(batches):
+            asked, after = [r for r in rows if r[0] == WORD], [r for r in rows if r[0] == CONTEXT]
+            keys = [np.frombuffer(r[2], np.uint64) for r in asked]
+            none = [np.zeros(0, np.int64)]
+            k, inv, n = _summed(np.concatenate([*keys, none[0].view(np.uint64)]), np.concatenate([*(_wide(r[3]) for r in asked), *none]))
+            h, kinds, twice = (np.concatenate([*(_wide(r[i]) for r in after), *none]) for i in (2, 3, 4))
+            h, _, kinds, twice = _summed(h.view(np.uint64), kinds, twice)
+            low, m, of = k & _M32, word_places(k), word_places(h)
+            got = _levels(bits, [(WORD, k, m, n), (KEPT_KINDS, h, of, kinds), (KEPT_SUM, h, of, (twice + 1) // 2)], [(WORD, k, m), (KEPT_KINDS, low, m), (KEPT_SUM, low, m)])
+            at = np.cumsum([0, *map(len, keys)])
+            for i, r in enumerate(asked):
+                mine = inv[at[i] : at[i + 1]]
+                yield _row(r[1], WORD, bucket, _narrow(n[mine]), *(x[mine].tobytes() for x in got))
+            yield _row(-1, NUMBERS, bucket, _narrow(np.array([n.sum()])), _narrow(np.bincount(level(n[n > 0]))))
+
+    return run
+
+
+def _numbers(batches):
+    """(level, n): words by level; at level 0 the tokens."""
+    for batch in batches:
+        for a, b in zip(*(batch.column(x).to_pylist() for x in "ab"), strict=True):
+            n = _wide(b)
+            n = np.concatenate([_wide(a), n[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)).astype(np.int32)), pa.array(n)], names=["level", "n"])
 
 
+@dataclass
 class Model:
-    """What scoring needs: the filter, the exact counts of frequent words, and the totals."""
-
-    def __init__(self, bits: np.ndarray, blocks: int, least: dict[int, int], keys: np.ndarray, counts: np.ndarray, tokens: int, kinds: int):
-        self.filter, self.least, self.keys, self.counts, self.tokens, self.kinds = Filter(bits, blocks), least, keys, counts, tokens, kinds
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
-        """The counts of frequent words, -1 for others."""
-        if not len(self.keys):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.counts[at], -1)
-
-    def log10(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """log10 P of every token after the one before it."""
-        words, inv = np.unique(h, return_inverse=True)
-        lv = self.filter.levels(words, WORD, self.least[WORD])
-        p1 = (middle(lv) + ADD) / (self.total + ADD * (self.kinds + 1))
-        low = words & _M32
-        kinds = np.where(lv > 0, 1, 0)
-        kinds[lv > 0] = self.filter.levels(low[lv > 0], KEPT_KINDS)
-        kept = np.zeros(len(words), np.int64)
-        kept[kinds > 0] = self.filter.levels(low[kinds > 0], KEPT_SUM)
-        t, r = middle(kinds), top(kept)
-        c = np.maximum(top(lv), r)
-        first = np.ones(len(h), bool)
-        first[1:] = rows[1:] != rows[:-1]
-        before = np.empty_like(inv)
-        before[1:] = inv[:-1]
-        # every text starts after START, which is as frequent as END; its pairs are held like any other
-        s = self.start
-        C, R, T = (np.where(first, x, y[before * ~first]) for x, y in zip(s, (c, r, t), strict=True))
-        pair = np.zeros(len(h))
-        ask = (T > 0) & (lv[inv] > 0)
-        keys, back = np.unique(pair_keys(h, rows)[ask], return_inverse=True)
-        pair[ask] = middle(self.filter.levels(keys, PAIR, self.least[PAIR]))[back]
-        p = p1[inv]
+    """What scoring needs beside the answers of the filters: tokens and kinds of words, and the sum of all words' counts as they are read back."""
+
+    tokens: int
+    kinds: int
+    total: float
+    #: The lowest levels that filters hold.
+    least: dict[int, int] = field(default_factory=lambda: {WORD: 1, PAIR: 1})
+
+    def log10(self, unit: Unit, codes: np.ndarray, count: np.ndarray, lv: np.ndarray, kinds: np.ndarray, kept: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 P of every different pair. Of words (START last): exact counts, levels, levels of kinds and sums after them; ``pair``: levels of pairs."""
+        n = np.uint64(len(unit.words))
+        before, after = codes // n, codes % n
+        p = ((middle(lv) + ADD) / (self.total + ADD * (self.kinds + 1)))[after]
+        # every text starts after START, which is as frequent as END
+        known, ends = lv > 0, int(count[unit.words == np.uint64(END)].sum())
+        known[-1] = True
+        t, r = middle(np.where(known, kinds, 0)), top(np.where(known & (kinds > 0), kept, 0))  # a filter may say more than it holds
+        c = top(lv)
+        c[-1] = top(level(np.array([ends])))[0] if ends else 0.0
+        c = np.maximum(c, r)
+        C, R, T = c[before], r[before], t[before]
+        pair = np.where((T > 0) & (lv[after] > 0), middle(pair), 0.0)
         return np.log10(np.where(C > 0, (pair + (C - R + T) * p) / np.maximum(C + T, 1e-300), p))
 
-    def ready(self, total: float) -> Model:
-        """``total``: the sum of all words' counts as they are read back."""
-        self.total = total
-        one = np.array([START], np.uint64) & _M32
-        t, r = (int(self.filter.levels(one, k)[0]) for k in (KEPT_KINDS, KEPT_SUM))
-        c = int(self.exact(np.array([END], np.uint64))[0])
-        r_top = float(top(np.array([r]))[0])
-        self.start = (max(float(top(level(np.array([max(c, 0)])))[0]) if c > 0 else 0.0, r_top), r_top, float(middle(np.array([t]))[0]))
-        return self
-
 
 def train(docs: DataFrame, bits: int = 1 << 28, words: int = 1 << 20, bucket_bytes: int = 16 << 20, fan: int = 1024) -> tuple[Model, DataFrame]:
-    """The model of the texts of ``docs``, and (h, n): the exact counts of the words that it does not hold itself.
+    """The model of the texts of ``docs`` (those that are true in ``__learn``, where there is such a column), and packed rows: the units of
+    all texts, and what the filters say of their words and pairs.
 
-    ``bits``: the most bits of the filter; ``words``: the most words whose exact counts the model holds.
+    ``bits``: the most bits of one filter; a bucket that needs more has several. ``bucket_bytes``: about the bytes of text whose n-grams a
+    bucket holds. ``words`` and ``fan`` bounded what earlier versions held and dealt out; they are accepted and bound nothing.
     """
     spark = docs.sparkSession
+    if "__learn" not in docs.columns:
+        docs = docs.withColumn("__learn", F.lit(True))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 8
     while buckets * bucket_bytes < size:
         buckets *= 2
-    # a task deals its sums out to ``fan`` buckets at most; where there must be more, these are dealt out again, so that
-    # a row always has many keys
-    packed = "order int, bucket long, keys binary, counts binary"
-    dealt = min(buckets, fan)
-    sums = docs.select("text").mapInArrow(_gather(dealt), packed)
-    while dealt < buckets:
-        dealt = min(buckets, dealt * fan)
-        sums = sums.repartition("order", "bucket").sortWithinPartitions("order", "bucket").mapInArrow(_deal(dealt), packed)
-    # sorted rows stream through in small batches; a group as one batch would be held whole on both sides
-    sums = shared_table(spark, sums.repartition("order", "bucket").sortWithinPartitions("order", "bucket").mapInArrow(_sum_buckets, packed), "ngrams")
-    told = sums.mapInArrow(_histogram, "order int, level int, n long, tokens long").groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()
-    numbers = {(r["order"], r["level"]): r["n"] for r in told}
-    tokens, kinds = (sum(r[c] for r in told if r["order"] == WORD) for c in ("tokens", "n"))
-    least = least_levels(numbers, bits / UNIT_BITS)
-    need = UNIT_BITS * (1 << 10) + UNIT_BITS * sum(n * (lv - least[o] + (1 if o == WORD else 5)) for (o, lv), n in numbers.items() if lv >= least[o])
-    while bits > 1 << 16 and bits / 2 >= need and max(least.values()) == 1:
-        bits //= 2
-    blocks = min(buckets, 1024)
-    size = bits // blocks
-
-    held_rows = sums.mapInArrow(_held(least), "order int, bucket long, keys binary, counts binary").withColumn("block", F.col("bucket") % blocks)
-    after = sums.filter(F.col("order") == PAIR).mapInArrow(_contexts(least[PAIR]), "h long, kept long, kinds long").groupBy("h").agg(F.sum("kept").alias("kept"), F.sum("kinds").alias("kinds"))
-    after = after.mapInArrow(_pack_contexts(blocks), "order int, bucket long, keys binary, counts binary").withColumn("block", F.col("bucket"))
-    rows = held_rows.unionByName(after).select("block", "order", "keys", "counts").repartition("block").sortWithinPartitions("block")
-    filled = rows.mapInArrow(_fill(least, size), "block long, bits binary").collect()
-    held = np.zeros(bits // 8, np.uint8)
-    for b, x in filled:
-        held[b * (size // 8) : (b + 1) * (size // 8)] = np.frombuffer(x, np.uint8)
-
-    at = 1
-    while sum(n for (o, lv), n in numbers.items() if o == WORD and lv >= at) > words:
-        at += 1
-    counts = sums.filter(F.col("order") == WORD)
-
-    def often(batches):
-        for _, k, c in _unpacked(batches, lambda lv: lv >= at):
-            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["keys", "counts"])
-
-    def seldom(batches):
-        for _, k, c in _unpacked(batches, lambda lv: lv < at):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k.copy())), pa.array(c.copy())], names=["h", "n"])
-
-    got = counts.mapInArrow(often, "keys binary, counts binary").collect()
-    k, c = (np.frombuffer(b"".join(r[i] for r in got), t) for i, t in ((0, np.uint64), (1, np.int64)))
-    order = np.argsort(k)
-    total = float(sum(n * middle(np.array([lv]))[0] for (o, lv), n in numbers.items() if o == WORD and lv >= least[WORD]))
-    model = Model(held, blocks, least, k[order], c[order], tokens, kinds).ready(total)
-    return model, counts.mapInArrow(seldom, "h long, n long")
-
-
-def score_texts(docs: DataFrame, training: DataFrame, **sizes) -> DataFrame:
+    units = shared_table(spark, docs.mapInArrow(_pack_units, PACKED), "units")
+    dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "part", "unit")
+    pairs = dealt(units.select("unit", "a", "b", "c").mapInArrow(_ask_pairs(buckets), PACKED))
+    pairs = shared_table(spark, pairs.mapInArrow(_tell_pairs(buckets, bits), PACKED), "pairs")
+    asked = units.select("unit", "c", "d").mapInArrow(_ask_words(buckets), PACKED).unionByName(pairs.filter(F.col("part") == CONTEXT))
+    told = shared_table(spark, dealt(asked).mapInArrow(_tell_words(bits), PACKED), "words")
+    numbers = told.filter(F.col("part") == NUMBERS).select("a", "b").mapInArrow(_numbers, "level int, n long").groupBy("level").agg(F.sum("n").alias("n"))
+    numbers = {r["level"]: r["n"] for r in numbers.collect()}
+    tokens = numbers.pop(0, 0)
+    total = float(sum(n * middle(np.array([lv]))[0] for lv, n in sorted(numbers.items())))
+    answers = pairs.filter(F.col("part") == PAIR).unionByName(told.filter(F.col("part") == WORD))
+    return Model(tokens, sum(numbers.values()), total), units.drop("d").withColumn("d", F.lit(None).cast("binary")).unionByName(answers)
+
+
+def _scored(model: Model, keep: list[str]):
+    """The scores of units, whose rows come together: the unit, then what its words and pairs were told, by bucket."""
+
+    def score(rows: list) -> pa.RecordBatch:
+        own = Unit(*rows[0][1:4])
+        words, pairs = ([r for r in rows if r[0] == part] for part in (WORD, PAIR))
+        order = np.argsort(word_places(own.words), kind="stable")
+        of = np.empty((4, len(order)), np.int64)
+        of[:, order] = [np.concatenate([_wide(r[1]) for r in words]), *(np.frombuffer(b"".join(r[i] for r in words), np.uint8) for i in (2, 3, 4))]
+        codes, inv = np.unique(own.codes, return_inverse=True)
+        pair = np.empty(len(codes), np.int64)
+        pair[np.argsort(own.keys(codes), kind="stable")] = np.frombuffer(b"".join(r[1] for r in pairs), np.uint8)
+        count, n = of[0], len(own.lengths)
+        at = np.repeat(np.arange(n), own.lengths)
+        summed = lambda x: np.bincount(at, weights=x, minlength=n)
+        made = {
+            "n_tokens": own.lengths.astype(np.int64), "n_known": summed((count > 0)[own.idx]).astype(np.int64), "train_tokens": np.full(n, model.tokens, np.int64),
+            "base_score": summed(np.log10(count + ADD)[own.idx]) - own.lengths * np.log10(model.tokens + ADD * (model.kinds + 1)),
+            "score": summed(model.log10(own, codes, *of, pair)[inv]),
+        }
+        (batch,) = own.rows.to_batches()
+        batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, made.values())], names=[*keep, *made])
+        return batch.filter(own.rows["__ask"].combine_chunks())
+
+    def run(batches):
+        held, unit = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "a", "b", "c", "d")), strict=True):
+                if held and row[0] != unit:
+                    yield score(held)
+                    held = []
+                unit = row[0]
+                held.append(row[1:])
+        if held:
+            yield score(held)
+
+    return run
+
+
+def score_texts(docs: DataFrame, training: DataFrame | Column, **sizes) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score to the rows of ``docs``, without ``text``.
 
+    ``training``: texts to learn from, or a condition on the rows of ``docs``; rows that are asked and learnt from are cut into words once.
     Tokens are the words of a text, A-Z lower-cased, and an end; a null or empty text has the end only. An empty
     training table gives base_score and score 0 for every token. Equal rows stay. ``sizes``: see ``train``.
     Columns of these names in ``docs`` are replaced. Words count as equal where their 64-bit hashes are.
     """
-    spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    learn = F.coalesce(training, F.lit(False)) if isinstance(training, Column) else F.lit(False)
+    docs = docs.withColumns({"__learn": learn, "__ask": F.lit(True)})
     docs = docs.select(*replacing(docs, *made))
-    keep = [c for c in docs.columns if c != "text"]
-    model, seldom = train(training, **sizes)
-    sent = spark.sparkContext.broadcast(model)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    schema = ", ".join([*kept, "__row long, n_tokens long, n_known long, base_score double, score double, __h array<long>, __n array<long>"])
-
-    def run(batches):
-        model = sent.value
-        for batch in batches:
-            column = batch.column("text")
-            parts = defaultdict(list)
-            for _, data, off in chunks(column):
-                n = len(off) - 1
-                h, rows = token_hashes(data, off)
-                c = model.exact(h)
-                known = c >= 0
-                parts["n_tokens"].append(np.bincount(rows, minlength=n))
-                parts["n_known"].append(np.bincount(rows[known], minlength=n))
-                parts["base_score"].append(np.bincount(rows[known], weights=np.log10(c[known] + ADD), minlength=n).astype(float))
-                parts["score"].append(np.bincount(rows, weights=model.log10(h, rows), minlength=n).astype(float))
-                rest, far = h[~known], rows[~known]
-                by = np.lexsort((rest, far))
-                rest, far = rest[by], far[by]
-                first = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (far[1:] != far[:-1])])) if len(rest) else np.zeros(0, np.int64)
-                parts["size"].append(np.bincount(far[first], minlength=n))
-                parts["__h"].append(signed(rest[first]))
-                parts["__n"].append(np.diff(np.append(first, len(rest))))
-            if not len(column):
-                continue
-            got = {k: np.concatenate(v) for k, v in parts.items()}
-            offsets = pa.array(np.concatenate([[0], np.cumsum(got["size"])]).astype(np.int32))
-            arrays = [*(batch.column(c) for c in keep), batch.column("__row"), *(pa.array(got[c].astype(np.int64)) for c in ("n_tokens", "n_known")), pa.array(got["base_score"]), pa.array(got["score"]), *(pa.ListArray.from_arrays(offsets, pa.array(got[c].astype(np.int64))) for c in ("__h", "__n"))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "__row", "n_tokens", "n_known", "base_score", "score", "__h", "__n"])
-
-    scored = shared_table(spark, docs.withColumn("__row", F.monotonically_increasing_id()).mapInArrow(run, schema), "scored")
-    rare = scored.filter(F.size("__h") > 0).select("__row", F.explode(F.arrays_zip("__h", "__n")).alias("x")).select("__row", F.col("x.__h").alias("h"), F.col("x.__n").alias("tf"))
-    c = F.coalesce("n", F.lit(0))
-    rare = rare.join(seldom, "h", "left").groupBy("__row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("__known"), F.sum(F.col("tf") * F.log10(c + ADD)).alias("__base"))
-    joined = scored.join(rare, "__row", "left")
-    whole = float(np.log10(model.tokens + ADD * (model.kinds + 1)))
-    return joined.select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("__base", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), "score",
-    )
+    keep = [c for c in docs.columns if c not in ("text", "__learn", "__ask")]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
+    if not isinstance(training, Column):
+        docs = docs.unionByName(training.select("text", F.lit(True).alias("__learn"), F.lit(False).alias("__ask")), allowMissingColumns=True)
+    model, rows = train(docs, **sizes)
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "part", "bucket")
+    return rows.mapInArrow(_scored(model, keep), ", ".join([*kept, "n_tokens long, n_known long, train_tokens long, base_score double, score double"]))

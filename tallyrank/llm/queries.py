@@ -40,7 +40,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
-    return score_texts(docs, docs.filter(~F.col("held_out")))
+    return score_texts(docs, ~F.col("held_out"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
