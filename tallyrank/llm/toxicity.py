@@ -23,6 +23,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -43,8 +44,10 @@ ORDER, START, END = 5, "\x02" * 4, "\x03"
 STEMS = (3, 4, 5, 6, 7)
 #: Longer words are not counted by the character model, which is one of words, and their readings not remembered.
 LONGEST = 64
-#: Words whose readings a worker remembers.
-MEMO = 200_000
+#: Words and places whose readings a worker remembers, words without a weight among them, and counted words that a task holds.
+MEMO, SEEN, GATHERED = 65_536, 200_000, 200_000
+#: Counts of so many strings are looked up by a dict.
+FEW = 50_000
 #: A feature must be found in so many labelled texts.
 LEAST_TEXTS = 4
 #: The most bits of the filter of labelled ids, which only spares texts a way: what else it lets through goes in the join.
@@ -74,8 +77,18 @@ class Counts:
         order = np.argsort(keys)
         self.keys, self.counts = array("Q", keys[order].astype(np.uint64).tobytes()), array("Q", counts[order].astype(np.uint64).tobytes())
 
+        self.few: dict[int, int] | None = None
+
+    def fresh(self) -> Counts:
+        """The same, by a dict where the strings are few, as short ones are."""
+        own = copy(self)
+        own.few = dict(zip(self.keys, self.counts, strict=True)) if len(self.keys) <= FEW else None
+        return own
+
     def __getitem__(self, gram: str) -> int:
         key = xxh64_intdigest(gram)
+        if self.few is not None:
+            return self.few.get(key, 0)
         at = bisect_left(self.keys, key)
         return self.counts[at] if at < len(self.keys) and self.keys[at] == key else 0
 
@@ -96,11 +109,11 @@ def grams(counts: dict[str, int]) -> Counter:
 
 
 def _gathered(batches):
-    """Counts of different words (word, n), ``MEMO`` of them at a time."""
+    """Counts of different words (word, n), ``GATHERED`` of them at a time."""
     held: dict[str, int] = {}
     for batch in batches:
         held.update(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True))
-        if len(held) >= MEMO:
+        if len(held) >= GATHERED:
             yield held
             held = {}
     if held:
@@ -142,7 +155,7 @@ class CharModel:
     def fresh(self) -> CharModel:
         """The same without what it remembers."""
         own = copy(self)
-        own.memo = {}
+        own.memo, own.grams, own.before = {}, [x.fresh() for x in self.grams], [x.fresh() for x in self.before]
         return own
 
     def log(self, context: str, c: str) -> float:
@@ -155,7 +168,7 @@ class CharModel:
                 b = b and self.before[k][h]
                 n = n and b and self.grams[k][h + c]
                 p = (n + 3 * p) / (b + 3)
-            if len(self.memo) > MEMO:
+            if len(self.memo) >= SEEN:
                 self.memo.clear()
             got = self.memo[context + c] = log(p)
         return got
@@ -225,26 +238,29 @@ class Restorer:
     """Plain forms of words and texts; remembers those of words."""
 
     def __init__(self, model: CharModel):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.same = model, {}, set()
 
-    def word(self, word: str) -> str:
+    def read(self, word: str) -> str:
         """The plain form of a lower-case word without white space.
 
         Words with a doubled letter are read unless the model was trained on them; words without a letter are
         read where a sign among others may stand for one. Numbers stay, and other signs alone are empty."""
+        got = word.rstrip(_STOPS)
+        if got.isalpha() and not _twice.search(got):
+            return got
+        # a run of signs at an edge has three at least
+        core = _long_edge.sub("", _long_edge.sub("", word)) if word[:1] * 3 == word[:3] or word[-1:] * 3 == word[-3:] else word
+        plain = _edges.sub("", core)
+        if plain.isalpha() and not _odd(plain) and (plain == core or not any(c in LEET for c in core.replace(plain, ""))):
+            return decode(plain, self.model) if _twice.search(plain) and not self.model.known[plain] else plain
+        if _odd(core) or len(core) > 1 and not _letter.search(core) and any(c in LEET and not c.isdigit() for c in core):
+            return decode(core, self.model)
+        return plain
+
+    def word(self, word: str) -> str:
+        """What ``read`` gives, remembered."""
         if (got := self.memo.get(word)) is None:
-            got = word.rstrip(_STOPS)
-            if got.isalpha() and not _twice.search(got):
-                return got
-            # a run of signs at an edge has three at least
-            core = _long_edge.sub("", _long_edge.sub("", word)) if word[:1] * 3 == word[:3] or word[-1:] * 3 == word[-3:] else word
-            plain = _edges.sub("", core)
-            if plain.isalpha() and not _odd(plain) and (plain == core or not any(c in LEET for c in core.replace(plain, ""))):
-                got = decode(plain, self.model) if _twice.search(plain) and not self.model.known[plain] else plain
-            elif _odd(core) or len(core) > 1 and not _letter.search(core) and any(c in LEET and not c.isdigit() for c in core):
-                got = decode(core, self.model)
-            else:
-                got = plain
+            got = self.read(word)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             if len(word) <= LONGEST:
@@ -256,7 +272,16 @@ class Restorer:
         there with a leading space."""
         text = text.lower()
         found = set(text.split())
-        out = {self.word(w) for w in found} | {" " + self.word(w) for w in found if len(w) > LONGEST}
+        # most words are plain as they stand
+        out = found & self.same
+        for w in found - out:
+            out.add(got := self.word(w))
+            if len(w) > LONGEST:
+                out.add(" " + got)
+            elif got == w:
+                if len(self.same) >= MEMO:
+                    self.same.clear()
+                self.same.add(w)
         return out.union(self.spaced(found, text))
 
     def spaced(self, words: set[str], text: str) -> set[str]:
@@ -297,8 +322,11 @@ class Classifier:
     def __init__(self, chars: CharModel, words: list[str], weights: np.ndarray, bias: float):
         self.chars, self.weights, self.bias = chars, dict(zip(words, weights.tolist(), strict=True)), bias
         self.long, self.memo, self.none = [w for w in words if len(w) >= 4 and w[0] != "^"], {}, set()
-        #: What words begin with whose beginnings are weighted.
-        self.heads = {w[1 : 1 + STEMS[0]] for w in words if w[:1] == "^"}
+        #: Weighted beginnings of words by their first letters.
+        self.heads: dict[str, list[str]] = {}
+        for w in words:
+            if w[:1] == "^":
+                self.heads.setdefault(w[1 : 1 + STEMS[0]], []).append(w)
 
     def fresh(self) -> Classifier:
         """The same without what it remembers, so that a task's memory goes with the task."""
@@ -309,10 +337,14 @@ class Classifier:
     def found(self, restorer: Restorer, text: str) -> list[str]:
         out, text = set(), text.lower()
         words, memo = set(text.split()), self.memo
-        # most words have no weight
+        # most words have no weight, and most of those are plain as they stand
         for w in words.difference(self.none):
             if (got := memo.get(w)) is None:
-                got = self._of(restorer, w)
+                plain = w.rstrip(_STOPS)
+                if len(w) <= LONGEST and plain.isalpha() and not _twice.search(plain):
+                    got = self._kept(w, self._marked(plain))
+                else:
+                    got = self._of(restorer, w)
             out.update(got)
         for w in restorer.spaced(words, text):
             out.update(x for x in self.long if x in w[1:]) if w[0] == " " else out.update(self._marked(w))
@@ -331,13 +363,14 @@ class Classifier:
         return sorted(out)
 
     def _marked(self, plain: str) -> tuple[str, ...]:
-        if plain[: STEMS[0]] not in self.heads:
-            return (plain,) if plain in self.weights else ()
-        return tuple(x for x in marks(plain) if x in self.weights)
+        own = (plain,) if plain in self.weights and plain[:1] != " " else ()
+        if (heads := self.heads.get(plain[: STEMS[0]])) is None:
+            return own
+        return own + tuple(x for x in heads if plain.startswith(x[1:]) and len(plain) >= len(x))
 
     def _kept(self, word: str, got: tuple[str, ...]) -> tuple[str, ...]:
         """``got``, remembered as what ``word`` has."""
-        if len(self.memo) + len(self.none) >= MEMO:
+        if len(self.memo) + len(self.none) >= SEEN:
             self.memo.clear()
             self.none.clear()
         if got:
@@ -348,7 +381,7 @@ class Classifier:
 
     def _of(self, restorer: Restorer, word: str) -> tuple[str, ...]:
         """The weighted words in a word as it stands; a worker remembers them."""
-        plain = restorer.word(word)
+        plain = restorer.read(word)
         got = self._marked(plain)
         if len(word) > LONGEST:
             return got + tuple(x for x in self.long if x in plain)
@@ -381,6 +414,28 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(dealt(labels), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"])
 
 
+def _told(batches):
+    """In how many texts of each label a word of ``Restorer.words`` is found, or a beginning of one (``marks``): word, yes, no."""
+    for batch in batches:
+        found, label = batch.column("words"), batch.column("toxic").to_numpy()
+        words = found.flatten().dictionary_encode()
+        row, of = np.repeat(np.arange(len(label)), found.value_lengths().to_numpy()), words.indices.to_numpy()
+        own = words.dictionary
+        long, single = pc.utf8_length(own).to_numpy(), ~pc.starts_with(own, " ").to_numpy(zero_copy_only=False)
+        parts = [own, *(pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(own, 0, k), "") for k in STEMS)]
+        marked = pa.concat_arrays([x.cast(pa.string()) for x in parts]).dictionary_encode()
+        place, n = marked.indices.to_numpy().reshape(len(parts), -1).astype(np.int64), len(marked.dictionary)
+        codes = []
+        for at, k in zip(place, (0, *STEMS), strict=True):
+            has = ((long > k) & single)[of]
+            codes.append(row[has] * n + at[of[has]])
+        code = np.unique(np.concatenate(codes)) if n else np.zeros(0, np.int64)
+        yes = label[code // max(n, 1)] == 1
+        counts = [np.bincount(code[x] % max(n, 1), minlength=n) for x in (yes, ~yes)]
+        some = counts[0] + counts[1] > 0
+        yield pa.RecordBatch.from_arrays([marked.dictionary.filter(pa.array(some)), *(pa.array(x[some].astype(np.int64)) for x in counts)], names=["word", "yes", "no"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier | None:
     """The classifier of all rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic: 0 or 1) marks; other
     labels and null ids don't count. None where either label is missing."""
@@ -400,7 +455,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier |
             for text in batch.column("text").to_pylist():
                 raw.update(text.lower().split())
             for x, n in raw.items():
-                if (w := _edges.sub("", x)).isalpha() and len(w) <= LONGEST:
+                if (w := x if x.isalpha() else _edges.sub("", x)).isalpha() and len(w) <= LONGEST:
                     got[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["word", "n"])
 
@@ -423,20 +478,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 600) -> Classifier |
     # texts are restored once; features and rows of the regression come from their words
     read = shared_table(spark, texts.mapInArrow(restored, "toxic int, words array<string>"), "toxic-words")
 
-    def tell(batches):
-        memo: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
-            got: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for found, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo.update((w, marks(w)) for w in found if w not in memo)
-                got[label].update(set().union(*map(memo.__getitem__, found)))
-            for label, of in got.items():
-                n, none = pa.array(list(of.values()), pa.int64()), pa.array(np.zeros(len(of), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), *((n, none) if label else (none, n))], names=["word", "yes", "no"])
-
-    told = read.mapInArrow(tell, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    told = read.mapInArrow(_told, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     a, b, c, d = F.col("yes"), F.lit(of[1]) - F.col("yes"), F.col("no"), F.lit(of[0]) - F.col("no")
     # the log-likelihood ratio of a word and the label; odds by their error would rank common words over those found with one label only
     part = lambda x, word, label: F.when(x > 0, x * F.log(x * (of[0] + of[1]) / (word * label))).otherwise(0.0)
