@@ -9,8 +9,10 @@ in the commit.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrank.functions import columns as C
@@ -46,22 +48,27 @@ def ingest_batch(store: BucketStore, rows: DataFrame, batch: int | None = None,
     given = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in KEY]
     rows = rows.select(*(c for c in rows.columns if c not in KEY), *given)
     rows = rows.withColumn("row", F.concat_ws("\x1f", *KEY)).withColumn("place", store.bucket(F.col("row"), at))
-    rows = clean_records(rows.dropDuplicates(["row"])).select("place", "row", *KEY, "error", *(c for c in COLUMNS if c not in ("candidate_id", "source_file")))
+    once = F.row_number().over(W.partitionBy("row").orderBy("place"))
+    rows = clean_records(rows.withColumn("__nth", once).filter("__nth = 1")).select("place", "row", *KEY, "error", *(c for c in COLUMNS if c not in ("candidate_id", "source_file")))
     person = person_key(rows)
     rows = written(rows.withColumn("person", person).withColumn("bucket", store.bucket(F.coalesce(F.concat(F.lit("p"), "person"), F.concat(F.lit("f"), "row")), at)), "parsed")
     files = store.touched(rows.select(F.col("place").alias("bucket")))
     ledger = _known(store, "ledger", LEDGER, at, files)
-    done = ledger.filter("state = 'parsed'").select(*KEY, F.lit(True).alias("done"))
-    rows = written(rows.join(done, list(KEY), "left"), "seen")
-    good = F.col("done").isNull() & F.col("error").isNull()
-    told = rows.agg(F.count("*").alias("total"), F.count("done").alias("skipped"), F.count_if(good).alias("parsed"), F.collect_set(F.when(good, F.col("bucket"))).alias("touched")).first()
+    rows = written(rows.join(ledger.select(*KEY, F.col("state").alias("was")), list(KEY), "left"), "seen")
+    done = F.col("was").eqNullSafe("parsed")
+    good = ~done & F.col("error").isNull()
+    # only the ledger's entries of files that failed before are replaced
+    again = F.collect_set(F.when(F.col("was") == "failed", F.col("place")))
+    told = rows.agg(F.count("*").alias("total"), F.count_if(done).alias("skipped"), F.count_if(good).alias("parsed"), F.collect_set(F.when(good, F.col("bucket"))).alias("touched"), again.alias("again")).first()
     figures = {c: told[c] for c in ("total", "skipped", "parsed")}
     figures["failed"] = figures["total"] - figures["skipped"] - figures["parsed"]
     number = at.number + 1 if batch is None else batch
     changes, values = {}, {"done": {**at.values.get("done", {}), query: number}} if batch is not None else {}
     if figures["skipped"] < figures["total"]:
-        entries = rows.filter("done is null").select(F.col("place").alias("bucket"), *KEY, F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("state"), F.lit(number).cast("long").alias("batch"), "error")
-        changes["ledger"] = (ledger.join(entries.select(*KEY), list(KEY), "left_anti").select(*entries.columns).unionByName(entries), files)
+        entries = rows.filter(~done).select(F.col("place").alias("bucket"), *KEY, F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("state"), F.lit(number).cast("long").alias("batch"), "error")
+        anew = sorted({*told["again"], *(b for b in store.crowded("ledger", at) if b in files)})
+        before = [_known(store, "ledger", LEDGER, at, anew).join(entries.select(*KEY), list(KEY), "left_anti").select(*entries.columns)] if anew else []
+        changes["ledger"] = (reduce(DataFrame.unionByName, before, entries), anew)
     if figures["parsed"]:
         touched, top = sorted(told["touched"]), at.values.get("top", 0)
         old = _known(store, "pool", POOL, at, touched)
@@ -73,7 +80,7 @@ def ingest_batch(store: BucketStore, rows: DataFrame, batch: int | None = None,
     where = [number % at.buckets]
     before = _known(store, "batches", BATCHES, at, where)
     changes["batches"] = (before.unionByName(counted.select(*before.columns)), where)
-    store.commit(at, changes, values)
+    store.commit(at, changes, values, added={"ledger": files})
     return figures
 
 
